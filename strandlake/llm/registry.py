@@ -23,6 +23,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import sample_quality
+
+    return sample_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language_id import fit_languages, held_out, identify_languages
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = fit_languages(docs.where(~F.col("held_out")))
+    return identify_languages(docs, model, carry=("held_out",))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -30,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op10_token_counts": op10_token_counts}
+    return {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op5_licenses": op5_licenses, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
