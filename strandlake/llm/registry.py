@@ -39,12 +39,36 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model, carry=("held_out",))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip of every text: its ids, and whether decoding them gives it back."""
+    from pyspark.sql import functions as F
+
+    from .pieces import PieceModel, decode_pieces, encode_pieces
+
+    model = PieceModel.load(tokenizer("piece_bpe_32k.model"))
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), model, carry=("text",))
+    whole = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return decode_pieces(encoded, model).select("doc_id", "n_pieces", whole.alias("round_trip"), "pieces")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, seed=42, distance=3)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -52,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_language_id": op3_language_id, "op5_licenses": op5_licenses, "op10_token_counts": op10_token_counts}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op8_simhash, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
