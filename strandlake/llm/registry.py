@@ -57,6 +57,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .multi_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -76,7 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op8_simhash, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op8_simhash, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
