@@ -65,6 +65,12 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotations import link_quotations
+
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -84,7 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op8_simhash, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op7_quotations, op8_simhash, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
