@@ -24,5 +24,5 @@ def windowed_totals(spark: SparkSession, folder: str, *, window: str = "10 minut
     files = spark.readStream.format("binaryFile").schema(FILES).load(folder)
     from ..operators.parse import parse_fastx
 
-    rows = parse_fastx(files.withWatermark("modificationTime", watermark), "content", keys=("modificationTime",), columns=("format", "dna_len"), decompress=True, **options)
+    rows = parse_fastx(files, "content", keys=("modificationTime",), columns=("format", "dna_len"), decompress=True, **options)
     return rows.withWatermark("modificationTime", watermark).groupBy(F.window("modificationTime", window), "format").agg(F.count("*").alias("n_records"), F.sum("dna_len").alias("n_bases"))
