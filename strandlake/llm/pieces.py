@@ -26,7 +26,7 @@ UNITS = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
 UNKNOWN_PENALTY = 10.0
 
 #: Units that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class DoubleArray:
@@ -184,7 +184,9 @@ class PieceModel:
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = list(set().union(*split) - self.known.keys())
-        self.known.update(zip(new, self.segment(new), strict=True))
+        sizes = np.concatenate([[0], np.cumsum([len(u) for u in new])]).astype(np.int64)
+        for lo, hi in row_ranges(sizes, 1 << 17):
+            self.known.update(zip(new[lo:hi], self.segment(new[lo:hi]), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
@@ -195,7 +197,7 @@ class PieceModel:
         return np.frombuffer(b"".join(line), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in line])])
 
 
-def encode_pieces(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), batch_bytes: int = 1 << 20) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), batch_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, pieces (ids) and n_pieces of every row of docs, with the columns named in carry.
 
     Whole texts are encoded; nothing is normalised, so decoding gives a text back byte for byte. A null or empty text has
@@ -231,24 +233,20 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, *, pieces_col: str = "p
     at = names.index(pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(at)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-            ids = pc.fill_null(lists.flatten(), -1).to_numpy().astype(np.int64)
-            ids = np.where((ids >= 0) & (ids < len(begin) - 1), ids, len(begin) - 1)
-            n = np.append(np.diff(begin), 0)[ids]
-            list_offsets = np.concatenate([[0], np.cumsum(sizes)])
-            byte_ends = np.concatenate([[0], np.cumsum(n)])
-            out: list[bytes] = []
-            for lo, hi in row_ranges(byte_ends[list_offsets], 1 << 20):
-                x, y = list_offsets[lo], list_offsets[hi]
-                part = n[x:y]
-                source = np.repeat(begin[ids[x:y]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+        for whole in batches:
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy().astype(np.int64))])
+            for lo, hi in row_ranges(offsets, 1 << 17):
+                batch = whole.slice(lo, hi - lo)
+                lists = batch.column(at)
+                ids = pc.fill_null(lists.flatten(), -1).to_numpy()
+                ids = np.where((ids >= 0) & (ids < len(begin) - 1), ids, len(begin) - 1)
+                n = np.append(np.diff(begin), 0)[ids]
+                source = np.repeat(begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 raw = table[source].tobytes()
-                cut = (byte_ends[list_offsets[lo : hi + 1]] - byte_ends[x]).tolist()
-                out += [raw[a:b].removeprefix(b" ") for a, b in zip(cut, cut[1:], strict=False)]
-            text = pa.array([t.decode("utf-8", "replace") for t in out], pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, "decoded"])
+                cut = np.concatenate([[0], np.cumsum(n)])[offsets[lo : hi + 1] - offsets[lo]].tolist()
+                out = [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
+                text = pa.array(out, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, "decoded"])
 
     types = ", ".join(f"`{n}` {encoded.schema[n].dataType.simpleString()}" for n in names)
     return encoded.select(*names).mapInArrow(run, f"{types}, decoded string")
