@@ -15,7 +15,9 @@ from .support import cut_lineage
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Centroids of a bounded sample; an empty cluster keeps its place."""
+    """Centroids of a bounded sample; an empty cluster keeps its place, and no points give one centroid at zero."""
+    if not len(points):
+        return np.zeros((1, points.shape[1]))
     rng = np.random.default_rng(seed)
     centres = points[rng.choice(len(points), min(k, len(points)), replace=False)]
     for _ in range(rounds):
