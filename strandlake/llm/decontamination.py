@@ -6,20 +6,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import batch_pieces
+from .support import pieces, text_bytes
 
 #: Length of the q-grams: eight bytes, so that a gram is a 64-bit number and equality is exact.
 Q = 8
 
-#: a-z, 0-9 and the bytes of multi-byte characters stand for themselves, A-Z for a-z, all else for a blank.
-FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
+#: a-z, 0-9 and the bytes of multi-byte characters stand for themselves, all else for a blank.
+FOLDED = np.array([b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
+
+
+def lowered_pieces(batches: Iterator[pa.RecordBatch], text_col: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the bytes and offsets of their texts in lower case."""
+    for batch in batches:
+        data, offsets = text_bytes(pc.utf8_lower(batch.column(text_col)))
+        for lo, hi in pieces(offsets):
+            yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with runs of blanks made one and none at a text's start, and their new offsets."""
+    """Lower-cased texts with runs of blanks made one and none at a text's start, and their new offsets."""
     data = FOLDED[data]
     blank = data == 32
     keep = np.ones(len(data), bool)
@@ -69,8 +78,7 @@ class PassageIndex:
         self.ids: list[int] = []
         self.passages: list[np.ndarray] = []
         for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            line, _ = folded(raw, np.array([0, len(raw)]))
+            line, _ = folded(*text_bytes(pc.utf8_lower(pa.array([text], pa.string()))))
             line = line[:-1] if len(line) and line[-1] == 32 else line
             step = segment // 2
             cuts = [0] if len(line) <= 2 * segment else range(0, len(line) - step, step)
@@ -170,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, seg
 
     def one(index: PassageIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, data, offsets in batch_pieces(batches, 1):
+            for batch, data, offsets in lowered_pieces(batches, 1):
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 for r, i, edits, end in index.search(data, offsets):
                     key = r, index.ids[i]
@@ -194,7 +202,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, seg
     for index in passage_blocks(benchmark, rate, segment, block_bytes, item_col, text_col):
 
         def run(batches: Iterator[pa.RecordBatch], index: PassageIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch, data, offsets in batch_pieces(batches, at):
+            for batch, data, offsets in lowered_pieces(batches, at):
                 clean = np.ones(len(batch), bool)
                 clean[[r for r, *_ in index.search(data, offsets)]] = False
                 yield batch.filter(pa.array(clean))
