@@ -1,0 +1,353 @@
+"""Sharding, neighbours, quotations, near duplicates, decontamination and the pipeline against brute force, and on odd rows."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.llm import registry
+from strandlake.llm.components import connected_components, star
+from strandlake.llm.decontamination import Q, PassageIndex, banded_distance, drop_leaks, find_leaks
+from strandlake.llm.multi_index import MultiIndex, search
+from strandlake.llm.quotations import link_quotations, pack_conversations
+from strandlake.llm.sharding import assign_shards, choose_splitters, range_numbers
+from strandlake.llm.simhash import BITS, allocate, group_bits, near_duplicates, spanning_links
+
+ODD = ["", None, " ", "a", "A b", "\n\n", "é", "x" * 5000, "word " * 3000, "the same text here again", "the same text here again"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None, -5, "x") for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[4], rows[4], (None, "no id", None, 0, None)], "doc_id long, text string, lang string, shard int, fingerprint string")
+
+
+def check_shards(rows, shards):
+    slots = defaultdict(list)
+    for r in rows:
+        text = r["text"] or ""
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text.encode()) + 1, zlib.crc32(text.encode()), "bytes", None)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+
+
+def test_op1_near_equal_bytes_gapless_slots_and_whole_groups(spark, sf_dir):
+    docs = registry.table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    rows = assign_shards(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    check_shards(rows, 8)
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert len(rows) == docs.count() and max(load.values()) <= 1.02 * sum(load.values()) / 8
+    assert max(Counter(t for t, _ in {(r["text"], r["shard"]) for r in rows}).values()) == 1
+
+
+def test_op1_hot_text_is_cut_only_if_it_outweighs_a_shard(spark):
+    rows = [(i, "hot text" * 20 if i < 500 else f"text {i} " * 15) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = assign_shards(df, 8).join(df, "doc_id").collect()
+    check_shards(got, 8)
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) <= 1.05 * sum(load.values()) / 8
+    assert len({r["shard"] for r in got if r["doc_id"] < 500}) >= 3
+
+
+def test_op1_odd_rows(spark, odd):
+    got = assign_shards(odd)
+    assert got.count() == odd.count() and assign_shards(odd.limit(0)).count() == 0
+    one = assign_shards(odd.where("doc_id = 3")).first()
+    assert (one["size"], one["slot"]) == (2, 0)
+    slots = Counter((r["shard"], r["slot"]) for r in got.collect())
+    assert max(slots.values()) == 1
+
+
+def test_op1_range_numbers():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-5, 5, 400)
+    ids = rng.integers(0, 50, 400)
+    bk, bi = choose_splitters(keys, ids, np.ones(400), 16)
+    bounds = list(zip(bk.tolist(), bi.tolist(), strict=True))
+    assert bounds == sorted(set(bounds))
+    expected = [sum(b <= (k, i) for b in bounds) for k, i in zip(keys.tolist(), ids.tolist(), strict=True)]
+    assert range_numbers(keys, ids, bk, bi).tolist() == expected
+
+
+def neighbours(vectors, k):
+    """Brute force over (id, vector)."""
+    out = {}
+    for q, x in vectors:
+        if q % 20 == 0:
+            near = sorted(((-float(np.dot(np.array(x), np.array(y))), i) for i, y in vectors if i != q))[:k]
+            out[q] = [(i, -s) for s, i in near]
+    return out
+
+
+def test_op6_recall_and_scores(spark, sf_dir):
+    table = registry.table(spark, sf_dir, "embeddings")
+    vectors = [(r["vec_id"], [float(v) for v in r["embedding"]]) for r in table.collect()]
+    expected, got = neighbours(vectors, 20), defaultdict(list)
+    for r in search(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    assert set(got) == set(expected)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in e}) / len(e) for q, e in expected.items()]) >= 0.9
+    by = dict(vectors)
+    assert all(abs(s - np.dot(by[q], by[i])) < 1e-12 for q, found in got.items() for i, s in found)
+
+
+def test_op6_copies_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(100)] + [(i, rng.normal(size=4).round(2).tolist()) for i in range(100, 160)]
+    odd = [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan")] * 4), (204, [float("inf"), 0.0, 0.0, 0.0]), (220, []), (None, [1.0] * 4), (221, [1.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    clean = [(i, np.array(x, np.float32).astype(float).tolist()) for i, x in rows]
+    expected = neighbours(clean, 20)
+    got = defaultdict(list)
+    for r in search(df, F.col("vec_id") % 20 == 0, block=32, query_block=4, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, e in expected.items():
+        assert got[q] == [i for i, _ in e] if q < 100 else len(got[q]) == 20
+    few = df.where("vec_id in (0, 101, 102)")
+    assert [r["vec_id"] for r in search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [i for i, _ in neighbours([x for x in clean if x[0] in (0, 101, 102)], 20)[0]]
+    assert search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_op6_traversal_goes_by_falling_sum():
+    rng = np.random.default_rng(3)
+    index = MultiIndex(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), np.ones(35, int))
+    q = rng.normal(size=6)
+    way = list(index.traverse(q))
+    sums = [index.first[c // 5] @ q[:3] + index.second[c % 5] @ q[3:] for c in way]
+    assert sorted(way) == list(range(35)) and all(a >= b - 1e-12 for a, b in zip(sums, sums[1:], strict=False))
+
+
+CHAT = [
+    (1, 0, "user", "Hello there.\nHow are you?"),
+    (1, 1, "assistant", "> How are you?\nFine, thanks."),
+    (1, 2, "user", "On Monday, A wrote:\n> > how ARE you\n> Fine, thanks.\n\nGood!\n> unknown quote"),
+    (1, 3, "user", "a new topic"),
+    (1, 4, "assistant", "> Hello there.\n> How are you?\nagain"),
+    (1, 5, "user", ">Good!\n\nIndeed"),
+    (2, 0, "user", None),
+    (2, 1, "a", "> Hello there.\nno link across"),
+    (2, 1, "a", "> Hello there.\nno link across"),
+    (2, None, "a", ""),
+    (None, None, None, None),
+]
+
+
+def test_op7_links_bodies_and_order(spark):
+    df = spark.createDataFrame([(*c, "x", 9) for c in CHAT], "conv_id long, turn long, role string, text string, reply_to string, position int")
+    got = link_quotations(df)
+    rows = {(r["conv_id"], r["turn"]): r for r in got.collect()}
+    assert got.count() == len(CHAT)
+    expect = {(1, 0): (None, 0, 0, "Hello there.\nHow are you?"), (1, 1): (0, 0, 1, "Fine, thanks."), (1, 2): (1, 0, 2, "Good!"), (1, 3): (None, 3, 0, "a new topic"), (1, 4): (0, 0, 1, "again"), (1, 5): (2, 0, 3, "Indeed"), (2, 1): (None, 1, 0, "no link across"), (2, 0): (None, 0, 0, "")}
+    for key, (reply, root, depth, text) in expect.items():
+        r = rows[key]
+        assert (r["reply_to"], r["root_turn"], r["depth"], r["text"]) == (reply, root, depth, text), key
+    assert (rows[1, 2]["n_quotes"], rows[1, 2]["quote_depth"], rows[1, 2]["n_linked"]) == (3, 2, 2)
+    order = [r["turn"] for r in got.where("conv_id = 1").orderBy("position").collect()]
+    assert order == [0, 1, 2, 4, 5, 3]
+    for conv in (1, 2, None):
+        places = sorted(r["position"] for r in got.where(F.col("conv_id").eqNullSafe(conv)).collect())
+        assert places == list(range(len(places)))
+    packed = pack_conversations(got, 4).where("conv_id = 1").orderBy("part").collect()
+    assert [len(r["messages"]) for r in packed] == [4, 2]
+    assert link_quotations(df.limit(0)).count() == 0
+
+
+def test_op7_texts_without_quotes_stay_as_they_are(spark, sf_dir):
+    chat = registry.table(spark, sf_dir, "conversations")
+    got = registry.op7_quotations(spark, sf_dir)
+    assert got.select("conv_id", "turn", "role", "text").exceptAll(chat.select("conv_id", "turn", "role", "text")).isEmpty() and got.count() == chat.count()
+
+
+def test_op7_plan_has_no_python(spark, sf_dir):
+    import re
+
+    plan = registry.op7_quotations(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_fingerprint(text, width):
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups_of(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize(("width", "distance"), [(3, 3), (3, 8), (5, 6)])
+def test_op8_components_like_brute_force(spark, documents, odd, width, distance):
+    near = [(1000 + i, " ".join(f"w{j if j % 40 else j * (i + 1)}" for j in range(200))) for i in range(40)]
+    rows = documents.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    for df in (rows, odd.where("doc_id is not null").select("doc_id", "text")):
+        texts = {r["doc_id"]: r["text"] for r in df.collect()}
+        prints = {d: plain_fingerprint(t, width) for d, t in texts.items()}
+        ids = sorted(prints)
+        flat = np.array([prints[d] for d in ids], np.uint64)
+        links = [(ids[i], ids[i + 1 + j]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(flat[i + 1 :] ^ flat[i]) <= distance).tolist()]
+        expected = groups_of(ids, links)
+        got = near_duplicates(df, width=width, distance=distance).collect()
+        assert len(got) == df.count()
+        assert all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == expected[r["doc_id"]] for r in got)
+    assert near_duplicates(rows.limit(0)).count() == 0
+    assert near_duplicates(odd).where("doc_id is null").first()["component_id"] is None
+
+
+def test_op8_plan_pieces():
+    assert allocate([[0, 5, 1], [0, 2, 9]], 0)[1] == [0, 0] or sum(allocate([[0, 5, 1], [0, 2, 9]], 0)[1]) == 0
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (500, BITS)).astype(float)
+    x[:, 40] = x[:, 3]
+    groups = group_bits(500, x.T @ x, 4)
+    assert sorted(b for g in groups for b in g) == list(range(BITS)) and any({3, 40} <= set(g) for g in groups)
+    u, v = spanning_links(np.array([0, 3]), np.array([1, 3, 255 << 40, 7, 7 | 8], np.uint64), np.array([True, False, False, True, False]), 3)
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(1, 3), (7, 15)]
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    rng = random.Random(5)
+    path = [(i, i + 1) for i in range(300)]
+    hub = [(1000, 1000 + i) for i in range(1, 400)]
+    loose = [(2000 + rng.randrange(200), 2000 + rng.randrange(200)) for _ in range(120)]
+    edges = path + hub + loose
+    rng.shuffle(edges)
+    expected = groups_of({x for e in edges for x in e}, edges)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: c for n, c in expected.items() if n in got} and all(expected[a] == a for a in set(expected) - set(got))
+    u, v = star(*np.array(path).T)
+    assert set(u.tolist()) == {0} and sorted(v.tolist()) == list(range(1, 301))
+
+
+def edit_distance(a, b):
+    """Of all of a to the best stretch of b."""
+    line = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(line[j - 1] + (x != y), line[j] + 1, new[-1] + 1))
+        line = new
+    return min(line)
+
+
+def test_op9_banded_alignment_like_the_full_table():
+    rng = random.Random(6)
+    for _ in range(60):
+        text = bytes(rng.choices(b"abc", k=rng.randint(20, 60)))
+        at = rng.randrange(10)
+        pattern = bytearray(text[at : at + 15])
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(pattern))
+            pattern[i : i + rng.randint(0, 1)] = bytes(rng.choices(b"abc", k=rng.randint(0, 2)))
+        full = edit_distance(bytes(pattern), text)
+        got, _ = banded_distance(np.frombuffer(bytes(pattern), np.uint8), np.frombuffer(text, np.uint8), -len(pattern), len(text), 9)
+        assert got == min(full, 10)
+
+
+def folded_text(text):
+    import re
+
+    return re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", (text or "").lower().encode()).strip()
+
+
+def test_op9_planted_edits_are_found_and_clean_texts_left(spark, sf_dir):
+    bench = registry.table(spark, sf_dir, "benchmark")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    rng = random.Random(7)
+    clean = [(i, " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(300))) for i in range(60)]
+    planted, rows = {}, []
+    for n, (d, text) in enumerate(clean):
+        if n % 2:
+            item, passage = rng.choice(items)
+            letters = list(passage.upper() if n % 3 else passage)
+            budget = int(0.08 * len(folded_text(passage)))
+            for _ in range(rng.randint(0, max(0, budget // 2))):
+                letters[rng.randrange(len(letters))] = "z"
+            cut = rng.randrange(len(text))
+            text = text[:cut] + " \n " + "".join(letters) + " - " + text[cut:]
+            planted[d] = item
+        rows.append((d, text, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(df, bench).collect()}
+    assert set(found) == set(planted.items())
+    assert {r["doc_id"] for r in drop_leaks(df, bench).collect()} == {d for d, _, _ in rows} - set(planted)
+    small = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(df, bench, block_bytes=1500).collect()}
+    assert small == found
+    texts = dict((d, t) for d, t, _ in rows)
+    for (d, i), edits in list(found.items())[:8]:
+        assert edit_distance(folded_text(dict(items)[i]), folded_text(texts[d])) == edits
+
+
+def test_op9_like_brute_force_on_the_table(spark, documents, sf_dir):
+    bench = registry.table(spark, sf_dir, "benchmark")
+    items = [(r["item_id"], folded_text(r["text"])) for r in bench.collect()]
+    exact = {(r["doc_id"], i) for r in documents.collect() for i, t in items if t in folded_text(r["text"])}
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(documents, bench).collect()}
+    assert exact == {k for k, e in got.items() if e == 0} and exact
+
+
+def test_op9_long_items_and_odd_rows(spark, odd):
+    rng = random.Random(8)
+    long_item = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400))
+    bench = spark.createDataFrame([(1, long_item), (2, "short"), (3, None), (4, "")], "item_id int, text string")
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, "before " + long_item[1000:1900] + " after")], "doc_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in find_leaks(df, bench).collect()] == [(50, 1)]
+    assert drop_leaks(df, bench).count() == df.count() - 1
+    assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
+    assert drop_leaks(df, bench.limit(0)).count() == df.count()
+    index = PassageIndex([(1, "x" * 50)], 0.5, 400)
+    assert index.least[0] >= 1 and index.budget[0] <= (50 - Q) // Q
+
+
+def test_pipeline_stages_do_what_they_say(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs = registry.table(spark, big, "documents")
+    quality = {r["doc_id"]: r["quality"] for r in registry.table(spark, big, "labels").collect()}
+    seen = []
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, big)
+        if name != "piece_encoding":
+            assert docs.schema.names == before.schema.names
+        docs = docs.cache()
+        seen.append((name, before, docs))
+    kept = {name: {r["doc_id"] for r in after.select("doc_id").collect()} for name, _, after in seen}
+    clean = [d for d, q in quality.items() if q == 1]
+    assert len(kept["language_id"]) == 1000
+    assert sum(d in kept["quality"] for d in clean) >= 0.98 * len(clean)
+    texts = {r["doc_id"]: r["text"] for r in seen[2][1].collect()}
+    firsts = {}
+    for d in sorted(texts):
+        firsts.setdefault(texts[d], d)
+    assert all(d in firsts.values() for d in kept["near_duplicates"]) and len(kept["near_duplicates"]) <= len(firsts)
+    groups = {r["doc_id"]: r["component_id"] for r in near_duplicates(seen[2][1], width=3, distance=pipeline.NEAR_BITS).collect()}
+    assert kept["near_duplicates"] == set(groups.values())
+    items = [folded_text(r["text"]) for r in registry.table(spark, big, "benchmark").collect()]
+    leaks = {d for d in kept["near_duplicates"] if any(i in folded_text(texts[d]) for i in items)}
+    assert kept["decontamination"] == kept["near_duplicates"] - leaks and leaks
+    assert kept["piece_encoding"] == kept["decontamination"]
+    assert pipeline.run(spark, sf_dir).columns == ["doc_id", "pieces", "n_pieces"]
