@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..options import Flag, FastxOptions
+from ..options import FastxOptions, Flag
+from .aggregates import merge_sequences
 
 ENCODERS = {"packed": dna.pack_dna, "columnar": dna.columnar_dna, "mask_non_actg": dna.mask_non_actg, "mask_n": dna.mask_n, "dna_len": dna.dna_len}
 
@@ -14,7 +15,7 @@ ENCODERS = {"packed": dna.pack_dna, "columnar": dna.columnar_dna, "mask_non_actg
 def source_columns(options: FastxOptions) -> list[str]:
     """What a scan must read for these options."""
     wanted = options.columns
-    needs_seq = options.policy != "keep" or any(c in wanted for c in ("seq", "packed", "columnar", "mask_non_actg", "mask_n"))
+    needs_seq = options.has(Flag.MERGE_RECORDS) or options.policy != "keep" or any(c in wanted for c in ("seq", "packed", "columnar", "mask_non_actg", "mask_n"))
     names = ["file", "format", "byte_start"]
     names += [c for c in ("header", "quality") if c in wanted]
     return names + (["seq"] if needs_seq else []) + (["dna_len"] if "dna_len" in wanted and not needs_seq else [])
@@ -43,6 +44,8 @@ def apply_options(records: DataFrame, options: FastxOptions) -> DataFrame:
     """The wanted columns under the option set's policy.
 
     keep: one row a record, all residues. skip: without other residues. reject: the query fails at another residue.
+    With merge_records, one row a file: the sequences of its records in order, as the policy leaves them, and their
+    encodings; what belongs to single records (header, quality) is not in it.
     split: one row a run (event chunk) or, with records asked for, one row a record with its runs as an array; with both,
     the chunks of a record come before it in (file, byte_start, event order) and `event` tells them apart.
     """
@@ -55,6 +58,13 @@ def apply_options(records: DataFrame, options: FastxOptions) -> DataFrame:
                 df = df.withColumn(name, ENCODERS[name]("seq"))
         return df.select(*key, *[c for c in ["event", "run_index", "run_start", "run_end", *wanted, "runs"] if c in df.columns])
 
+    if options.has(Flag.MERGE_RECORDS):
+        clean = {"keep": F.col("seq"), "reject": dna.reject_non_actg("seq")}.get(policy, dna.skip_non_actg("seq"))
+        merged = merge_sequences(records.withColumn("seq", clean), ["byte_start"], "file")
+        for name in wanted:
+            if name in ENCODERS:
+                merged = merged.withColumn(name, ENCODERS[name]("seq"))
+        return merged.select("file", *[c for c in wanted if c in merged.columns])
     if policy == "skip":
         return encoded(records.withColumn("seq", dna.skip_non_actg("seq")))
     if policy == "reject":

@@ -103,6 +103,7 @@ class FastxReader(DataSourceReader):
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
         # A record's number in its file is known only to a task that has read all before it.
         self.whole_files = "record_index" in schema.names
+        self.with_seqs = bool({"seq", "quality", "dna_len"} & set(schema.names))
 
     def partitions(self) -> list[FilePart]:
         return [part for path, size in list_inputs(self.paths) for part in self.parts_of(path, size)] or [FilePart("", 0, 0, 0, None, "whole", None, False)]
@@ -162,11 +163,11 @@ class FastxReader(DataSourceReader):
     def scan(self, part: FilePart) -> Iterator[tuple[str, Records]]:
         with open_input(part.path) as file:
             if part.cut_by == "whole":
-                yield from scan_pieces(decoded_pieces(file, part.codec))
+                yield from scan_pieces(decoded_pieces(file, part.codec), self.with_seqs)
             elif part.cut_by == "bytes":
-                yield from owned(part, self.plain(file, part.start), part.end - part.start)
+                yield from owned(part, self.plain(file, part.start), part.end - part.start, self.with_seqs)
             else:
-                yield from owned(part, *self.framed(file, part))
+                yield from owned(part, *self.framed(file, part), self.with_seqs)
 
     @staticmethod
     def plain(file, start: int) -> Iterator[bytes]:
@@ -202,7 +203,7 @@ class FastxReader(DataSourceReader):
         return decoded_pieces(file, part.codec), own
 
 
-def owned(part: FilePart, pieces: Iterator[bytes], own: int) -> Iterator[tuple[str, Records]]:
+def owned(part: FilePart, pieces: Iterator[bytes], own: int, with_seqs: bool = True) -> Iterator[tuple[str, Records]]:
     """The records whose line feed before them lies in the first `own` bytes; the file's first record needs none."""
     if not own:
         return
@@ -218,7 +219,7 @@ def owned(part: FilePart, pieces: Iterator[bytes], own: int) -> Iterator[tuple[s
                 continue
             if at > own:
                 return
-            scan = scanner(part.format, base + at, part.crlf, part.start == 0)
+            scan = scanner(part.format, base + at, part.crlf, part.start == 0, with_seqs)
             piece = held[at:]
         records = scan.feed(piece)
         done = len(records) and records.starts[-1] > base + own

@@ -58,8 +58,8 @@ class FastaScanner:
 
     format = "fasta"
 
-    def __init__(self, offset: int = 0, crlf: bool = False, checked: bool = True):
-        self.offset, self.crlf, self.checked = offset, crlf, checked
+    def __init__(self, offset: int = 0, crlf: bool = False, checked: bool = True, with_seqs: bool = True):
+        self.offset, self.crlf, self.checked, self.with_seqs = offset, crlf, checked, with_seqs
         self.held: list[bytes] = []
 
     def feed(self, piece: bytes) -> Records:
@@ -91,7 +91,9 @@ class FastaScanner:
         last = len(parts) - 1
         parts = [p if i == last else p + b"\n" for i, p in enumerate(parts)]
         split = [p.partition(b"\n") for p in parts]
-        if self.crlf:
+        if not self.with_seqs:
+            headers, seqs = [h.removesuffix(b"\r") if self.crlf else h for h, _, _ in split], []
+        elif self.crlf:
             headers = [h.removesuffix(b"\r") for h, _, _ in split]
             seqs = [s.replace(b"\r\n", b"").replace(b"\n", b"") for _, _, s in split]
         else:
@@ -105,8 +107,8 @@ class FastqScanner:
 
     format = "fastq"
 
-    def __init__(self, offset: int = 0, crlf: bool = False, checked: bool = True):
-        self.offset, self.crlf, self.checked = offset, crlf, checked
+    def __init__(self, offset: int = 0, crlf: bool = False, checked: bool = True, with_seqs: bool = True):
+        self.offset, self.crlf, self.checked, self.with_seqs = offset, crlf, checked, with_seqs
         self.held = b""
         self.after_blank = checked
 
@@ -132,8 +134,9 @@ class FastqScanner:
             nonlocal at
             if n:
                 out.headers += [h[1:] for h in self.stripped(lines[at : at + 4 * n : 4])]
-                out.seqs += self.stripped(lines[at + 1 : at + 4 * n : 4])
-                out.quals += self.stripped(lines[at + 3 : at + 4 * n : 4])
+                if self.with_seqs:
+                    out.seqs += self.stripped(lines[at + 1 : at + 4 * n : 4])
+                    out.quals += self.stripped(lines[at + 3 : at + 4 * n : 4])
                 stops = (ends[at + 3 : at + 4 * n : 4] + self.offset).tolist()
                 begin = int(ends[at - 1]) if at else 0
                 out.starts += [begin + self.offset, *stops[:-1]]
@@ -183,11 +186,12 @@ class FastqScanner:
         out.ends.append(self.offset + len(self.held))
 
 
-def scanner(format_: str, offset: int = 0, crlf: bool = False, checked: bool = True) -> FastaScanner | FastqScanner:
-    return (FastaScanner if format_ == "fasta" else FastqScanner)(offset, crlf, checked)
+def scanner(format_: str, offset: int = 0, crlf: bool = False, checked: bool = True, with_seqs: bool = True) -> FastaScanner | FastqScanner:
+    """with_seqs: whether sequences and qualities are wanted; without, the records have none."""
+    return (FastaScanner if format_ == "fasta" else FastqScanner)(offset, crlf, checked, with_seqs)
 
 
-def scan_pieces(pieces: Iterator[bytes]) -> Iterator[tuple[str, Records]]:
+def scan_pieces(pieces: Iterator[bytes], with_seqs: bool = True) -> Iterator[tuple[str, Records]]:
     """(format, records) of a whole input that comes in pieces. An error carries the good records before it as `records`."""
     held = b""
     scan = None
@@ -197,12 +201,12 @@ def scan_pieces(pieces: Iterator[bytes]) -> Iterator[tuple[str, Records]]:
             if b"\n" not in held:
                 continue
             format_ = format_of(held[0])
-            scan, piece = scanner(format_, 0, is_crlf(held)), held
+            scan, piece = scanner(format_, 0, is_crlf(held), True, with_seqs), held
         yield scan.format, scan.feed(piece)
     if scan is None:
         if not held:
             return
-        scan = scanner(format_of(held[0]), 0, False)
+        scan = scanner(format_of(held[0]), 0, False, True, with_seqs)
         yield scan.format, scan.feed(held)
     yield scan.format, scan.finish()
 

@@ -161,6 +161,24 @@ def test_options_and_policies(spark, tmp_path):
         get(o.reject_non_actg())
 
 
+def test_n21_merged_records(spark, tmp_path):
+    path = tmp_path / "a.fa"
+    path.write_bytes(b">r1\nACGTNACGT\n>r2\nTGCAACGT\n>r3\nACGTACGT\n")
+    o = FastxOptions().merge_records().compute_dna_len()
+    get = lambda opt: read_fastx(spark, str(path), options=opt).first()
+    assert get(o)["seq"] == "ACGTNACGTTGCAACGTACGTACGT" and get(o.skip_non_actg())["dna_len"] == 24
+    assert get(o.and_dna_packed())["packed"]["len"] == 24 and "header" not in get(o).asDict()
+
+
+def test_headers_alone_need_no_sequences(spark, tmp_path):
+    rows = reads(30, 9)
+    for name, data in (("a.fq", fastq(rows, "\r\n")), ("a.fa", fasta(rows, 20, "\r\n")), ("a.fa.gz", gzip.compress(fasta(rows)))):
+        path = tmp_path / name
+        path.write_bytes(data)
+        got = read_fastx(spark, str(path), columns=["header", "byte_start", "byte_end"], split_bytes=200).orderBy("byte_start").collect()
+        assert [r["header"] for r in got] == [h for h, _, _ in rows]
+
+
 def test_writers_round_trip(spark, tmp_path):
     rows = reads(50, 6)
     df = spark.createDataFrame(rows, "header string, seq string, quality string")
