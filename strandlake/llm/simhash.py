@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import StarLinks, connected_components, star
 from .support import batch_pieces, cut_lineage
 
 BITS = 64
@@ -29,19 +29,17 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    shingles = [joined]
-    if len(words) > width:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: len(words) - width].tolist()]
-        shingles = [joined[s:e] for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+    joined, n = b" ".join(words), max(1, len(words) - width + 1)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    del words
+    starts, stops = np.concatenate([[0], ends[: n - 1]]), (ends[width - 1 :] if len(ends) > width else ends[-1:]) - 1
     counts = np.zeros((8, 256), np.int64)
-    for at in range(0, len(shingles), 1 << 16):
-        part = shingles[at : at + (1 << 16)]
+    for at in range(0, n, 1 << 16):
+        part = [joined[s:e] for s, e in zip(starts[at : at + (1 << 16)].tolist(), stops[at : at + (1 << 16)].tolist(), strict=True)]
         digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, part, repeat(seed))), np.uint8).reshape(-1, 8)
         counts += np.bincount((digests + _PLACE).ravel(), minlength=2048).reshape(8, 256)
     ones = (counts @ BYTE_BITS).ravel()
-    return int(np.packbits(2 * ones > len(shingles)).view(">u8")[0])
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,23 +194,6 @@ def spanning_links(key_starts: np.ndarray, fps: np.ndarray, own: np.ndarray, dis
     return star(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same ties with one link for each node but a component's least."""
-    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(names))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(len(names)))
-    return names[label[at]], names[at]
-
-
 def near_links(nodes: DataFrame, distance: int, plan: list[Partition]) -> DataFrame:
     """Links (u, v) that connect just what the pairs of fingerprints within `distance` connect.
 
@@ -231,11 +212,12 @@ def near_links(nodes: DataFrame, distance: int, plan: list[Partition]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        found = StarLinks()
 
-        def links(part: np.ndarray, value: np.ndarray, own: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def link(part: np.ndarray, value: np.ndarray, own: np.ndarray, fps: np.ndarray) -> None:
             new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (part[1:] != part[:-1])))
             u, v = spanning_links(new, fps.view(np.uint64), own, distance)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            found.add(u.view(np.int64), v.view(np.int64))
 
         for batch in batches:
             if not len(batch):
@@ -247,10 +229,11 @@ def near_links(nodes: DataFrame, distance: int, plan: list[Partition]) -> DataFr
                 continue
             whole = [np.concatenate([h[i] for h in held]) for i in range(4)]
             cut = len(whole[0]) - (len(part) - last)
-            yield links(whole[0][:cut], whole[1][:cut], whole[2][:cut], whole[3][:cut])
+            link(*(c[:cut] for c in whole))
             held = [tuple(c[cut:] for c in whole)]
         if held:
-            yield links(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+            link(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+        yield found.batch()
 
     return filed.mapInArrow(run, "u long, v long")
 
@@ -266,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance
     """
     rows = cut_lineage(fingerprints(docs, width=width, seed=seed, id_col=id_col, text_col=text_col))
     nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    links = near_links(nodes, distance, plan_partitions(nodes, distance)).distinct()
+    links = near_links(nodes, distance, plan_partitions(nodes, distance))
     tied = connected_components(links)
     placed = nodes.join(tied, nodes["fingerprint"] == tied["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
     placed = cut_lineage(placed)
