@@ -10,6 +10,9 @@ from .support import cut_lineage
 #: Quote marks at a line's start: each > is a level, blanks between them don't count.
 MARKS = r"^((?:[ \t]*>)*)"
 
+#: Whether a text has a quoted line at all.
+QUOTED = r"(?m)^[ \t]*>"
+
 #: A line that announces a quotation, and goes with it.
 ANNOUNCES = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -51,18 +54,21 @@ def keys_of(run: Column) -> Column:
     return F.array_distinct(F.concat(F.array(one(F.array_join(run["text"], " "))), F.transform(run["text"], one)))
 
 
-def link_quotes(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, n_linked) of the messages with a passage that an earlier message of the conversation wrote.
+def link_quotes(quoting: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, n_linked) of the quoting messages (parsed) with a passage that an earlier one of the
+    conversation wrote. Of messages, only those in conversations with quotes are parsed and hashed.
 
     A key's original is the first turn that wrote it in its own words, found by one minimum for each key, so a passage
     that a third of all messages share is one row on that side. A passage links to the original that covers most of it;
     a message replies to the original of its shallowest linked passage, the latest one of several.
     """
     body = F.struct(F.lit(0).alias("level"), F.array(normal(F.col("body"))).alias("text"))
+    conversations = quoting.select(F.col("conv_id").alias("quoted_in")).distinct()
+    parsed = parse_quotes(messages.join(conversations, F.col("conv_id").eqNullSafe(F.col("quoted_in")), "left_semi"))
     written = parsed.select("conv_id", "turn", F.explode(F.array_append("own_runs", body)).alias("run")).select("conv_id", "turn", F.explode(keys_of(F.col("run"))["key"]).alias("key"))
     first = written.where(F.col("turn").isNotNull()).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
     first = first.select(F.col("conv_id").alias("in_conv"), F.col("key").alias("in_key"), "origin")
-    cited = parsed.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("passage", "run"))
+    cited = quoting.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("passage", "run"))
     cited = cited.select("conv_id", "turn", "passage", F.col("run.level").alias("level"), F.explode(keys_of(F.col("run"))).alias("k"))
     met = cited.join(first, cited["conv_id"].eqNullSafe(first["in_conv"]) & (cited["k.key"] == first["in_key"])).where(F.col("origin") < F.col("turn"))
     weighed = met.groupBy("conv_id", "turn", "passage", "level", "origin").agg(F.sum("k.weight").alias("weight"))
@@ -114,11 +120,13 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     links; an empty table gives no rows; other columns of messages are ignored.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
-    parsed = parse_quotes(rows)
-    chains = thread_roots(link_quotes(parsed))
+    has_quotes = F.coalesce(F.col("text").rlike(QUOTED), F.lit(False))
+    quoting, plain = parse_quotes(rows.where(has_quotes)), rows.where(~has_quotes)
+    chains = thread_roots(link_quotes(quoting, rows))
     linked = chains.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", "n_linked", "root_turn", "depth")
     depth = F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0))
-    slim = parsed.select("conv_id", "turn", "role", F.col("body").alias("text"), F.size("passages").alias("n_quotes"), depth.alias("quote_depth"))
+    slim = quoting.select("conv_id", "turn", "role", F.col("body").alias("text"), F.size("passages").alias("n_quotes"), depth.alias("quote_depth"))
+    slim = slim.unionByName(plain.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("n_quotes"), F.lit(0).alias("quote_depth")))
     out = slim.join(linked, slim["conv_id"].eqNullSafe(linked["c"]) & (slim["turn"] == linked["t"]), "left").drop("c", "t")
     out = out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0))})
     columns = ["conv_id", "turn", "role", "text", "n_quotes", "quote_depth", "n_linked", "reply_to", "root_turn", "depth", "position"]

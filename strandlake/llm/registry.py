@@ -94,4 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; models, automata and hashes can't be."""
+    from .quotations_sql import SQL
+
+    return {"op7_quotations": SQL}

@@ -167,6 +167,20 @@ def test_op7_texts_without_quotes_stay_as_they_are(spark, sf_dir):
     assert got.select("conv_id", "turn", "role", "text").exceptAll(chat.select("conv_id", "turn", "role", "text")).isEmpty() and got.count() == chat.count()
 
 
+def test_op7_equals_its_sql(spark, duck, sf_dir):
+    import duckdb
+
+    sql = registry.oracle_sql()["op7_quotations"]
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    columns = ["conv_id", "turn", "role", "text", "n_quotes", "quote_depth", "n_linked", "reply_to", "root_turn", "depth", "position"]
+    assert key(registry.op7_quotations(spark, sf_dir).select(columns).collect()) == key(duck.execute(f"select {','.join(columns)} from ({sql})").fetchall())
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", CHAT)
+    df = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
+    assert key(link_quotations(df).select(columns).collect()) == key(con.execute(f"select {','.join(columns)} from ({sql})").fetchall())
+
+
 def test_op7_plan_has_no_python(spark, sf_dir):
     import re
 
