@@ -107,19 +107,20 @@ class PassageIndex:
         with np.errstate(over="ignore"):
             return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in data, passage, place in the passage) of all shared q-grams."""
-        if len(data) < Q or not len(self.grams):
-            return (np.zeros(0, np.int64),) * 3
-        g = grams(data)
-        at = np.flatnonzero(self.filter[self.slots(g)])
-        found = np.searchsorted(self.grams, g[at])
-        found[found == len(self.grams)] = 0
-        real = self.grams[found] == g[at]
-        at, found = at[real], found[real]
-        n = self.first[found + 1] - self.first[found]
-        source = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[source], self.place[source]
+    def hits(self, data: np.ndarray, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in data, passage, place in the passage) of all shared q-grams, window by window."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for lo in range(0, len(data) - Q + 1 if len(self.grams) else 0, window):
+            g = grams(data[lo : lo + window + Q - 1])
+            at = np.flatnonzero(self.filter[self.slots(g)])
+            which = np.searchsorted(self.grams, g[at])
+            which[which == len(self.grams)] = 0
+            real = self.grams[which] == g[at]
+            at, which = at[real], which[real]
+            n = self.first[which + 1] - self.first[which]
+            source = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append((np.repeat(at + lo, n), self.item[source], self.place[source]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, passage, edits, end in the folded text) of the passages that stand in each text within their budgets.

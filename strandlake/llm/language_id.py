@@ -23,22 +23,31 @@ COLUMNS = sum(BUCKETS)
 FOLDED = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
-def gram_histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of hashed n-grams, a line for each text; runs of separators count as one, no gram spans two texts."""
+def gram_histogram(data: np.ndarray, offsets: np.ndarray, window: int = 1 << 19) -> np.ndarray:
+    """Counts of hashed n-grams, a line for each text; runs of separators count as one, no gram spans two texts.
+
+    Grams are counted by windows of their first byte, so a long text takes no more memory than its bytes and a window.
+    """
     rows = len(offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     byte = FOLDED[data]
     keep = byte != 32
     keep[1:] |= byte[:-1] != 32
-    byte, row = byte[keep].astype(np.uint32), row[keep] * COLUMNS
-    found, base, code = [row + byte], BUCKETS[0], byte
-    for n, size in ((2, BUCKETS[1]), (3, BUCKETS[2])):
-        code = (code[:-1] << np.uint32(8)) | byte[n - 1 :]
-        same = row[: len(code)] == row[n - 1 :]
-        bucket = (code * np.uint32(2654435761)) >> np.uint32(33 - size.bit_length())
-        found.append((row[n - 1 :] + base + bucket)[same])
-        base += size
-    return np.bincount(np.concatenate(found), minlength=rows * COLUMNS).reshape(rows, COLUMNS)
+    byte, row = byte[keep], row[keep]
+    out = np.zeros(rows * COLUMNS, np.int64)
+    for at in range(0, len(byte), window):
+        part, of = byte[at : at + window + 2].astype(np.uint32), row[at : at + window + 2]
+        here = min(window, len(part))
+        base, code, found = 0, part, []
+        for n, size in zip((1, 2, 3), BUCKETS, strict=True):
+            if n > 1:
+                code = (code[: len(part) - n + 1] << np.uint32(8)) | part[n - 1 :]
+            first, last = of[: len(part) - n + 1][:here], of[n - 1 :][:here]
+            bucket = code[:here] if n == 1 else (code[:here] * np.uint32(2654435761)) >> np.uint32(33 - size.bit_length())
+            found.append((first.astype(np.int64) * COLUMNS + base + bucket)[first == last])
+            base += size
+        out += np.bincount(np.concatenate(found), minlength=rows * COLUMNS)
+    return out.reshape(rows, COLUMNS)
 
 
 def codewords(classes: int, seed: int = 7) -> np.ndarray:

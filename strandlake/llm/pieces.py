@@ -93,6 +93,18 @@ class DoubleArray:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
+def unit_parts(text: bytes, longest: int) -> Iterator[bytes]:
+    """A text in parts of about `longest` bytes; each but the first begins with a blank that no blank precedes."""
+    lo = 0
+    while lo < len(text):
+        hi = text.find(b" ", lo + longest)
+        while hi > 0 and text[hi - 1] == 32:
+            hi = text.find(b" ", hi + 1)
+        hi = len(text) if hi < 0 else hi
+        yield text[lo:hi]
+        lo = hi
+
+
 @dataclass
 class PieceModel:
     """Pieces (blanks for markers) with their ids and log scores, and the ids of the 256 bytes."""
@@ -178,9 +190,15 @@ class PieceModel:
         raw, cut = out.tobytes(), (4 * np.concatenate([[0], np.cumsum(per_unit)])).tolist()
         return [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes of int32. A blank is put before a text that isn't empty."""
-        split = [UNITS.findall(b" " + t) if t else [] for t in texts]
+    def encode(self, texts: list[bytes], longest: int = 1 << 20) -> list[bytes]:
+        """The ids of each text, as bytes of int32. A blank is put before a text that isn't empty. A text of over `longest`
+        bytes is encoded in parts that end before the first blank of a unit."""
+        if any(len(t) > longest for t in texts):
+            return [self.encode([t])[0] if len(t) <= longest else b"".join(self.encode_units([UNITS.findall(p)])[0] for p in unit_parts(b" " + t, longest)) for t in texts]
+        return self.encode_units([UNITS.findall(b" " + t) if t else [] for t in texts])
+
+    def encode_units(self, split: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts that are lists of units."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = list(set().union(*split) - self.known.keys())

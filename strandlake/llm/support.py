@@ -79,8 +79,33 @@ def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(top)[:size], powers(top, INVERSE)[:size]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each data[start:end], equal for equal bytes wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = 1 << 20) -> np.ndarray:
+    """A 64-bit polynomial hash of each data[start:end], equal for equal bytes wherever they stand.
+
+    Spans are sorted and disjoint. Long data is worked through in windows of about `window` bytes, and a span longer than
+    that block by block, so memory doesn't grow with a text.
+    """
+    if len(data) <= window:
+        return _short_span_hashes(data, starts, ends)
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + window, "right")))
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        if b - a <= window:
+            out[lo:hi] = _short_span_hashes(data[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
+        else:  # one long span
+            total = 0
+            for at in range(a, b, window):
+                part = data[at : min(at + window, b)]
+                h = int(_short_span_hashes(part, np.array([0]), np.array([len(part)]))[0])
+                total += h * pow(MULTIPLIER, at - a, 1 << 64)
+            out[lo] = total & ((1 << 64) - 1)
+        lo = hi
+    return out
+
+
+def _short_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     up, down = power_tables(n + 1)
     with np.errstate(over="ignore"):

@@ -24,6 +24,16 @@ REMEMBERED = 400_000
 _counters: dict[str, PartCounter] = {}
 
 
+def safe_parts(text: str, longest: int) -> Iterator[str]:
+    """A text in parts of about `longest` characters, cut at SAFE boundaries."""
+    lo = 0
+    while lo < len(text):
+        found = SAFE.search(text, lo + longest)
+        hi = found.start() if found else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
 class PartCounter:
     """Counts texts as sums over their parts; each distinct part of a batch is encoded once."""
 
@@ -37,7 +47,10 @@ class PartCounter:
         self.remembered = remembered
         self.known: dict[str, int] = {}
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str], longest: int = 1 << 20) -> list[int]:
+        """The number of tokens of each text; one of over `longest` characters is counted in safe parts."""
+        if any(len(t) > longest for t in texts):
+            return [self.count([t])[0] if len(t) <= longest else sum(self.count([p], len(p))[0] for p in safe_parts(t, longest)) for t in texts]
         split = []
         for text in texts:
             first, *rest = SAFE.split(text)
