@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -83,6 +83,34 @@ def parse_fastx(df: DataFrame, content: str, *, keys: tuple[str, ...] = (), colu
     return source.mapInArrow(run, out)
 
 
+def split_input(data: bytes, parts: int) -> list[bytes]:
+    """An uncompressed input cut before records into at most `parts` inputs of about equal size."""
+    from ..sources.grammar import find_record_start, format_of
+
+    if not data:
+        return []
+    kind = format_of(data[0])
+    cuts = [0]
+    for i in range(1, parts):
+        at = find_record_start(kind, data, max(cuts[-1], len(data) * i // parts))
+        if at is not None and at > cuts[-1]:
+            cuts.append(at)
+    return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+
+
+def parse_in_parallel(spark: SparkSession, data: bytes, parts: int, **options) -> DataFrame:
+    """The records of an input in the driver's memory, `parts` tasks to it; compressed data is decompressed first.
+
+    Columns as in parse_fastx, with part for record_index's scope: records are numbered within their part.
+    """
+    import io
+
+    if compression_format(data):
+        data = b"".join(decoded_pieces(io.BytesIO(data), compression_format(data)))
+    rows = spark.createDataFrame(list(enumerate(split_input(data, parts))), "part int, content binary")
+    return parse_fastx(rows.repartition(max(parts, 1), "part"), "content", keys=("part",), **options)
+
+
 def parse_files(files: DataFrame, **options) -> DataFrame:
     """The records of a binaryFile DataFrame (path, content): for stores that only Spark's readers reach, and streams."""
     return parse_fastx(files.withColumnRenamed("path", "file"), "content", keys=("file",), decompress=True, **options)

@@ -139,3 +139,40 @@ def test_parse_column(spark):
     assert got[2]["error"]["kind"] == "InvalidRecordStart"
     with pytest.raises(ValueError, match="named like"):
         parse_fastx(df.withColumnRenamed("id", "seq"), "content", keys=("seq",))
+
+
+def test_formats_of_contents(spark):
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    from strandlake.functions.formats import compression_format, sequence_format
+    from strandlake.sources.codecs import BGZF_END
+    from strandlake.sources.codecs import compression_format as sniffed
+
+    data = b">a\nACGT\n"
+    contents = [data, gzip.compress(data), BGZF_END, zstandard.compress(data), bytes.fromhex("5f2a4d1800000000"), bz2.compress(data), lzma.compress(data), b"", b"@", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, content binary")
+    rows = df.select("i", compression_format("content").alias("c"), sequence_format("content").alias("s")).orderBy("i").collect()
+    assert [r["c"] for r in rows] == [sniffed(c[:18]) if c else None for c in contents]
+    assert [r["s"] for r in rows] == ["fasta", None, None, None, None, None, None, None, "fastq", None]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 16])
+def test_input_in_memory_in_parallel(spark, parts):
+    import gzip
+
+    from strandlake.operators.parse import parse_in_parallel
+
+    data = b"@read1\nACGTACGT\n+\n@@@@++++\n@read2\nTTTTAAAA\n+\n+@+@+@+@\n@read3\nCCCCCCCC\n+\n@@@@@@@@\n"
+    for content in (data, gzip.compress(data)):
+        got = parse_in_parallel(spark, content, parts).collect()
+        assert sorted(r["header"] for r in got) == ["read1", "read2", "read3"] and sum(r["dna_len"] for r in got) == 24
+
+
+def test_throughput(spark):
+    df = spark.createDataFrame([("a", 1.0, 2_000_000_000), ("a", 2.0, 2_000_000_000), ("b", 1.0, 1_000_000_000)], "name string, seconds double, bytes long")
+    got = {r["name"]: r for r in agg.throughput_stats(df, "name").collect()}
+    assert (got["a"]["mean_gbs"], got["a"]["stdev_gbs"], round(got["a"]["cv"], 6), got["b"]["cv"]) == (1.5, 0.5, round(1 / 3, 6), 0.0)
