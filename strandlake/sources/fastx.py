@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StructType
@@ -41,15 +43,15 @@ class FilePart(InputPartition):
     crlf: bool
 
 
-def texts(values: list[bytes], binary: bool) -> pa.Array:
+def texts(values: list[bytes] | pa.Array, binary: bool) -> pa.Array:
     """Strings of byte strings; bytes that aren't UTF-8 become replacement characters unless binary is asked for."""
-    out = pa.array(values, pa.binary())
+    out = values.cast(pa.binary()) if isinstance(values, pa.Array) else pa.array(values, pa.binary())
     if binary:
         return out
     try:
         return out.cast(pa.string())
     except pa.ArrowInvalid:
-        return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+        return pa.array([v.decode("utf-8", "replace") for v in out.to_pylist()], pa.string())
 
 
 def record_batch(schema: StructType, records: Records, format_: str, path: str | None, first_index: int | None) -> pa.RecordBatch:
@@ -70,7 +72,8 @@ def record_batch(schema: StructType, records: Records, format_: str, path: str |
         elif field.name == "quality":
             columns.append(pa.nulls(n, pa.binary() if binary else pa.string()) if records.quals is None else texts(records.quals, binary))
         elif field.name == "dna_len":
-            columns.append(pa.array([len(s) for s in records.seqs], pa.int64()))
+            sizes = pc.binary_length(records.seqs) if isinstance(records.seqs, pa.Array) else pa.array([len(s) for s in records.seqs])
+            columns.append(sizes.cast(pa.int64()))
         elif field.name == "byte_start":
             columns.append(pa.array(records.starts, pa.int64()))
         elif field.name == "byte_end":
@@ -224,13 +227,13 @@ def owned(part: FilePart, pieces: Iterator[bytes], own: int, with_seqs: bool = T
         records = scan.feed(piece)
         done = len(records) and records.starts[-1] > base + own
         if done:
-            records = records.cut(next(i for i, s in enumerate(records.starts) if s > base + own))
+            records = records.cut(int(np.searchsorted(records.starts, base + own, "right")))
         yield part.format, records
         if done or scan.offset > base + own:
             return
     if scan is not None:
         records = scan.finish()
-        yield part.format, records.cut(sum(s <= base + own for s in records.starts))
+        yield part.format, records.cut(int(np.searchsorted(records.starts, base + own, "right")))
 
 
 class FastxDataSource(DataSource):

@@ -1,8 +1,8 @@
 """FASTA and FASTQ grammar: bytes in, columns of records out.
 
 The scanners are fed bytes in pieces of any size and hand back whole records as they become complete, so a stream of any
-length needs no more memory than a piece and one record. All splitting and joining of lines is done by bytes methods on
-whole pieces, never line by line.
+length needs no more memory than a piece and one record. Lines are split and joined by bytes methods or array operations
+on whole pieces, never one by one.
 
 Rules. The first byte tells the format; an empty input is valid. A FASTA record starts at a > that begins a line, its
 header is the rest of that line, and the lines up to the next record are its sequence, blank ones skipped. A FASTQ record
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from ..errors import FastxError, InvalidRecordStart, TruncatedRecord
 
@@ -38,13 +39,14 @@ def is_crlf(head: bytes) -> bool:
 
 @dataclass
 class Records:
-    """Columns of consecutive records; quality is None for FASTA, starts and ends are byte offsets in the input."""
+    """Columns of consecutive records, lists or Arrow arrays of bytes; quality is None for FASTA, starts and ends are byte
+    offsets in the input."""
 
-    headers: list[bytes] = field(default_factory=list)
-    seqs: list[bytes] = field(default_factory=list)
-    quals: list[bytes] | None = None
-    starts: list[int] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)
+    headers: list[bytes] | pa.Array = field(default_factory=list)
+    seqs: list[bytes] | pa.Array = field(default_factory=list)
+    quals: list[bytes] | pa.Array | None = None
+    starts: list[int] | np.ndarray = field(default_factory=list)
+    ends: list[int] | np.ndarray = field(default_factory=list)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -114,11 +116,33 @@ class FastqScanner:
 
     def feed(self, piece: bytes) -> Records:
         self.held += piece
-        return self.scan(final=False)
+        return self.plain_records() or self.scan(final=False)
 
     def finish(self) -> Records:
         return self.scan(final=True)
 
+    def plain_records(self) -> Records | None:
+        """The whole records at hand, cut out by their line ends as Arrow arrays: the common case of line feeds only and no
+        blank line between records. None if it isn't that case, or there is no whole record."""
+        if self.crlf or not self.with_seqs or (self.after_blank and self.held[:1] != b"@"):
+            return None
+        feeds = np.flatnonzero(np.frombuffer(self.held, np.uint8) == 10)
+        n = len(feeds) // 4
+        feeds = feeds[: 4 * n].reshape(n, 4)
+        begin = np.concatenate([[0], feeds[:-1, 3] + 1]) if n else feeds[:, 0]
+        if not n or (feeds[:, 0] == begin).any():
+            return None
+        # Nine stretches a record: marker, header, feed, sequence, feed, plus line, feed, quality, feed.
+        bounds = np.stack([begin, begin + 1, feeds[:, 0], feeds[:, 0] + 1, feeds[:, 1], feeds[:, 1] + 1, feeds[:, 2], feeds[:, 2] + 1, feeds[:, 3]], axis=1)
+        used = int(feeds[-1, 3]) + 1
+        offsets = np.append(bounds.ravel(), used).astype(np.int32 if used < 1 << 31 else np.int64)
+        kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+        stretches = pa.Array.from_buffers(kind, 9 * n, [None, pa.py_buffer(offsets), pa.py_buffer(self.held)])
+        header, seq, quality = (stretches.take(pa.array(np.arange(i, 9 * n, 9))) for i in (1, 3, 7))
+        out = Records(header, seq, quality, begin + self.offset, feeds[:, 3] + 1 + self.offset)
+        self.held, self.offset, self.after_blank = self.held[used:], self.offset + used, False
+        return out
+
     def stripped(self, lines: list[bytes]) -> list[bytes]:
         return [x.removesuffix(b"\r") for x in lines] if self.crlf else lines
 

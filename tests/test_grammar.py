@@ -14,7 +14,8 @@ def parse(data: bytes, size: int | None = None):
     """(records, error) of an input that is fed in pieces of a size."""
     pieces = [data[i : i + size] for i in range(0, len(data), size)] if size else [data] if data else []
     out = []
-    add = lambda r: out.extend(zip(r.headers, r.seqs, r.quals if r.quals is not None else [None] * len(r), r.starts, r.ends, strict=True))
+    plain = lambda x: x.to_pylist() if hasattr(x, "to_pylist") else list(map(int, x)) if hasattr(x, "dtype") else x
+    add = lambda r: out.extend(zip(*map(plain, (r.headers, r.seqs, r.quals if r.quals is not None else [None] * len(r), r.starts, r.ends)), strict=True))
     try:
         for _, records in scan_pieces(iter(pieces)):
             add(records)
