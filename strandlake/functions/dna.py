@@ -104,6 +104,17 @@ def packed_bytes(words: Column | str) -> Column:
     return F.unhex(F.array_join(swapped, ""))
 
 
+def words_from_bytes(packed: Column | str) -> Column:
+    """The words of a little-endian binary whose length is a multiple of eight: the inverse of packed_bytes."""
+    chunks = F.regexp_extract_all(F.hex(col(packed)), F.lit("(.{16})"), F.lit(1))
+    return F.transform(chunks, lambda c: F.conv(F.concat(*[F.substring(c, F.lit(15 - 2 * i), F.lit(2)) for i in range(8)]), 16, -10).cast("long"))
+
+
+def packed_from_bytes(length: Column, packed: Column | str) -> Column:
+    """struct(len, words) of a length and packed bytes."""
+    return F.struct(length.cast("long").alias("len"), words_from_bytes(packed).alias("words"))
+
+
 def columnar_dna(seq: Column | str) -> Column:
     """struct(len, hi, lo): two bit planes of the codes, 64 residues a word."""
     return F.struct(dna_len(seq).alias("len"), words_of(digits(seq, _HIGH), 64, 2).alias("hi"), words_of(digits(seq, _LOW), 64, 2).alias("lo"))

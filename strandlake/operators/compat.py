@@ -84,6 +84,16 @@ def fold_partitions(records: DataFrame, init: Callable[[], Any], process: Callab
     return records.mapInArrow(run, schema)
 
 
+def reduce_partitions(records: DataFrame, init: Callable[[], Any], process: Callable[[Any, pa.RecordBatch], Any], merge: Callable[[Any, Any], Any]) -> Any:
+    """One state for all records: partitions are folded on the executors, their states merged on the driver; init() for
+    none. States must be small; for anything larger, fold to rows and aggregate those."""
+    import functools
+    import pickle
+
+    states = fold_partitions(records, init, process, lambda s: {"state": pickle.dumps(s)}, "state binary").collect()
+    return functools.reduce(merge, (pickle.loads(bytes(r["state"])) for r in states), init())
+
+
 class BatchProcessor:
     """Override what is needed; one instance works through each partition. Rows that process_record returns are output."""
 

@@ -125,6 +125,16 @@ def write(spark: SparkSession, gen: FastxGen, path: str, *, compression: str | N
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
+def to_text(spark: SparkSession, gen: FastxGen) -> str:
+    """All generated records as one string on the driver, for small inputs."""
+    end = "\r\n" if gen.crlf else "\n"
+    return "".join(r["value"] + end for r in as_text(generate(spark, gen), gen).orderBy("number").toLocalIterator())
+
+
+def to_bytes(spark: SparkSession, gen: FastxGen) -> bytes:
+    return to_text(spark, gen).encode()
+
+
 def line_length_sweep(spark: SparkSession, records: int, lines: int, length: int, *, seed: int = 42, multiline: bool = True, other: bool = False) -> DataFrame:
     """number and value of FASTA records of `lines` lines of `length` residues, or the same on one line."""
     gen = FastxGen(records=records, mean_len=lines * length, seed=seed, width=length if multiline else 0, alphabet="dna_n" if other else "dna")

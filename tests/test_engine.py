@@ -62,6 +62,15 @@ def test_generator_rates_and_corruption(spark):
     assert line_length_sweep(spark, 3, 5, 7).first()["value"].count("\n") == 5
 
 
+def test_generator_in_memory(spark):
+    from strandlake.sources.generator import to_bytes, to_text
+
+    gen = FastxGen.illumina(3).with_(crlf=True)
+    assert to_text(spark, gen).encode() == to_bytes(spark, gen)
+    got = list(compat.iterate_bytes(spark, to_bytes(spark, gen)))
+    assert [r.id for r in got] == ["record_0", "record_1", "record_2"] and all(len(r.seq) == 150 == len(r.qual) for r in got)
+
+
 def test_generator_command_line(spark, tmp_path):
     from strandlake.sources.generator import main
 
@@ -81,6 +90,9 @@ def test_compat_iterators_and_folds(spark, tmp_path):
     lengths = compat.fold_partitions(rows, lambda: 0, lambda n, b: n + sum(len(s) for s in b.column("seq").to_pylist()), lambda n: {"n": n}, "n long")
     assert lengths.agg(F.sum("n")).first()[0] == 10
 
+    assert compat.reduce_partitions(rows, list, lambda s, b: s + b.column("header").to_pylist(), lambda a, b: a + b) == [first.id, second.id]
+    assert compat.reduce_partitions(rows.where("false"), lambda: 7, lambda s, b: s, lambda a, b: max(a, b)) == 7
+
     def fail(batch):
         raise RuntimeError("no")
 

@@ -31,11 +31,12 @@ def sequences():
 
 def test_n14_n15_n23_encodings(spark, sequences):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sequences)], "i int, seq string")
-    row = df.select("i", dna.pack_dna("seq").alias("p"), dna.columnar_dna("seq").alias("c"), dna.mask_non_actg("seq").alias("m"), dna.mask_n("seq").alias("n"), dna.actg_len("seq").alias("a"), dna.first_non_actg("seq").alias("f"), dna.is_actg("seq").alias("ok"), dna.packed_bytes(dna.pack_words("seq")).alias("raw"))
+    row = df.select("i", dna.pack_dna("seq").alias("p"), dna.columnar_dna("seq").alias("c"), dna.mask_non_actg("seq").alias("m"), dna.mask_n("seq").alias("n"), dna.actg_len("seq").alias("a"), dna.first_non_actg("seq").alias("f"), dna.is_actg("seq").alias("ok"), dna.packed_bytes(dna.pack_words("seq")).alias("raw"), dna.words_from_bytes(dna.packed_bytes(dna.pack_words("seq"))).alias("back"))
     for r in row.collect():
         raw = sequences[r["i"]].encode()
         codes = [b >> 1 & 3 for b in raw]
         other = [int(chr(b) not in "ACGTacgt") for b in raw]
+        assert r["back"] == r["p"]["words"]
         assert r["p"]["len"] == len(raw) and r["p"]["words"] == words(codes, 32, 2)
         assert r["c"]["hi"] == words([c >> 1 for c in codes], 64, 1) and r["c"]["lo"] == words([c & 1 for c in codes], 64, 1)
         assert r["m"]["words"] == words(other, 64, 1)
