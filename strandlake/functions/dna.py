@@ -173,11 +173,21 @@ def canonical(kmer: Column | str) -> Column:
     return F.least(col(kmer), reverse_complement(kmer))
 
 
-def kmers(run: Column | str, k: int) -> Column:
-    """All words of k residues of a run, in order; none of a shorter one."""
-    last = F.length(col(run)) - k + 1
-    words = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(col(run), i, F.lit(k)))
-    return F.when(last >= 1, words).otherwise(F.array().cast("array<string>"))
+def kmers(run: Column | str, k: int, stretch: int = 512) -> Column:
+    """All words of k residues of a run, in order; none of a shorter one.
+
+    The run is cut into stretches first, each with the k - 1 residues behind it: finding a place in a text takes time in
+    proportion to the place, so a chromosome in one piece would take the square of its length.
+    """
+    pattern = F.lit("(.{1,%d})(?=(.{0,%d}))" % (stretch, k - 1))
+    heads, tails = (F.regexp_extract_all(col(run), pattern, F.lit(group)) for group in (1, 2))
+
+    def words(piece: Column) -> Column:
+        last = F.length(piece) - k + 1
+        found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(piece, i, F.lit(k)))
+        return F.when(last >= 1, found).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.zip_with(heads, tails, lambda a, b: F.concat(a, b)), words))
 
 
 def phred_mean(quality: Column | str, offset: int = 33) -> Column:

@@ -112,6 +112,27 @@ def test_kmers_and_minimizers(spark):
             assert bool(places) == (len(run) >= 8)
 
 
+@pytest.mark.parametrize("k", [1, 4, 21])
+def test_kmers_of_long_runs(spark, k):
+    rng = random.Random(7)
+    runs = ["".join(rng.choices("ACGT", k=n)) for n in (0, 1, k - 1, k, 511, 512, 513, 512 + k, 5000)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, run string").select("i", dna.kmers("run", k).alias("w")).collect()
+    assert all(r["w"] == [runs[r["i"]][j : j + k] for j in range(len(runs[r["i"]]) - k + 1)] for r in got)
+
+
+def test_long_records_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (200_000, 200_000, 1_600_000):
+        began = time.perf_counter()
+        df = spark.createDataFrame([("ACGTTGCA" * (n // 8),)], "seq string")
+        assert agg.kmer_counts(df, 11).agg(F.sum("n")).first()[0] == n - 10
+        assert df.select(F.size(dna.pack_words("seq"))).first()[0] == n // 32 + 1
+        took.append(time.perf_counter() - began)
+    assert took[2] < 30 * max(took[1], 0.5)
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([("f", "a", "AAC", 0), ("f", "b", "", 9), ("g", "a", "NNGT", 0)], "file string, header string, seq string, byte_start long")
     df = df.withColumn("dna_len", dna.dna_len("seq"))
