@@ -123,8 +123,8 @@ def fit_resampler(docs: DataFrame, labels: DataFrame, *, label_bound: int = 20_0
     labels (doc_id, quality 0 or 1): at most label_bound of its rows, those of least hash, are used. Half of the texts of
     quality 1 are the target; raw counts cover all docs. The operating point `offset` is what parts the two qualities
     best by mean log ratio on the other half, which the target model hasn't seen (0 if one of them lacks); it is taken
-    off for each n-gram. The key is log weight plus temperature times Gumbel
-    noise; the `keep` largest keys are the sample, by default as many as have a positive weight. Ties at the cut all stay.
+    off for each n-gram. The key is log weight plus temperature times Gumbel noise; the `keep` largest keys are the sample,
+    by default as many as have a positive weight. Ties at the cut all stay.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     few = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(label_bound)
