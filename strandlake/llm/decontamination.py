@@ -15,6 +15,10 @@ from .support import pieces, text_bytes
 #: Length of the q-grams: eight bytes, so that a gram is a 64-bit number and equality is exact.
 Q = 8
 
+#: Length and stride of the windows in which a part of an item is looked for: a quotation of WINDOW + STRIDE - 1 bytes or
+#: more holds a whole window wherever it begins.
+WINDOW, STRIDE = 150, 50
+
 #: a-z, 0-9 and the bytes of multi-byte characters stand for themselves, all else for a blank.
 FOLDED = np.array([b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -72,32 +76,52 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
 
 
 class PassageIndex:
-    """The q-grams of benchmark passages with their places, edit budgets and lemma thresholds."""
+    """The q-grams of benchmark items with their places, and the passages that items are looked for by, with edit budgets
+    and lemma thresholds: an item of up to 2 * segment bytes as a whole, half-overlapping segments of a longer one, and the
+    windows of every item of more than WINDOW bytes, the last one at its end."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, segment: int):
         self.ids: list[int] = []
         self.passages: list[np.ndarray] = []
+        lines: list[np.ndarray] = []
+        starts: list[int] = []
+        whole: list[bool] = []
+        #: By item, the first passage and the number of passages that begin at each multiple of a stride; one more window follows.
+        plan: list[tuple[int, int, int, int]] = []
+        self.strides = (segment // 2, STRIDE)
         for item, text in items:
             line, _ = folded(*text_bytes(pc.utf8_lower(pa.array([text], pa.string()))))
             line = line[:-1] if len(line) and line[-1] == 32 else line
+            if len(line) < 2 * Q:
+                continue
             step = segment // 2
-            cuts = [0] if len(line) <= 2 * segment else range(0, len(line) - step, step)
-            for lo in cuts:
-                part = line if len(line) <= 2 * segment else line[lo : lo + segment]
-                if len(part) >= 2 * Q:
-                    self.ids.append(item)
-                    self.passages.append(part)
+            cuts = [(0, len(line))] if len(line) <= 2 * segment else [(lo, segment) for lo in range(0, len(line) - step, step)]
+            cuts = [(lo, n) for lo, n in cuts if min(n, len(line) - lo) >= 2 * Q]
+            windows = [(lo, WINDOW) for lo in range(0, len(line) - WINDOW, STRIDE)]
+            at = len(starts)
+            plan.append((at, len(cuts), at + len(cuts), len(windows)))
+            windows += [(len(line) - WINDOW, WINDOW)] if windows else []
+            for lo, n in cuts + windows:
+                self.ids.append(item)
+                self.passages.append(line[lo : lo + n])
+                starts.append(lo)
+                whole.append(len(self.passages[-1]) == len(line))
+            lines.append(line)
+        self.start, self.whole = np.array(starts, np.int64), np.array(whole, bool)
+        self.plan = np.array(plan, np.int64).reshape(-1, 4)
         size = np.array([len(p) for p in self.passages], np.int64)
         self.size = size
         #: Edits allowed, and the q-grams that must be left after so many: one edit spoils Q of them at most.
         self.budget = np.minimum((size * rate).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - Q * self.budget
-        all_grams = [grams(p) for p in self.passages]
+        #: The fewest grams that any passage of an item asks for.
+        self.fewest = np.minimum.reduceat(self.least, self.plan[:, 0]) if len(self.plan) else np.zeros(0, np.int64)
+        all_grams = [grams(line) for line in lines]
         flat = np.concatenate([*all_grams, np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
         self.grams, self.first = np.unique(flat[order], return_index=True)
         self.first = np.append(self.first, len(flat))
-        self.item = np.repeat(np.arange(len(size)), [len(g) for g in all_grams])[order]
+        self.item = np.repeat(np.arange(len(lines)), [len(g) for g in all_grams])[order]
         self.place = np.concatenate([*[np.arange(len(g)) for g in all_grams], np.zeros(0, np.int64)])[order]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[self.slots(self.grams)] = True
@@ -108,7 +132,7 @@ class PassageIndex:
             return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
     def hits(self, data: np.ndarray, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in data, passage, place in the passage) of all shared q-grams, window by window."""
+        """(place in data, item by its number here, place in the item) of all shared q-grams, window by window."""
         found = [(np.zeros(0, np.int64),) * 3]
         for lo in range(0, len(data) - Q + 1 if len(self.grams) else 0, window):
             g = grams(data[lo : lo + window + Q - 1])
@@ -122,8 +146,24 @@ class PassageIndex:
             found.append((np.repeat(at + lo, n), self.item[source], self.place[source]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def within(self, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, passage) of the passages that hold the grams at these places of items."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        for stride, (first, n), backs, last in ((self.strides[0], self.plan[item, :2].T, 2, -1), (self.strides[1], self.plan[item, 2:].T, -(-WINDOW // STRIDE), 0)):
+            for back in range(backs):
+                k = place // stride - back
+                there = (k >= 0) & (k < n)
+                found.append((np.flatnonzero(there), (first + k)[there]))
+            found.append((np.flatnonzero(n > 0), (first + n + last)[n > 0]))
+        which, passage = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(which * max(len(self.ids), 1) + passage)
+        which, passage = both // max(len(self.ids), 1), both % max(len(self.ids), 1)
+        holds = (self.start[passage] <= place[which]) & (place[which] + Q <= self.start[passage] + self.size[passage])
+        return which[holds], passage[holds]
+
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, passage, edits, end in the folded text) of the passages that stand in each text within their budgets.
+        """(text, passage, edits, end in the folded text) of the passages that stand in each text within their budgets; of an
+        item that stands there as a whole, no parts.
 
         The shared grams of an alignment with at most e edits lie on e + 1 neighbouring diagonals, so in one of the bands
         of 2 (e + 1) diagonals that start at each multiple of e + 1. Bands with fewer grams than the lemma asks for go.
@@ -133,6 +173,11 @@ class PassageIndex:
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[row + 1]
         at, item, place, row = at[inside], item[inside], place[inside], row[inside]
+        _, group, shared = np.unique(row * max(len(self.plan), 1) + item, return_inverse=True, return_counts=True)
+        enough = shared[group] >= self.fewest[item]
+        at, item, place, row = at[enough], item[enough], place[enough], row[enough]
+        which, item = self.within(item, place)
+        at, place, row = at[which], place[which] - self.start[item], row[which]
         diagonal = at - offsets[row] - place + self.size[item]
         step = self.budget[item] + 1
         band = diagonal // step
@@ -143,17 +188,43 @@ class PassageIndex:
         row, item, band = bands // longest // max(len(self.ids), 1), bands // longest % max(len(self.ids), 1), bands % longest
         enough = counts >= self.least[item]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, i, b in zip(row[enough].tolist(), item[enough].tolist(), band[enough].tolist(), strict=True):
+        row, item, band = row[enough], item[enough], band[enough]
+        order = np.argsort(~self.whole[item], kind="stable")
+        done: set[tuple[int, int]] = set()
+        for r, i, b in zip(row[order].tolist(), item[order].tolist(), band[order].tolist(), strict=True):
             e = int(self.budget[i])
+            if not self.whole[i] and (r, self.ids[i]) in done:
+                continue
             if best.get((r, i), (e + 1, 0))[0] == 0:
                 continue
             low = b * (e + 1) - int(self.size[i]) - e
             edits, end = banded_distance(self.passages[i], data[offsets[r] : offsets[r + 1]], low, low + 2 * (e + 1) + 2 * e, e)
             if edits <= e and edits < best.get((r, i), (e + 1, 0))[0]:
                 best[r, i] = edits, end
+                if self.whole[i]:
+                    done.add((r, self.ids[i]))
         return [(r, i, edits, end) for (r, i), (edits, end) in sorted(best.items())]
 
 
+    def regions(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, end, length) of the longest region of each item that overlapping passages found in a text
+        cover; edits and end are those of its best passage."""
+        by: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for r, i, edits, end in found:
+            by.setdefault((r, self.ids[i]), []).append((int(self.start[i]), int(self.start[i] + self.size[i]), edits, end))
+        out = []
+        for (r, item), parts in sorted(by.items()):
+            covers: list[tuple[int, int, tuple[int, int]]] = []
+            for lo, hi, edits, end in sorted(parts):
+                if covers and lo <= covers[-1][1]:
+                    covers[-1] = covers[-1][0], max(covers[-1][1], hi), min(covers[-1][2], (edits, end))
+                else:
+                    covers.append((lo, hi, (edits, end)))
+            lo, hi, (edits, end) = min(covers, key=lambda c: (c[0] - c[1], c[2]))
+            out.append((r, item, edits, end, hi - lo))
+        return out
+
+
 def passage_blocks(benchmark: DataFrame, rate: float, segment: int, block_bytes: int, item_col: str, text_col: str) -> Iterator[PassageIndex]:
     """Indexes over all items, each over about block_bytes of text: what a task holds doesn't grow with the benchmark."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -165,11 +236,13 @@ def passage_blocks(benchmark: DataFrame, rate: float, segment: int, block_bytes:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, segment: int = 400, block_bytes: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, edits and end (in the folded text) of every benchmark passage that stands in a text of docs with at
-    most rate * its length edits.
+    """doc_id, item_id, edits, end (in the folded text) and length of every benchmark item that stands in a text of docs, as
+    a whole or in part, with at most rate * its length edits.
 
     Texts are compared without case, punctuation and differences of white space. An item of over 2 * segment bytes is
-    looked for by half-overlapping segments, a shorter one as a whole; one under 2 * Q bytes is too short to tell and left
+    looked for by half-overlapping segments, a shorter one as a whole, and one of over WINDOW bytes by windows too, so that
+    a verbatim quotation of WINDOW + STRIDE - 1 bytes of any item is found wherever it begins. length is that of the item's
+    longest region found, edits and end those of the best passage in it. One under 2 * Q bytes is too short to tell and left
     out. A text that quotes an item more than once gives one row, with the best match. Null and empty texts have none;
     null ids and repeated rows give their rows each; empty tables give no rows; other columns are ignored.
     A benchmark of more than block_bytes is searched for in blocks, one pass over docs each.
@@ -180,15 +253,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, seg
     def one(index: PassageIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in lowered_pieces(batches, 1):
-                best: dict[tuple[int, int], tuple[int, int]] = {}
-                for r, i, edits, end in index.search(data, offsets):
-                    key = r, index.ids[i]
-                    best[key] = min(best.get(key, (edits, end)), (edits, end))
-                found = sorted((r, edits, end, item) for (r, item), (edits, end) in best.items())
+                found = sorted((r, edits, end, item, n) for r, item, edits, end, n in index.regions(index.search(data, offsets)))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([f[3] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())], ["doc_id", "item_id", "edits", "end"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([f[3] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], ["doc_id", "item_id", "edits", "end", "length"])
 
-        return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, item_id long, edits int, end long")
+        return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, item_id long, edits int, end long, length long")
 
     parts = [one(index) for index in passage_blocks(benchmark.withColumn(item_col, F.col(item_col).cast("long")) if item_type != "bigint" else benchmark, rate, segment, block_bytes, item_col, text_col)]
     out = parts[0]
@@ -198,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, seg
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, segment: int = 400, block_bytes: int = 1 << 22, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs in whose text no benchmark passage stands, all columns as they were; no text is shuffled."""
+    """The rows of docs in whose text no benchmark item stands, as a whole or in part, all columns as they were; no text is shuffled."""
     at, kept = docs.columns.index(text_col), docs
     for index in passage_blocks(benchmark, rate, segment, block_bytes, item_col, text_col):
 
