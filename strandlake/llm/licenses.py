@@ -121,8 +121,9 @@ class LicenseAutomaton:
                 state, n = self.next[state][word], n + 1
             yield n, state
 
-    def chain(self, matches: list[tuple[int, int, int]], most_gap: int) -> list[tuple[int, int, int, int]]:
-        """(template, covered words, first word, last word) of the best chain of each template that is matched.
+    def chain(self, matches: list[tuple[int, int, int]], most_gap: int, coverage: float = 0.7) -> list[tuple[int, int, int, int]]:
+        """(template, covered words, first word, last word) of the best chain of each template that is matched, and of the
+        best ones that are left, in words on either side of those taken, as long as they reach the coverage.
 
         matches: (end in the text, length, state). A chain goes forward in text and template alike and leaps at most
         most_gap words of the text at once; a match that overlaps its forerunner adds only what is new.
@@ -134,19 +135,29 @@ class LicenseAutomaton:
         out = []
         for template, found in sorted(by.items()):
             found.sort()
-            best: list[tuple[int, int]] = []  # covered words, first word
-            for i, (end, read, n) in enumerate(found):
-                cover, first = n, end - n
-                for j in range(i - 1, max(-1, i - 64), -1):
-                    e, r, _ = found[j]
-                    if end - n - e > most_gap:
-                        break
-                    new = min(n, end - e, read - r)
-                    if new > 0 and best[j][0] + new > cover:
-                        cover, first = best[j][0] + new, best[j][1]
-                best.append((cover, first))
-            i = max(range(len(best)), key=lambda i: best[i][0])
-            out.append((template, best[i][0], best[i][1], found[i][0] - 1))
+            todo, taken = [found], False
+            while todo:
+                found = todo.pop()
+                if not found:
+                    continue
+                best: list[tuple[int, int]] = []  # covered words, first word
+                for i, (end, read, n) in enumerate(found):
+                    cover, first = n, end - n
+                    for j in range(i - 1, max(-1, i - 64), -1):
+                        e, r, _ = found[j]
+                        if end - n - e > most_gap:
+                            break
+                        new = min(n, end - e, read - r)
+                        if new > 0 and best[j][0] + new > cover:
+                            cover, first = best[j][0] + new, best[j][1]
+                    best.append((cover, first))
+                i = max(range(len(best)), key=lambda i: best[i][0])
+                first, last = best[i][1], found[i][0] - 1
+                if not taken or best[i][0] >= coverage * self.sizes[template]:
+                    out.append((template, best[i][0], first, last))
+                taken = True
+                if best[i][0] >= coverage * self.sizes[template]:
+                    todo += [[x for x in found if x[0] <= first], [x for x in found if x[0] - x[2] > last]]
         return out
 
 
@@ -156,7 +167,7 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
     Columns: doc_id, n_words, n_base (places of phrases), first_word and last_word (least and greatest start of one,
     else null), base_labels, labels (with the method's own; both distinct, sorted, comma-joined, empty if none), score
     (1 with a phrase, else the largest share of a template that is covered, 0 without a match), spans (label, first
-    and last word, covered share of every template that is covered to at least `coverage`).
+    and last word, covered share of every place where a template is covered to at least `coverage`).
 
     Texts are streamed: words outside the templates' vocabulary end every match, so only runs of known words are led
     through the automaton. The matching statistics at a word give the phrases that end there and, where a match of
@@ -203,17 +214,17 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
             out = []
             for r, n in enumerate(n_words.tolist()):
                 places, matches = found.get(r, ([], []))
-                covered: dict[str, tuple[int, int, float]] = {}
+                covered: list[tuple[str, int, int, float]] = []
                 most = 0.0
-                for template, words, a, b in automaton.chain(matches, most_gap):
+                for template, words, a, b in automaton.chain(matches, most_gap, coverage):
                     share = words / automaton.sizes[template]
                     most = max(most, share)
-                    if share >= coverage and share > covered.get(automaton.names[template], (0, 0, 0.0))[2]:
-                        covered[automaton.names[template]] = (a, b, share)
+                    if share >= coverage:
+                        covered.append((automaton.names[template], a, b, share))
                 base = {automaton.phrase_labels[p] for _, p in places}
                 at = [s for s, _ in places]
-                spans_ = [{"label": k, "first_word": a, "last_word": b, "covered": c} for k, (a, b, c) in sorted(covered.items())]
-                out.append((n, len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | covered.keys())), 1.0 if at else most, spans_))
+                spans_ = [{"label": k, "first_word": a, "last_word": b, "covered": c} for k, a, b, c in sorted(covered)]
+                out.append((n, len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {c[0] for c in covered})), 1.0 if at else most, spans_))
             columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), span_type], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
