@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import batch_pieces
+from .support import batch_pieces, free_name
 
 UNDETERMINED = "und"
 
@@ -50,21 +50,31 @@ def gram_histogram(data: np.ndarray, offsets: np.ndarray, window: int = 1 << 19)
     return out.reshape(rows, COLUMNS)
 
 
-def codewords(classes: int, seed: int = 7) -> np.ndarray:
-    """A line of +1/-1 bits for each class. Up to five classes: every way to part them once (the exhaustive code);
-    beyond, of 200 random codes of 10 bits for each doubling, the one whose closest pair is farthest apart."""
+def codewords(classes: int, seed: int = 7, per_doubling: int = 10, tries: int = 200) -> np.ndarray:
+    """A line of +1/-1 bits for each class: `per_doubling` bits for each doubling of the classes, or as many as there are.
+
+    The bits of a code are different ways to part the classes in two (a bit and its opposite are one way). Of `tries` random
+    codes the one whose closest pair of lines is farthest apart is taken.
+    """
     if classes < 2:
         return np.ones((classes, 1), np.int8)
-    if classes <= 5:
-        columns = range(1, 1 << (classes - 1))
-        return np.array([[1 if not c or j >> (c - 1) & 1 == 0 else -1 for j in columns] for c in range(classes)], np.int8)
+    ways = (1 << (classes - 1)) - 1 if classes < 60 else 1 << 60
+    bits = min(ways, per_doubling * int(np.ceil(np.log2(classes))))
     rng, best, found = np.random.default_rng(seed), -1, None
-    for _ in range(200):
-        code = rng.choice(np.array([-1, 1], np.int8), (classes, 10 * int(np.ceil(np.log2(classes)))))
+    for _ in range(tries):
+        chosen: dict[bytes, np.ndarray] = {}
+        while len(chosen) < bits:
+            way = rng.integers(0, 2, classes)
+            way ^= way[0]  # the first class has 0
+            if way.any():
+                chosen[way.tobytes()] = way
+        code = (1 - 2 * np.array(list(chosen.values()))).T.astype(np.int8)
         agree = code.astype(int) @ code.T
-        least = (code.shape[1] - agree[~np.eye(classes, dtype=bool)].max()) // 2
-        if least > best and (np.abs(code.sum(0)) < classes).all():
+        least = (bits - agree[~np.eye(classes, dtype=bool)].max()) // 2
+        if least > best:
             best, found = least, code
+        if bits == ways:
+            break
     return found
 
 
@@ -151,6 +161,23 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, *, id_col:
     return rows.mapInArrow(predict, f"{types}, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_languages(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", ambiguous_below: float = 0.75) -> DataFrame:
+    """The rows of docs whose language is told without ambiguity (see identify_languages), all columns as they were, whatever
+    their names. Null texts, and texts without a letter, go; rows stand or fall each for itself. Without a model all stay."""
+    if model is None:
+        return docs
+    lowered, letters = free_name(docs, "lowered"), free_name(docs, "letters")
+    names = docs.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in batch_pieces(batches, len(names), 1 << 19, 128):
+            known = pc.fill_null(batch.column(len(names) + 1), False).to_numpy(zero_copy_only=False)
+            kept = pa.array(known & (model.decode(data, offsets)[1] >= ambiguous_below))
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[: len(names)]], names)
+
+    return docs.withColumns({lowered: F.lower(text_col), letters: F.col(text_col).rlike(r"\p{L}")}).mapInArrow(pick, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2 on division by 4: such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

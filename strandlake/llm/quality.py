@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import batch_pieces, cut_lineage, mixed, span_hashes, spans
+from .support import batch_pieces, cut_lineage, free_name, mixed, span_hashes, spans
 
 #: Buckets of single tokens and of token pairs, and of both.
 HALF = 1 << 14
@@ -42,12 +42,25 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 @dataclass(frozen=True)
 class Resampler:
-    """The log ratio of target to raw frequency by bucket, what to take off for each n-gram, and the lowest key kept."""
+    """The log ratio of target to raw frequency by bucket, the n-grams that every text counts for and those that a short one
+    is filled up with, and the lowest key kept."""
 
     log_ratio: np.ndarray
-    offset: float
+    length: float
+    prior: float
     cut: float
 
+    def weights(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log importance weight and the number of n-grams of each text.
+
+        The n-gram models are unigram models, whose log ratio grows with a text's length. All texts are weighed as if they
+        had `length` n-grams: that many times the mean log ratio, where `prior` n-grams of ratio 0 are added to each text,
+        so a text of a few words is told from the target by no more than it shows.
+        """
+        row, bucket = gram_buckets(data, offsets)
+        n = np.bincount(row, minlength=len(offsets) - 1)
+        return self.length * np.bincount(row, self.log_ratio[bucket], len(offsets) - 1) / np.maximum(n + self.prior, 1), n
+
 
 def gumbel(id_col: str, seed: int) -> Column:
     """A draw from the standard Gumbel distribution that depends on id and seed only."""
@@ -95,41 +108,29 @@ def count_grams(docs: DataFrame, text_col: str, group_col: str) -> dict[int | No
     return out
 
 
-def log_weights(docs: DataFrame, log_ratio: np.ndarray, text_col: str, *, offset: float = 0.0, cut: float | None = None, noise_col: str | None = None) -> DataFrame:
-    """docs with log_weight (sum of log ratios, less offset for each n-gram) and n_grams; with a cut, only the rows whose
-    log_weight plus noise reaches it. Texts without a token have no weight (null) and never reach a cut."""
+def good_share(labels: DataFrame, z: float = 1.0) -> float:
+    """The share of labels with quality 1, a standard error (z) up in its Wilson interval, so few labels keep more; 1 without
+    a label of quality 1."""
+    n, good = labels.where(F.col("quality").isNotNull()).agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("quality") == 1, 1)), F.lit(0))).first()
+    if not n or not good:
+        return 1.0
+    p, zz = good / n, z * z / n
+    return min(1.0, (p + zz / 2 + math.sqrt(p * (1 - p) * zz + zz * zz / 4)) / (1 + zz))
 
-    at, names = docs.columns.index(text_col), docs.columns
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in batch_pieces(batches, at):
-            row, bucket = gram_buckets(data, offsets)
-            n = np.bincount(row, minlength=len(batch))
-            weight = np.bincount(row, log_ratio[bucket] - offset, len(batch))
-            columns = [*batch.columns, pa.array(weight, mask=n == 0), pa.array(n)]
-            if cut is not None:
-                noise = batch.column(names.index(noise_col)).to_numpy()
-                kept = pa.array((n > 0) & (weight + noise >= cut))
-                columns = [c.filter(kept) for c in columns]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "log_weight", "n_grams"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{types}, log_weight double, n_grams long")
-
-
-def fit_resampler(docs: DataFrame, labels: DataFrame, *, label_bound: int = 20_000, smoothing: float = 0.5, temperature: float = 0.05, seed: int = 11, keep: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[Resampler, DataFrame]:
-    """The resampler for docs, and every row's doc_id, log_weight, n_grams and key.
-
-    labels (doc_id, quality 0 or 1): at most label_bound of its rows, those of least hash, are used. Half of the texts of
-    quality 1 are the target; raw counts cover all docs. The operating point `offset` is what parts the two qualities
-    best by mean log ratio on the other half, which the target model hasn't seen (0 if one of them lacks); it is taken
-    off for each n-gram. The key is log weight plus temperature times Gumbel noise; the `keep` largest keys are the sample,
-    by default as many as have a positive weight. Ties at the cut all stay.
+def fit_resampler(docs: DataFrame, labels: DataFrame, *, label_bound: int = 20_000, smoothing: float = 0.5, length: float = 256.0, prior: float = 16.0, seed: int = 11, keep: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[Resampler | None, DataFrame]:
+    """The resampler for docs, and every row's doc_id, log_weight, n_grams and key (null without a token).
+
+    labels (doc_id, quality 0 or 1): the texts of quality 1 are the target, of at most label_bound labelled rows, those of
+    least hash. Raw counts cover all docs. The target model is smoothed by the raw one, which counts `smoothing` times as
+    much as the target. Keys are log importance weights (Resampler.weights) plus standard Gumbel noise; the `keep` largest
+    are a sample without replacement in proportion to the weights. By default keep is the number of texts with a token times
+    good_share(labels), the share of the raw texts that is expected to be of the target. Rows whose keys tie with the last
+    one kept are kept too. Without a text of quality 1 there is no model (None): all log weights are 0, all keys are kept.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     few = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(label_bound)
-    half = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed + 1)), 63)
-    few = few.groupBy("doc_id").agg((F.max("quality") + 2 * half).cast("int").alias("quality_"))  # 1: target, 2 and 3: held out
+    few = few.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality_"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id", "left")
     counts = count_grams(rows, "text", "quality_")
     raw, target = sum(counts.values(), np.zeros(BUCKETS)), counts.get(1, np.zeros(BUCKETS))
@@ -138,42 +139,47 @@ def fit_resampler(docs: DataFrame, labels: DataFrame, *, label_bound: int = 20_0
         for half in (slice(0, HALF), slice(HALF, BUCKETS)):
             p, r = target[half] + smoothing * target[half].sum() * raw[half] / max(raw[half].sum(), 1) + 1e-9, raw[half] + 1e-9
             log_ratio[half] = np.log(p / p.sum()) - np.log(r / r.sum())
-    scored = cut_lineage(log_weights(rows, log_ratio, "text").select("doc_id", "quality_", "log_weight", "n_grams"))
-    offset = best_parting(*(scored.where((F.col("quality_") == q) & (F.col("n_grams") > 0)).select((F.col("log_weight") / F.col("n_grams")).alias("m")).toPandas()["m"].to_numpy(float) for q in (3, 2)))
-    weight = F.col("log_weight") - F.col("n_grams") * offset
-    keyed = scored.select("doc_id", weight.alias("log_weight"), "n_grams", (weight + temperature * gumbel("doc_id", seed)).alias("key"))
-    if keep is None:
-        keep = keyed.where("log_weight > 0").count()
-    return Resampler(log_ratio, offset, kth_largest(keyed, "key", keep)), keyed
+    model = Resampler(log_ratio, length, prior, -math.inf)
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in batch_pieces(batches, 1):
+            weight, n = model.weights(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight, mask=n == 0), pa.array(n)], ["doc_id", "log_weight", "n_grams"])
 
-def best_parting(good: np.ndarray, bad: np.ndarray, care: float = 4.0) -> float:
-    """The value between two samples with the best sum of both rates of right sides, where the good sample's counts `care`
-    times: losing a clean text is worse than keeping junk. Where several are as good, a quarter of the way up the widest
-    gap; 0 if one sample is empty."""
-    if not len(good) or not len(bad):
-        return 0.0
-    values = np.unique(np.concatenate([good, bad]))
-    edges = np.concatenate([[values[0] - 1], values[:-1] + np.diff(values) / 4])
-    right = care * (len(good) - np.searchsorted(np.sort(good), edges)) / len(good) + np.searchsorted(np.sort(bad), edges) / len(bad)
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    width = np.diff(np.concatenate([values[:1] - 2, values]))[best]
-    return float(edges[best[width.argmax()]])
+    scored = rows.select("doc_id", "text").mapInArrow(score, f"doc_id {rows.dtypes[0][1]}, log_weight double, n_grams long")
+    keyed = cut_lineage(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", seed)))
+    if not target.any():
+        return None, keyed
+    if keep is None:
+        keep = math.ceil(good_share(labels) * keyed.where("n_grams > 0").count())
+    return replace(model, cut=kth_largest(keyed, "key", keep)), keyed
 
 
 def sample_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, log_weight, n_grams and key of the rows that importance resampling keeps; see fit_resampler.
 
     Null and empty texts, and texts without a token, are never kept. Null ids share one noise draw; repeated rows are
-    kept or go together; an empty table gives no rows, and without labels all ratios are 0 and nothing is kept unless
-    `keep` says so. Other columns of docs are ignored.
+    kept or go together, as do all rows whose key equals the last one kept, so ties can keep more than `keep` rows; an
+    empty table gives no rows. Other columns of docs are ignored.
     """
     model, keyed = fit_resampler(docs, labels, **options)
-    return keyed.where(F.col("key") >= F.lit(model.cut))
+    return keyed.where(F.col("key").isNotNull() if model is None else F.col("key") >= F.lit(model.cut))
+
+
+def keep_quality(docs: DataFrame, model: Resampler | None, *, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the resampler keeps, all columns as they were, whatever their names; all rows without a model.
 
+    Texts are scored again, so none is shuffled. Nulls, ties, repeated rows and empty tables are as in sample_quality.
+    """
+    if model is None:
+        return docs
+    noise = free_name(docs, "noise")
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in batch_pieces(batches, at):
+            weight, n = model.weights(data, offsets)
+            kept = pa.array((n > 0) & (weight + batch.column(len(names)).to_numpy() >= model.cut))
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[: len(names)]], names)
 
-def keep_quality(docs: DataFrame, model: Resampler, *, temperature: float = 0.05, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the resampler keeps, all columns as they were; scored again, so no text is shuffled."""
-    names = docs.columns
-    scored = log_weights(docs.withColumn("noise_", temperature * gumbel(id_col, seed)), model.log_ratio, text_col, offset=model.offset, cut=model.cut, noise_col="noise_")
-    return scored.select(*names)
+    return docs.withColumn(noise, gumbel(id_col, seed)).mapInArrow(pick, docs.schema)

@@ -22,6 +22,9 @@ FILTER_WORDS = 1 << 17
 #: Nodes that a task remembers as already emitted, so that copies of a text are emitted once by a task.
 REMEMBERED = 1 << 20
 
+#: Words of 64 bits of the bitmap that bounds what two sets can share.
+BITMAP_WORDS = 16
+
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all lower-cased words, where each text's words begin, and a key of each text's words (0 without a word)."""
@@ -47,16 +50,16 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with node, a key of the words of each text; equal words have equal keys."""
+def text_keys(docs: DataFrame, node_col: str, text_col: str = "text") -> DataFrame:
+    """docs with node_col, a key of the words of each text; equal words have equal keys."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batch_pieces(batches, at):
             node = pa.array(word_hashes(data, offsets)[2].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, node_col])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("node")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(node_col)).schema)
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[tuple[int, np.ndarray]]:
@@ -175,22 +178,69 @@ def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iter
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def open_pairs(shared: DataFrame, least: Fraction, block: int = 1 << 20) -> DataFrame:
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: each item turns one bit over. The bits in which two bitmaps differ are at most the items that only
+    one of the sets has, so two sets of a and b items share at most (a + b - differing bits) / 2."""
+    turned = np.bincount((items >> np.uint64(17)) % np.uint64(64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def node_filter(nodes: DataFrame):
+    """A test of arrays of nodes that holds for every node of nodes, and for few others."""
+    word, bit = F.expr(f"pmod(shiftrightunsigned(node, 6), {FILTER_WORDS})"), F.expr("shiftleft(1L, cast(node & 63 as int))")
+    words = np.zeros(FILTER_WORDS, np.int64)
+    for r in nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    filter_ = words.view(np.uint64)
+
+    def wanted(found: np.ndarray) -> np.ndarray:
+        x = found.view(np.uint64)
+        return (filter_[(x >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return wanted
+
+
+def divided(placed: DataFrame) -> DataFrame:
+    """The rows (shingle, n, node, pos, component) of the shingles whose nodes don't all hang together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches):
+            shingle, component = columns[0], columns[4]
+            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            keep = np.repeat(apart, np.diff(np.append(starts, len(shingle))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "n", "node", "pos", "component"])
+
+    dealt = placed.select("shingle", "n", "node", "pos", "component").repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, "shingle long, n int, node long, pos int, component long")
+
+
+def bitmaps(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, bits) of the texts whose nodes are among nodes, and of few others."""
+    wanted = node_filter(nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, found in sets_of(batches, width, wanted):
+            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([bitmap(found).tobytes()], pa.binary())], ["node", "bits"])
+
+    return texts.mapInArrow(run, "node long, bits binary").groupBy("node").agg(F.first("bits").alias("bits"))
+
+
+def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction, block: int = 1 << 18) -> DataFrame:
     """The pairs (a, b) of shared (shingle, n, node, pos, component) that meet in a shingle, hang not together yet, and
-    whose sizes, positions and number of meetings leave room for a similarity of `least`.
+    whose sizes, positions, bitmaps and number of meetings leave room for a similarity of `least`.
 
     All that two sets share up to the end of the prefix that ends first are meetings, so they share at most the number of
-    meetings and what is left of that set."""
+    meetings and what is left of that set. Pairs are weighed in the task where they meet; only those left become rows."""
     p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, n, node, pos, component in whole_groups(batches):
+        for shingle, n, node, pos, component, bits in whole_groups(batches):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
+            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS)
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
-            ends = np.append(starts[1:], len(shingle))
-            mixed_ = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-            rows = np.flatnonzero(np.repeat(mixed_, ends - starts))
-            stop = np.repeat(ends, ends - starts)[rows]
+            stop = np.repeat(np.append(starts[1:], len(shingle)), np.diff(np.append(starts, len(shingle))))
+            rows = np.arange(len(shingle))
             work = np.cumsum(stop - rows)
             lo = 0
             while lo < len(rows):
@@ -201,13 +251,17 @@ def open_pairs(shared: DataFrame, least: Fraction, block: int = 1 << 20) -> Data
                 room = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
                 good = (component[a] != component[b]) & (n[a] * q >= n[b] * p) & (room * (p + q) >= p * (n[a] + n[b]))
                 a, b = a[good], b[good]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                good = (n[a] + n[b] - differ) * (p + q) >= 2 * p * (n[a] + n[b])
+                a, b = a[good], b[good]
                 if len(a):
                     swap = node[a] > node[b]
                     a, b = np.where(swap, b, a), np.where(swap, a, b)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], ["a", "b", "na", "nb"])
                 lo = hi
 
-    dealt = shared.select("shingle", "n", "node", "pos", "component").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    with_bits = shared.join(bitmaps(texts, shared.select("node").distinct(), width), "node").select("shingle", "n", "node", "pos", "component", "bits")
+    dealt = with_bits.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     met = dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
     after = F.greatest(*[F.expr(f"{n} - {prefix_sql(n, least)}") for n in ("na", "nb")])
     return met.where((F.col("count") + after) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -215,16 +269,7 @@ def open_pairs(shared: DataFrame, least: Fraction, block: int = 1 << 20) -> Data
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
     """The pairs (a, b), as links (u, v), whose sets of shingles have a similarity of `least` or more."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    word, bit = F.expr(f"pmod(shiftrightunsigned(node, 6), {FILTER_WORDS})"), F.expr("shiftleft(1L, cast(node & 63 as int))")
-    words = np.zeros(FILTER_WORDS, np.int64)
-    for r in need.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        words[r["word"]] = r["bits"]
-    filter_ = words.view(np.uint64)
-
-    def wanted(nodes: np.ndarray) -> np.ndarray:
-        x = nodes.view(np.uint64)
-        return (filter_[(x >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+    wanted = node_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, found in sets_of(batches, width, wanted):
@@ -238,21 +283,25 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) ->
     return both.where(common * (p + q) >= p * (F.size("a_items") + F.size("b_items"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+def similar_texts(texts: DataFrame, n_nodes: int, *, candidates: DataFrame | None = None, width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """(node, component) of every text (column text) that is tied to another, directly or by way of others: two are tied
     if the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
 
-    No tie is missed and none is by chance. First each text is held against one representative of each group that it
-    meets in; then all pairs that meet and don't hang together yet are compared, so a large family of near copies costs
-    the square of what its representatives leave over only. Texts of fewer words are equal or unlike.
+    No tie is missed and none is by chance. candidates are pairs (a, b) of nodes that something else, such as fingerprints,
+    holds for alike; they are verified first, with each text against one representative of each group that it meets in.
+    Then all pairs that meet and don't hang together yet are compared, so a large family of near copies costs no rows for
+    what these ties hold together already. Texts of fewer words are equal or unlike.
     """
     rows = cut_lineage(postings(texts, width, least, common_shingles(texts, n_nodes, width)))
     led = rows.where(F.col("rep").isNotNull()).groupBy(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("n"))
     led = led.where(F.col("met") * 4 >= F.expr(prefix_sql("n", least))).select("a", "b")  # what is left out here is compared below
+    if candidates is not None:
+        led = led.unionByName(candidates.select("a", "b")).distinct()
     links = cut_lineage(verified(cut_lineage(led), texts, width, least))
     found = connected_components(links).withColumnRenamed("node", "tied")
     placed = rows.join(found, rows["node"] == found["tied"], "left").withColumn("component", F.coalesce("component", "node"))
-    left = cut_lineage(open_pairs(placed, least))
+    apart = cut_lineage(divided(placed))
+    left = cut_lineage(open_pairs(apart, texts, width, least))
     if left.isEmpty():
         return found.withColumnRenamed("tied", "node")
     return connected_components(links.unionByName(cut_lineage(verified(left, texts, width, least))))

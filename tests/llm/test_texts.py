@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import registry
-from strandlake.llm.language_id import codewords, fit_languages, held_out, identify_languages
+from strandlake.llm.language_id import codewords, fit_languages, held_out, identify_languages, keep_languages
 from strandlake.llm.licenses import PHRASES, TEMPLATES, LicenseAutomaton, scan_licenses
 from strandlake.llm.pieces import PieceModel, decode_pieces, encode_pieces
-from strandlake.llm.quality import best_parting, fit_resampler, keep_quality, kth_largest, sample_quality
+from strandlake.llm.quality import fit_resampler, keep_quality, kth_largest, sample_quality
 from strandlake.llm.token_counts import count_tokens
 
 ODD = ["", None, " ", "a", "A b", "\n\n", "é", "漢字 テスト", "x" * 5000, "word " * 3000, "▁ literal marker", "tab\tand  two", "<|endoftext|> x", "3 4\x1c5 ! ?", "under the MIT license"]
@@ -108,6 +108,87 @@ def test_op3_codewords_differ(classes):
     assert min(apart) >= (1 if classes == 2 else 2) and (np.abs(code.sum(0)) < classes).all()
 
 
+def test_op3_like_a_plain_decoder(spark, documents):
+    """Counts, bit classifiers, losses and scores of the whole small table by loops over the same codewords."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        """Counts by (order, bucket) of 1-, 2- and 3-grams of bytes; runs of other bytes than letters are one blank."""
+        data = (text or "").lower().encode()
+        folded = []
+        for b in data:
+            b = b if 97 <= b <= 122 or b >= 128 else 32
+            if not (b == 32 and folded and folded[-1] == 32):
+                folded.append(b)
+        out = Counter()
+        for n, size in ((1, 256), (2, 4096), (3, 8192)):
+            for i in range(len(folded) - n + 1):
+                code = int.from_bytes(bytes(folded[i : i + n]), "big")
+                out[n, code if n == 1 else (code * 2654435761) % 2**32 >> (33 - size.bit_length())] += 1
+        return out
+
+    held = {r["doc_id"]: r["h"] for r in documents.select("doc_id", held_out().alias("h")).collect()}
+    rows = documents.collect()
+    counts = {r["doc_id"]: grams(r["text"]) for r in rows}
+    by_lang = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] and r["text"] is not None:
+            by_lang.setdefault(r["lang"], Counter()).update(counts[r["doc_id"]])
+    langs = sorted(by_lang)
+    code = codewords(len(langs)).tolist()
+    sizes = {1: 256, 2: 4096, 3: 8192}
+    total = {(x, n): sum(c for (m, _), c in by_lang[x].items() if m == n) + 0.5 * sizes[n] for x in langs for n in sizes}
+    model = fit_languages(documents.where(~held_out()))
+    got = {r["doc_id"]: r for r in identify_languages(documents, model).collect()}
+
+    def margin(bit, k):
+        ones, others = ([(by_lang[x][k] + 0.5) / total[x, k[0]] for x, w in zip(langs, code, strict=True) if w[bit] == s] for s in (1, -1))
+        return math.log(sum(ones) / len(ones)) - math.log(sum(others) / len(others))
+
+    weights = {}
+    for d, found in list(counts.items())[:80]:
+        for k in found:
+            if k not in weights:
+                weights[k] = [margin(bit, k) for bit in range(len(code[0]))]
+        sums = [sum(c * weights[k][bit] for k, c in found.items()) / 6 for bit in range(len(code[0]))]
+        loss = [sum(math.log1p(math.exp(-abs(m * s))) + max(0.0, -m * s) for m, s in zip(sums, word, strict=True)) for word in code]
+        best = min(range(len(langs)), key=lambda i: loss[i])
+        if got[d]["lang_pred"] != "und":
+            assert got[d]["lang_pred"] == langs[best]
+            assert abs(got[d]["score"] - 1 / sum(math.exp(loss[best] - x) for x in loss)) < 1e-6
+
+
+def test_op3_many_languages(spark):
+    """Twelve invented languages that differ in which letters follow which."""
+    rng = random.Random(4)
+    follow = [{a: rng.choices("abcdefghijklmnopqrstuvwxyz", k=5) for a in "abcdefghijklmnopqrstuvwxyz"} for _ in range(12)]
+
+    def text(k):
+        words = []
+        for _ in range(40):
+            word = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            for _ in range(rng.randint(2, 8)):
+                word += rng.choice(follow[k][word[-1]])
+            words.append(word)
+        return " ".join(words)
+
+    rows = [(i, text(i % 12), f"x{i % 12:02}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_languages(df, fit_languages(df.where(~held_out()))).join(df.select("doc_id", "lang"), "doc_id").where(held_out())
+    assert got.where("lang_pred = lang").count() >= 0.97 * got.count() > 0
+
+
+def test_op3_keep_languages(spark, documents, odd):
+    model = fit_languages(documents.where(~held_out()))
+    more = documents.union(odd.select(documents.columns)) if set(documents.columns) <= set(odd.columns) else documents
+    more = more.withColumns({"lang_pred": F.lit(0), "score": F.lit("s"), "Lowered": F.lit(True), "letters": F.array(F.lit(1))})
+    kept = keep_languages(more, model)
+    told = identify_languages(more, model).where("lang_pred <> 'und' and not ambiguous")
+    assert kept.columns == more.columns and sorted(map(str, kept.select("doc_id").collect())) == sorted(map(str, told.select("doc_id").collect()))
+    assert keep_languages(odd, None).count() == odd.count() and keep_languages(more.limit(0), model).count() == 0
+
+
 def test_op2_keeps_clean_texts(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = registry.table(spark, big, "documents"), registry.table(spark, big, "labels")
@@ -121,20 +202,64 @@ def test_op2_keeps_clean_texts(spark, sf_dir):
     assert keep_quality(docs, model).columns == docs.columns
 
 
-def test_op2_weights_like_a_plain_model(spark):
-    """Ratios of the four fold models by hand: the weight of a text is the sum over its tokens and pairs."""
-    from strandlake.llm.quality import BUCKETS, gram_buckets, log_weights
+def plain_buckets(text):
+    """Buckets of all tokens and pairs of a text, computed token by token with whole numbers."""
+    import re
+
+    def spread(h):
+        h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+        return h ^ (h >> 32)
+
+    hashes = []
+    for token in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode()):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in token)
+        hashes.append(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(low)) % 2**64)
+    pairs = [spread((x * 0x9E3779B97F4A7C15 + y) % 2**64) % 2**14 + 2**14 for x, y in zip(hashes, hashes[1:], strict=False)]
+    return [spread(h) % 2**14 for h in hashes] + pairs
 
-    texts = ["Good words here", "bad *** words", "", "!!!", "a  b"]
-    raw = [t.encode() for t in texts]
-    row, bucket = gram_buckets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    assert np.bincount(row, minlength=5).tolist() == [5, 5, 0, 1, 3]
-    ratio = np.random.default_rng(1).normal(size=BUCKETS)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["log_weight"] for r in log_weights(df, ratio, "text", offset=0.5).collect()}
-    for i in range(5):
-        mine = bucket[row == i]
-        assert got[i] is None if not len(mine) else abs(got[i] - (ratio[mine].sum() - 0.5 * len(mine))) < 1e-9
+
+def test_op2_like_a_plain_model_and_sample(spark, documents, sf_dir):
+    """Counts, ratios, weights, keys and the sample of the whole small table by loops; only the noise comes from Spark."""
+    import math
+    from collections import Counter
+
+    from strandlake.llm.quality import gumbel
+
+    labels = registry.table(spark, sf_dir, "labels")
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    noise = {r["doc_id"]: r["g"] for r in documents.select("doc_id", gumbel("doc_id", 11).alias("g")).collect()}
+    grams = {d: plain_buckets(t) for d, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for d, g in grams.items():
+        raw.update(g)
+        if quality.get(d) == 1:
+            target.update(g)
+    ratio = {}
+    for half in (0, 1):
+        mine = [b for b in raw if (b >= 2**14) == bool(half)]
+        r_all, t_all = sum(raw[b] for b in mine), sum(target[b] for b in mine)
+        for b in mine:
+            ratio[b] = math.log((target[b] / t_all + 0.5 * raw[b] / r_all) / 1.5 / (raw[b] / r_all))
+    weight = {d: 256 * sum(ratio[b] for b in g) / (len(g) + 16) for d, g in grams.items() if g}
+    n, good = len(quality), sum(q == 1 for q in quality.values())
+    p, zz = good / n, 1 / n
+    share = (p + zz / 2 + (p * (1 - p) * zz + zz * zz / 4) ** 0.5) / (1 + zz)
+    key = {d: w + noise[d] for d, w in weight.items()}
+    kept = sorted(key, key=lambda d: -key[d])[: math.ceil(share * len(weight))]
+    got = {r["doc_id"]: r for r in sample_quality(documents, labels).collect()}
+    assert set(got) == set(kept) and 0 < len(kept) < len(key)
+    assert all(abs(r["log_weight"] - weight[d]) < 1e-4 and abs(r["key"] - key[d]) < 1e-4 and r["n_grams"] == len(grams[d]) for d, r in got.items())
+
+
+def test_op2_extra_columns_and_no_labels(spark, odd):
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int")
+    more = odd.withColumns({"Noise": F.lit(1), "log_weight": F.lit("x"), "n_grams": F.lit(None).cast("int"), "key": F.lit(2.0)})
+    model, _ = fit_resampler(more, labels)
+    kept = keep_quality(more, model)
+    assert kept.columns == more.columns and 0 < kept.count() <= more.count()
+    assert fit_resampler(odd, labels.limit(0))[0] is None
+    assert keep_quality(odd, None).count() == odd.count()
 
 
 def test_op2_odd_rows(spark, odd):
@@ -143,7 +268,7 @@ def test_op2_odd_rows(spark, odd):
     assert got.columns == ["doc_id", "log_weight", "n_grams", "key"] and got.count() >= 6
     assert not {0, 1, 2} & {r["doc_id"] for r in got.collect()}
     assert sample_quality(odd.limit(0), labels).count() == 0
-    assert sample_quality(odd, labels.limit(0)).count() == 0
+    assert {r["doc_id"] for r in sample_quality(odd, labels.limit(0)).collect()} == {r["doc_id"] for r in fit_resampler(odd, labels)[1].where("n_grams > 0").collect()}
 
 
 def test_op2_selection_is_exact(spark):
@@ -152,7 +277,6 @@ def test_op2_selection_is_exact(spark):
         df = spark.createDataFrame([(v,) for v in values], "x double")
         for k in (1, 7, 31, len(values)):
             assert kth_largest(df, "x", k, fan=16) == sorted(values, reverse=True)[min(k, len(values)) - 1]
-    assert best_parting(np.array([1.0, 2.0]), np.array([-1.0])) == -0.5 and best_parting(np.zeros(0), np.ones(1)) == 0
 
 
 def test_op4_best_segmentation_and_round_trip(spark, documents, odd):
