@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,76 +77,90 @@ class MultiIndex:
         return out
 
 
-def matrix(column: pa.Array, floats: str = "<f8") -> np.ndarray:
-    """The vectors in a column of equally long binaries."""
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, floats).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def matrix(column: pa.Array, floats: str) -> np.ndarray:
+    """The vectors in a column of equally long binaries, as doubles."""
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.frombuffer(b"".join(column.to_pylist()), floats).reshape(len(column), -1).astype(np.float64)
 
 
-def distinct_vectors(vectors: DataFrame, keep: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(node, x, ids) of the distinct vectors, and (vec_id, node) of all rows that take part.
+def float_format(vectors: DataFrame, vector_col: str) -> str:
+    """How components are packed: as they are if they are floats, else as doubles."""
+    return "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
 
-    node is a hash of the vector, x its components as doubles, ids the `keep` smallest of its ids: no other copy can be
-    among anyone's keep - 1 nearest. Surplus copies are dropped before the shuffle. Vectors null, zero, or with null or
-    non-finite components, and rows without an id, take no part; of vectors of several lengths, the longest length does.
+
+def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, x) of the rows that take part, x being the packed components.
+
+    Vectors null, empty or zero, or with null or non-finite components, and rows without an id, take no part.
     """
+    floats = float_format(vectors, vector_col)
+    size = np.dtype(floats).itemsize
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.array(v, np.float64) if v else np.zeros(0)
-                if i is not None and x.size and np.isfinite(x).all() and x.any():
-                    out.append((i, (x + 0.0).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["vec_id", "x"])
-
-    packed = vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(pack, "vec_id long, x binary")
-    packed = cut_lineage(packed.select("vec_id", "x", F.xxhash64("x").alias("node")))
-    size = packed.agg(F.max(F.octet_length("x"))).first()[0] or 0
-    packed = packed.where(F.octet_length("x") == size)
-    few = packed.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("n") <= keep)
-    nodes = few.groupBy("node").agg(F.min("x").alias("x"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return cut_lineage(nodes), packed.select("vec_id", "node")
-
-
-def fit_index(nodes: DataFrame, *, per_cell: int = 48, most_centroids: int = 128, sample: int = 8192, seed: int = 5) -> MultiIndex:
+            ids, lists = batch.columns
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(n)])
+            flat = pc.fill_null(lists.flatten().cast(pa.float64()), np.nan).to_numpy() + 0.0
+            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+            good = (n > 0) & (sums(~np.isfinite(flat)) == 0) & (sums(flat != 0) > 0) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            raw = pa.py_buffer(np.where(np.isfinite(flat), flat, 0.0).astype(floats).tobytes())
+            x = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(at * size), raw])
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([ids.filter(keep), x.filter(keep).cast(pa.binary())], ["vec_id", "x"])
+
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(pack, "vec_id long, x binary")
+
+
+def distinct_vectors(packed: DataFrame, keep: int) -> DataFrame:
+    """(node, x, ids) of the distinct vectors of packed rows: a number, the vector, and the `keep` smallest of its ids.
+
+    No other copy can be among anyone's keep - 1 nearest. Surplus copies are dropped before the shuffle.
+    """
+    few = packed.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("n") <= keep)
+    nodes = few.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "x", "ids"))
+
+
+def fit_index(nodes: DataFrame, floats: str, *, per_cell: int = 48, most_centroids: int = 256, sample: int = 8192, seed: int = 5) -> MultiIndex:
     """An index over all nodes; centroids come from at most `sample` of them, those of least hash. There are so many
     centroids for each half that a cell holds about per_cell entries, most_centroids at most."""
     n = nodes.count()
-    rows = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample).select("x").toArrow()
-    points = matrix(rows.column("x").combine_chunks()) if n else np.zeros((0, 2))
+    rows = nodes.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(sample).select("x").toArrow()
+    points = matrix(rows.column("x").combine_chunks(), floats) if n else np.zeros((0, 2))
     half = points.shape[1] // 2
     k = int(min(most_centroids, max(1, round((n / per_cell) ** 0.5))))
     index = MultiIndex(k_means(points[:, :half], k), k_means(points[:, half:], k), np.zeros(0))
     counts = np.zeros(len(index.first) * len(index.second), np.int64)
-    for r in place(nodes, index).groupBy("cell").count().collect():  # most_centroids**2 rows at most
+    for r in place(nodes, index, floats).groupBy("cell").count().collect():  # most_centroids**2 rows at most
         counts[r["cell"]] = r["count"]
     return MultiIndex(index.first, index.second, counts)
 
 
-def place(nodes: DataFrame, index: MultiIndex) -> DataFrame:
+def place(nodes: DataFrame, index: MultiIndex, floats: str) -> DataFrame:
     """nodes with their cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 b = batch.slice(lo, 4096)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(matrix(b.column(1))).astype(np.int32))], ["node", "x", "ids", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(matrix(b.column(1), floats)).astype(np.int32))], ["node", "x", "ids", "cell"])
 
     return nodes.select("node", "x", "ids").mapInArrow(run, "node long, x binary, ids array<long>, cell int")
 
 
-def entries_needed(placed: DataFrame, index: MultiIndex, k: int, recall: float, queries: int, seed: int = 6) -> int:
+def entries_needed(placed: DataFrame, index: MultiIndex, floats: str, k: int, recall: float, queries: int, seed: int = 6) -> int:
     """How many entries the traversal must reach so that a share `recall` of the true k nearest of a sample of queries is
     among them; the sample's true nearest come from a pass over all entries."""
-    sample = placed.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(queries).select("node", "x").toArrow()
-    names, q = sample.column("node").to_numpy(), matrix(sample.column("x").combine_chunks())
+    sample = placed.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(queries).select("node", "x").toArrow()
+    names, q = sample.column("node").to_numpy(), matrix(sample.column("x").combine_chunks(), floats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 8192):
                 b = batch.slice(lo, 8192)
-                score = q @ matrix(b.column(1)).T
+                score = q @ matrix(b.column(1), floats).T
                 score[names[:, None] == b.column(0).to_numpy()[None]] = -np.inf
                 top = np.argpartition(-score, min(k, len(b)) - 1, axis=1)[:, :k]
                 cell = b.column(3).to_numpy()[top]
@@ -156,79 +171,125 @@ def entries_needed(placed: DataFrame, index: MultiIndex, k: int, recall: float,
     true = placed.mapInArrow(run, "q long, score double, cell int").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).toPandas()
     needed = []
     for i in range(len(q)):
-        seen, upto = 0, {}
+        seen, upto, cells = 0, {}, true["cell"][true["q"] == i].tolist()
+        left = set(cells)
         for cell in index.traverse(q[i]):
             seen += int(index.counts[cell])
             upto[cell] = seen
-        needed += [upto[c] for c in true["cell"][true["q"] == i]]
+            left.discard(cell)
+            if not left:
+                break
+        needed += [upto[c] for c in cells]
     return int(np.quantile(needed, recall, method="higher")) if needed else 0
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 20, recall: float = 0.96, tuning_queries: int = 96, block: int = 8192, query_block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, recall: float = 0.96, tuning_queries: int = 96, block: int = 8192, query_bytes: int = 8 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for each row that is_query holds for.
 
     Nearness is the largest inner product in double precision; ties go to the smaller id; a query's own id is no
-    candidate; fewer candidates than k give fewer rows. Every row is indexed. Copies of a vector are one entry with its
-    k + 1 smallest ids, which loses nothing, so a hot vector costs no more than another. A query goes through the cells
-    of the index in order until it has met as many entries as entries_needed says, and all of those are scored exactly.
-    Entries lie in blocks of at most about `block`, queries in blocks of query_block; a task scores one by the other.
-    See distinct_vectors for the rows that take no part; an empty table gives no rows.
+    candidate; fewer candidates than k give fewer rows. Every row is indexed. Only vectors of one length have an inner
+    product, so each length that occurs is a search of its own. Repeated ids are rows like any other. See packed_vectors for
+    the rows that take no part; an empty table gives no rows.
+    """
+    floats = float_format(vectors, vector_col)
+    packed = cut_lineage(packed_vectors(vectors, id_col, vector_col))
+    sizes = sorted(r["size"] for r in packed.select(F.octet_length("x").alias("size")).distinct().collect())
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for number, size in enumerate(sizes):
+        part = search_packed(packed.where(F.octet_length("x") == size), is_query, floats, k, recall, tuning_queries, block, max(1, query_bytes // size))
+        out = out.unionByName(part) if number else part
+    return out
+
+
+def search_packed(packed: DataFrame, is_query: Column, floats: str, k: int, recall: float, tuning_queries: int, block: int, query_block: int) -> DataFrame:
+    """search over packed vectors of one length.
+
+    Copies of a vector are one entry with its k + 1 smallest ids, which loses nothing, so a hot vector costs no more than
+    another. A query goes through the cells of the index in order until it has met as many entries as entries_needed says,
+    and all of those are scored exactly. Entries lie in blocks of about `block` in the order of cells; queries that begin in
+    neighbouring cells share a chunk of about query_block; a task scores a block by a chunk that visits it. An entry is
+    sent to a task for each such chunk, a query for each block on its way.
     """
-    nodes, rows = distinct_vectors(vectors, k + 1, id_col, vector_col)
-    asked = rows.where(is_query)
-    index = fit_index(nodes)
-    placed = cut_lineage(place(nodes, index))
-    entries = max(50 * k, entries_needed(placed, index, k, recall, tuning_queries))
+    nodes = distinct_vectors(packed, k + 1)
+    asked = packed.where(is_query).select("vec_id", F.col("x").alias("asked_x"))
+    asked = asked.join(nodes.select("node", "x"), F.col("asked_x") == F.col("x")).select("vec_id", "node")
+    index = fit_index(nodes, floats)
+    placed = cut_lineage(place(nodes, index, floats))
+    entries = max(50 * k, entries_needed(placed, index, floats, k, recall, tuning_queries))
 
     # Cells are put into blocks in order; a cell of more than a block is cut into several by hash.
     starts = np.cumsum(index.counts) - index.counts
     low, high = starts // block, np.maximum(starts // block, (starts + index.counts - 1) // block)
     whole = [(int(c), int(low[c]), int(high[c] - low[c] + 1)) for c in np.flatnonzero(index.counts)]
-    cells = vectors.sparkSession.createDataFrame(whole, "cell int, low int, parts int")
+    session = packed.sparkSession
+    cells = session.createDataFrame(whole, "cell int, low int, parts int")
     blocked = placed.join(F.broadcast(cells), "cell").withColumn("block", (F.col("low") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
-    span = {c: (lo, n) for c, lo, n in whole}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 b = batch.slice(lo, 256)
-                cells_, blocks = [], []
-                for q in matrix(b.column(1)):
-                    way = index.visited(q, entries)
-                    cells_.append(way)
-                    blocks.append(sorted({x for c in way for x in range(span[c][0], span[c][0] + span[c][1])}))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells_, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.int32()))], ["node", "x", "cells", "blocks"])
+                first, of, blocks, ways = [], [], [], []
+                for i, q in enumerate(matrix(b.column(1), floats)):
+                    way = np.array(index.visited(q, entries), np.int32)
+                    first.append(int(way[0]))
+                    way = np.sort(way)
+                    # Blocks go up with cells; only the cells that end a block can lie in several.
+                    bounds = np.unique(np.concatenate([np.arange(l, h + 1) for l, h in zip(low[way], high[way], strict=True)]) if (low[way] != high[way]).any() else low[way])
+                    for x in bounds.tolist():
+                        of.append(i)
+                        blocks.append(x)
+                        ways.append(way[np.searchsorted(high[way], x, "left") : np.searchsorted(low[way], x, "right")])
+                at = pa.array(of, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(first, pa.int32()).take(at), pa.array(blocks, pa.int32()), pa.array(ways, pa.list_(pa.int32()))], ["query", "q", "first", "block", "cells"])
 
     query_nodes = placed.join(asked.select("node").distinct(), "node", "left_semi").select("node", "x")
-    chunks = -(-query_nodes.count() // query_block) or 1
-    probes = cut_lineage(query_nodes.mapInArrow(ask, "node long, x binary, cells array<int>, blocks array<int>").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(chunks)).cast("int")))
-    sent = probes.select("chunk", F.explode("blocks").alias("block"), F.col("node").alias("query"), F.col("x").alias("q"), "cells")
+    probes = cut_lineage(query_nodes.mapInArrow(ask, "query long, q binary, first int, block int, cells array<int>"))
+    # Chunks take queries by the cell that they begin in; a cell of more than a chunk is cut into several by hash.
+    begun = sorted((r["first"], r["n"]) for r in probes.groupBy("first").agg(F.count_distinct("query").alias("n")).collect())  # most_centroids**2 rows at most
+    total = np.cumsum([0, *(n for _, n in begun)])
+    dealt = [(first, int(lo // query_block), int(-(-n // query_block))) for (first, n), lo in zip(begun, total, strict=False)]
+    dealt = session.createDataFrame(dealt, "first int, chunk_low int, chunk_parts int")
+    sent = probes.join(F.broadcast(dealt), "first").withColumn("chunk", (F.col("chunk_low") + F.pmod(F.xxhash64("query", F.lit(1)), F.col("chunk_parts"))).cast("int")).select("chunk", "block", "query", "q", "cells")
     wanted = sent.select(F.col("block").alias("to_block"), F.col("chunk").alias("to_chunk")).distinct()
     copies = blocked.join(wanted, F.col("block") == F.col("to_block")).select("to_block", "to_chunk", "cell", "x", "ids")
 
     def score(entries_: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if len(entries_) and len(queries):
-            x, cell = matrix(entries_.column("x").combine_chunks()), entries_.column("cell").to_numpy()
+            cell = entries_.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            entries_ = entries_.take(pa.array(order))
+            cell = cell[order]
+            x = matrix(entries_.column("x").combine_chunks(), floats)
+            longest = np.sqrt((x**2).sum(1).max())
             ids = entries_.column("ids").combine_chunks()
             at = ids.offsets.to_numpy()
             flat = ids.values.to_numpy()
-            q, ways, names = matrix(queries.column("q").combine_chunks()), queries.column("cells").to_pylist(), queries.column("query").to_numpy()
+            q, names = matrix(queries.column("q").combine_chunks(), floats), queries.column("query").to_numpy()
+            ways = queries.column("cells").combine_chunks()
+            cuts, way_cells = ways.offsets.to_numpy(), ways.values.to_numpy()
+            mark = np.zeros(len(index.counts), bool)
             for lo in range(0, len(q), 128):
                 near = q[lo : lo + 128] @ x.T
+                # The product of matrices may round otherwise than the sum below; what is within that stays.
+                slack = 8 * x.shape[1] * np.finfo(float).eps * longest * np.sqrt((q[lo : lo + 128] ** 2).sum(1))
                 for i, line in enumerate(near):
-                    mine = np.flatnonzero(np.isin(cell, ways[lo + i]))
+                    way = way_cells[cuts[lo + i] : cuts[lo + i + 1]]
+                    mark[way] = True
+                    mine = np.flatnonzero(mark[cell])
+                    mark[way] = False
                     if not len(mine):
                         continue
                     if len(mine) > k + 1:
                         least = np.partition(line[mine], len(mine) - k - 1)[len(mine) - k - 1]
-                        mine = mine[line[mine] >= least - 1e-9]
+                        mine = mine[line[mine] >= least - slack[i]]
                     exact = np.einsum("ij,j->i", x[mine], q[lo + i])
                     n = at[mine + 1] - at[mine]
                     source = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     s, v = np.repeat(exact, n), flat[source]
-                    order = np.lexsort((v, -s))[: k + 1]
-                    out.append((np.full(len(order), names[lo + i]), v[order], s[order]))
+                    best = np.lexsort((v, -s))[: k + 1]
+                    out.append((np.full(len(best), names[lo + i]), v[best], s[best]))
         columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table(columns, ["query", "vec_id", "score"])
 

@@ -109,7 +109,7 @@ def test_op6_copies_ties_and_odd_vectors(spark):
     clean = [(i, np.array(x, np.float32).astype(float).tolist()) for i, x in rows]
     expected = neighbours(clean, 20)
     got = defaultdict(list)
-    for r in search(df, F.col("vec_id") % 20 == 0, block=32, query_block=4, recall=1.0).orderBy("query_id", "rank").collect():
+    for r in search(df, F.col("vec_id") % 20 == 0, block=32, query_bytes=64, recall=1.0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     for q, e in expected.items():
         assert got[q] == [i for i, _ in e] if q < 100 else len(got[q]) == 20
@@ -118,6 +118,45 @@ def test_op6_copies_ties_and_odd_vectors(spark):
     assert search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def clusters(n, dims, groups, spread, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    return [(i, (centres[i % groups] + spread * rng.normal(size=dims)).astype(np.float32).tolist()) for i in range(n)]
+
+
+def recall_of(spark, rows, **options):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in search(df, F.col("vec_id") % 20 == 0, **options).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    expected = neighbours(rows, 20)
+    return np.mean([len(got[q] & {i for i, _ in e}) / len(e) for q, e in expected.items()])
+
+
+def test_op6_clustered_vectors_need_a_small_part(spark):
+    from strandlake.llm.multi_index import distinct_vectors, entries_needed, fit_index, packed_vectors, place
+
+    rows = clusters(6000, 16, 60, 0.05, 1)
+    assert recall_of(spark, rows, block=512, query_bytes=64 * 64) >= 0.9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nodes = distinct_vectors(packed_vectors(df, "vec_id", "embedding"), 21)
+    index = fit_index(nodes, "<f4")
+    assert entries_needed(place(nodes, index, "<f4"), index, "<f4", 20, 0.96, 96) < 0.2 * len(rows)
+
+
+def test_op6_mixed_lengths_and_large_norms(spark):
+    """A vector of another length changes nothing for the rest, and rounding at large norms loses no tie."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(1, 61)] + [(80, [1.0, 2.0, 3.0, 4.0])]
+    one, both = (recall_of(spark, r, recall=1.0) for r in (rows, [(i, (1e17 * np.array(x, np.float32)).astype(np.float32).tolist()) for i, x in rows]))
+    assert one == both == 1
+    df = spark.createDataFrame([*rows, (100, [1.0] * 5), (120, [1.0] * 5), (121, [2.0] * 5)], "vec_id long, embedding array<double>")
+    plain = spark.createDataFrame(rows, df.schema)
+    key = lambda x: sorted(map(tuple, search(x, F.col("vec_id") % 20 == 0).collect()))
+    assert [r for r in key(df) if r[0] not in (100, 120)] == key(plain)
+    assert [r for r in key(df) if r[0] in (100, 120)] == [(100, 1, 121, 10.0), (100, 2, 120, 5.0), (120, 1, 121, 10.0), (120, 2, 100, 5.0)]
+
+
 def test_op6_traversal_goes_by_falling_sum():
     rng = np.random.default_rng(3)
     index = MultiIndex(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), np.ones(35, int))
