@@ -352,7 +352,76 @@ def test_op9_planted_edits_are_found_and_clean_texts_left(spark, sf_dir):
     assert small == found
     texts = dict((d, t) for d, t, _ in rows)
     for (d, i), edits in list(found.items())[:8]:
-        assert edit_distance(folded_text(dict(items)[i]), folded_text(texts[d])) == edits
+        line = folded_text(dict(items)[i])
+        assert min(edit_distance(w, folded_text(texts[d])) for w in windows_of(line)) == edits
+
+
+def windows_of(line):
+    return [line[lo : lo + 150] for lo in [*range(0, len(line) - 150, 50), max(0, len(line) - 150)]]
+
+
+def ends_within(pattern, text):
+    """The least edits of an alignment of pattern to a stretch of text, by the place where the stretch ends."""
+    steps, line = np.arange(len(text) + 1), np.zeros(len(text) + 1, int)
+    for letter in pattern:
+        new = line + 1
+        new[1:] = np.minimum(new[1:], line[:-1] + (text != letter))
+        line = np.minimum.accumulate(new - steps) + steps
+    return line
+
+
+def test_op9_edits_like_brute_force_on_the_table(spark, documents, sf_dir):
+    """All texts against all windows of all items, and of some items with letters changed, by full tables."""
+    rng = random.Random(12)
+    lines = [(r["doc_id"], folded_text(r["text"])) for r in documents.collect()]
+    items = [(r["item_id"], r["text"]) for r in registry.table(spark, sf_dir, "benchmark").collect()]
+    items.sort(key=lambda x: (not any(folded_text(x[1]) in line for _, line in lines), x[0]))
+    items = items[:3]
+    for i, text in items[:2]:
+        letters = list(text)
+        for at in rng.sample(range(len(letters)), len(letters) // 14):
+            letters[at] = rng.choice("qxz ")
+        items.append((1000 + i, "".join(letters)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, starts = bytearray(), []
+    for _, line in lines:
+        starts.append(len(whole))
+        whole += line + b"\0" * 200
+    text, expected = np.frombuffer(bytes(whole), np.uint8), set()
+    for i, item in items:
+        for w in windows_of(folded_text(item)):
+            ends = np.flatnonzero(ends_within(w, text) <= min(int(0.08 * len(w)), (len(w) - Q) // Q))
+            for k in set((np.searchsorted(starts, ends - 1, "right") - 1).tolist()):
+                expected.add((lines[k][0], i))
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(documents, bench).collect()}
+    assert got == expected and any(i >= 1000 for _, i in got)
+
+
+def test_op9_short_items_and_null_ids(spark):
+    docs = [(1, "Say pi-day now"), (2, "a spiday is not it"), (3, "PI"), (4, "pi day"), (5, "an item of fifteen, yes"), (6, None), (7, "x item of fifteenx"), (None, "the words: item of fifteen")]
+    bench = [(1, "pi"), (None, "Pi day!"), (3, "item of fifteen"), (None, "item of fifteen"), (None, "item of fifteen"), (5, "..."), (6, None), (7, "z")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    expected = [(1, 1), (1, None), (3, 1), (4, 1), (4, None), (5, 3), (5, None), (None, 3), (None, None)]
+    for block in (1 << 22, 5):
+        got = find_leaks(d, b, block_bytes=block).collect()
+        assert sorted(map(repr, ((r["doc_id"], r["item_id"]) for r in got))) == sorted(map(repr, expected))
+        assert {r["edits"] for r in got} == {0} and all(r["length"] == {1: 2, 3: 15}.get(r["item_id"], r["length"]) for r in got)
+        assert sorted(r["doc_id"] for r in drop_leaks(d, b, block_bytes=block).collect()) == [2, 6, 7]
+    words = b.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+    assert {r["item_id"] for r in find_leaks(d, words).collect()} == {"item 1", "item 3", None}
+
+
+def test_op9_repeated_letters_take_bounded_memory():
+    """Every gram of a text meets every gram of an item; traced memory stays far below their product."""
+    import tracemalloc
+
+    index = PassageIndex(["a" * 300], 0.08)
+    data = np.full(400_000, 97, np.uint8)
+    tracemalloc.start()
+    windows, _ = index.search(data, np.array([0, len(data)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows and all(edits == 0 for _, _, edits, _ in windows) and most < 300e6
 
 
 def test_op9_like_brute_force_on_the_table(spark, documents, sf_dir):
@@ -372,7 +441,7 @@ def test_op9_long_items_and_odd_rows(spark, odd):
     assert drop_leaks(df, bench).count() == df.count() - 1
     assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
     assert drop_leaks(df, bench.limit(0)).count() == df.count()
-    index = PassageIndex([(1, "x" * 50)], 0.5, 400)
+    index = PassageIndex(["x" * 50], 0.5)
     assert index.least[0] >= 1 and index.budget[0] <= (50 - Q) // Q
 
 
