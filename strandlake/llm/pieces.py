@@ -25,8 +25,9 @@ UNITS = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
 #: What a character that no piece covers costs beyond the rarest piece.
 UNKNOWN_PENALTY = 10.0
 
-#: Units that a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+#: Bytes of units and ids that a worker remembers before it starts afresh, what an entry takes besides, and the longest unit
+#: that is remembered: longer ones hardly come again.
+REMEMBERED, ENTRY, LONGEST = 32 << 20, 160, 64
 
 
 class DoubleArray:
@@ -120,9 +121,10 @@ class PieceModel:
             raise ValueError("a piece crosses the bounds of units")
         self.trie = DoubleArray(self.surface)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "held": 0}
 
     @staticmethod
     def load(path: str) -> PieceModel:
@@ -199,14 +201,22 @@ class PieceModel:
 
     def encode_units(self, split: list[list[bytes]]) -> list[bytes]:
         """The ids of texts that are lists of units."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         new = list(set().union(*split) - self.known.keys())
         sizes = np.concatenate([[0], np.cumsum([len(u) for u in new])]).astype(np.int64)
+        long: dict[bytes, bytes] = {}
         for lo, hi in row_ranges(sizes, 1 << 17):
-            self.known.update(zip(new[lo:hi], self.segment(new[lo:hi]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+            for unit, ids in zip(new[lo:hi], self.segment(new[lo:hi]), strict=True):
+                if len(unit) > LONGEST:
+                    long[unit] = ids
+                else:
+                    self.known[unit] = ids
+                    self.held += len(unit) + len(ids) + ENTRY
+        if not long:
+            get = self.known.__getitem__
+            return [b"".join(map(get, units)) for units in split]
+        return [b"".join([long[u] if len(u) > LONGEST else self.known[u] for u in units]) for units in split]
 
     def decoder(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids in a row, and where each id's begin; control pieces have none."""

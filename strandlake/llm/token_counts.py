@@ -18,8 +18,9 @@ from .support import pieces, text_bytes
 #: stands before it, so the counts of the parts add up to the count of the whole.
 SAFE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
-#: Entries of a worker's table of known parts before it is emptied.
-REMEMBERED = 400_000
+#: Bytes of a worker's table of known parts before it is emptied, what an entry takes besides its characters, and the longest
+#: part that is remembered: longer ones hardly come again.
+REMEMBERED, ENTRY, LONGEST = 64 << 20, 120, 64
 
 _counters: dict[str, PartCounter] = {}
 
@@ -46,6 +47,7 @@ class PartCounter:
         self.tokenizer.no_padding()
         self.remembered = remembered
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def count(self, texts: list[str], longest: int = 1 << 20) -> list[int]:
         """The number of tokens of each text; one of over `longest` characters is counted in safe parts."""
@@ -55,13 +57,20 @@ class PartCounter:
         for text in texts:
             first, *rest = SAFE.split(text)
             split.append([first, *[" " + x for x in rest]])
-        if len(self.known) > self.remembered:
-            self.known = {}
+        if self.held > self.remembered:
+            self.known, self.held = {}, 0
         new = list(set().union(*split) - self.known.keys())
         encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, map(len, encoded), strict=True))
-        get = self.known.__getitem__
-        return [sum(map(get, parts)) for parts in split]
+        found = dict(zip(new, map(len, encoded), strict=True))
+        long = {part: n for part, n in found.items() if len(part) > LONGEST}
+        for part in long:
+            del found[part]
+        self.known.update(found)
+        self.held += sum(map(len, found)) + ENTRY * len(found)
+        if not long:
+            get = self.known.__getitem__
+            return [sum(map(get, parts)) for parts in split]
+        return [sum([long[p] if len(p) > LONGEST else self.known[p] for p in parts]) for parts in split]
 
 
 def counter(path: str) -> PartCounter:

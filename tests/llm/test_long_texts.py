@@ -65,3 +65,21 @@ def test_fingerprint_of_many_shingles(text):
     ones = [(int((hashes >> np.uint64(b) & np.uint64(1)).sum()), b) for b in range(64)]
     assert fingerprint(text.encode(), 3, 42) == sum(1 << b for n, b in ones if 2 * n > len(hashes))
     assert all(fingerprint(t, 3, 42) == (xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 42) if t.split() else 0) for t in (b"a", b"a B", b"", b" \n"))
+
+
+def test_what_workers_remember_is_bounded_by_bytes():
+    """Long parts without blanks are counted and encoded rightly and not kept."""
+    from strandlake.llm import pieces, token_counts
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdef0123456789+/", k=n)) for n in (50, 64, 65, 70, 5000, 100_000)] * 2
+    texts = [t + " and " + t[:9] for t in texts]
+    counter = PartCounter(tokenizer("byte_bpe_50k.json"), remembered=400)
+    whole = [len(e.ids) for e in counter.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [counter.count([t])[0] for t in texts] == whole == counter.count(texts)
+    assert max(map(len, counter.known)) <= token_counts.LONGEST and counter.held == sum(map(len, counter.known)) + token_counts.ENTRY * len(counter.known)
+    model = PieceModel.load(tokenizer("piece_bpe_32k.model"))
+    fresh = PieceModel.load(tokenizer("piece_bpe_32k.model"))
+    raw = [t.encode() for t in texts]
+    assert model.encode(raw) == [fresh.encode([r])[0] for r in raw]
+    assert max(map(len, model.known)) <= pieces.LONGEST and model.held == sum(len(k) + len(v) + pieces.ENTRY for k, v in model.known.items())
