@@ -14,18 +14,39 @@ from .support import batch_pieces, mixed, span_hashes, spans
 #: Phrases that name a license by themselves.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Sentences of well-known license notices, by label.
+#: Sentences of well-known license notices, by label. What stands between asterisks tells a license from others
+#: with like notices: it must be matched as consecutive words. `bsd` is what the two- and three-clause licenses share.
 TEMPLATES = {
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "this project is released under the mit license"],
-    "apache-2": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "this project is released under the *mit license*",
+    ],
+    "apache-2": [
+        "licensed under the *apache license version 2* 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd-3": ["neither the name of the copyright holder nor the names of its contributors may be used to *endorse or promote products derived from this software* without specific prior written permission"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "gpl-2": ["licensed under the gnu general public license version 2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl-3": ["licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "gpl-2": [
+        "licensed under the *gnu general public license version 2*",
+        "this program is free software you can redistribute it and or modify it under the terms of the *gnu general public license* as published by the free software foundation either *version 2* of the license or at your option any later version",
+    ],
+    "gpl-3": [
+        "licensed under the *gnu general public license version 3*",
+        "this program is free software you can redistribute it and or modify it under the terms of the *gnu general public license* as published by the free software foundation either *version 3* of the license or at your option any later version",
+    ],
+    "lgpl-2.1": ["this library is free software you can redistribute it and or modify it under the terms of the *gnu lesser general public license* as published by the free software foundation either *version 2 1* of the license or at your option any later version"],
+    "lgpl-3": ["this program is free software you can redistribute it and or modify it under the terms of the *gnu lesser general public license* as published by the free software foundation either *version 3* of the license or at your option any later version"],
+    "agpl-3": ["this program is free software you can redistribute it and or modify it under the terms of the *gnu affero general public license* as published by the free software foundation either *version 3* of the license or at your option any later version"],
+    "mpl-2": ["this source code form is subject to the terms of the *mozilla public license* v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "epl-2": ["this program and the accompanying materials are made available under the terms of the *eclipse public license 2 0* which is available at"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "cc0": ["to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the *public domain worldwide*"],
+    "cc-by-nc": ["licensed under *cc by nc* 4 0", "this work is licensed under a creative commons *attribution noncommercial* 4 0 international license"],
+    "cc-by-sa": ["licensed under *cc by sa* 4 0", "this work is licensed under a creative commons *attribution sharealike* 4 0 international license"],
+    "cc-by": ["licensed under *cc by 4* 0", "this work is licensed under a creative commons *attribution 4* 0 international license"],
 }
 
 #: Lower-cased bytes, and which of those are of words: 0-9, a-z and all bytes of multi-byte characters.
@@ -41,11 +62,16 @@ class LicenseAutomaton:
         self.phrase_labels = list(phrases.values())
         self.names: list[str] = []
         self.sizes: list[int] = []
+        #: By template, the places (first word, end) of what must be matched as consecutive words.
+        self.keys: list[list[tuple[int, int]]] = []
         self.length, self.link, self.next = [0], [-1], [{}]
         ends: list[set[tuple[int, int]]] = [set()]
         texts = [(label, t) for label, ts in templates.items() for t in ts] + [(label, p) for p, label in phrases.items()]
         for number, (label, text) in enumerate(texts):
-            ids = self.ids(text)
+            parts = [x.split() for x in text.split("*")]
+            at = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+            self.keys.append([(at[i], at[i + 1]) for i in range(1, len(parts), 2)])
+            ids = self.ids(text.replace("*", " "))
             self.names.append(label)
             self.sizes.append(len(ids))
             last = 0
@@ -121,12 +147,36 @@ class LicenseAutomaton:
                 state, n = self.next[state][word], n + 1
             yield n, state
 
-    def chain(self, matches: list[tuple[int, int, int]], most_gap: int, coverage: float = 0.7) -> list[tuple[int, int, int, int]]:
-        """(template, covered words, first word, last word) of the best chain of each template that is matched, and of the
-        best ones that are left, in words on either side of those taken, as long as they reach the coverage.
+    def best_chain(self, found: list[tuple[int, int, int]], most_gap: int) -> tuple[int, list[int]]:
+        """The words of a template that the best chain of its matches covers, and those matches in order.
 
-        matches: (end in the text, length, state). A chain goes forward in text and template alike and leaps at most
-        most_gap words of the text at once; a match that overlaps its forerunner adds only what is new.
+        found: sorted (end in the text, words of the template read, length). A chain goes forward in text and template alike
+        and leaps at most most_gap words of the text at once; a match that overlaps its forerunner adds only what is new.
+        """
+        best: list[tuple[int, int]] = []  # covered words, forerunner
+        for i, (end, read, n) in enumerate(found):
+            cover, before = n, -1
+            for j in range(i - 1, -1, -1):
+                e, r, _ = found[j]
+                if end - n - e > most_gap:
+                    break
+                new = min(n, end - e, read - r)
+                if new > 0 and best[j][0] + new > cover:
+                    cover, before = best[j][0] + new, j
+            best.append((cover, before))
+        i = max(range(len(best)), key=lambda i: best[i][0])
+        cover, links = best[i][0], []
+        while i >= 0:
+            links.append(i)
+            i = best[i][1]
+        return cover, links[::-1]
+
+    def chain(self, matches: list[tuple[int, int, int]], most_gap: int, coverage: float = 0.7) -> list[tuple[int, int, int, int, bool]]:
+        """(template, covered words, first word, last word, whether it counts) of the best chain of each template that is
+        matched, and of the best ones that are left, in words on either side of those taken, as long as they reach the
+        coverage. A chain counts if it reaches the coverage and each of the template's keys lies in one of its matches.
+
+        matches: (end in the text, length, state), by end.
         """
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in matches:
@@ -140,23 +190,14 @@ class LicenseAutomaton:
                 found = todo.pop()
                 if not found:
                     continue
-                best: list[tuple[int, int]] = []  # covered words, first word
-                for i, (end, read, n) in enumerate(found):
-                    cover, first = n, end - n
-                    for j in range(i - 1, max(-1, i - 64), -1):
-                        e, r, _ = found[j]
-                        if end - n - e > most_gap:
-                            break
-                        new = min(n, end - e, read - r)
-                        if new > 0 and best[j][0] + new > cover:
-                            cover, first = best[j][0] + new, best[j][1]
-                    best.append((cover, first))
-                i = max(range(len(best)), key=lambda i: best[i][0])
-                first, last = best[i][1], found[i][0] - 1
-                if not taken or best[i][0] >= coverage * self.sizes[template]:
-                    out.append((template, best[i][0], first, last))
+                cover, links = self.best_chain(found, most_gap)
+                first, last = found[links[0]][0] - found[links[0]][2], found[links[-1]][0] - 1
+                enough = cover >= coverage * self.sizes[template]
+                if not taken or enough:
+                    named = all(any(found[i][1] - found[i][2] <= a and b <= found[i][1] for i in links) for a, b in self.keys[template])
+                    out.append((template, cover, first, last, enough and named))
                 taken = True
-                if best[i][0] >= coverage * self.sizes[template]:
+                if enough:
                     todo += [[x for x in found if x[0] <= first], [x for x in found if x[0] - x[2] > last]]
         return out
 
@@ -167,7 +208,8 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
     Columns: doc_id, n_words, n_base (places of phrases), first_word and last_word (least and greatest start of one,
     else null), base_labels, labels (with the method's own; both distinct, sorted, comma-joined, empty if none), score
     (1 with a phrase, else the largest share of a template that is covered, 0 without a match), spans (label, first
-    and last word, covered share of every place where a template is covered to at least `coverage`).
+    and last word, covered share of every place where a template is covered to at least `coverage` and what tells it from
+    others, between asterisks, stands as consecutive words).
 
     Texts are streamed: words outside the templates' vocabulary end every match, so only runs of known words are led
     through the automaton. The matching statistics at a word give the phrases that end there and, where a match of
@@ -216,10 +258,10 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
                 places, matches = found.get(r, ([], []))
                 covered: list[tuple[str, int, int, float]] = []
                 most = 0.0
-                for template, words, a, b in automaton.chain(matches, most_gap, coverage):
+                for template, words, a, b, counts in automaton.chain(matches, most_gap, coverage):
                     share = words / automaton.sizes[template]
                     most = max(most, share)
-                    if share >= coverage:
+                    if counts:
                         covered.append((automaton.names[template], a, b, share))
                 base = {automaton.phrase_labels[p] for _, p in places}
                 at = [s for s, _ in places]
