@@ -226,15 +226,51 @@ def bitmaps(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, bits binary").groupBy("node").agg(F.first("bits").alias("bits"))
 
 
-def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction, block: int = 1 << 18) -> DataFrame:
+class MetPairs:
+    """How often pairs of nodes have met in a task, summed up whenever many have come together."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.parts: list[np.ndarray] = []
+        self.held, self.most = 0, most
+
+    def add(self, pairs: np.ndarray) -> None:
+        """Rows of a, b, size of a, size of b, times met."""
+        if len(pairs):
+            self.parts.append(pairs)
+            self.held += len(pairs)
+
+    def full(self) -> bool:
+        """Whether there are too many distinct pairs to hold."""
+        if self.held > self.most:
+            self.parts = [self.summed()]
+            self.held = len(self.parts[0])
+        return self.held > self.most // 2
+
+    def summed(self) -> np.ndarray:
+        rows = np.concatenate([np.zeros((0, 5), np.int64), *self.parts])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))) if len(rows) else np.zeros(0, np.int64)
+        out = rows[new]
+        out[:, 4] = np.add.reduceat(rows[:, 4], new) if len(new) else 0
+        return out
+
+    def batch(self) -> pa.RecordBatch:
+        rows = self.summed()
+        self.parts, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "na", "nb", "met"])
+
+
+def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction, block: int = 1 << 15) -> DataFrame:
     """The pairs (a, b) of shared (shingle, n, node, pos, component) that meet in a shingle, hang not together yet, and
     whose sizes, positions, bitmaps and number of meetings leave room for a similarity of `least`.
 
     All that two sets share up to the end of the prefix that ends first are meetings, so they share at most the number of
-    meetings and what is left of that set. Pairs are weighed in the task where they meet; only those left become rows."""
+    meetings and what is left of that set. Pairs are weighed in the task where they meet, and a task gives each that is left
+    once, with the number of its meetings there."""
     p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = MetPairs()
         for shingle, n, node, pos, component, bits in whole_groups(batches):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS)
@@ -254,17 +290,19 @@ def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction,
                 differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
                 good = (n[a] + n[b] - differ) * (p + q) >= 2 * p * (n[a] + n[b])
                 a, b = a[good], b[good]
-                if len(a):
-                    swap = node[a] > node[b]
-                    a, b = np.where(swap, b, a), np.where(swap, a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], ["a", "b", "na", "nb"])
+                swap = node[a] > node[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                met.add(np.stack([node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)], axis=1))
+                if met.full():
+                    yield met.batch()
                 lo = hi
+        yield met.batch()
 
     with_bits = shared.join(bitmaps(texts, shared.select("node").distinct(), width), "node").select("shingle", "n", "node", "pos", "component", "bits")
     dealt = with_bits.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    met = dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
+    met = dealt.mapInArrow(run, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     after = F.greatest(*[F.expr(f"{n} - {prefix_sql(n, least)}") for n in ("na", "nb")])
-    return met.where((F.col("count") + after) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+    return met.where((F.col("met") + after) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
