@@ -17,15 +17,27 @@ QUOTED = r"(?m)^[ \t]*>"
 ANNOUNCES = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
 
+#: What parts paragraphs, and what parts sentences.
+BLANK_LINE = r"\n[ \t]*\n"
+SENTENCE_END = r"[.!?]+[ \t\n]+|\n[ \t]*\n"
+
+
 def normal(text: Column) -> Column:
     """Lower-cased letters and digits with one blank between words."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def parts_of(text: Column) -> Column:
+    """The distinct normalised texts of a passage: the whole, its lines, its paragraphs and its sentences, none of them empty."""
+    pieces = F.concat(F.array(text), F.split(text, "\n", -1), F.split(text, BLANK_LINE, -1), F.split(text, SENTENCE_END, -1))
+    return F.array_distinct(F.filter(F.transform(pieces, normal), lambda x: x != ""))
+
+
 def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """messages with lines (level, content), passages (level, lines of normalised text) and body, the text without quotes.
+    """messages with lines (level, content), passages (level, parts) and body, the text without quotes.
 
-    A passage is a run of lines of one level. A line that announces a quotation and the quoted lines leave the body.
+    A passage is a run of lines of one level: its normalised text as a whole, by lines, by paragraphs (runs of lines without a
+    blank one, however wrapped) and by sentences. A line that announces a quotation and the quoted lines leave the body.
     """
     level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
     content = lambda line: F.when(level(line) > 0, F.ltrim(F.regexp_replace(line, MARKS, ""))).otherwise(line)
@@ -36,10 +48,10 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(start: Column, k: Column) -> Column:
         end = F.coalesce(F.get("bounds_", k + 1), F.col("size_"))
-        part = F.transform(F.slice("lines", start + 1, end - start), lambda x: normal(x["content"]))
-        return F.struct(F.get("lines", start)["level"].alias("level"), F.filter(part, lambda x: x != "").alias("text"))
+        part = F.transform(F.slice("lines", start + 1, end - start), lambda x: x["content"])
+        return F.struct(F.get("lines", start)["level"].alias("level"), parts_of(F.array_join(part, "\n")).alias("parts"))
 
-    runs = F.filter(F.transform("bounds_", run), lambda p: F.size(p["text"]) > 0)
+    runs = F.filter(F.transform("bounds_", run), lambda p: F.size(p["parts"]) > 0)
     announces = lambda x, i: x["content"].rlike(ANNOUNCES) & F.coalesce(F.get("lines", i + 1)["level"] > 0, F.lit(False))
     own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~announces(x, i))
     body = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"^\s+|\s+$", "")
@@ -49,9 +61,8 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def keys_of(run: Column) -> Column:
-    """(hash, weight) of a passage as a whole and of its lines; the weight is the length of what was hashed."""
-    one = lambda text: F.struct(F.xxhash64(text).alias("key"), F.length(text).alias("weight"))
-    return F.array_distinct(F.concat(F.array(one(F.array_join(run["text"], " "))), F.transform(run["text"], one)))
+    """(hash, weight) of the parts of a passage; the weight is the length of what was hashed. Parts are distinct texts."""
+    return F.transform(run["parts"], lambda text: F.struct(F.xxhash64(text).alias("key"), F.length(text).alias("weight")))
 
 
 def link_quotes(quoting: DataFrame, messages: DataFrame) -> DataFrame:
@@ -62,14 +73,18 @@ def link_quotes(quoting: DataFrame, messages: DataFrame) -> DataFrame:
     that a third of all messages share is one row on that side. A passage links to the original that covers most of it;
     a message replies to the original of its shallowest linked passage, the latest one of several.
     """
-    body = F.struct(F.lit(0).alias("level"), F.array(normal(F.col("body"))).alias("text"))
+    body = F.struct(F.lit(0).alias("level"), F.array(normal(F.col("body"))).alias("parts"))
     conversations = quoting.select(F.col("conv_id").alias("quoted_in")).distinct()
     parsed = parse_quotes(messages.join(conversations, F.col("conv_id").eqNullSafe(F.col("quoted_in")), "left_semi"))
-    written = parsed.select("conv_id", "turn", F.explode(F.array_append("own_runs", body)).alias("run")).select("conv_id", "turn", F.explode(keys_of(F.col("run"))["key"]).alias("key"))
-    first = written.where(F.col("turn").isNotNull()).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
+    # Outer explodes: an inner one puts a filter on the arrays below the projections that make them, where the whole text
+    # would be split again for every line.
+    runs = parsed.select("conv_id", "turn", F.explode_outer(F.array_append("own_runs", body)).alias("run"))
+    written = runs.select("conv_id", "turn", keys_of(F.col("run"))["key"].alias("keys")).select("conv_id", "turn", F.explode_outer("keys").alias("key"))
+    first = written.where(F.col("turn").isNotNull() & F.col("key").isNotNull()).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
     first = first.select(F.col("conv_id").alias("in_conv"), F.col("key").alias("in_key"), "origin")
-    cited = quoting.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("passage", "run"))
-    cited = cited.select("conv_id", "turn", "passage", F.col("run.level").alias("level"), F.explode(keys_of(F.col("run"))).alias("k"))
+    cited = quoting.select("conv_id", "turn", F.posexplode_outer("passages").alias("passage", "run"))
+    keyed = cited.select("conv_id", "turn", "passage", F.col("run.level").alias("level"), keys_of(F.col("run")).alias("ks"))  # so that no row below has the passage
+    cited = keyed.select("conv_id", "turn", "passage", "level", F.explode_outer("ks").alias("k")).where(F.col("k").isNotNull())
     met = cited.join(first, cited["conv_id"].eqNullSafe(first["in_conv"]) & (cited["k.key"] == first["in_key"])).where(F.col("origin") < F.col("turn"))
     weighed = met.groupBy("conv_id", "turn", "passage", "level", "origin").agg(F.sum("k.weight").alias("weight"))
     chosen = weighed.groupBy("conv_id", "turn", "passage", "level").agg(F.max_by("origin", F.struct("weight", "origin")).alias("origin"))

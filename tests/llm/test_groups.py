@@ -201,6 +201,40 @@ def test_op7_links_bodies_and_order(spark):
     assert link_quotations(df.limit(0)).count() == 0
 
 
+LETTERS = [
+    (3, 0, "user", "Hello there, all. How are you? The weather is fine."),
+    (3, 1, "a", "The first paragraph is of no\nfurther interest. At all.\n\nBut this one runs over some\nlines and is then quoted.\n\nThe last."),
+    (3, 2, "b", "> How are you?\nThanks, well."),
+    (3, 3, "c", "> But this one\n> runs over some lines and\n> is then quoted.\n\nAgreed"),
+    (3, 4, "d", "> of no further interest\nunlinked"),
+    (3, 5, "e", "> > Thanks, well.\n> The last.\n\nyes"),
+]
+
+
+def test_op7_links_sentences_and_paragraphs_however_wrapped(spark, duck):
+    import duckdb
+
+    df = spark.createDataFrame(LETTERS, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in link_quotations(df).collect()}
+    assert [got[t]["reply_to"] for t in range(6)] == [None, None, 0, 1, None, 1]
+    assert got[5]["n_linked"] == 2 and got[3]["text"] == "Agreed"
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", LETTERS)
+    found = con.execute(f"select turn, reply_to, n_linked, position, text from ({registry.oracle_sql()['op7_quotations']}) order by turn").fetchall()
+    assert found == [(t, r["reply_to"], r["n_linked"], r["position"], r["text"]) for t, r in sorted(got.items())]
+
+
+def test_op7_long_passages_take_linear_time(spark):
+    import time
+
+    lines = [f"line number {i} of a long message" for i in range(10_000)]
+    df = spark.createDataFrame([(1, 0, "a", "\n".join(lines)), (1, 1, "b", "\n".join("> " + x for x in lines) + "\nyes")], "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    assert [r["reply_to"] for r in link_quotations(df).orderBy("turn").collect()] == [None, 0]
+    assert time.perf_counter() - began < 90
+
+
 def test_op7_texts_without_quotes_stay_as_they_are(spark, sf_dir):
     chat = registry.table(spark, sf_dir, "conversations")
     got = registry.op7_quotations(spark, sf_dir)
