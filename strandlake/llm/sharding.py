@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import cut_lineage
@@ -75,36 +75,63 @@ def deal(sizes: dict[int, int], texts: dict[int, int], shards: int) -> dict[int,
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, *, ranges_per_shard: int = 256, draws_per_range: int = 16, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def draw(rows: DataFrame, rate: Column, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text_key, id, weight) of rows drawn with a chance of size times rate, each weighing so that sums are as in rows."""
+    drawn = F.shiftrightunsigned(F.xxhash64("text_key", "ident", F.lit(seed)), 11) * F.lit(2.0**-53) < F.col("size") * rate
+    sample = rows.where(drawn).select("text_key", "ident", F.greatest(F.col("size").cast("double"), 1 / rate).alias("weight")).toPandas()
+    return sample["text_key"].to_numpy(np.int64), sample["ident"].to_numpy(np.int64), sample["weight"].to_numpy(float)
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, *, ranges_per_shard: int = 256, draws_per_range: int = 16, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its shard (0 to shards-1) and slot, under the law `bytes`: shards of near equal size.
 
     Columns: doc_id, size (UTF-8 bytes plus 1; a null text has none), text_crc32, law, shard, slot (0, 1, ... in each
     shard, in key order), grown_shard (null), range (the range that the row fell into).
 
-    The key is (hash of the text, doc_id), so equal texts are neighbours. Rows are drawn with a chance in proportion
-    to their size, shards * ranges_per_shard quantiles of the draws become splitters (a bounded number of rows on the
-    driver, whatever the input's size), ranges are counted exactly and dealt to shards. Copies of one text share a
-    shard unless they alone outweigh one; then their ranges, cut by doc_id, are dealt singly.
-    Null or empty texts have size 1 and share the key of the empty text; null ids sort first; repeated rows take
-    neighbouring slots; an empty table gives no rows; other columns of docs are ignored.
+    The key is (hash of the text, id), so equal texts are neighbours. Rows are drawn with a chance in proportion to their
+    size, shards * ranges_per_shard quantiles of the draws become splitters (a bounded number of rows on the driver, whatever
+    the input's size), and ranges are counted exactly. A range of over twice the mean is subdivided: rows are drawn from it
+    alone, as many as it is overfull, and their quantiles are splitters as well; so on for `rounds` rounds. Ranges are dealt to
+    shards; copies of one text share a shard unless they alone outweigh one, then their ranges are dealt singly.
+
+    Null or empty texts have size 1 and share the key of the empty text. Rows without an id take a number for it, and come
+    first among equal texts; rows that are equal in text and id stay in one range and take neighbouring slots, in any order.
+    An empty table gives no rows; other columns of docs are ignored.
     """
-    keys = cut_lineage(shard_keys(docs, id_col, text_col))
+    ident = F.coalesce("doc_id", F.lit(LEAST) + F.monotonically_increasing_id())
+    keys = cut_lineage(shard_keys(docs, id_col, text_col).withColumn("ident", ident))
     ranges = shards * ranges_per_shard
     total = keys.agg(F.sum("size")).first()[0] or 0
-    rate = ranges * draws_per_range / max(total, 1)
-    ident = F.coalesce("doc_id", F.lit(LEAST))
-    drawn = F.shiftrightunsigned(F.xxhash64("text_key", "doc_id", F.lit(seed)), 11) * F.lit(2.0**-53) < F.col("size") * rate
-    sample = keys.where(drawn).select("text_key", ident.alias("id"), F.greatest(F.lit(1.0), F.col("size") * rate).alias("weight")).toPandas()
-    bound_keys, bound_ids = choose_splitters(sample["text_key"].to_numpy(np.int64), sample["id"].to_numpy(np.int64), sample["weight"].to_numpy(float), ranges)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(LEAST).to_numpy()
-            numbers = range_numbers(b.column(3).to_numpy(), ids, bound_keys, bound_ids)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers.astype(np.int32))], [*b.schema.names, "range"])
-
-    placed = keys.mapInArrow(place, "doc_id long, size long, text_crc32 long, text_key long, range int")
-    counts = placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # at most twice `ranges` rows
+    found = draw(keys, F.lit(ranges * draws_per_range / max(total, 1)), seed)
+    bounds = choose_splitters(*found, ranges)
+
+    def placed(bound_keys: np.ndarray, bound_ids: np.ndarray) -> DataFrame:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                numbers = range_numbers(b.column(3).to_numpy(), b.column(4).to_numpy(), bound_keys, bound_ids)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers.astype(np.int32))], [*b.schema.names, "range"])
+
+        return keys.mapInArrow(place, "doc_id long, size long, text_crc32 long, text_key long, ident long, range int")
+
+    mean = max(1, total / ranges)
+    for turn in range(rounds + 1):
+        rows = placed(*bounds)
+        counts = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(F.struct("text_key", "ident")).alias("low"), F.max(F.struct("text_key", "ident")).alias("high")).collect()  # a few times `ranges` rows
+        over = {r["range"]: r["size"] for r in counts if r["size"] > 2 * mean and r["low"] != r["high"]}
+        if not over or turn == rounds:
+            break
+        wanted = docs.sparkSession.createDataFrame([(r, draws_per_range / mean) for r in over], "of_range int, rate double")
+        again = rows.join(F.broadcast(wanted), rows["range"] == F.col("of_range"))
+        more = draw(again, F.col("rate"), seed + 1 + turn)
+        old = set(zip(*(b.tolist() for b in bounds), strict=True))
+        where = range_numbers(more[0], more[1], *bounds)
+        for r, size in over.items():
+            mine = where == r
+            old |= set(zip(*(b.tolist() for b in choose_splitters(*(x[mine] for x in more), int(size / mean) + 1)), strict=True))
+        both = np.array(sorted(old), np.int64).reshape(-1, 2)
+        bounds = both[:, 0], both[:, 1]
+
+    bound_keys, bound_ids = bounds
     one_text = {r: int(bound_keys[r - 1]) for r in range(1, len(bound_keys)) if bound_keys[r] == bound_keys[r - 1] or bound_ids[r - 1] != LEAST}
     shard_of = deal({r["range"]: r["size"] for r in counts}, one_text, shards)
     base, dealt = [0] * shards, []
@@ -113,5 +140,5 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, ranges_per_shard: int = 2
         dealt.append((r["range"], s, base[s]))
         base[s] += r["n"]
     places = docs.sparkSession.createDataFrame(dealt, "range int, shard int, base long")
-    slot = F.row_number().over(Window.partitionBy("range").orderBy("text_key", "doc_id", "size")) + F.col("base") - 1
-    return placed.join(F.broadcast(places), "range").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "range")
+    slot = F.row_number().over(Window.partitionBy("range").orderBy("text_key", "ident")) + F.col("base") - 1
+    return rows.join(F.broadcast(places), "range").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "range")

@@ -67,6 +67,50 @@ def test_op1_odd_rows(spark, odd):
     assert max(slots.values()) == 1
 
 
+def test_op1_ranges_that_the_sample_missed_are_cut(spark):
+    """A few draws only, texts of one id or none: after the counts no range of several rows is over twice the mean."""
+    rows = [(i if i % 3 else None, f"text {i} " + "x" * (i % 97) if i % 4 else "hot " * 30) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = assign_shards(df, 4, ranges_per_shard=16, draws_per_range=1, rounds=6).collect()
+    check_shards_of(got, [len((t or "").encode()) + 1 for _, t in rows], 4)
+    load = Counter()
+    for r in got:
+        load[r["range"]] += r["size"]
+    assert max(load.values()) <= 2 * sum(load.values()) / 64
+
+
+def check_shards_of(got, sizes, shards):
+    """The law and the dealing, by rows: all sizes are there, slots have no gap, shards differ little, ranges lie in one shard
+    and take neighbouring slots."""
+    assert sorted(r["size"] for r in got) == sorted(sizes)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append((r["slot"], r["range"], r["size"]))
+    for rows in by.values():
+        rows.sort()
+        assert [s for s, _, _ in rows] == list(range(len(rows)))
+        changes = sum(a != b for (_, a, _), (_, b, _) in zip(rows, rows[1:], strict=False))
+        assert changes == len({r for _, r, _ in rows}) - 1
+    assert sum(len({r for _, r, _ in rows}) for rows in by.values()) == len({r["range"] for r in got})
+    loads = [sum(s for _, _, s in rows) for rows in by.values()]
+    assert max(loads) <= 1.05 * sum(loads) / shards
+
+
+def test_op1_dealing_like_a_plain_one(spark, documents):
+    got = assign_shards(documents).collect()
+    check_shards_of(got, [len((r["text"] or "").encode()) + 1 for r in documents.collect()], 8)
+    sizes, texts = Counter(), defaultdict(set)
+    for r in got:
+        sizes[r["range"]] += r["size"]
+        texts[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(len(s) == 1 for s in texts.values())
+    # Largest range first to the lightest shard: the heaviest shard exceeds the lightest by one range at most.
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) <= max(sizes.values())
+
+
 def test_op1_range_numbers():
     rng = np.random.default_rng(1)
     keys = rng.integers(-5, 5, 400)
