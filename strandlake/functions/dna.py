@@ -38,6 +38,22 @@ def words_of(text: Column, width: int, base: int) -> Column:
     return F.when(F.length(text) % width == 0, F.array_append(words, F.lit(0).cast("long"))).otherwise(words)
 
 
+def running_sums(values: Column | str, block: int = 512) -> Column:
+    """The sums of an array of longs up to each element. Blocks are summed one by one and then shifted by those before, as an
+    array that grows by an element is copied each time."""
+    zero = F.lit(0).cast("long")
+    at = lambda a: F.coalesce(F.get(a, F.size(a) - 1), zero)
+    sums = lambda x: F.aggregate(x, F.array().cast("array<bigint>"), lambda a, v: F.array_append(a, at(a) + v))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(col(values)) / block) - 1, F.lit(0)).cast("int")), lambda i: sums(F.slice(col(values), i * block + 1, block)))
+    both = F.aggregate(
+        blocks,
+        F.struct(zero.alias("before"), F.array().cast("array<array<bigint>>").alias("out")),
+        lambda a, b: F.struct((a["before"] + at(b)).alias("before"), F.array_append(a["out"], F.transform(b, lambda v: v + a["before"])).alias("out")),
+        lambda a: a["out"],
+    )
+    return F.flatten(both)
+
+
 def dna_len(seq: Column | str) -> Column:
     """Residues, as bytes."""
     return F.octet_length(col(seq)).cast("long")

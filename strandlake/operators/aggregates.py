@@ -58,25 +58,58 @@ def kmer_counts(records: DataFrame, k: int, *, canonical: bool = True, seq: str
 
 def minimizers(records: DataFrame, k: int = 21, w: int = 11, *, seq: str = "seq") -> DataFrame:
     """The columns of records but seq, run_index, position and minimizer: in every window of w neighbouring words of k
-    residues the one of the least hash, the leftmost of several; each place once."""
+    residues the one whose canonical form has the least MD5 digest, the leftmost of several; each place once.
+
+    The place of a window's minimum never goes back, so a place is new if it differs from that of the window before.
+    """
     rest = [c for c in records.columns if c != seq]
-    runs = records.select(*rest, F.posexplode(dna.actg_runs(F.upper(F.col(seq)))).alias("run_index", "run")).where(F.length("run") >= k + w - 1)
-    words = F.transform(dna.kmers("run", k), lambda x, i: F.struct(F.xxhash64(dna.canonical(x)).alias("h"), i.alias("position"), x.alias("minimizer")))
+    runs = records.select(*rest, F.posexplode_outer(dna.actg_runs(F.upper(F.col(seq)))).alias("run_index", "run")).where(F.length("run") >= k + w - 1)
+    words = F.transform(dna.kmers("run", k), lambda x, i: F.struct(F.md5(dna.canonical(x)).alias("h"), i.alias("position"), x.alias("minimizer")))
     least = lambda i: F.array_min(F.slice("words_", i, w))
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words_") - w + 1), least))
-    picked = runs.withColumn("words_", words).select(*rest, "run_index", F.explode(windows).alias("m"))
+    windows = runs.select(*rest, "run_index", words.alias("words_")).select(*rest, "run_index", F.transform(F.sequence(F.lit(1), F.size("words_") - w + 1), least).alias("windows_"))
+    new = F.filter("windows_", lambda x, i: (i == 0) | (x["position"] != F.get("windows_", i - 1)["position"]))
+    picked = windows.select(*rest, "run_index", F.explode_outer(new).alias("m")).where("m is not null")
     return picked.select(*rest, "run_index", F.col("m.position").alias("position"), F.col("m.minimizer").alias("minimizer"))
 
 
+def blocked(records: DataFrame, order: list[str], by: tuple[str, ...], block: int) -> DataFrame:
+    """records with block_, the number of the block of `block` values of order's first column (a number) that they are in."""
+    return records.withColumn("block_", F.floor(F.col(order[0]) / block).cast("long"))
+
+
 def merge_sequences(records: DataFrame, order: list[str], *by: str, seq: str = "seq") -> DataFrame:
-    """All sequences of a group as one, in order. The result grows with the input; a group must fit a row."""
+    """All sequences of a group as one, in order. The result grows with the input; a group must fit a row. For groups of any
+    size see merged_parts."""
     parts = F.sort_array(F.collect_list(F.struct(*order, F.col(seq).alias("s_"))))
     return records.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["s_"]), "").alias(seq))
 
 
-def running_length(records: DataFrame, order: list[str], *by: str, length: str = "dna_len") -> DataFrame:
-    """records with merged_len: how long the merged sequence is after each record."""
-    return records.withColumn("merged_len", F.sum(length).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+def merged_parts(records: DataFrame, order: list[str], *by: str, seq: str = "seq", block: int = 1 << 16) -> DataFrame:
+    """The merged sequence of each group in parts: by, part, merged_start (where the part begins in it) and seq, the
+    sequences of records whose first order column, a number such as byte_start, lies in one block of values."""
+    parts = F.sort_array(F.collect_list(F.struct(*order, F.col(seq).alias("s_"))))
+    rows = blocked(records, order, by, block).groupBy(*by, "block_").agg(F.array_join(F.transform(parts, lambda p: p["s_"]), "").alias(seq))
+    sizes = rows.select(*by, "block_", dna.dna_len(seq).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("block_").alias("block_of"), before.alias("merged_start"))
+    same = [rows[c].eqNullSafe(starts[f"{c}_of"]) for c in by] + [rows["block_"].eqNullSafe(starts["block_of"])]
+    return rows.join(starts, same).select(*by, F.col("block_").alias("part"), "merged_start", seq)
+
+
+def running_length(records: DataFrame, order: list[str], *by: str, length: str = "dna_len", block: int = 1 << 16) -> DataFrame:
+    """records with merged_len: how long the merged sequence is after each record.
+
+    Sums run within blocks of values of order's first column, a number such as record_index or byte_start, and blocks are
+    summed up: a window sees one block, or one row for each block of a group, never a group's records.
+    """
+    rows = blocked(records, order, by, block)
+    local = F.sum(length).over(Window.partitionBy(*by, "block_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy(*by, "block_").agg(F.sum(length).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("block_").alias("block_of"), before.alias("before_"))
+    same = [rows[c].eqNullSafe(base[f"{c}_of"]) for c in by] + [rows["block_"].eqNullSafe(base["block_of"])]
+    out = rows.withColumn("local_", local).join(base, same)
+    return out.withColumn("merged_len", F.col("local_") + F.col("before_")).select(*records.columns, "merged_len")
 
 
 def throughput_stats(runs: DataFrame, *by: str, seconds: str = "seconds", n_bytes: str = "bytes") -> DataFrame:

@@ -26,17 +26,12 @@ def split_runs(records: DataFrame, seq: str = "seq") -> DataFrame:
 
     Records without a run give no row. All other columns stay, seq goes.
     """
-    spans = F.split(F.regexp_replace(F.col(seq), r"([ACGTacgt]+)", "$1\u0001"), "\u0001")
-    parts = F.filter(spans, lambda p: p.rlike("[ACGTacgt]$"))
-    ends = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")),
-        lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.array_append(a["ends"], a["at"] + F.octet_length(p)).alias("ends")),
-        lambda a: a["ends"],
-    )
-    zipped = F.arrays_zip(dna.actg_runs(seq).alias("run"), ends.alias("run_end"))
     rest = [c for c in records.columns if c != seq]
-    out = records.select(*rest, F.posexplode(zipped).alias("run_index", "r_"))
+    # A gap stands before each run, an empty one too, and a last one behind.
+    parts = records.select(*rest, dna.actg_runs(seq).alias("runs_"), F.split(F.col(seq), "[ACGTacgt]+", -1).alias("gaps_"))
+    sizes = F.zip_with("runs_", F.slice("gaps_", 1, F.greatest(F.size("gaps_") - 1, F.lit(0))), lambda r, g: (F.octet_length(r) + F.octet_length(g)).cast("long"))
+    ended = parts.select(*rest, "runs_", sizes.alias("sizes_")).select(*rest, "runs_", dna.running_sums("sizes_").alias("ends_"))
+    out = ended.select(*rest, F.posexplode_outer(F.arrays_zip(F.col("runs_").alias("run"), F.col("ends_").alias("run_end"))).alias("run_index", "r_")).where("r_ is not null")
     return out.select(*rest, "run_index", (F.col("r_.run_end") - F.octet_length("r_.run")).alias("run_start"), F.col("r_.run_end").alias("run_end"), F.col("r_.run").alias("run"))
 
 

@@ -276,7 +276,22 @@ def q_rank_window(spark, sf_dir):
     return rows.select("k", "seq", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("dna_len"), "k")).cast("long").alias("place"))
 
 
-@query()
+@query("""with reads, r as (select k, list_transform(regexp_extract_all(seq, '([ACGTacgt]+)', 1), lambda x: upper(x)) as rs from reads),
+runs as (select k, i - 1 as run_index, rs[i] as run from (select k, rs, unnest(generate_series(1, len(rs))) as i from r) t where length(rs[i]) >= 31),
+words as (select k, run_index, p as position, substr(run, (p + 1)::int, 21) as m from (select k, run_index, run, unnest(generate_series(0, length(run) - 21)) as p from runs) t),
+hashed as (select *, md5(least(m, reverse(translate(m, 'ACGT', 'TGCA')))) as h from words),
+spread as (select a.k, a.run_index, a.position as first, b.position, b.m, b.h from hashed a join hashed b on a.k = b.k and a.run_index = b.run_index and b.position between a.position and a.position + 10),
+least_of as (select k, run_index, first, arg_min(position, (h, position)) as position, arg_min(m, (h, position)) as minimizer, count(*) as n from spread group by all)
+select distinct k, run_index::int as run_index, position::int as position, minimizer from least_of where n = 11""")
 def q_minimizers(spark, sf_dir):
-    """k = 21, w = 11; the hash has no counterpart in SQL."""
-    return agg.minimizers(parsed(spark, sf_dir, columns=("header", "seq")), 21, 11).select("k", "run_index", "position", "minimizer")
+    """k = 21, w = 11, by the MD5 digests of canonical words."""
+    rows = parsed(spark, sf_dir, columns=("header", "seq"))
+    return agg.minimizers(rows, 21, 11).select("k", "run_index", "position", "minimizer")
+
+
+@query("with reads select k // 64 as text_id, string_agg(seq, '' order by k) as seq from reads group by 1")
+def q_merged_parts(spark, sf_dir):
+    """The merged sequences in parts of 16 records, put together again."""
+    parts = agg.merged_parts(parsed(spark, sf_dir, columns=("header", "seq", "record_index")), ["record_index"], "text_id", block=16)
+    whole = F.sort_array(F.collect_list(F.struct("merged_start", "seq")))
+    return parts.groupBy("text_id").agg(F.array_join(F.transform(whole, lambda p: p["seq"]), "").alias("seq"))

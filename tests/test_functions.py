@@ -198,3 +198,59 @@ def test_throughput(spark):
     df = spark.createDataFrame([("a", 1.0, 2_000_000_000), ("a", 2.0, 2_000_000_000), ("b", 1.0, 1_000_000_000)], "name string, seconds double, bytes long")
     got = {r["name"]: r for r in agg.throughput_stats(df, "name").collect()}
     assert (got["a"]["mean_gbs"], got["a"]["stdev_gbs"], round(got["a"]["cv"], 6), got["b"]["cv"]) == (1.5, 0.5, round(1 / 3, 6), 0.0)
+
+
+def test_runs_of_any_bytes_and_many_of_them(spark):
+    """Offsets are those of the sequence whatever the gaps hold, and 60,000 runs of a record take little time."""
+    import re
+    import time
+
+    from strandlake.operators.project import split_runs
+
+    texts = ["AC\x01GT", "\x01\x02ACGT\x01", "", "NN", "é A é C", "ACGT", "\tA\nC", "aN" * 1500 + "GG"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, seq string")
+    got = sorted((r["k"], r["run_index"], r["run_start"], r["run_end"], r["run"]) for r in split_runs(df).collect())
+    expected = [(k, i, m.start(), m.end(), m[0].decode()) for k, t in enumerate(texts) for i, m in enumerate(re.finditer(rb"[ACGTacgt]+", t.encode()))]
+    assert got == expected
+    many = spark.createDataFrame([(1, "ACN" * 60_000)], "k long, seq string")
+    began = time.perf_counter()
+    last = split_runs(many).orderBy(F.desc("run_index")).first()
+    assert (last["run_start"], last["run_end"]) == (179_997, 179_999) and time.perf_counter() - began < 60
+
+
+def test_minimizers_of_long_runs_like_a_plain_scan(spark):
+    import hashlib
+    import random
+
+    from strandlake.operators.aggregates import minimizers
+
+    rng = random.Random(4)
+    seq = "".join(rng.choices("ACGTacgt", k=6000)) + "N" + "A" * 400 + "NNN" + "".join(rng.choices("ACGT", k=30))
+    expected, index = [], 0
+    for index, run in enumerate(seq.upper().replace("N", " ").split()):
+        def digest(i, run=run):
+            w = run[i : i + 21]
+            return hashlib.md5(min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))).encode()).hexdigest()
+
+        places = {min(range(at, at + 11), key=lambda i: (digest(i), i)) for at in range(len(run) - 30)}
+        expected += [(index, p, run[p : p + 21]) for p in places]
+    got = [(r["run_index"], r["position"], r["minimizer"]) for r in minimizers(spark.createDataFrame([(seq,)], "seq string")).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_running_length_and_parts_across_blocks(spark):
+    from strandlake.operators.aggregates import merge_sequences, merged_parts, running_length
+
+    rows = [(f, i * 3, "ACGT" * (i % 5)) for f in ("x", "y", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "file string, byte_start long, seq string").withColumn("dna_len", F.octet_length("seq"))
+    got = {(r["file"], r["byte_start"]): r["merged_len"] for r in running_length(df, ["byte_start"], "file", block=16).collect()}
+    for f in ("x", "y", None):
+        total = 0
+        for _, at, seq in (r for r in rows if r[0] == f):
+            total += len(seq)
+            assert got[f, at] == total
+    whole = {r["file"]: r["seq"] for r in merge_sequences(df, ["byte_start"], "file").collect()}
+    for r in merged_parts(df, ["byte_start"], "file", block=16).collect():
+        assert whole[r["file"]][r["merged_start"] :].startswith(r["seq"])
+    assert sum(len(r["seq"]) for r in merged_parts(df, ["byte_start"], block=16).collect()) == sum(map(len, whole.values()))
+    assert running_length(df, ["byte_start"], block=16).agg(F.max("merged_len")).first()[0] == sum(map(len, whole.values()))
