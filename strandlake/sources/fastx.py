@@ -8,7 +8,9 @@ compressed files are one task each. Only the columns of the requested schema are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +111,9 @@ class FastxReader(DataSourceReader):
         self.with_seqs = bool({"seq", "quality", "dna_len"} & set(schema.names))
 
     def partitions(self) -> list[FilePart]:
-        return [part for path, size in list_inputs(self.paths) for part in self.parts_of(path, size)] or [FilePart("", 0, 0, 0, None, "whole", None, False)]
+        with ThreadPoolExecutor(32) as pool:  # looking into files waits for the store
+            parts = [part for parts in pool.map(lambda f: self.parts_of(*f), list_inputs(self.paths)) for part in parts]
+        return parts or [FilePart("", 0, 0, 0, None, "whole", None, False)]
 
     def parts_of(self, path: str, size: int) -> list[FilePart]:
         with open_input(path) as file:
@@ -167,10 +171,9 @@ class FastxReader(DataSourceReader):
         with open_input(part.path) as file:
             if part.cut_by == "whole":
                 yield from scan_pieces(decoded_pieces(file, part.codec), self.with_seqs)
-            elif part.cut_by == "bytes":
-                yield from owned(part, self.plain(file, part.start), part.end - part.start, self.with_seqs)
             else:
-                yield from owned(part, *self.framed(file, part), self.with_seqs)
+                own = Own(part.end - part.start if part.cut_by == "bytes" else None)
+                yield from owned(part, self.plain(file, part.start) if part.cut_by == "bytes" else self.framed(file, part, own), own, self.with_seqs)
 
     @staticmethod
     def plain(file, start: int) -> Iterator[bytes]:
@@ -178,62 +181,97 @@ class FastxReader(DataSourceReader):
         return raw_pieces(file)
 
     @staticmethod
-    def framed(file, part: FilePart) -> tuple[Iterator[bytes], int]:
-        """The decompressed bytes from the range's first block or frame on, and how many are of the range."""
-        start = part.start
-        end: int | None = part.end
+    def framed(file, part: FilePart, own: Own) -> Iterator[bytes]:
+        """The decompressed bytes from the range's first block or frame on, each decoded once. How many are of the range is
+        known, and told, once those behind it are asked for."""
+        start, end = part.start, part.end
         if part.cut_by == "bgzf":
             start = next_bgzf_block(file, part.start, part.size) if part.start else 0
             end = next_bgzf_block(file, part.end, part.size) if part.end < part.size else part.size
-            if start is None or start == end:
-                return iter(()), 0
-
-        def limited() -> Iterator[bytes]:
+            end = part.size if end is None else end
+        total = 0
+        if start is not None and start != end:
             file.seek(start)
-            left = (end or part.size) - start
-            while left and (piece := file.read(min(left, 1 << 20))):
-                left -= len(piece)
+            for piece in decoded_pieces(Stretch(file, end - start), part.codec):
+                total += len(piece)
                 yield piece
+        own.n = total
+        if total and end < part.size:
+            file.seek(end)
+            yield from decoded_pieces(file, part.codec)
 
-        if part.cut_by == "bgzf":
-            own = sum(len(p) for p in gzip_pieces(limited()))
-            file.seek(start)
-            return gzip_pieces(raw_pieces(file)), own
-        import io
 
-        own = sum(len(p) for p in decoded_pieces(io.BytesIO(b"".join(limited())), part.codec))
-        file.seek(start)
-        return decoded_pieces(file, part.codec), own
+class Stretch:
+    """The next n bytes of a file, as a file."""
 
+    def __init__(self, file, n: int):
+        self.file, self.left = file, n
 
-def owned(part: FilePart, pieces: Iterator[bytes], own: int, with_seqs: bool = True) -> Iterator[tuple[str, Records]]:
-    """The records whose line feed before them lies in the first `own` bytes; the file's first record needs none."""
-    if not own:
-        return
-    held, scan = b"", None
-    base = part.start if part.cut_by == "bytes" else 0
+    def read(self, n: int = -1) -> bytes:
+        data = self.file.read(self.left if n < 0 else min(n, self.left))
+        self.left -= len(data)
+        return data
+
+
+@dataclass
+class Own:
+    """How many bytes of what a task reads are of its range; None while not known yet."""
+
+    n: int | None
+
+
+def first_record(part: FilePart, pieces: Iterator[bytes], own: Own) -> tuple[int, bytes] | None:
+    """Where the first record starts whose line feed lies in the task's own bytes, and what was read from there on.
+
+    What cannot hold a record start any more is let go, so a line longer than the range costs one look at each of its bytes
+    and no memory.
+    """
+    held, base = b"", 0
     for piece in pieces:
-        if scan is None:
-            held += piece
-            at = 0 if part.start == 0 else find_record_start(part.format, held)
-            if at is None:
-                if len(held) > own and held.find(b"\n", own) >= 0 and len(held) > own + (1 << 20):
-                    return
-                continue
-            if at > own:
-                return
-            scan = scanner(part.format, base + at, part.crlf, part.start == 0, with_seqs)
-            piece = held[at:]
+        held += piece
+        at = find_record_start(part.format, held)
+        if at is not None:
+            return (base + at, held[at:]) if own.n is None or base + at <= own.n else None
+        # A candidate's line feed is kept with what follows; without one, the last line feed only if it ends what was read.
+        keep = open_candidate(part.format, held)
+        base, held = base + keep, held[keep:]
+        if own.n is not None and base >= own.n:
+            return None
+    return None
+
+
+def open_candidate(format_: str, held: bytes) -> int:
+    """Where the first line feed stands behind which a record might still start, or the end of held."""
+    if held.endswith(b"\n"):
+        last = len(held) - 1
+    else:
+        last = len(held)
+    if format_ == "fasta":
+        return last
+    at = held.find(b"\n@")
+    return last if at < 0 else min(at, last)
+
+
+def owned(part: FilePart, pieces: Iterator[bytes], own: Own, with_seqs: bool = True) -> Iterator[tuple[str, Records]]:
+    """The records whose line feed before them lies in the task's own bytes; the file's first record needs none."""
+    base = part.start if part.cut_by == "bytes" else 0
+    first = next(((0, p) for p in pieces), None) if part.start == 0 else first_record(part, pieces, own)
+    if first is None:
+        return
+    scan = scanner(part.format, base + first[0], part.crlf, part.start == 0, with_seqs)
+    for piece in chain([first[1]], pieces):
         records = scan.feed(piece)
-        done = len(records) and records.starts[-1] > base + own
-        if done:
-            records = records.cut(int(np.searchsorted(records.starts, base + own, "right")))
-        yield part.format, records
-        if done or scan.offset > base + own:
-            return
-    if scan is not None:
-        records = scan.finish()
-        yield part.format, records.cut(int(np.searchsorted(records.starts, base + own, "right")))
+        if own.n is not None:
+            done = len(records) and records.starts[-1] > base + own.n
+            if done:
+                records = records.cut(int(np.searchsorted(records.starts, base + own.n, "right")))
+            yield part.format, records
+            if done or scan.offset > base + own.n:
+                return
+        else:
+            yield part.format, records
+    records = scan.finish()
+    yield part.format, records if own.n is None else records.cut(int(np.searchsorted(records.starts, base + own.n, "right")))
 
 
 class FastxDataSource(DataSource):

@@ -113,14 +113,29 @@ class FastqScanner:
         self.offset, self.crlf, self.checked, self.with_seqs = offset, crlf, checked, with_seqs
         self.held = b""
         self.after_blank = checked
+        self.waiting: list[bytes] = []
+        self.feeds = 0
 
     def feed(self, piece: bytes) -> Records:
-        self.held += piece
-        return self.plain_records() or self.scan(final=False)
+        self.waiting.append(piece)
+        self.feeds += piece.count(b"\n")
+        first = self.held[:1] or next((w[:1] for w in self.waiting if w), b"")
+        if self.feeds < 4 and (not self.after_blank or first == b"@"):
+            return Records(quals=[])  # no record can be whole yet
+        self.gather()
+        out = self.plain_records() or self.scan(final=False)
+        self.feeds = self.held.count(b"\n")
+        return out
 
     def finish(self) -> Records:
+        self.gather()
         return self.scan(final=True)
 
+    def gather(self) -> None:
+        """Joins what has come in: once a record, however many pieces that is of."""
+        self.held = b"".join([self.held, *self.waiting])
+        self.waiting = []
+
     def plain_records(self) -> Records | None:
         """The whole records at hand, cut out by their line ends as Arrow arrays: the common case of line feeds only and no
         blank line between records. None if it isn't that case, or there is no whole record."""

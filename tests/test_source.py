@@ -186,3 +186,27 @@ def test_writers_round_trip(spark, tmp_path):
     assert rows_of(spark, tmp_path / "q", 1 << 20) == sorted(rows)
     write_fasta(df, str(tmp_path / "a"), width=7, compression="gzip")
     assert rows_of(spark, tmp_path / "a", 1 << 20, ("header", "seq")) == sorted((h, s) for h, s, _ in rows)
+
+
+@pytest.mark.parametrize("kind", ["fasta", "fastq"])
+def test_a_record_longer_than_many_splits(spark, tmp_path, kind):
+    """Each task looks at its own bytes once; only the first one reads the long record."""
+    import time
+
+    long = "ACGT" * 8_000_000
+    text = f">long\n{long}\n>short\nAC\nGT\n" if kind == "fasta" else f"@long\n{long}\n+\n{'@' * len(long)}\n@short\nACGT\n+\n!!!!\n"
+    path = tmp_path / "one"
+    path.write_text(text)
+    began = time.perf_counter()
+    got = [(r["header"], r["dna_len"]) for r in read_fastx(spark, str(path), columns=["header", "dna_len"], split_bytes=1 << 20).collect()]
+    assert sorted(got) == [("long", len(long)), ("short", 4)] and time.perf_counter() - began < 90
+
+
+def test_pieces_of_any_size_of_long_fastq_records():
+    from strandlake.sources.grammar import scan_pieces
+
+    text = b"@a\nACGT\n+\n!!!!\n\n\n@b c\nAC\n+x\n@!\n@d\n\n+\n\n@e\nACG\n+\n@@@"
+    for size in (1, 2, 3, 7, len(text)):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        rows = [(bytes(h), bytes(s), bytes(q)) for _, r in scan_pieces(iter(pieces)) for h, s, q in zip(*(x.to_pylist() if hasattr(x, "to_pylist") else x for x in (r.headers, r.seqs, r.quals or [])), strict=False)]
+        assert rows == [(b"a", b"ACGT", b"!!!!"), (b"b c", b"AC", b"@!"), (b"d", b"", b""), (b"e", b"ACG", b"@@@")]
