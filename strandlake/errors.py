@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 
+#: The texts of the errors, which programs may match on.
+INVALID_RECORD_START = "invalid record start: expected {expected}, found byte {byte} ('{char}')"
+TRUNCATED_RECORD = "unexpected end of file mid-record"
+INVALID_BASE = "invalid base 0x{byte} ('{char}') at byte offset {pos}"
+DECOMPRESSION = "decompression error: {message}"
+
+
 class FastxError(Exception):
     """Base of all errors about an input; terminal for the scan that meets it."""
 
@@ -29,7 +36,7 @@ class InvalidRecordStart(FastxError):
     kind = "InvalidRecordStart"
 
     def __init__(self, expected: str, found: int, pos: int | None = None):
-        super().__init__(f"invalid record start: expected {expected}, found byte {found:#04x} ('{chr(found)}')")
+        super().__init__(INVALID_RECORD_START.format(expected=expected, byte=f"{found:#04x}", char=chr(found)))
         self.byte, self.pos = found, pos
 
 
@@ -37,7 +44,7 @@ class TruncatedRecord(FastxError):
     kind = "TruncatedRecord"
 
     def __init__(self, pos: int | None = None):
-        super().__init__("unexpected end of file mid-record")
+        super().__init__(TRUNCATED_RECORD)
         self.pos = pos
 
 
@@ -45,7 +52,7 @@ class InvalidBase(FastxError):
     kind = "InvalidBase"
 
     def __init__(self, byte: int, pos: int):
-        super().__init__(f"invalid base {byte:#04x} ('{chr(byte)}') at byte offset {pos}")
+        super().__init__(INVALID_BASE.format(byte=f"{byte:02x}", char=chr(byte), pos=pos))
         self.byte, self.pos = byte, pos
 
 
@@ -53,4 +60,4 @@ class DecompressionError(FastxError):
     kind = "Decompression"
 
     def __init__(self, message: str):
-        super().__init__(f"decompression error: {message}")
+        super().__init__(DECOMPRESSION.format(message=message))

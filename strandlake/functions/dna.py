@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import INVALID_BASE
+
 ACTG = "ACGTacgt"
 RUN = "([ACGTacgt]+)"
 
@@ -95,7 +97,7 @@ def base_error(seq: Column | str) -> Column:
     at = first_non_actg(seq)
     byte = F.conv(F.hex(F.substring(col(seq).cast("binary"), (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     shown = F.lower(F.hex(F.substring(col(seq).cast("binary"), (at + 1).cast("int"), F.lit(1))))
-    message = F.format_string("invalid base 0x%s ('%s') at byte offset %d", shown, F.char(byte), at)
+    message = F.format_string(INVALID_BASE.format(byte="%s", char="%s", pos="%d"), shown, F.char(byte), at)
     return F.when(at.isNotNull(), F.struct(F.lit("InvalidBase").alias("kind"), byte.alias("byte"), at.alias("pos"), message.alias("message")))
 
 

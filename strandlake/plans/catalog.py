@@ -7,17 +7,21 @@ columns, so a parser's fault shows as a difference.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import aggregates as agg
+from ..operators.ordering import with_record_index
 from ..operators.parse import parse_fastx
-from ..operators.project import split_runs
+from ..operators.project import apply_options, split_runs
+from ..options import FastxOptions
 from ..sources import sink
 from ..sources.fastx import read_fastx
 
@@ -87,7 +91,13 @@ def q_fastq_crlf(spark, sf_dir):
 
 
 def _files(spark: SparkSession, sf_dir: str) -> str:
-    return f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='spark-')}/reads-{uuid.uuid4().hex}".removeprefix("file:")
+    """A new folder for files that a query writes and reads: in the folder that the cluster shares, or, on a local master that
+    has none, a temporary one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/reads-{uuid.uuid4().hex}".removeprefix("file:")
 
 
 @query("with reads select k, seq, quality, length(seq)::bigint as dna_len from reads")
@@ -295,3 +305,82 @@ def q_merged_parts(spark, sf_dir):
     parts = agg.merged_parts(parsed(spark, sf_dir, columns=("header", "seq", "record_index")), ["record_index"], "text_id", block=16)
     whole = F.sort_array(F.collect_list(F.struct("merged_start", "seq")))
     return parts.groupBy("text_id").agg(F.array_join(F.transform(whole, lambda p: p["seq"]), "").alias("seq"))
+
+
+def _coded(name: str):
+    """Registers a query by way of texts that are compressed with a codec, two streams to a text, and told by their bytes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack = compressor(name)
+            for b in batches:
+                halves = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) + pack(y) for x, y in halves], pa.binary())], ["text_id", "content"])
+
+        texts = sink.concatenated(derived(spark, sf_dir).withColumn("text_id", F.floor(F.col("k") / 64)), sink.fastq_text(), ["k"], "text_id")
+        coded = texts.select("text_id", F.col("content").cast("binary").alias("content")).mapInArrow(encode, "text_id long, content binary")
+        rows = parse_fastx(coded, "content", keys=("text_id",), columns=("header", "seq", "quality"), decompress=True)
+        return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "quality")
+
+    run.__name__ = f"q_codec_{name}"
+    query("with reads select k, seq, quality from reads")(run)
+
+
+def compressor(name: str) -> Callable[[bytes], bytes]:
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    return {"gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress, "bzip2": bz2.compress, "xz": lzma.compress}[name]
+
+
+for _name in ("gzip", "zstd", "bzip2", "xz"):
+    _coded(_name)
+
+
+@query("with reads select k, (row_number() over (partition by k // 64 order by k) - 1)::bigint as record_index from reads")
+def q_record_index(spark, sf_dir):
+    """Dense numbers in two levels, by blocks of 512 bytes."""
+    rows = parsed(spark, sf_dir, columns=("header", "byte_start")).withColumn("file", F.col("text_id").cast("string"))
+    return with_record_index(rows, 512).select("k", F.col("record_index").cast("long").alias("record_index"))
+
+
+@query("""with reads select k, ((length(seq) // 32 + 1) * 8)::bigint as n_bytes,
+(select coalesce(sum(((ascii(substr(seq, j::int, 1)) >> 1) & 3) << (2 * (j - 1))::int), 0) from generate_series(1, 4) t(j) where j <= length(seq))::bigint as first_byte, true as same from reads""")
+def q_packed_bytes(spark, sf_dir):
+    """Packed words as bytes, and back."""
+    rows = parsed(spark, sf_dir, columns=("header", "seq")).withColumn("words", dna.pack_words("seq")).withColumn("packed", dna.packed_bytes("words"))
+    first = F.conv(F.hex(F.substring("packed", 1, 1)), 16, 10).cast("long")
+    return rows.select("k", F.octet_length("packed").cast("long").alias("n_bytes"), first.alias("first_byte"), (dna.words_from_bytes("packed") == F.col("words")).alias("same"))
+
+
+@query("""with reads select k, case when k % 4 < 2 then null else header end as header,
+case k % 4 when 0 then 'InvalidRecordStart' when 1 then 'TruncatedRecord' end as kind, case when k % 4 = 0 then 33 end::int as byte from reads""")
+def q_errors(spark, sf_dir):
+    """Inputs with a false first byte, inputs that end within a record, and good ones, read permissively."""
+    good = F.concat(sink.fastq_text(), F.lit("\n"))
+    text = F.when(F.col("k") % 4 == 0, F.concat(F.lit("!"), good)).when(F.col("k") % 4 == 1, F.concat(F.lit("@"), "header", F.lit("\n"), "seq")).otherwise(good)
+    rows = parse_fastx(derived(spark, sf_dir).select("k", text.alias("content")), "content", keys=("k",), columns=("header", "error"), mode="PERMISSIVE")
+    return rows.select("k", "header", "error.kind", "error.byte")
+
+
+@query("""with reads select k, header, regexp_replace(seq, '[^ACGTacgt]', '', 'g') as seq, length(regexp_replace(seq, '[^ACGTacgt]', '', 'g'))::bigint as dna_len from reads""")
+def q_options_skip(spark, sf_dir):
+    """An option set turned into columns: headers, sequences without other residues, and their lengths."""
+    options = FastxOptions().compute_headers().ignore_quality().compute_dna_len().dna_string().skip_non_actg()
+    rows = parsed(spark, sf_dir, columns=("header", "seq", "byte_start")).withColumn("file", F.col("text_id").cast("string"))
+    return apply_options(rows, options).select(F.substring("header", 2, 20).cast("long").alias("k"), "header", "seq", "dna_len")
+
+
+@query("""with reads, runs as (select k, unnest(regexp_extract_all(seq, '([ACGTacgt]+)', 1)) as run from reads)
+select 'chunk' as event, k, run from runs union all select 'record', k, array_to_string(regexp_extract_all(seq, '([ACGTacgt]+)', 1), '|') from reads""")
+def q_options_events(spark, sf_dir):
+    """Split mode with both events: a row for each run, and one for each record with its runs."""
+    options = FastxOptions().compute_headers().ignore_quality().dna_string().split_non_actg().return_record(True).return_dna_chunk(True)
+    rows = parsed(spark, sf_dir, columns=("header", "seq", "byte_start")).withColumn("file", F.col("text_id").cast("string"))
+    events = apply_options(rows, options)
+    names = rows.select("file", "byte_start", "k")
+    shown = F.when(F.col("event") == "chunk", F.col("seq")).otherwise(F.array_join("runs", "|"))
+    return events.join(names, ["file", "byte_start"]).select("event", "k", shown.alias("run"))
