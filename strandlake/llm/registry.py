@@ -89,12 +89,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def q_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 finds of the phrases alone."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def q_token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's sizes, and whether its counts lie between none and one for each byte, on the right side of the limit."""
+    from pyspark.sql import functions as F
+
+    fits = (F.col("n_tokens") <= F.col("n_bytes")) & ((F.col("n_tokens") > 0) == (F.col("n_bytes") > 0)) & (F.col("over_limit") == (F.col("n_tokens") > 512))
+    return op10_token_counts(spark, sf_dir).select("doc_id", "n_bytes", fits.alias("fits"))
+
+
+def q_shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's sizes, and by shard whether its slots have no gap and its bytes are within a twentieth of the mean."""
+    from pyspark.sql import functions as F
+
+    rows = op1_sharding(spark, sf_dir)
+    loads = rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.sum("size").alias("load")).collect()
+    mean = sum(r["load"] for r in loads) / 8
+    laws = spark.createDataFrame([(r["shard"], r["n"] == r["slots"] == r["high"] + 1 and r["low"] == 0, abs(r["load"] - mean) <= mean / 20) for r in loads], "shard int, gapless boolean, even boolean")
+    return rows.join(F.broadcast(laws), "shard").select("doc_id", "size", "gapless", "even")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op7_quotations, op8_simhash, op9_decontamination, op10_token_counts)}
+    numbered = (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op7_quotations, op8_simhash, op9_decontamination, op10_token_counts)
+    return {f.__name__: f for f in (*numbered, q_license_base, q_token_bytes, q_shard_laws)}
+
+
+#: Words as op5 takes them, and the phrases that name a license.
+LICENSE_SQL = r"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+t as (select doc_id, unnest(ws) as a, generate_subscripts(ws, 1) - 1 as i from w),
+p as (select *, lead(a) over q as b, lead(a, 2) over q as c, lead(a, 3) over q as d from t window q as (partition by doc_id order by i)),
+m as (select doc_id, i, case when a = 'under' and b = 'the' and c = 'mit' and d = 'license' then 'mit' when a = 'apache' and b = 'license' and c = 'version' and d = '2' then 'apache-2' when a = 'cc' and b = 'by' and c = 'nc' then 'cc-by-nc' end as label from p),
+g as (select doc_id, count(*) as n, min(i) as low, max(i) as high, list_sort(list_distinct(list(label))) as labels from m where label is not null group by 1)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, low::bigint as first_word, high::bigint as last_word, coalesce(array_to_string(labels, ','), '') as base_labels from w left join g using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; models, automata and hashes can't be."""
     from .quotations_sql import SQL
 
-    return {"op7_quotations": SQL}
+    return {
+        "op7_quotations": SQL,
+        "q_license_base": LICENSE_SQL,
+        "q_token_bytes": "select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, true as fits from documents",
+        "q_shard_laws": "select doc_id, (strlen(coalesce(text, '')) + 1)::bigint as size, true as gapless, true as even from documents",
+    }

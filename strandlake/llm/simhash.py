@@ -166,7 +166,7 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def spanning_links(key_starts: np.ndarray, fps: np.ndarray, own: np.ndarray, distance: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(key_starts: np.ndarray, fps: np.ndarray, own: np.ndarray, distance: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Links (each node to the least one that it hangs together with) of the rows of whole groups.
 
     Rows of a group start at key_starts; own marks the fingerprints that have the group's value, the others probe it.
@@ -190,7 +190,7 @@ def spanning_links(key_starts: np.ndarray, fps: np.ndarray, own: np.ndarray, dis
         near = (popcount(fps[a] ^ fps[b]) <= distance) & (fps[a] != fps[b])
         us.append(fps[a[near]])
         vs.append(fps[b[near]])
-        if sum(map(len, us)) > 4 * block:
+        if sum(map(len, us)) > 2 * block:
             us, vs = [[x] for x in star(np.concatenate(us), np.concatenate(vs))]
         lo = hi
     return star(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
