@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance
     return rows.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def alike_by_fingerprint(keyed: DataFrame, node_col: str, *, width: int = 5, seed: int = 42, distance: int = 5, text_col: str = "text") -> DataFrame:
+def alike_by_fingerprint(keyed: DataFrame, node_col: str, *, width: int = 5, seed: int = 42, distance: int = 3, text_col: str = "text") -> DataFrame:
     """Pairs (a, b), a < b, of nodes (keys of distinct texts) whose fingerprints hang together: candidates for a comparison
     of the texts themselves. A node is paired with the least node of its fingerprint, and that with the least of those that
     its fingerprint is linked to by near_links, so there are no more pairs than nodes and links.
@@ -275,7 +275,7 @@ def alike_by_fingerprint(keyed: DataFrame, node_col: str, *, width: int = 5, see
     return across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 5, least: Fraction = Fraction(4, 5), node_col: str = "node", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def verified_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, least: Fraction = Fraction(4, 5), node_col: str = "node", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """docs with the column node_col (a key of each text's words), and (node, component, first_id) of all nodes: texts of one
     component are equal in words or tied by a similarity of `least` or more of their sets of `width`-word shingles;
     first_id is the least id of a node's rows.
