@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import StarLinks, connected_components, star
-from .shingles import similar_texts, text_keys
+from .shingles import similar_texts, text_keys, whole_groups
 from .support import batch_pieces, cut_lineage
 
 BITS = 64
@@ -196,13 +196,18 @@ def spanning_links(key_starts: np.ndarray, fps: np.ndarray, own: np.ndarray, dis
     return star(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def near_links(nodes: DataFrame, distance: int, plan: list[Partition]) -> DataFrame:
+def near_links(nodes: DataFrame, distance: int, plan: list[Partition], *, most_rows: int = 50_000, most_hot: int = 10_000) -> DataFrame:
     """Links (u, v) that connect just what the pairs of fingerprints within `distance` connect.
 
     Every fingerprint is filed under its value in each partition and probes the values within the partition's threshold.
     Rows are dealt by (partition, value) and sorted; a task compares what meets there and keeps spanning links only, so
     a large group of near copies costs comparisons in memory, not rows.
+
+    A group of over most_rows rows, or of over its share of all rows where that allows more than most_hot such groups, is
+    cut into m blocks: its own rows of each block meet its rows of each block in a task of their own, so a task holds two
+    blocks at a time, and a row is sent 2 m times at most.
     """
+
     def filed_under(k: int, part: Partition) -> Column:
         value = F.col("fingerprint").bitwiseAND(F.lit(part.mask).cast("long"))
         flips = F.array(*[F.lit(f).cast("long") for f in part.flips])
@@ -210,31 +215,28 @@ def near_links(nodes: DataFrame, distance: int, plan: list[Partition]) -> DataFr
 
     probes = [filed_under(k, part) for k, part in enumerate(plan)]
     filed = nodes.select("fingerprint", F.explode(F.concat(*probes)).alias("x")).select("x.part", "x.value", "x.own", "fingerprint")
-    filed = filed.repartition("part", "value").sortWithinPartitions("part", "value")
+    limit = max(most_rows, nodes.count() * sum(len(part.flips) for part in plan) // most_hot)
+    sizes = filed.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where((F.col("n") > limit) & F.col("owned"))
+    hot = cut_lineage(sizes.select(F.col("part").alias("hot_part"), F.col("value").alias("hot_value"), F.ceil(F.col("n") / limit).cast("int").alias("m")))
+    cell = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), own.alias("own"))
+    whole = F.array(cell(F.lit(0), F.lit(0), F.col("own")))
+    if not hot.isEmpty():  # most_hot rows at most
+        filed = filed.join(F.broadcast(hot), (F.col("part") == F.col("hot_part")) & (F.col("value") == F.col("hot_value")), "left")
+        block, all_ = F.pmod(F.xxhash64("fingerprint"), F.col("m")).cast("int"), F.sequence(F.lit(0), F.col("m") - 1)
+        met = F.transform(all_, lambda i: cell(i, block, F.lit(False)))
+        cells = F.when(F.col("m").isNull(), whole).when(F.col("own"), F.concat(met, F.transform(all_, lambda j: cell(block, j, F.lit(True))))).otherwise(met)
+    else:
+        cells = whole
+    filed = filed.select("part", "value", "fingerprint", F.explode(cells).alias("c"))
+    # Groups whose hashes are equal would be compared as one, which adds comparisons and no link.
+    filed = filed.select(F.xxhash64("part", "value", "c.i", "c.j").alias("group"), "c.own", "fingerprint")
+    filed = filed.repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
         found = StarLinks()
-
-        def link(part: np.ndarray, value: np.ndarray, own: np.ndarray, fps: np.ndarray) -> None:
-            new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (part[1:] != part[:-1])))
-            u, v = spanning_links(new, fps.view(np.uint64), own, distance)
+        for group, own, fps in whole_groups(batches):
+            u, v = spanning_links(np.flatnonzero(np.append(True, group[1:] != group[:-1])), fps.view(np.uint64), own, distance)
             found.add(u.view(np.int64), v.view(np.int64))
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            part, value = held[-1][:2]
-            last = int(np.flatnonzero((value != value[-1]) | (part != part[-1]))[-1]) + 1 if (value != value[-1]).any() or (part != part[-1]).any() else 0
-            if last == 0 or sum(len(h[0]) for h in held) < 50_000:
-                continue
-            whole = [np.concatenate([h[i] for h in held]) for i in range(4)]
-            cut = len(whole[0]) - (len(part) - last)
-            link(*(c[:cut] for c in whole))
-            held = [tuple(c[cut:] for c in whole)]
-        if held:
-            link(*(np.concatenate([h[i] for h in held]) for i in range(4)))
         yield found.batch()
 
     return filed.mapInArrow(run, "u long, v long")

@@ -349,6 +349,30 @@ def test_op8_components_like_brute_force(spark, documents, odd, width, distance)
     assert near_duplicates(odd).where("doc_id is null").first()["component_id"] is None
 
 
+def test_op8_groups_cut_into_blocks_give_the_same_links(spark):
+    """A family whose members share most values, with groups of over eight rows cut, against all pairs."""
+    from strandlake.llm.simhash import near_links, plan_partitions
+
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    prints = {base, 0, *(rng.getrandbits(64) for _ in range(40))}
+    for _ in range(300):
+        x = base
+        for b in rng.sample(range(64), rng.randint(1, 9)):
+            x ^= 1 << b
+        prints.add(x)
+    flat = np.array(sorted(prints), np.uint64)
+    nodes = spark.createDataFrame([(int(x),) for x in flat.view(np.int64)], "fingerprint long")
+    for distance in (3, 5):
+        links = [(int(flat[i]), int(flat[i + 1 + j])) for i in range(len(flat)) for j in np.flatnonzero(np.bitwise_count(flat[i + 1 :] ^ flat[i]) <= distance).tolist()]
+        expected = groups_of(flat.tolist(), links)
+        plan = plan_partitions(nodes, distance)
+        for most in (8, 50_000):
+            found = near_links(nodes, distance, plan, most_rows=most, most_hot=1 << 40).collect()
+            got = groups_of(flat.tolist(), [(r["u"] % 2**64, r["v"] % 2**64) for r in found])
+            assert got == expected and len(set(expected.values())) < len(flat)
+
+
 def test_op8_plan_pieces():
     assert allocate([[0, 5, 1], [0, 2, 9]], 0)[1] == [0, 0] or sum(allocate([[0, 5, 1], [0, 2, 9]], 0)[1]) == 0
     rng = np.random.default_rng(1)
