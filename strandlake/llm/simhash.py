@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import StarLinks, connected_components, star
-from .shingles import similar_texts, text_keys, whole_groups
+from .shingles import similar_texts, text_keys, whole_groups, word_hashes
 from .support import batch_pieces, cut_lineage
 
 BITS = 64
@@ -263,12 +263,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance
     return rows.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def alike_by_fingerprint(keyed: DataFrame, node_col: str, *, width: int = 5, seed: int = 42, distance: int = 3, text_col: str = "text") -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (keys of distinct texts) whose fingerprints hang together: candidates for a comparison
-    of the texts themselves. A node is paired with the least node of its fingerprint, and that with the least of those that
-    its fingerprint is linked to by near_links, so there are no more pairs than nodes and links.
+def alike_by_fingerprint(docs: DataFrame, *, width: int = 5, seed: int = 42, distance: int = 3, text_col: str = "text") -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (keys of the distinct texts of docs) whose fingerprints hang together: candidates for a
+    comparison of the texts themselves. A node is paired with the least node of its fingerprint, and that with the least of
+    those that its fingerprint is linked to by near_links, so there are no more pairs than nodes and links.
     """
-    rows = cut_lineage(fingerprints(keyed, width=width, seed=seed, id_col=node_col, text_col=text_col).select(F.col("doc_id").alias("node"), "fingerprint").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in batch_pieces(batches, 0):
+            nodes, first = np.unique(word_hashes(data, offsets)[2].view(np.int64), return_index=True)
+            raw = data.tobytes()
+            prints = np.array([fingerprint(raw[offsets[r] : offsets[r + 1]], width, seed) for r in first.tolist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(prints.view(np.int64))], ["node", "fingerprint"])
+
+    rows = cut_lineage(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, fingerprint long").distinct())
     nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("node").alias("least")))
     links = cut_lineage(near_links(nodes, distance, plan_partitions(nodes, distance)))
     u, v = nodes.select(F.col("fingerprint").alias("u"), F.col("least").alias("a")), nodes.select(F.col("fingerprint").alias("v"), F.col("least").alias("b"))
@@ -287,7 +295,7 @@ def verified_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, l
     """
     keyed = text_keys(docs, node_col, text_col)
     ids = cut_lineage(keyed.select(F.col(id_col).alias("id"), F.col(node_col).alias("node")).groupBy("node").agg(F.min("id").alias("first_id")))
-    alike = cut_lineage(alike_by_fingerprint(keyed, node_col, width=width, distance=distance, text_col=text_col))
+    alike = cut_lineage(alike_by_fingerprint(docs, width=width, distance=distance, text_col=text_col))
     tied = similar_texts(docs.select(F.col(text_col).alias("text")), ids.count(), candidates=alike, width=width, least=least).withColumnRenamed("node", "tied")
     placed = ids.join(tied, ids["node"] == tied["tied"], "left")
     return keyed, placed.select("node", F.coalesce("component", "node").alias("component"), "first_id")
