@@ -200,7 +200,7 @@ def node_filter(nodes: DataFrame):
     return wanted
 
 
-def divided(placed: DataFrame) -> DataFrame:
+def divided(found: DataFrame) -> DataFrame:
     """The rows (shingle, n, node, pos, component) of the shingles whose nodes don't all hang together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +211,28 @@ def divided(placed: DataFrame) -> DataFrame:
             keep = np.repeat(apart, np.diff(np.append(starts, len(shingle))))
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "n", "node", "pos", "component"])
 
-    dealt = placed.select("shingle", "n", "node", "pos", "component").repartition("shingle").sortWithinPartitions("shingle")
+    dealt = found.select("shingle", "n", "node", "pos", "component").repartition("shingle").sortWithinPartitions("shingle")
     return dealt.mapInArrow(run, "shingle long, n int, node long, pos int, component long")
 
 
+def neighbours(apart: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes that stand next to each other, by size and node, in groups that are still apart and meet in a
+    quarter of the shorter prefix or more: no more rows than apart has, and enough to tie most of a family together."""
+    p, q = least.numerator, least.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, n, node, _, component in whole_groups(batches):
+            n = n.astype(np.int64)
+            next_ = (shingle[1:] == shingle[:-1]) & (component[1:] != component[:-1]) & (n[:-1] * q >= n[1:] * p)
+            at = np.flatnonzero(next_)
+            a, b = np.minimum(node[at], node[at + 1]), np.maximum(node[at], node[at + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(n[at], n[at + 1]))], ["a", "b", "n"])
+
+    dealt = apart.select("shingle", "n", "node", "pos", "component").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    met = dealt.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n"))
+    return met.where(F.col("met") * 4 >= F.expr(prefix_sql("n", least))).select("a", "b")
+
+
 def bitmaps(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, bits) of the texts whose nodes are among nodes, and of few others."""
     wanted = node_filter(nodes)
@@ -321,13 +339,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) ->
     return both.where(common * (p + q) >= p * (F.size("a_items") + F.size("b_items"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component of each node: its own name, if it is tied to none."""
+    tied = found.withColumnRenamed("node", "tied")
+    return rows.join(tied, rows["node"] == tied["tied"], "left").withColumn("component", F.coalesce("component", "node")).drop("tied")
+
+
 def similar_texts(texts: DataFrame, n_nodes: int, *, candidates: DataFrame | None = None, width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """(node, component) of every text (column text) that is tied to another, directly or by way of others: two are tied
     if the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
 
     No tie is missed and none is by chance. candidates are pairs (a, b) of nodes that something else, such as fingerprints,
     holds for alike; they are verified first, with each text against one representative of each group that it meets in.
-    Then all pairs that meet and don't hang together yet are compared, so a large family of near copies costs no rows for
+    Then neighbours in groups that are still apart are compared, and at last all pairs that meet and don't hang together yet,
+    so a large family of near copies costs no rows for
     what these ties hold together already. Texts of fewer words are equal or unlike.
     """
     rows = cut_lineage(postings(texts, width, least, common_shingles(texts, n_nodes, width)))
@@ -336,10 +361,14 @@ def similar_texts(texts: DataFrame, n_nodes: int, *, candidates: DataFrame | Non
     if candidates is not None:
         led = led.unionByName(candidates.select("a", "b")).distinct()
     links = cut_lineage(verified(cut_lineage(led), texts, width, least))
-    found = connected_components(links).withColumnRenamed("node", "tied")
-    placed = rows.join(found, rows["node"] == found["tied"], "left").withColumn("component", F.coalesce("component", "node"))
-    apart = cut_lineage(divided(placed))
+    found = connected_components(links)
+    apart = cut_lineage(divided(placed(rows, found)))
+    more = cut_lineage(verified(cut_lineage(neighbours(apart, least)), texts, width, least))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = connected_components(links)
+        apart = cut_lineage(divided(placed(apart.drop("component"), found)))
     left = cut_lineage(open_pairs(apart, texts, width, least))
     if left.isEmpty():
-        return found.withColumnRenamed("tied", "node")
+        return found
     return connected_components(links.unionByName(cut_lineage(verified(left, texts, width, least))))
