@@ -89,6 +89,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketches import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_kmeans import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+def q_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op11's edited texts alone."""
+    return op11_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def q_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op5 finds of the phrases alone."""
     return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -114,8 +137,8 @@ def q_shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op7_quotations, op8_simhash, op9_decontamination, op10_token_counts)
-    return {f.__name__: f for f in (*numbered, q_license_base, q_token_bytes, q_shard_laws)}
+    numbered = (op1_sharding, op2_quality, op3_language_id, op4_pieces, op5_licenses, op6_multi_index, op7_quotations, op8_simhash, op9_decontamination, op10_token_counts, op11_fingerprints, op12_divergence, op13_ball_kmeans)
+    return {f.__name__: f for f in (*numbered, q_edited_texts, q_license_base, q_token_bytes, q_shard_laws)}
 
 
 #: Words as op5 takes them, and the phrases that name a license.
@@ -127,12 +150,21 @@ g as (select doc_id, count(*) as n, min(i) as low, max(i) as high, list_sort(lis
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, low::bigint as first_word, high::bigint as last_word, coalesce(array_to_string(labels, ','), '') as base_labels from w left join g using (doc_id)"""
 
 
+#: The last third of each text replaced by the beginning of the next by descending id, after the last that of the first.
+EDITED_SQL = """with d as (select doc_id, coalesce(text, '') as t from documents),
+n as (select *, coalesce(lead(t) over w, first_value(t) over w) as o from d window w as (order by doc_id desc rows between unbounded preceding and unbounded following))
+select doc_id, length(t)::bigint as n_chars, sha256(left(t, length(t) - length(t) // 3) || left(o, length(t) // 3)) as edited_sha256 from n"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; models, automata and hashes can't be."""
-    from .quotations_sql import SQL
+    from . import ball_kmeans_sql, divergence_sql, quotations_sql
 
     return {
-        "op7_quotations": SQL,
+        "op7_quotations": quotations_sql.SQL,
+        "op12_divergence": divergence_sql.SQL,
+        "op13_ball_kmeans": ball_kmeans_sql.SQL,
+        "q_edited_texts": EDITED_SQL,
         "q_license_base": LICENSE_SQL,
         "q_token_bytes": "select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, true as fits from documents",
         "q_shard_laws": "select doc_id, (strlen(coalesce(text, '')) + 1)::bigint as size, true as gapless, true as even from documents",
