@@ -1,8 +1,8 @@
 """Source divergence audit: which terms, and which other sources, set a source of documents apart within its language.
 
-Every text is counted once, where it lies; terms with their counts by group are then dealt, in UTF-8 order, to chunks. A chunk
-sorts its distinct terms, keeps those in enough documents, and numbers them by searchsorted, so that ids ascend as the terms'
-bytes do; bincount over the ids gives each group's dense vector of the chunk. Once all chunks have said how many terms are
+Every text is counted once, where it lies; terms with their counts by group are then dealt in ranges of UTF-8 order, and walked
+through a chunk at a time. A chunk has its distinct terms sorted, keeps those in enough documents, and numbers them by
+searchsorted, so that ids ascend as the terms' bytes do; counting by id gives each group's dense vector of the chunk. Once all chunks have said how many terms are
 kept and how many occurrences each group has, the shares follow, and with them, chunk by chunk, the sums over pairs of sources
 and each source's first terms, ties to the smaller id. A chunk holds about `chunk_rows` rows, however many terms, groups or
 documents there are; no vocabulary and no vector of all terms is ever in one place.
@@ -17,8 +17,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +26,8 @@ from .support import cut_lineage, text_bytes
 
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 50_000
 CHUNK_CELLS = 20_000_000
-MOST_CHUNKS = 16_384
 PIECE = 1 << 20
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 #: A to Z in lower case, other letters and all bytes from 0x80 on as they are, blanks for the rest.
@@ -81,7 +80,7 @@ def _count_terms(flush: int):
     return run
 
 
-def group_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+def group_counts(docs: DataFrame, flush: int = 100_000) -> DataFrame:
     """Occurrences and documents of each term by (lang, source); nulls are empty strings, and a group without terms is there too,
     with an empty term. Tasks add up what they read before anything is shuffled, `flush` distinct terms at a time."""
     counted = docs.select("lang", "source", "text").mapInArrow(_count_terms(flush), COUNTS)
@@ -106,64 +105,64 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def encode_chunk(terms: list[str], sources: list[str], n: np.ndarray, docs: np.ndarray, least: int) -> tuple[list[str], list[str], np.ndarray]:
     """Kept terms of a chunk in UTF-8 order, its sources, and their counts: a dense row of kept ids for each source."""
-    encoded = np.array([t.encode() for t in terms], object)
-    distinct = np.array(sorted(set(encoded)), object)
+    encoded = np.array([*(t.encode() for t in terms), None], object)[:-1]
+    distinct = np.array([*sorted(set(encoded)), None], object)[:-1]
     ids = np.searchsorted(distinct, encoded)
     keep = np.bincount(ids, docs, len(distinct)) >= least
-    number = np.cumsum(keep) - 1
-    own, at = np.unique(np.array(sources, object), return_inverse=True)
-    on = keep[ids]
-    dense = np.zeros((len(own), int(keep.sum())), np.int64)
-    np.add.at(dense, (at[on], number[ids[on]]), n[on])
-    return [t.decode() for t in distinct[keep]], own.tolist(), dense
+    kept, on = distinct[keep], keep[ids]
+    ids = (np.cumsum(keep) - 1)[ids[on]]
+    own, at = np.unique(np.array([s for s, o in zip(sources, on, strict=True) if o], object), return_inverse=True)
+    cells = np.zeros(len(own) * len(kept), np.int64)
+    np.add.at(cells, at * len(kept) + ids, n[on])
+    return [t.decode() for t in kept], own.tolist(), cells.reshape(len(own), len(kept))
 
 
-VECTORS = "lang string, chunk int, terms array<string>, sources array<string>, sums array<bigint>, counts array<array<bigint>>"
+VECTORS = "lang string, terms array<string>, sources array<string>, sums array<bigint>, counts array<array<bigint>>"
+LONGS = pa.list_(pa.int64())
 
 
-def _encode(least: int):
-    def run(key, rows):
-        terms, sources, dense = encode_chunk(rows["term"].tolist(), rows["source"].tolist(), rows["n"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64), least)
-        held = dense.any(axis=1)
-        sources, dense = [s for s, h in zip(sources, held, strict=True) if h], dense[held]
-        return pd.DataFrame({"lang": [key[0]], "chunk": [key[1]], "terms": [terms], "sources": [sources], "sums": [dense.sum(axis=1)], "counts": [list(dense)]})
-
-    return run
-
-
-def chunk_bounds(counts: DataFrame, chunk_rows: int, draws: int = 16) -> list[tuple[str, str]]:
-    """(lang, term) where chunks begin, in UTF-8 order, from a sample of some draws keys a chunk: a chunk for each chunk_rows rows,
-    or MOST_CHUNKS larger ones."""
-    n = counts.count()
-    chunks = min(-(-n // chunk_rows), MOST_CHUNKS)
-    if chunks < 2:
-        return []
-    drawn = sorted((r["lang"].encode(), r["term"].encode()) for r in counts.sample(min(1.0, draws * chunks / n), seed=3).select("lang", "term").collect())
-    picked = sorted({drawn[i * len(drawn) // chunks] for i in range(1, chunks)}) if drawn else []
-    return [(lang.decode(), term.decode()) for lang, term in picked]
+def _encode(least: int, chunk_rows: int):
+    """Rows of (lang, term, source, n, docs) in the order of lang and term, a chunk at a time; a term is in one chunk only."""
 
+    def vectors(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs = rows.column(0).combine_chunks()
+        for lang in pc.unique(langs).to_pylist():
+            _, terms, sources, n, docs = (c.combine_chunks() for c in rows.filter(pc.equal(langs, lang)).columns)
+            kept, own, dense = encode_chunk(terms.to_pylist(), sources.to_pylist(), n.to_numpy(), docs.to_numpy(), least)
+            if kept:
+                columns = [pa.array([lang]), pa.array([kept], pa.list_(pa.string())), pa.array([own], pa.list_(pa.string())), pa.array([dense.sum(axis=1)], LONGS), pa.array([list(dense)], pa.list_(LONGS))]
+                yield pa.record_batch(columns, ["lang", "terms", "sources", "sums", "counts"])
 
-def _chunk_numbers(bounds: list[tuple[str, str]]):
-    """A column function: the number of the last bound that is not above (lang, term)."""
-    starts = np.array([f"{lang}\0{term}".encode() for lang, term in bounds], object)
-
-    @F.pandas_udf("int")
-    def number(lang: pd.Series, term: pd.Series) -> pd.Series:
-        keys = (lang + "\0" + term).str.encode("utf-8").to_numpy(object)
-        return pd.Series(np.searchsorted(starts, keys, "right").astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < chunk_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = [rows.column(i)[-1].as_py() for i in (0, 1)]
+            same = pc.and_(pc.equal(rows.column(0), last[0]), pc.equal(rows.column(1), last[1]))
+            cut = rows.num_rows - pc.sum(same).as_py()
+            if cut:
+                yield from vectors(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+                n -= cut
+        if held:
+            yield from vectors(pa.Table.from_batches(held))
 
-    return number
+    return run
 
 
 def dense_vectors(counts: DataFrame, least: int = LEAST_DOCUMENTS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """A row for each (lang, chunk): its kept terms in UTF-8 order, the sources that have any, and their dense counts.
+    """A row for each chunk: its language, its kept terms in UTF-8 order, the sources that have any, their sums and dense counts.
 
-    With many sources chunks are shorter, so that sources times terms stay below CHUNK_CELLS.
+    Rows are dealt in ranges of (lang, term) and sorted, so a task walks through its range a chunk at a time. With many
+    sources chunks are shorter, so that sources times terms stay below CHUNK_CELLS.
     """
     sources = counts.where("term = ''").groupBy("lang").count().agg(F.max("count")).first()[0] or 1
-    bounds = chunk_bounds(counts, max(1, min(chunk_rows, CHUNK_CELLS // sources)))
-    chunk = _chunk_numbers(bounds)("lang", "term") if bounds else F.lit(0)
-    return counts.where("term != ''").withColumn("chunk", chunk).groupBy("lang", "chunk").applyInPandas(_encode(least), VECTORS)
+    rows = counts.where("term != ''").select("lang", "term", "source", "n", "docs")
+    return rows.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_encode(least, max(1, min(chunk_rows, CHUNK_CELLS // sources))), VECTORS)
 
 
 PARTS = "lang string, source string, part string, item string, value bigint"
@@ -248,7 +247,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     kept = vectors.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"))
     sizes = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("g"))
     sizes = sizes.join(kept, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), F.col("g.source").alias("everyone"), F.col("g.n").alias("totals"))
-    chunks = vectors.where(F.size("terms") > 0).join(sizes, "lang").select("lang", "terms", "sources", "counts", "kept", "everyone", "totals")
+    chunks = vectors.join(sizes, "lang").select("lang", "terms", "sources", "counts", "kept", "everyone", "totals")
     parts = chunks.mapInArrow(_compare(top), PARTS).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     empty = sizes.where("kept = 0").select("lang", F.explode("everyone").alias("source"), "everyone").select("lang", "source", F.lit("pair").alias("part"), F.explode("everyone").alias("item"), F.lit(0).cast("bigint").alias("value")).where("source != item")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
