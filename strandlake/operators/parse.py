@@ -85,14 +85,14 @@ def parse_fastx(df: DataFrame, content: str, *, keys: tuple[str, ...] = (), colu
 
 def split_input(data: bytes, parts: int) -> list[bytes]:
     """An uncompressed input cut before records into at most `parts` inputs of about equal size."""
-    from ..sources.grammar import find_record_start, format_of
+    from ..sources.grammar import find_record_start, format_of, is_crlf
 
     if not data:
         return []
     kind = format_of(data[0])
     cuts = [0]
     for i in range(1, parts):
-        at = find_record_start(kind, data, max(cuts[-1], len(data) * i // parts))
+        at = find_record_start(kind, data, max(cuts[-1], len(data) * i // parts), is_crlf(data))
         if at is not None and at > cuts[-1]:
             cuts.append(at)
     return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]

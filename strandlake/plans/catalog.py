@@ -23,7 +23,9 @@ from ..operators.parse import parse_fastx
 from ..operators.project import apply_options, split_runs
 from ..options import FastxOptions
 from ..sources import sink
+from ..sources.chunks import read_chunked
 from ..sources.fastx import read_fastx
+from ..streaming.ranges import stream_ranges
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +117,60 @@ def q_source_fasta_gzip(spark, sf_dir):
     return read_fastx(spark, path, columns=["header", "seq"]).select(F.substring("header", 2, 20).cast("long").alias("k"), "seq")
 
 
+def _chunked(name: str):
+    """Registers a query by way of files of one compressed stream, whose chunks many tasks parse."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _files(spark, sf_dir)
+        sink.write_fastx(derived(spark, sf_dir), path, compression=name)
+        rows = read_chunked(spark, path, columns=["header", "seq", "quality", "byte_start", "byte_end"], chunk_bytes=1 << 16)
+        return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "quality", (F.col("byte_end") - F.col("byte_start")).alias("n_bytes"))
+
+    run.__name__ = f"q_chunked_{name}"
+    query("with reads select k, seq, quality, (length('@r' || k) + 2 * length(seq) + 5)::bigint as n_bytes from reads")(run)
+
+
+for _name in ("gzip", "bzip2", "xz"):
+    _chunked(_name)
+
+
+def _ranged(name: str):
+    """Registers a query by way of files that the writer makes of blocks or frames, and that are read in small ranges."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _files(spark, sf_dir)
+        sink.write_fastx(derived(spark, sf_dir), path, kind="fasta", width=30, compression=name, block_bytes=1 << 14)
+        rows = read_fastx(spark, path, columns=["header", "seq", "dna_len"], split_bytes=1 << 16)
+        return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "dna_len")
+
+    run.__name__ = f"q_{name}_ranges"
+    query("with reads select k, seq, length(seq)::bigint as dna_len from reads")(run)
+
+
+for _name in ("bgzf", "zstd"):
+    _ranged(_name)
+
+
+@query("with reads select k, translate(seq, 'ACac', '@+@+') as seq, quality from reads")
+def q_fastq_any_letters(spark, sf_dir):
+    """Sequences, as qualities, of which many begin with @ or +, in files that are read in small ranges."""
+    path = _files(spark, sf_dir)
+    sink.write_fastx(derived(spark, sf_dir).withColumn("seq", F.translate("seq", "ACac", "@+@+")), path, compression=None)
+    rows = read_fastx(spark, path, columns=["header", "seq", "quality"], split_bytes=1 << 14)
+    return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "quality")
+
+
+@query("with reads select k, seq, quality, length(seq)::bigint as dna_len from reads")
+def q_stream_ranges(spark, sf_dir):
+    """Files read as a stream of small ranges until there are no more."""
+    path = _files(spark, sf_dir)
+    sink.write_fastx(derived(spark, sf_dir), path, compression=None)
+    rows = stream_ranges(spark, path, columns=["header", "seq", "quality", "dna_len"], split_bytes=1 << 16)
+    out = _files(spark, sf_dir)
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows").select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "quality", "dna_len")
+
+
 @query("with reads select k, length(seq)::bigint as dna_len from reads")
 def q_dna_len(spark, sf_dir):
     return parsed(spark, sf_dir, columns=("header", "dna_len")).select("k", "dna_len")

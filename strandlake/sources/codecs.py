@@ -73,6 +73,18 @@ def list_inputs(paths: list[str]) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def modified_at(path: str) -> float:
+    """When a file was last written, in seconds since 1970."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return os.path.getmtime(path)
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.get_file_info(inner).mtime_ns / 1e9
+
+
 def raw_pieces(file: BinaryIO, size: int = PIECE) -> Iterator[bytes]:
     while piece := file.read(size):
         yield piece
@@ -200,3 +212,96 @@ def zstd_frames(file: BinaryIO, size: int) -> list[int] | None:
             at += 3 + (1 if kind == 1 else value >> 3)
         at += 4 * (flags >> 2 & 1)
     return starts if at == size else None
+
+
+class Plain:
+    """An encoder: bytes in, bytes of the file out, `finish` for its end. This one changes nothing."""
+
+    extension = ""
+
+    def write(self, data: bytes) -> bytes:
+        return data
+
+    def finish(self) -> bytes:
+        return b""
+
+
+class OneStream(Plain):
+    """gzip, bzip2 or xz in one stream, which only a reader from the beginning can decode."""
+
+    def __init__(self, name: str):
+        make = {"gzip": lambda: zlib.compressobj(6, zlib.DEFLATED, 31), "bzip2": bz2.BZ2Compressor, "xz": lzma.LZMACompressor}[name]
+        self.encoder, self.extension = make(), {"gzip": ".gz", "bzip2": ".bz2", "xz": ".xz"}[name]
+
+    def write(self, data: bytes) -> bytes:
+        return self.encoder.compress(data)
+
+    def finish(self) -> bytes:
+        return self.encoder.flush()
+
+
+class Blocks(Plain):
+    """Blocks of equal size that are compressed each by itself, so that readers can begin at any of them."""
+
+    def __init__(self, size: int):
+        self.size, self.held = size, bytearray()
+
+    def block(self, data: bytes) -> bytes:
+        raise NotImplementedError
+
+    def write(self, data: bytes) -> bytes:
+        self.held += data
+        whole = len(self.held) // self.size * self.size
+        if not whole:
+            return b""
+        view = bytes(self.held[:whole])
+        del self.held[:whole]
+        return b"".join(self.block(view[a : a + self.size]) for a in range(0, whole, self.size))
+
+    def finish(self) -> bytes:
+        return self.block(bytes(self.held)) if self.held else b""
+
+
+class BgzfBlocks(Blocks):
+    """BGZF: gzip members with their size in the header, and an empty one at the end. Their size is held in 16 bits."""
+
+    extension = ".gz"
+
+    def __init__(self, size: int = 65280):
+        super().__init__(min(size, 65280))
+
+    def block(self, data: bytes) -> bytes:
+        encoder = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = encoder.compress(data) + encoder.flush()
+        head = bytes.fromhex("1f8b08040000000000ff060042430200") + (len(packed) + 25).to_bytes(2, "little")
+        return head + packed + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+
+    def finish(self) -> bytes:
+        return super().finish() + BGZF_END
+
+
+class ZstdFrames(Blocks):
+    """zstd frames with content size and check sum."""
+
+    extension = ".zst"
+
+    def __init__(self, size: int = 4 << 20):
+        import zstandard
+
+        super().__init__(size)
+        self.encoder = zstandard.ZstdCompressor(write_checksum=True)
+
+    def block(self, data: bytes) -> bytes:
+        return self.encoder.compress(data)
+
+
+def make_encoder(name: str | None, block_bytes: int | None = None) -> Plain:
+    """none, bgzf, zstd (frames), gzip, bzip2 or xz; block_bytes: how much text a block or frame has."""
+    if name in (None, "", "none"):
+        return Plain()
+    if name in ("bgzf", "zstd"):
+        kind = BgzfBlocks if name == "bgzf" else ZstdFrames
+        return kind(block_bytes) if block_bytes else kind()
+    if name not in ("gzip", "bzip2", "xz"):
+        raise ValueError(f"no such compression: {name}")
+    return OneStream(name)

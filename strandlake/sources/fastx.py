@@ -17,12 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, StructType, _parse_datatype_string
 
 from ..errors import FastxError
 from ..options import FastxOptions
 from .codecs import BGZF_END, compression_format, decoded_pieces, gzip_pieces, list_inputs, next_bgzf_block, open_input, raw_pieces, zstd_frames
-from .grammar import Records, find_record_start, format_of, is_crlf, scan_pieces, scanner
+from .grammar import FastqSync, Records, format_of, irregular_record_start, is_crlf, scan_pieces, scanner
+from .writer import FastxWriter
 
 SCHEMA = "file string, record_index long, format string, header string, seq string, quality string, dna_len long, byte_start long, byte_end long, error struct<kind: string, byte: int, pos: long, message: string>"
 
@@ -131,7 +132,7 @@ class FastxReader(DataSourceReader):
                 file.seek(size - len(BGZF_END))
                 if file.read() != BGZF_END:
                     return whole
-                cut_by, first = "bgzf", next(gzip_pieces(iter([head])), b"") if len(head) < size else b""
+                cut_by, first = "bgzf", next(gzip_pieces(iter([head])), b"")
                 cuts = list(range(0, size, self.split))
             elif codec in ("zstd", "pzstd"):
                 frames = zstd_frames(file, size)
@@ -173,12 +174,13 @@ class FastxReader(DataSourceReader):
                 yield from scan_pieces(decoded_pieces(file, part.codec), self.with_seqs)
             else:
                 own = Own(part.end - part.start if part.cut_by == "bytes" else None)
-                yield from owned(part, self.plain(file, part.start) if part.cut_by == "bytes" else self.framed(file, part, own), own, self.with_seqs)
+                yield from owned(part, self.plain(file, part) if part.cut_by == "bytes" else self.framed(file, part, own), own, self.with_seqs)
 
     @staticmethod
-    def plain(file, start: int) -> Iterator[bytes]:
-        file.seek(start)
-        return raw_pieces(file)
+    def plain(file, part: FilePart) -> Iterator[bytes]:
+        """From the range's start to the size that the file had when it was cut; it may have grown since."""
+        file.seek(part.start)
+        return raw_pieces(Stretch(file, part.size - part.start))
 
     @staticmethod
     def framed(file, part: FilePart, own: Own) -> Iterator[bytes]:
@@ -221,35 +223,58 @@ class Own:
 
 
 def first_record(part: FilePart, pieces: Iterator[bytes], own: Own) -> tuple[int, bytes] | None:
-    """Where the first record starts whose line feed lies in the task's own bytes, and what was read from there on.
+    """Where the first record starts whose line feed lies in the task's own bytes, and what was read from there on."""
+    found = (first_fasta if part.format == "fasta" else first_fastq)(pieces, own, part.crlf)
+    return found if found is not None and (own.n is None or found[0] <= own.n) else None
 
-    What cannot hold a record start any more is let go, so a line longer than the range costs one look at each of its bytes
-    and no memory.
-    """
-    held, base = b"", 0
+
+def first_fasta(pieces: Iterator[bytes], own: Own, crlf: bool) -> tuple[int, bytes] | None:
+    """Looks at each byte once and keeps none before the record."""
+    last, base = b"", 0
     for piece in pieces:
-        held += piece
-        at = find_record_start(part.format, held)
-        if at is not None:
-            return (base + at, held[at:]) if own.n is None or base + at <= own.n else None
-        # A candidate's line feed is kept with what follows; without one, the last line feed only if it ends what was read.
-        keep = open_candidate(part.format, held)
-        base, held = base + keep, held[keep:]
+        piece = last + piece
+        at = piece.find(b"\n>")
+        if at >= 0:
+            return base + at + 1, piece[at + 1 :]
+        base, last = base + len(piece) - 1, piece[-1:]
         if own.n is not None and base >= own.n:
             return None
     return None
 
 
-def open_candidate(format_: str, held: bytes) -> int:
-    """Where the first line feed stands behind which a record might still start, or the end of held."""
-    if held.endswith(b"\n"):
-        last = len(held) - 1
-    else:
-        last = len(held)
-    if format_ == "fasta":
-        return last
-    at = held.find(b"\n@")
-    return last if at < 0 else min(at, last)
+def first_fastq(pieces: Iterator[bytes], own: Own, crlf: bool) -> tuple[int, bytes] | None:
+    """Keeps what follows the first line feed until one reading of its lines is left; a range without a line feed, or with none
+    behind which a record could start, is given up at its end."""
+    sync, held, base, begin, seen = None, bytearray(), 0, 0, 0
+    for piece in pieces:
+        if sync is None:
+            at = piece.find(b"\n")
+            base += len(piece) if at < 0 else at + 1
+            if at < 0:
+                if own.n is not None and base >= own.n:
+                    return None
+                continue
+            sync, piece = FastqSync(crlf), piece[at + 1 :]
+        held += piece
+        while not sync.lost and (end := held.find(b"\n", seen)) >= 0:
+            sync.line(base + begin, bytes(held[begin:end]))
+            begin = seen = end + 1
+            if sync.start is not None:
+                return sync.start, bytes(held[sync.start - base :])
+        if sync.lost:
+            at = irregular_record_start(b"\n" + held)
+            if at is not None:
+                return base + at - 1, bytes(held[at - 1 :])
+            continue
+        seen = len(held)
+        earliest = sync.earliest(base + begin, bytes(held[begin : begin + 1]))
+        if own.n is not None and base + seen > own.n and (earliest is None or earliest > own.n):
+            return None
+    if sync is not None and not sync.lost:
+        sync.end(bytes(held[begin:]))
+        if sync.start is not None:
+            return sync.start, bytes(held[sync.start - base :])
+    return None
 
 
 def owned(part: FilePart, pieces: Iterator[bytes], own: Own, with_seqs: bool = True) -> Iterator[tuple[str, Records]]:
@@ -287,6 +312,21 @@ class FastxDataSource(DataSource):
     def reader(self, schema: StructType) -> FastxReader:
         return FastxReader(schema, dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> FastxWriter:
+        return FastxWriter(schema, dict(self.options), overwrite)
+
+
+def requested_schema(columns: list[str] | None, binary: bool) -> StructType:
+    """The columns asked for, in their order, or the usual ones."""
+    names = columns or ["file", "format", "header", "seq", "quality", "dna_len"]
+    full = {f.name: f for f in _parse_datatype_string(SCHEMA).fields}
+    schema = StructType([full[n] for n in names])
+    if binary:
+        for f in schema.fields:
+            if f.name in ("header", "seq", "quality"):
+                f.dataType = BinaryType()
+    return schema
+
 
 def read_fastx(spark: SparkSession, paths: str | list[str], *, columns: list[str] | None = None, options: FastxOptions | None = None, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, binary: bool = False) -> DataFrame:
     """Records of files, folders or patterns, with only the columns asked for.
@@ -295,18 +335,10 @@ def read_fastx(spark: SparkSession, paths: str | list[str], *, columns: list[str
     byte_end, error (mode PERMISSIVE: good records first, then a row with the error). options: fields and residue policy,
     see strandlake.operators.project. binary: header, seq and quality as bytes.
     """
-    from pyspark.sql.types import _parse_datatype_string
-
     from ..operators.project import apply_options, source_columns
 
     spark.dataSource.register(FastxDataSource)
-    names = columns or (source_columns(options) if options else ["file", "format", "header", "seq", "quality", "dna_len"])
-    full = {f.name: f for f in _parse_datatype_string(SCHEMA).fields}
-    schema = StructType([full[n] for n in names])
-    if binary:
-        for f in schema.fields:
-            if f.name in ("header", "seq", "quality"):
-                f.dataType = BinaryType()
+    schema = requested_schema(columns or (source_columns(options) if options else None), binary)
     joined = paths if isinstance(paths, str) else "\n".join(paths)
     out = spark.read.format("fastx").schema(schema).option("paths", joined).option("mode", mode).option("splitBytes", split_bytes).load()
     return apply_options(out, options) if options else out

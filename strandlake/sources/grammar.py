@@ -254,20 +254,99 @@ def scan_bytes(data: bytes) -> Iterator[tuple[str, Records]]:
     return scan_pieces(iter([data] if data else []))
 
 
-def find_record_start(format_: str, data: bytes, pos: int = 0) -> int | None:
-    """The first record start behind a line feed at or after pos: a > that begins a line, or an @ that does and whose next
-    line begins with something else (a quality line that starts with @ is followed by a header). None if data doesn't
-    reach far enough to tell."""
+class FastqSync:
+    """Finds where records start when reading begins in the middle of a FASTQ input.
+
+    The first whole line can be a header, a sequence, a plus line or a quality. All four readings are followed side by side,
+    line by line, and those that the lines contradict are dropped: a header begins with @, a plus line with +, a quality is as long
+    as its sequence, and blank lines stand only where a header is due. `start` is set once every reading that is left has
+    the same first header. Letters prove nothing by themselves, so sequences and qualities may begin with @ or +.
+    """
+
+    HEADER, SEQUENCE, PLUS, QUALITY = range(4)
+
+    def __init__(self, crlf: bool = False):
+        self.crlf = crlf
+        #: Of each reading: what the next line is, the length of its sequence if known, and where its first header starts.
+        self.readings: list[tuple[int, int | None, int | None]] = [(kind, None, None) for kind in range(4)]
+        self.start: int | None = None
+
+    def line(self, begin: int, text: bytes) -> None:
+        """The next line, without its line feed."""
+        if self.crlf:
+            text = text.removesuffix(b"\r")
+        left = []
+        for kind, length, first in self.readings:
+            if kind == self.HEADER:
+                if not text:
+                    left.append((kind, None, first))
+                elif text[:1] == b"@":
+                    left.append((self.SEQUENCE, None, begin if first is None else first))
+            elif kind == self.SEQUENCE:
+                left.append((self.PLUS, len(text), first))
+            elif kind == self.PLUS:
+                if text[:1] == b"+":
+                    left.append((self.QUALITY, length, first))
+            elif length is None or length == len(text):
+                left.append((self.HEADER, None, first))
+        self.readings = list(dict.fromkeys(left))
+        self.settle()
+
+    def settle(self) -> None:
+        starts = {first for _, _, first in self.readings}
+        if len(starts) == 1:
+            self.start = starts.pop()
+
+    def end(self, rest: bytes) -> None:
+        """The input ends, with a line that has no line feed: a record must end there, too."""
+        if rest.removesuffix(b"\r" if self.crlf else b""):
+            self.line(-1, rest)
+        whole = [r for r in self.readings if r[0] == self.HEADER and r[2] is not None]
+        if whole and self.start is None:
+            self.start = min(first for _, _, first in whole)
+
+    def earliest(self, begin: int, head: bytes) -> int | None:
+        """The first place where a record could still start, given where the next line begins and its first byte, if known."""
+        open_header = head in (b"", b"@", b"\r", b"\n")
+        places = [begin if first is None and kind == self.HEADER and open_header else first for kind, _, first in self.readings]
+        return min((p for p in places if p is not None), default=None)
+
+    @property
+    def lost(self) -> bool:
+        """Whether no reading is left: the input has records that are no regular FASTQ."""
+        return not self.readings
+
+
+def find_record_start(format_: str, data: bytes, pos: int = 0, crlf: bool = False, final: bool = True) -> int | None:
+    """The first record start behind a line feed at or after pos. FASTA: a > that begins a line. FASTQ: see FastqSync; None if
+    data doesn't tell. final: whether the input ends with data, and a record therefore, too."""
+    if format_ == "fasta":
+        at = data.find(b"\n>", pos)
+        return None if at < 0 else at + 1
     at = data.find(b"\n", pos)
-    while at >= 0 and at + 1 < len(data):
-        if format_ == "fasta":
-            if data[at + 1] == ord(">"):
-                return at + 1
-        elif data[at + 1] == ord("@"):
-            end = data.find(b"\n", at + 1)
-            if end < 0 or end + 1 >= len(data):
-                return None
-            if data[end + 1] != ord("@"):
-                return at + 1
-        at = data.find(b"\n", at + 1)
+    if at < 0:
+        return None
+    sync, begin = FastqSync(crlf), at + 1
+    while sync.start is None and not sync.lost:
+        end = data.find(b"\n", begin)
+        if end < 0:
+            if final:
+                sync.end(data[begin:])
+            break
+        sync.line(begin, data[begin:end])
+        begin = end + 1
+    return irregular_record_start(data, at) if sync.lost else sync.start
+
+
+def irregular_record_start(data: bytes, pos: int = 0) -> int | None:
+    """For FASTQ with plus lines without + or qualities of another length than the sequence: an @ that begins a line, if
+    the next line begins with something else. None if data doesn't reach far enough to tell."""
+    at = data.find(b"\n@", pos)
+    while at >= 0:
+        end = data.find(b"\n", at + 1)
+        if end < 0 or end + 1 >= len(data):
+            return None
+        if data[end + 1] != ord("@"):
+            return at + 1
+        at = data.find(b"\n@", at + 1)
     return None

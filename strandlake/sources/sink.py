@@ -49,6 +49,22 @@ def _write(lines: DataFrame, path: str, crlf: bool, compression: str | None, mod
     writer.text(path)
 
 
+def write_fastx(records: DataFrame, path: str, *, kind: str = "fastq", compression: str | None = "bgzf", block_bytes: int | None = None, width: int = 0, crlf: bool = False, mode: str = "append") -> None:
+    """Part files of FASTA or FASTQ by the data source's own writer, with an all-or-nothing commit (modes append, overwrite).
+
+    bgzf and zstd files consist of blocks or frames of block_bytes of text and are split by readers; gzip, bzip2 and xz are one
+    stream. Lines are made by column functions; tasks only compress them.
+    """
+    from .fastx import FastxDataSource
+
+    records.sparkSession.dataSource.register(FastxDataSource)
+    text = fastq_text(crlf=crlf) if kind == "fastq" else fasta_text(width=width, crlf=crlf)
+    writer = _ordered(records).select(text.alias("text")).write.format("fastx").mode(mode).option("lineSep", "\r\n" if crlf else "\n").option("extension", ".fq" if kind == "fastq" else ".fa")
+    if block_bytes:
+        writer = writer.option("blockBytes", block_bytes)
+    writer.option("compression", compression or "none").save(path)
+
+
 def fastq_to_fasta(records: DataFrame) -> DataFrame:
     """record, line_no and line of the FASTA form: a header line and one line of sequence for each record."""
     lines = F.array(F.concat(F.lit(">"), F.col("header")), F.col("seq"))
