@@ -8,6 +8,7 @@ INVALID_RECORD_START = "invalid record start: expected {expected}, found byte {b
 TRUNCATED_RECORD = "unexpected end of file mid-record"
 INVALID_BASE = "invalid base 0x{byte} ('{char}') at byte offset {pos}"
 DECOMPRESSION = "decompression error: {message}"
+IO = "I/O error: {message}"
 
 
 class FastxError(Exception):
@@ -61,3 +62,12 @@ class DecompressionError(FastxError):
 
     def __init__(self, message: str):
         super().__init__(DECOMPRESSION.format(message=message))
+
+
+class InputError(FastxError):
+    """A file that isn't there, can't be opened, or can't be read to its end."""
+
+    kind = "Io"
+
+    def __init__(self, message: str):
+        super().__init__(IO.format(message=message))

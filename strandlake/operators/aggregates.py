@@ -16,18 +16,18 @@ def seq_stats(records: DataFrame, *by: str) -> DataFrame:
 
 
 def file_stats(spark, paths: list[str], **options) -> DataFrame:
-    """seq_stats of each path; a path that doesn't exist gives a row with format ERR."""
-    import os
+    """seq_stats of each file that the paths (files, folders, patterns, URIs) stand for; a path for which there is nothing, and
+    a file that can't be read or isn't well formed, gives a row with format ERR and null figures.
 
+    A file with an error counts as that, whatever records came before it.
+    """
     from ..sources.fastx import read_fastx
 
-    there = [p for p in paths if os.path.exists(p)]
-    missing = [(p,) for p in paths if p not in there]
-    out = seq_stats(read_fastx(spark, there, columns=["file", "format", "dna_len"], **options)) if there else None
-    if missing:
-        lost = spark.createDataFrame(missing, "file string").withColumn("format", F.lit("ERR"))
-        out = lost if out is None else out.unionByName(lost, allowMissingColumns=True)
-    return out
+    rows = read_fastx(spark, paths, columns=["file", "format", "dna_len", "error"], mode="PERMISSIVE", **options)
+    bad = F.max(F.col("error").isNotNull())
+    length = lambda f: F.when(~bad, f("dna_len"))
+    empty = F.when(~bad, F.count("dna_len"))
+    return rows.groupBy("file").agg(F.when(bad, "ERR").otherwise(F.max("format")).alias("format"), empty.alias("num_seqs"), length(F.sum).alias("sum_len"), length(F.min).alias("min_len"), length(F.avg).alias("avg_len"), length(F.max).alias("max_len"))
 
 
 def base_histogram(records: DataFrame, seq: str = "seq") -> DataFrame:
@@ -56,6 +56,29 @@ def kmer_counts(records: DataFrame, k: int, *, canonical: bool = True, seq: str
     return words.select((dna.canonical("kmer") if canonical else F.col("kmer")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+def seq_rollup(records: DataFrame, *by: str) -> DataFrame:
+    """seq_stats of every group of by, of every group of its beginnings, and of all records; by columns are null where they are
+    summed over, and `level` is how many are kept."""
+    length = F.col("dna_len") if "dna_len" in records.columns else dna.dna_len("seq")
+    kept = sum((1 - F.grouping(c) for c in by), F.lit(0)).cast("int")
+    return records.rollup(*by).agg(kept.alias("level"), F.count("*").alias("num_seqs"), F.sum(length).alias("sum_len"), F.min(length).alias("min_len"), F.avg(length).alias("avg_len"), F.max(length).alias("max_len"))
+
+
+def kmer_sketches(records: DataFrame, k: int, *by: str, canonical: bool = True, seq: str = "seq", bits: int = 14) -> DataFrame:
+    """A sketch of each group's distinct words of k residues, of 2**bits registers whatever their number. Sketches of parts are
+    merged by `merged_kmers`, today's with those of a table written yesterday."""
+    runs = records.select(*by, F.explode(dna.actg_runs(F.upper(F.col(seq)))).alias("run"))
+    words = runs.select(*by, F.explode(dna.kmers("run", k)).alias("kmer"))
+    return words.groupBy(*by).agg(F.hll_sketch_agg(dna.canonical("kmer") if canonical else "kmer", bits).alias("sketch"))
+
+
+def merged_kmers(sketches: DataFrame, *by: str, rollup: bool = False) -> DataFrame:
+    """The estimated number of distinct words of the groups by, from sketches of finer ones, and their merged sketches; with
+    rollup also of the beginnings of by and of all. The relative standard error is about 1.04 / sqrt(2**bits), 0.8 % at 14."""
+    grouped = sketches.rollup(*by) if rollup else sketches.groupBy(*by)
+    return grouped.agg(F.hll_union_agg("sketch").alias("sketch")).withColumn("distinct_kmers", F.hll_sketch_estimate("sketch"))
+
+
 def minimizers(records: DataFrame, k: int = 21, w: int = 11, *, seq: str = "seq") -> DataFrame:
     """The columns of records but seq, run_index, position and minimizer: in every window of w neighbouring words of k
     residues the one whose canonical form has the least MD5 digest, the leftmost of several; each place once.

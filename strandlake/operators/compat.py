@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,13 +96,21 @@ def reduce_partitions(records: DataFrame, init: Callable[[], Any], process: Call
 
 
 class BatchProcessor:
-    """Override what is needed; one instance works through each partition. Rows that process_record returns are output."""
+    """Override what is needed; one instance works through each partition, and what it returns is output.
+
+    process_batch gets Arrow batches. Those who think in records override process_record instead, which gets a dict for each.
+    """
 
     schema = "value string"
     requires_ordering = False
 
     def set_partition(self, number: int) -> None: ...
 
+    def process_batch(self, batch: pa.RecordBatch) -> pa.RecordBatch | pa.Table | list[dict] | None:
+        names = batch.schema.names
+        rows = zip(*(iter(column) for column in batch.columns), strict=True)
+        return [x for row in rows if (x := self.process_record({n: v.as_py() for n, v in zip(names, row, strict=True)})) is not None]
+
     def process_record(self, record: dict) -> dict | None:
         raise NotImplementedError
 
@@ -112,24 +121,66 @@ class BatchProcessor:
         return []
 
 
+TICKET = "struct<file: string, byte_start: long, row: long>"
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The parts of a batch in which file stays and byte_start ascends: stretches of the input, as a scan gives them."""
+    if batch.num_rows < 2:
+        yield batch
+        return
+    file, start = batch.column("file"), batch.column("byte_start")
+    breaks = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.less_equal(start[1:], start[:-1]))
+    cuts = [0, *(pc.indices_nonzero(breaks).to_numpy() + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(lo, hi - lo)
+
+
 def process_parallel(records: DataFrame, processor: BatchProcessor) -> DataFrame:
-    """The rows that a processor gives; with requires_ordering, in the order of the input (file, byte_start)."""
+    """The rows that a processor gives.
+
+    With requires_ordering, rows come in the order of the input (file, byte_start), which records must have as columns: every
+    batch draws a ticket, the place of its first record in the input, its rows carry it in the column `ticket` with their
+    number in the batch, and the output is sorted by it. Records stay where they are, for which they must come from a scan, a
+    partition being a stretch of the input; rows of on_partition_complete follow those of the partition's last batch.
+    """
     from copy import deepcopy
 
     from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    out = _parse_datatype_string(processor.schema)
+    schema, ordered = to_arrow_schema(out), processor.requires_ordering
+    full = StructType([*out.fields, *_parse_datatype_string(f"ticket {TICKET}").fields]) if ordered else out
 
-    if processor.requires_ordering:
-        records = records.repartitionByRange("file", "byte_start").sortWithinPartitions("file", "byte_start")
-    schema = to_arrow_schema(_parse_datatype_string(processor.schema))
+    def table(found: pa.RecordBatch | pa.Table | list[dict] | None) -> pa.Table:
+        if found is None:
+            return schema.empty_table()
+        if isinstance(found, list):
+            return pa.Table.from_pylist(found, schema)
+        return (found if isinstance(found, pa.Table) else pa.Table.from_batches([found])).select(schema.names).cast(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = deepcopy(processor)
         own.set_partition(TaskContext.get().partitionId())
-        for batch in batches:
-            rows = [x for r in batch.to_pylist() if (x := own.process_record(r)) is not None] + own.on_batch_complete()
-            yield pa.RecordBatch.from_pylist(rows, schema)
-        yield pa.RecordBatch.from_pylist(own.on_partition_complete(), schema)
+        file, start, given = None, None, 0
 
-    return records.mapInArrow(run, processor.schema)
+        def stamped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal given
+            if ordered:
+                n = rows.num_rows
+                ticket = pa.StructArray.from_arrays([pa.array([file] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array(range(given, given + n), pa.int64())], ["file", "byte_start", "row"])
+                rows, given = rows.append_column("ticket", ticket), given + n
+            yield from rows.combine_chunks().to_batches()
+
+        for batch in batches:
+            for part in _runs(batch) if ordered else (batch,):
+                if ordered and part.num_rows:
+                    file, start, given = part.column("file")[0].as_py(), part.column("byte_start")[0].as_py(), 0
+                yield from stamped(table(own.process_batch(part)))
+                yield from stamped(table(own.on_batch_complete()))
+        yield from stamped(table(own.on_partition_complete()))
+
+    done = records.mapInArrow(run, full)
+    return done.orderBy("ticket") if ordered else done

@@ -13,18 +13,21 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import aggregates as agg
+from ..operators.compat import BatchProcessor, process_parallel
+from ..operators.intervals import asof, overlaps
 from ..operators.ordering import with_record_index
 from ..operators.parse import parse_fastx
 from ..operators.project import apply_options, split_runs
 from ..options import FastxOptions
 from ..sources import sink
 from ..sources.chunks import read_chunked
-from ..sources.fastx import read_fastx
+from ..sources.fastx import read_fastx, read_numbered
 from ..streaming.ranges import stream_ranges
 
 
@@ -336,8 +339,6 @@ def q_union(spark, sf_dir):
 @query("with reads select k, seq, row_number() over (partition by k // 64 order by length(seq) desc, k) as place from reads")
 def q_rank_window(spark, sf_dir):
     """Built-in ranking within each text."""
-    from pyspark.sql import Window
-
     rows = parsed(spark, sf_dir, columns=("header", "seq", "dna_len"))
     return rows.select("k", "seq", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("dna_len"), "k")).cast("long").alias("place"))
 
@@ -440,3 +441,95 @@ def q_options_events(spark, sf_dir):
     names = rows.select("file", "byte_start", "k")
     shown = F.when(F.col("event") == "chunk", F.col("seq")).otherwise(F.array_join("runs", "|"))
     return events.join(names, ["file", "byte_start"]).select("event", "k", shown.alias("run"))
+
+
+PLACED = """with reads, l as (select k, k // 64 as t, (k % 64) * 20 as s, (k % 64) * 20 + length(seq) as e from reads),
+r as (select k, k // 64 as t, (k * 7) % 1500 as s, (k * 7) % 1500 + length(seq) // 2 as e from reads)"""
+
+
+def placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The reads as two sets of intervals on each text."""
+    rows = parsed(spark, sf_dir, columns=("header", "dna_len")).select("k", "dna_len")
+    text = F.floor(F.col("k") / 64).alias("t")
+    left, right = F.col("k") % 64 * 20, F.col("k") * 7 % 1500
+    return (
+        rows.select("k", text, left.alias("start"), (left + F.col("dna_len")).alias("end")),
+        rows.select("k", text, right.alias("start"), (right + F.floor(F.col("dna_len") / 2)).alias("end")),
+    )
+
+
+@query(PLACED + """ select l.k, r.k as k_right, least(l.e, r.e) - greatest(l.s, r.s) as shared from l join r on l.t = r.t and l.s < r.e and r.s < l.e and l.s < l.e and r.s < r.e""")
+def q_overlaps(spark, sf_dir):
+    """Intervals that share a coordinate, found by bins of 64 coordinates."""
+    pairs = overlaps(*placed(spark, sf_dir), ["t"], width=64)
+    return pairs.select("k", "k_right", (F.least("end", "end_right") - F.greatest("start", "start_right")).alias("shared"))
+
+
+@query(PLACED + """ select l.k, max(r.s) as start_right, arg_max(r.k, (r.s, r.e, r.k)) as k_right from l left join r on l.t = r.t and r.s <= l.e group by l.k""")
+def q_asof(spark, sf_dir):
+    """The interval that begins last at or before another's end."""
+    left, right = placed(spark, sf_dir)
+    return asof(left, right.select("t", "start", "end", "k"), ["t"], at="end", width=64).select("k", "start_right", "k_right")
+
+
+@query("""with reads select k % 8 as part, k % 3 as third, ((1 - grouping(k % 8)) + (1 - grouping(k % 3)))::int as level, count(*) as num_seqs, sum(length(seq))::bigint as sum_len, min(length(seq))::bigint as min_len, avg(length(seq)) as avg_len, max(length(seq))::bigint as max_len from reads group by rollup (k % 8, k % 3)""")
+def q_stats_rollup(spark, sf_dir):
+    """Statistics of groups, of their parts and of all at once."""
+    rows = parsed(spark, sf_dir, columns=("header", "dna_len")).select((F.col("k") % 8).alias("part"), (F.col("k") % 3).alias("third"), "dna_len")
+    return agg.seq_rollup(rows, "part", "third")
+
+
+@query("""with reads, runs as (select k % 8 as part, unnest(regexp_extract_all(upper(seq), '([ACGT]+)', 1)) as run from reads),
+words as (select part, unnest(list_transform(generate_series(1, length(run) - 6), lambda i: substr(run, i::int, 7))) as w from runs where length(run) >= 7)
+select part, count(distinct least(w, reverse(translate(w, 'ACGT', 'TGCA')))) as n, true as near from words group by rollup (part)""")
+def q_distinct_kmers(spark, sf_dir):
+    """Distinct words from merged sketches, held against exact counts: within 4 %, five standard errors."""
+    rows = parsed(spark, sf_dir, columns=("header", "seq")).select((F.col("k") % 8).alias("part"), (F.col("k") % 5).alias("fifth"), "seq")
+    estimates = agg.merged_kmers(agg.kmer_sketches(rows, 7, "part", "fifth"), "part", rollup=True)
+    words = rows.select("part", F.explode(dna.actg_runs(F.upper("seq"))).alias("run")).select("part", F.explode(dna.kmers("run", 7)).alias("w"))
+    exact = words.rollup("part").agg(F.count_distinct(dna.canonical("w")).alias("n")).withColumnRenamed("part", "p")
+    both = estimates.join(exact, estimates["part"].eqNullSafe(exact["p"]))
+    return both.select("part", "n", (F.abs(F.col("distinct_kmers") - F.col("n")) <= 0.04 * F.col("n")).alias("near"))
+
+
+@query("with reads select k, length(seq)::bigint as dna_len from reads where header like 'r1%' and length(seq) >= 40 and header not in ('r1', 'r10')")
+def q_pushed_filters(spark, sf_dir):
+    """Filters that the scan tests before it builds columns."""
+    path = _files(spark, sf_dir)
+    sink.write_fastx(derived(spark, sf_dir), path)
+    rows = read_fastx(spark, path, columns=["format", "header", "dna_len"], push_filters=True)
+    rows = rows.where("header like 'r1%' and dna_len >= 40 and format = 'fastq' and header not in ('r1', 'r10')")
+    return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "dna_len")
+
+
+@query("with reads select k, (row_number() over (order by k) - 1)::bigint as record_index from reads")
+def q_numbered_ranges(spark, sf_dir):
+    """Record numbers in one long file that is cut, from counts of its ranges; the file is put together of sorted part files."""
+    path = _files(spark, sf_dir)
+    sink.write_fastx(derived(spark, sf_dir).repartitionByRange("k").sortWithinPartitions("k"), path, compression=None)
+    rows = read_numbered(spark, path, columns=["file", "header", "record_index"], split_bytes=1 << 14)
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    # The files' own numbers, of which there are as many as the writer had tasks.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("file", before.alias("base"))
+    return rows.join(F.broadcast(bases), "file").select(F.substring("header", 2, 20).cast("long").alias("k"), (F.col("record_index") + F.col("base")).alias("record_index"))
+
+
+class _Lengths(BatchProcessor):
+    """Of each batch of records, their keys and lengths, by Arrow functions."""
+
+    schema = "k long, dna_len long"
+    requires_ordering = True
+
+    def process_batch(self, batch):
+        keys = pc.cast(pc.utf8_slice_codeunits(batch.column("header"), 1, 20), pa.int64())
+        return pa.RecordBatch.from_arrays([keys, pc.cast(pc.binary_length(batch.column("seq")), pa.int64())], ["k", "dna_len"])
+
+
+@query("with reads select k, length(seq)::bigint as dna_len, row_number() over (partition by k // 64 order by k) as place from reads")
+def q_ordered_batches(spark, sf_dir):
+    """What a processor of batches gives, in the order of the input by the tickets of its batches."""
+    rows = parsed(spark, sf_dir, columns=("header", "seq", "byte_start")).withColumn("file", F.col("text_id").cast("string"))
+    done = process_parallel(rows.select("file", "byte_start", "header", "seq"), _Lengths())
+    order = Window.partitionBy("ticket.file").orderBy("ticket")
+    return done.select("k", "dna_len", F.row_number().over(order).cast("long").alias("place"))

@@ -54,10 +54,20 @@ def open_input(path: str) -> BinaryIO:
 
 
 def list_inputs(paths: list[str]) -> list[tuple[str, int]]:
-    """(path, size) of all files that the paths (files, folders, local patterns) stand for, in order of name."""
-    found: list[tuple[str, int]] = []
+    """(path, size) of all files that the paths (files, folders, local patterns) stand for, in order of name; a path for which
+    there is nothing is an error."""
+    found = find_inputs(paths)
+    for path, size in found:
+        if size is None:
+            raise FileNotFoundError(f"no such file or folder: {path}")
+    return found
+
+
+def find_inputs(paths: list[str]) -> list[tuple[str, int | None]]:
+    """As list_inputs, with size None for a path for which there is nothing."""
+    found: list[tuple[str, int | None]] = []
     for path in paths:
-        if "://" in path:
+        if "://" in path and not path.startswith("file:"):
             from pyarrow import fs
 
             store, inner = fs.FileSystem.from_uri(path)
@@ -65,12 +75,12 @@ def list_inputs(paths: list[str]) -> list[tuple[str, int]]:
             infos = store.get_file_info(fs.FileSelector(inner, recursive=True)) if info.type == fs.FileType.Directory else [info]
             prefix = path.split("://")[0] + "://"
             found += [(prefix + i.path if not i.path.startswith(prefix) else i.path, i.size) for i in infos if i.type == fs.FileType.File and not os.path.basename(i.path).startswith(("_", "."))]
+            found += [(path, None)] if info.type == fs.FileType.NotFound else []
             continue
         path = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-        names = [os.path.join(d, f) for d, _, fs_ in os.walk(path) for f in fs_ if not f.startswith(("_", "."))] if os.path.isdir(path) else glob.glob(path) if glob.has_magic(path) else [path]
-        for name in names:
-            found.append((name, os.path.getsize(name)))
-    return sorted(found)
+        names = [os.path.join(d, f) for d, _, fs_ in os.walk(path) for f in fs_ if not f.startswith(("_", "."))] if os.path.isdir(path) else glob.glob(path) if glob.has_magic(path) and not os.path.exists(path) else [path]
+        found += [(name, os.path.getsize(name) if os.path.exists(name) else None) for name in names or ([] if os.path.isdir(path) else [path])]
+    return sorted(found, key=lambda f: f[0])
 
 
 def modified_at(path: str) -> float:

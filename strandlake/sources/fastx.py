@@ -7,6 +7,7 @@ compressed files are one task each. Only the columns of the requested schema are
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StructType, _parse_datatype_string
 
-from ..errors import FastxError
+from ..errors import FastxError, InputError
 from ..options import FastxOptions
-from .codecs import BGZF_END, compression_format, decoded_pieces, gzip_pieces, list_inputs, next_bgzf_block, open_input, raw_pieces, zstd_frames
+from .codecs import BGZF_END, compression_format, decoded_pieces, find_inputs, gzip_pieces, list_inputs, next_bgzf_block, open_input, raw_pieces, zstd_frames
+from .filters import chosen, column_of, keeps_file, split_filters, wanted
 from .grammar import FastqSync, Records, format_of, irregular_record_start, is_crlf, scan_pieces, scanner
 from .writer import FastxWriter
 
@@ -44,6 +46,9 @@ class FilePart(InputPartition):
     cut_by: str
     format: str | None
     crlf: bool
+    #: The number of records before the range in its file, where known, and what is wrong with the file.
+    first_index: int | None = None
+    error: str | None = None
 
 
 def texts(values: list[bytes] | pa.Array, binary: bool) -> pa.Array:
@@ -57,15 +62,16 @@ def texts(values: list[bytes] | pa.Array, binary: bool) -> pa.Array:
         return pa.array([v.decode("utf-8", "replace") for v in out.to_pylist()], pa.string())
 
 
-def record_batch(schema: StructType, records: Records, format_: str, path: str | None, first_index: int | None) -> pa.RecordBatch:
-    """The requested columns of some records."""
+def record_batch(schema: StructType, records: Records, format_: str, path: str | None, first_index: int | np.ndarray | None) -> pa.RecordBatch:
+    """The requested columns of some records, whose numbers are consecutive from first_index on or given one by one."""
     n, columns = len(records), []
     for field in schema.fields:
         binary = isinstance(field.dataType, BinaryType)
         if field.name == "file":
             columns.append(pa.array([path] * n, pa.string()))
         elif field.name == "record_index":
-            columns.append(pa.nulls(n, pa.int64()) if first_index is None else pa.array(range(first_index, first_index + n), pa.int64()))
+            numbers = range(first_index, first_index + n) if isinstance(first_index, int) else first_index
+            columns.append(pa.nulls(n, pa.int64()) if numbers is None else pa.array(numbers, pa.int64()))
         elif field.name == "format":
             columns.append(pa.array([format_] * n, pa.string()))
         elif field.name == "header":
@@ -107,15 +113,34 @@ class FastxReader(DataSourceReader):
         paths = options.get("paths") or options.get("path") or ""
         self.paths = [p for p in paths.split("\n") if p]
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
-        # A record's number in its file is known only to a task that has read all before it.
-        self.whole_files = "record_index" in schema.names
+        # A record's number in its file is known only to a task that has read all before it, or is told (see read_numbered).
+        self.bases = json.loads(options["bases"]) if "bases" in options else None
+        self.whole_files = "record_index" in schema.names and self.bases is None
         self.with_seqs = bool({"seq", "quality", "dna_len"} & set(schema.names))
+        self.filters: list = []
 
     def partitions(self) -> list[FilePart]:
+        found = find_inputs(self.paths) if self.permissive else list_inputs(self.paths)
+        found = [f for f in found if keeps_file(self.filters, f[0])]
         with ThreadPoolExecutor(32) as pool:  # looking into files waits for the store
-            parts = [part for parts in pool.map(lambda f: self.parts_of(*f), list_inputs(self.paths)) for part in parts]
+            parts = [part for parts in pool.map(lambda f: self.safe_parts_of(*f), found) for part in parts]
+        if self.bases is not None:
+            for part in parts:
+                part.first_index = self.bases.get(part.path, {}).get(str(part.start))
+            self.bases = {}  # tasks have theirs
         return parts or [FilePart("", 0, 0, 0, None, "whole", None, False)]
 
+    def safe_parts_of(self, path: str, size: int | None) -> list[FilePart]:
+        """A file that can't be looked into is one part with an error."""
+        try:
+            if size is None:
+                raise FileNotFoundError(f"no such file or folder: {path}")
+            return self.parts_of(path, size)
+        except OSError as error:
+            if not self.permissive:
+                raise
+            return [FilePart(path, 0, 0, 0, None, "whole", None, False, None, str(error))]
+
     def parts_of(self, path: str, size: int) -> list[FilePart]:
         with open_input(path) as file:
             head = file.read(1 << 16)
@@ -153,22 +178,32 @@ class FastxReader(DataSourceReader):
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        index = 0 if partition.cut_by == "whole" else None
+        index = partition.first_index if self.bases is not None else 0 if partition.cut_by == "whole" else None
         try:
             for format_, records in self.scan(partition):
                 if len(records):
-                    yield record_batch(self.schema, records, format_, partition.path, index)
+                    yield from self.batches(records, format_, partition.path, index)
                     index = None if index is None else index + len(records)
-        except FastxError as error:
-            good = getattr(error, "records", None)
+        except (FastxError, OSError) as error:
             if not self.permissive:
                 raise
+            good = getattr(error, "records", None)
             if good is not None and len(good):
-                yield record_batch(self.schema, good, "fasta" if good.quals is None else "fastq", partition.path, index)
-            if "error" in self.schema.names:
-                yield error_batch(self.schema, error, partition.path)
+                yield from self.batches(good, "fasta" if good.quals is None else "fastq", partition.path, index)
+            if "error" in self.schema.names and all(column_of(f) == "file" for f in self.filters):
+                yield error_batch(self.schema, error if isinstance(error, FastxError) else InputError(str(error)), partition.path)
+
+    def batches(self, records: Records, format_: str, path: str, index: int | None) -> Iterator[pa.RecordBatch]:
+        """The batch of some records that are wanted."""
+        keep = wanted(self.filters, records, format_) if self.filters else None
+        if keep is None:
+            yield record_batch(self.schema, records, format_, path, index)
+        elif keep.any():
+            yield record_batch(self.schema, chosen(records, keep), format_, path, None if index is None else index + np.flatnonzero(keep))
 
     def scan(self, part: FilePart) -> Iterator[tuple[str, Records]]:
+        if part.error is not None:
+            raise InputError(part.error)
         with open_input(part.path) as file:
             if part.cut_by == "whole":
                 yield from scan_pieces(decoded_pieces(file, part.codec), self.with_seqs)
@@ -203,6 +238,27 @@ class FastxReader(DataSourceReader):
             yield from decoded_pieces(file, part.codec)
 
 
+class FilteringReader(FastxReader):
+    """A reader that tests what it can of a query's filters itself."""
+
+    def pushFilters(self, filters: list) -> list:
+        self.filters, rest = split_filters(filters)
+        return rest
+
+
+class Counter(FastxReader):
+    """Instead of records: how many there are in each range, as (file, byte_start of the range, record_index: their number)."""
+
+    def __init__(self, schema: StructType, options: dict):
+        super().__init__(schema, options)
+        self.whole_files = False
+
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            n = sum(len(records) for _, records in self.scan(partition))
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([partition.start], pa.int64()), pa.array([n], pa.int64())], names=self.schema.names)
+
+
 class Stretch:
     """The next n bytes of a file, as a file."""
 
@@ -310,7 +366,11 @@ class FastxDataSource(DataSource):
         return ", ".join(c for c in SCHEMA.split(", ", 9) if not c.startswith(("record_index", "error")))
 
     def reader(self, schema: StructType) -> FastxReader:
-        return FastxReader(schema, dict(self.options))
+        options = dict(self.options)
+        if options.get("countonly", options.get("countOnly")) == "true":
+            return Counter(schema, options)
+        pushes = options.get("pushfilters", options.get("pushFilters")) == "true"
+        return (FilteringReader if pushes else FastxReader)(schema, options)
 
     def writer(self, schema: StructType, overwrite: bool) -> FastxWriter:
         return FastxWriter(schema, dict(self.options), overwrite)
@@ -328,17 +388,39 @@ def requested_schema(columns: list[str] | None, binary: bool) -> StructType:
     return schema
 
 
-def read_fastx(spark: SparkSession, paths: str | list[str], *, columns: list[str] | None = None, options: FastxOptions | None = None, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, binary: bool = False) -> DataFrame:
+def read_fastx(spark: SparkSession, paths: str | list[str], *, columns: list[str] | None = None, options: FastxOptions | None = None, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, binary: bool = False, push_filters: bool = False) -> DataFrame:
     """Records of files, folders or patterns, with only the columns asked for.
 
     columns: some of file, record_index (files aren't cut then), format, header, seq, quality, dna_len, byte_start,
-    byte_end, error (mode PERMISSIVE: good records first, then a row with the error). options: fields and residue policy,
-    see strandlake.operators.project. binary: header, seq and quality as bytes.
+    byte_end, error (mode PERMISSIVE: good records first, then a row with the error; files that aren't there or can't be read are
+    such rows, too). options: fields and residue policy, see strandlake.operators.project. binary: header, seq and quality as
+    bytes. push_filters: the scan tests a query's filters itself where it can, see filters.py; turns on the session's setting
+    spark.sql.python.filterPushdown.enabled.
     """
     from ..operators.project import apply_options, source_columns
 
     spark.dataSource.register(FastxDataSource)
     schema = requested_schema(columns or (source_columns(options) if options else None), binary)
     joined = paths if isinstance(paths, str) else "\n".join(paths)
-    out = spark.read.format("fastx").schema(schema).option("paths", joined).option("mode", mode).option("splitBytes", split_bytes).load()
+    reader = spark.read.format("fastx").schema(schema).option("paths", joined).option("mode", mode).option("splitBytes", split_bytes)
+    if push_filters:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        reader = reader.option("pushFilters", "true")
+    out = reader.load()
     return apply_options(out, options) if options else out
+
+
+def read_numbered(spark: SparkSession, paths: str | list[str], *, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES, binary: bool = False) -> DataFrame:
+    """As read_fastx, with record_index although files are cut: a first scan, without columns, counts the records of each
+    range; their sums tell each range the number of its first record. Files are read twice and nothing is shuffled; the driver
+    sees a row for each range."""
+    spark.dataSource.register(FastxDataSource)
+    joined = paths if isinstance(paths, str) else "\n".join(paths)
+    reader = spark.read.format("fastx").option("paths", joined).option("splitBytes", split_bytes)
+    counts = reader.schema("file string, byte_start long, record_index long").option("countOnly", "true").load().collect()
+    bases: dict[str, dict[int, int]] = {}
+    for path, start, n in sorted(tuple(r) for r in counts):
+        starts = bases.setdefault(path, {"end": 0})
+        starts[start], starts["end"] = starts["end"], starts["end"] + n
+    schema = requested_schema(columns or ["file", "record_index", "format", "header", "seq", "quality", "dna_len"], binary)
+    return reader.schema(schema).option("countOnly", "false").option("bases", json.dumps(bases)).load()

@@ -139,7 +139,7 @@ class FastqScanner:
     def plain_records(self) -> Records | None:
         """The whole records at hand, cut out by their line ends as Arrow arrays: the common case of line feeds only and no
         blank line between records. None if it isn't that case, or there is no whole record."""
-        if self.crlf or not self.with_seqs or (self.after_blank and self.held[:1] != b"@"):
+        if self.crlf or (self.after_blank and self.held[:1] != b"@"):
             return None
         feeds = np.flatnonzero(np.frombuffer(self.held, np.uint8) == 10)
         n = len(feeds) // 4
@@ -153,7 +153,7 @@ class FastqScanner:
         offsets = np.append(bounds.ravel(), used).astype(np.int32 if used < 1 << 31 else np.int64)
         kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
         stretches = pa.Array.from_buffers(kind, 9 * n, [None, pa.py_buffer(offsets), pa.py_buffer(self.held)])
-        header, seq, quality = (stretches.take(pa.array(np.arange(i, 9 * n, 9))) for i in (1, 3, 7))
+        header, seq, quality = (stretches.take(pa.array(np.arange(i, 9 * n, 9))) if i == 1 or self.with_seqs else [] for i in (1, 3, 7))
         out = Records(header, seq, quality, begin + self.offset, feeds[:, 3] + 1 + self.offset)
         self.held, self.offset, self.after_blank = self.held[used:], self.offset + used, False
         return out
