@@ -90,7 +90,7 @@ def float_format(vectors: DataFrame, vector_col: str) -> str:
 
 
 def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, x) of the rows that take part, x being the packed components.
+    """(vec_id, x, row) of the rows that take part, x being the packed components and row a number of the row's own.
 
     Vectors null, empty or zero, or with null or non-finite components, and rows without an id, take no part.
     """
@@ -110,16 +110,18 @@ def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([ids.filter(keep), x.filter(keep).cast(pa.binary())], ["vec_id", "x"])
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(pack, "vec_id long, x binary")
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(pack, "vec_id long, x binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def distinct_vectors(packed: DataFrame, keep: int) -> DataFrame:
-    """(node, x, ids) of the distinct vectors of packed rows: a number, the vector, and the `keep` smallest of its ids.
+    """(node, x, ids) of the distinct vectors of packed rows: a number, the vector, and the id and row number, in turn, of the
+    `keep` of its rows with the smallest ids.
 
     No other copy can be among anyone's keep - 1 nearest. Surplus copies are dropped before the shuffle.
     """
-    few = packed.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("n") <= keep)
-    nodes = few.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    few = packed.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("vec_id", "row"))).where(F.col("n") <= keep)
+    pairs = F.sort_array(F.collect_list(F.struct("vec_id", "row")))
+    nodes = few.groupBy("x").agg(F.flatten(F.transform(pairs, lambda p: F.array(p["vec_id"], p["row"]))).alias("ids"))
     return cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "x", "ids"))
 
 
@@ -186,9 +188,10 @@ def entries_needed(placed: DataFrame, index: MultiIndex, floats: str, k: int, re
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, recall: float = 0.96, tuning_queries: int = 96, block: int = 8192, query_bytes: int = 8 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for each row that is_query holds for.
 
-    Nearness is the largest inner product in double precision; ties go to the smaller id; a query's own id is no
+    Nearness is the largest inner product in double precision; ties go to the smaller id; a query's own row is no
     candidate; fewer candidates than k give fewer rows. Every row is indexed. Only vectors of one length have an inner
-    product, so each length that occurs is a search of its own. Repeated ids are rows like any other. See packed_vectors for
+    product, so each length that occurs is a search of its own. Repeated ids are rows like any other: each such query row has k
+    results, and the other rows of its id are among its candidates. See packed_vectors for
     the rows that take no part; an empty table gives no rows.
     """
     floats = float_format(vectors, vector_col)
@@ -204,15 +207,15 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, recall: float =
 def search_packed(packed: DataFrame, is_query: Column, floats: str, k: int, recall: float, tuning_queries: int, block: int, query_block: int) -> DataFrame:
     """search over packed vectors of one length.
 
-    Copies of a vector are one entry with its k + 1 smallest ids, which loses nothing, so a hot vector costs no more than
+    Copies of a vector are one entry with its k + 1 rows of smallest ids, which loses nothing, so a hot vector costs no more than
     another. A query goes through the cells of the index in order until it has met as many entries as entries_needed says,
     and all of those are scored exactly. Entries lie in blocks of about `block` in the order of cells; queries that begin in
     neighbouring cells share a chunk of about query_block; a task scores a block by a chunk that visits it. An entry is
     sent to a task for each such chunk, a query for each block on its way.
     """
     nodes = distinct_vectors(packed, k + 1)
-    asked = packed.where(is_query).select("vec_id", F.col("x").alias("asked_x"))
-    asked = asked.join(nodes.select("node", "x"), F.col("asked_x") == F.col("x")).select("vec_id", "node")
+    asked = packed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), F.col("x").alias("asked_x"))
+    asked = asked.join(nodes.select("node", "x"), F.col("asked_x") == F.col("x")).select("query_id", "own", "node")
     index = fit_index(nodes, floats)
     placed = cut_lineage(place(nodes, index, floats))
     entries = max(50 * k, entries_needed(placed, index, floats, k, recall, tuning_queries))
@@ -264,8 +267,8 @@ def search_packed(packed: DataFrame, is_query: Column, floats: str, k: int, reca
             x = matrix(entries_.column("x").combine_chunks(), floats)
             longest = np.sqrt((x**2).sum(1).max())
             ids = entries_.column("ids").combine_chunks()
-            at = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy()
+            at = ids.offsets.to_numpy() // 2
+            pairs = ids.values.to_numpy().reshape(-1, 2)
             q, names = matrix(queries.column("q").combine_chunks(), floats), queries.column("query").to_numpy()
             ways = queries.column("cells").combine_chunks()
             cuts, way_cells = ways.offsets.to_numpy(), ways.values.to_numpy()
@@ -287,15 +290,15 @@ def search_packed(packed: DataFrame, is_query: Column, floats: str, k: int, reca
                     exact = np.einsum("ij,j->i", x[mine], q[lo + i])
                     n = at[mine + 1] - at[mine]
                     source = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    s, v = np.repeat(exact, n), flat[source]
-                    best = np.lexsort((v, -s))[: k + 1]
-                    out.append((np.full(len(best), names[lo + i]), v[best], s[best]))
-        columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, np.float64))]
-        return pa.table(columns, ["query", "vec_id", "score"])
-
-    found = copies.groupBy("to_block", "to_chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(score, "query long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+                    s, v, row = np.repeat(exact, n), pairs[source, 0], pairs[source, 1]
+                    best = np.lexsort((row, v, -s))[: k + 1]
+                    out.append((np.full(len(best), names[lo + i]), v[best], row[best], s[best]))
+        columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, np.int64, np.float64))]
+        return pa.table(columns, ["query", "vec_id", "row", "score"])
+
+    found = copies.groupBy("to_block", "to_chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(score, "query long, vec_id long, row long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    mine = asked.join(found, asked["node"] == found["query"]).select(asked["vec_id"].alias("query_id"), found["vec_id"], "score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return mine.where("vec_id <> query_id").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    mine = asked.join(found, asked["node"] == found["query"]).where("own <> row")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row"))
+    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -82,24 +82,22 @@ def draw(rows: DataFrame, rate: Column, seed: int) -> tuple[np.ndarray, np.ndarr
     return sample["text_key"].to_numpy(np.int64), sample["ident"].to_numpy(np.int64), sample["weight"].to_numpy(float)
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, *, ranges_per_shard: int = 256, draws_per_range: int = 16, rounds: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, *, ranges_per_shard: int = 256, draws_per_range: int = 16, rounds: int = 16, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its shard (0 to shards-1) and slot, under the law `bytes`: shards of near equal size.
 
     Columns: doc_id, size (UTF-8 bytes plus 1; a null text has none), text_crc32, law, shard, slot (0, 1, ... in each
     shard, in key order), grown_shard (null), range (the range that the row fell into).
 
-    The key is (hash of the text, id), so equal texts are neighbours. Rows are drawn with a chance in proportion to their
+    The key is (hash of the text, number of the row), so equal texts are neighbours and no two rows have one key. Rows are drawn with a chance in proportion to their
     size, shards * ranges_per_shard quantiles of the draws become splitters (a bounded number of rows on the driver, whatever
     the input's size), and ranges are counted exactly. A range of over twice the mean is subdivided: rows are drawn from it
-    alone, as many as it is overfull, and their quantiles are splitters as well; so on for `rounds` rounds. Ranges are dealt to
+    alone, as many as it is overfull, and their quantiles are splitters as well; so on until none is left that has more than one row, for `rounds` rounds at most. Ranges are dealt to
     shards; copies of one text share a shard unless they alone outweigh one, then their ranges are dealt singly.
 
-    Null or empty texts have size 1 and share the key of the empty text. Rows without an id take a number for it, and come
-    first among equal texts; rows that are equal in text and id stay in one range and take neighbouring slots, in any order.
-    An empty table gives no rows; other columns of docs are ignored.
+    Null or empty texts have size 1 and share the key of the empty text. Rows with repeated ids or without one, and repeated rows,
+    are rows like any other, and are cut as other copies of a text are. An empty table gives no rows; other columns of docs are ignored.
     """
-    ident = F.coalesce("doc_id", F.lit(LEAST) + F.monotonically_increasing_id())
-    keys = cut_lineage(shard_keys(docs, id_col, text_col).withColumn("ident", ident))
+    keys = cut_lineage(shard_keys(docs, id_col, text_col).withColumn("ident", F.monotonically_increasing_id()))
     ranges = shards * ranges_per_shard
     total = keys.agg(F.sum("size")).first()[0] or 0
     found = draw(keys, F.lit(ranges * draws_per_range / max(total, 1)), seed)
@@ -124,10 +122,13 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, ranges_per_shard: int = 2
         again = rows.join(F.broadcast(wanted), rows["range"] == F.col("of_range"))
         more = draw(again, F.col("rate"), seed + 1 + turn)
         old = set(zip(*(b.tolist() for b in bounds), strict=True))
+        known = len(old)
         where = range_numbers(more[0], more[1], *bounds)
         for r, size in over.items():
             mine = where == r
             old |= set(zip(*(b.tolist() for b in choose_splitters(*(x[mine] for x in more), int(size / mean) + 1)), strict=True))
+        if len(old) == known:
+            break  # rows that each outweigh a range
         both = np.array(sorted(old), np.int64).reshape(-1, 2)
         bounds = both[:, 0], both[:, 1]
 
