@@ -102,10 +102,10 @@ class PassageIndex:
     lemma thresholds.
 
     An item of up to WINDOW folded bytes is one window; a longer one has a window at each multiple of STRIDE and one at its
-    end. Items of less than 2 * Q bytes allow no edit and are looked for as whole words.
+    end. Items of less than 2 * Q bytes allow no edit and are looked for as whole words, those of less than `least` not at all.
     """
 
-    def __init__(self, texts: list[str], rate: float):
+    def __init__(self, texts: list[str], rate: float, least: int = 0):
         lines: list[np.ndarray] = []
         owner: list[int] = []
         starts: list[int] = []
@@ -117,8 +117,8 @@ class PassageIndex:
         for number, text in enumerate(texts):
             line, _ = folded(*text_bytes(pc.utf8_lower(pa.array([text], pa.string()))))
             line = line[:-1] if len(line) and line[-1] == 32 else line
-            if len(line) < 2 * Q:
-                if len(line):
+            if len(line) < max(least, 2 * Q):
+                if len(line) and len(line) >= least:
                     self.short.setdefault(len(line) + 2, []).append((b" " + line.tobytes() + b" ", number))
                 continue
             strided = list(range(0, len(line) - WINDOW, STRIDE))
@@ -304,9 +304,9 @@ class Passages:
     """The items of a benchmark in blocks of about block_bytes of text, each block a broadcast of its own: the driver and a
     task hold one at a time, and one pass over the documents goes through all."""
 
-    def __init__(self, benchmark: DataFrame, rate: float, block_bytes: int, item_col: str, text_col: str):
+    def __init__(self, benchmark: DataFrame, rate: float, block_bytes: int, item_col: str, text_col: str, least: int = 0):
         items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
-        self.rate, self.item_type = rate, items.dtypes[0][1]
+        self.rate, self.least, self.item_type = rate, least, items.dtypes[0][1]
         total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(1, -(-total // block_bytes))
         self.blocks = []
@@ -323,7 +323,7 @@ class Passages:
         for k, block in enumerate(self.blocks):
             rows = block.value
             if self.built is None or self.built[0] != k:
-                self.built = k, PassageIndex(rows.column("text").to_pylist(), self.rate)
+                self.built = k, PassageIndex(rows.column("text").to_pylist(), self.rate, self.least)
             yield rows.column("item").combine_chunks() if len(rows) else pa.array([], rows.schema.field("item").type), self.built[1]
             if len(self.blocks) > 1:
                 vars(block).pop("_value", None)  # a worker keeps what it has read, and would hold all blocks in the end
@@ -367,10 +367,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, blo
     return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, item_id {passages.item_type}, edits int, end long, length long")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, block_bytes: int = 1 << 22, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs for which find_leaks has no row, all columns as they were; no text is shuffled."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, block_bytes: int = 1 << 22, least: int = 2 * Q, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of docs for which find_leaks has no row, all columns as they were; no text is shuffled.
+
+    Items of less than `least` folded bytes ("Yes.", a letter, a number) are no ground for dropping a text: they stand in clean
+    texts as well. least = 0 takes them, too.
+    """
     at = docs.columns.index(text_col)
-    passages = Passages(benchmark, rate, block_bytes, item_col, text_col)
+    passages = Passages(benchmark, rate, block_bytes, item_col, text_col, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in passages.batches(batches, at):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,26 @@ TEMPLATES = {
         "licensed under the *apache license version 2* 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ],
     "bsd-3": ["neither the name of the copyright holder nor the names of its contributors may be used to *endorse or promote products derived from this software* without specific prior written permission"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "gpl-2": [
         "licensed under the *gnu general public license version 2*",
+        "*gnu general public license either version 2*",
+        "*gnu gpl version 2* or later",
         "this program is free software you can redistribute it and or modify it under the terms of the *gnu general public license* as published by the free software foundation either *version 2* of the license or at your option any later version",
     ],
     "gpl-3": [
         "licensed under the *gnu general public license version 3*",
+        "*gnu general public license either version 3*",
+        "*gnu gpl version 3* or later",
         "this program is free software you can redistribute it and or modify it under the terms of the *gnu general public license* as published by the free software foundation either *version 3* of the license or at your option any later version",
     ],
+    "lgpl-2": ["this library is free software you can redistribute it and or modify it under the terms of the *gnu library general public license* as published by the free software foundation either *version 2* of the license or at your option any later version"],
     "lgpl-2.1": ["this library is free software you can redistribute it and or modify it under the terms of the *gnu lesser general public license* as published by the free software foundation either *version 2 1* of the license or at your option any later version"],
     "lgpl-3": ["this program is free software you can redistribute it and or modify it under the terms of the *gnu lesser general public license* as published by the free software foundation either *version 3* of the license or at your option any later version"],
     "agpl-3": ["this program is free software you can redistribute it and or modify it under the terms of the *gnu affero general public license* as published by the free software foundation either *version 3* of the license or at your option any later version"],
@@ -45,10 +54,45 @@ TEMPLATES = {
     "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
     "cc0": ["to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the *public domain worldwide*"],
     "cc-by-nc": ["licensed under *cc by nc* 4 0", "this work is licensed under a creative commons *attribution noncommercial* 4 0 international license"],
+    "cc-by-nc-sa": ["licensed under *cc by nc sa* 4 0", "this work is licensed under a creative commons *attribution noncommercial sharealike* 4 0 international license"],
+    "cc-by-nc-nd": ["licensed under *cc by nc nd* 4 0", "this work is licensed under a creative commons *attribution noncommercial noderivatives* 4 0 international license"],
+    "cc-by-nd": ["licensed under *cc by nd* 4 0", "this work is licensed under a creative commons *attribution noderivatives* 4 0 international license"],
     "cc-by-sa": ["licensed under *cc by sa* 4 0", "this work is licensed under a creative commons *attribution sharealike* 4 0 international license"],
     "cc-by": ["licensed under *cc by 4* 0", "this work is licensed under a creative commons *attribution 4* 0 international license"],
 }
 
+#: Identifiers of the public license list, as words, which follow "SPDX-License-Identifier:".
+IDENTIFIERS = {
+    "mit": "mit",
+    "apache-2": "apache 2 0",
+    "bsd": "bsd 2 clause",
+    "bsd-3": "bsd 3 clause",
+    "isc": "isc",
+    "gpl-2": "gpl 2 0",
+    "gpl-3": "gpl 3 0",
+    "lgpl-2": "lgpl 2 0",
+    "lgpl-2.1": "lgpl 2 1",
+    "lgpl-3": "lgpl 3 0",
+    "agpl-3": "agpl 3 0",
+    "mpl-2": "mpl 2 0",
+    "epl-2": "epl 2 0",
+    "unlicense": "unlicense",
+    "zlib": "zlib",
+    "cc0": "cc0 1 0",
+    "cc-by": "cc by 4 0",
+    "cc-by-sa": "cc by sa 4 0",
+    "cc-by-nc": "cc by nc 4 0",
+    "cc-by-nd": "cc by nd 4 0",
+    "cc-by-nc-sa": "cc by nc sa 4 0",
+    "cc-by-nc-nd": "cc by nc nd 4 0",
+}
+
+#: The templates of all labels, with their identifiers.
+NOTICES = {label: [*texts, f"*spdx license identifier {IDENTIFIERS[label]}*"] for label, texts in TEMPLATES.items()}
+
+#: Words before a notice that turn it into its opposite ("is not licensed under", "isn't").
+NEGATIONS = {b"not", b"never", b"isn", b"t"}
+
 #: Lower-cased bytes, and which of those are of words: 0-9, a-z and all bytes of multi-byte characters.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -64,6 +108,7 @@ class LicenseAutomaton:
         self.sizes: list[int] = []
         #: By template, the places (first word, end) of what must be matched as consecutive words.
         self.keys: list[list[tuple[int, int]]] = []
+        self.key_words: list[list[tuple[str, ...]]] = []
         self.length, self.link, self.next = [0], [-1], [{}]
         ends: list[set[tuple[int, int]]] = [set()]
         texts = [(label, t) for label, ts in templates.items() for t in ts] + [(label, p) for p, label in phrases.items()]
@@ -72,6 +117,7 @@ class LicenseAutomaton:
             at = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
             self.keys.append([(at[i], at[i + 1]) for i in range(1, len(parts), 2)])
             ids = self.ids(text.replace("*", " "))
+            self.key_words.append([tuple(parts[i]) for i in range(1, len(parts), 2)])
             self.names.append(label)
             self.sizes.append(len(ids))
             last = 0
@@ -99,6 +145,8 @@ class LicenseAutomaton:
                     up = self.link[up]
         #: Phrases aren't templates to cover.
         self.ends = [[x for x in e if x[0] < first] for e in self.ends]
+        #: By template, those of other labels with a key that goes on where one of its keys ends.
+        self.longer = [{j for j, other in enumerate(self.key_words) if self.names[j] != self.names[i] and any(len(b) > len(a) and b[: len(a)] == a for a in keys for b in other)} for i, keys in enumerate(self.key_words)]
         self.least_phrase = min((len(p.split()) for p in phrases), default=1 << 30)
 
     def ids(self, text: str) -> list[int]:
@@ -202,19 +250,21 @@ class LicenseAutomaton:
         return out
 
 
-def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, least_match: int = 4, coverage: float = 0.7, most_gap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = NOTICES, phrases: dict[str, str] = PHRASES, least_match: int = 4, coverage: float = 0.7, most_gap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The licenses that each text of docs names or quotes.
 
     Columns: doc_id, n_words, n_base (places of phrases), first_word and last_word (least and greatest start of one,
     else null), base_labels, labels (with the method's own; both distinct, sorted, comma-joined, empty if none), score
-    (1 with a phrase, else the largest share of a template that is covered, 0 without a match), spans (label, first
+    (1 with a phrase, else the largest share of a template that is covered in a span, 0 without any), spans (label, first
     and last word, covered share of every place where a template is covered to at least `coverage` and what tells it from
-    others, between asterisks, stands as consecutive words).
+    others, between asterisks, stands as consecutive words; not if a negation stands before it, nor where the longer name of
+    another license stands there).
 
     Texts are streamed: words outside the templates' vocabulary end every match, so only runs of known words are led
     through the automaton. The matching statistics at a word give the phrases that end there and, where a match of
     least_match words or more can't be prolonged, a match to be chained into a template's span.
-    A null text counts as empty. Null ids and repeated rows give one row each; other columns are ignored.
+    A null or empty text has no words, no labels and score 0. Null ids and repeated rows give one row each, an empty table
+    none; other columns are ignored.
     """
     automaton = LicenseAutomaton(templates, phrases)
     known = np.array([span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in automaton.vocabulary], np.uint64)
@@ -223,8 +273,8 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
     shortest = min(automaton.least_phrase, least_match)
     span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("covered", pa.float64())]))
 
-    def scan(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list, list]]]:
-        """The number of words of each text, and by text its phrase places and matches."""
+    def scan(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list, list]], Callable[[int, int], list[bytes]]]:
+        """The number of words of each text, by text its phrase places and matches, and a look at two words before a place."""
         data = LOWER[data]
         starts, ends = spans(WORD[data], offsets)
         row = np.searchsorted(offsets, starts, "right") - 1
@@ -248,21 +298,24 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
                         if size <= n:
                             found.setdefault(r, ([], []))[0].append((place + i + 1 - size, phrase))
                 before = (n, state)
-        return n_words, found
+
+        def before_place(r: int, place: int) -> list[bytes]:
+            g = int(first[r]) + place
+            return [data[starts[i] : ends[i]].tobytes() for i in range(max(int(first[r]), g - 2), g)]
+
+        return n_words, found, before_place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batch_pieces(batches, 1, 1 << 20):
-            n_words, found = scan(data, offsets)
+            n_words, found, before_place = scan(data, offsets)
             out = []
             for r, n in enumerate(n_words.tolist()):
                 places, matches = found.get(r, ([], []))
-                covered: list[tuple[str, int, int, float]] = []
-                most = 0.0
-                for template, words, a, b, counts in automaton.chain(matches, most_gap, coverage):
-                    share = words / automaton.sizes[template]
-                    most = max(most, share)
-                    if counts:
-                        covered.append((automaton.names[template], a, b, share))
+                counted = [(t, words / automaton.sizes[t], a, b) for t, words, a, b, counts in automaton.chain(matches, most_gap, coverage) if counts and not NEGATIONS & set(before_place(r, a))]
+                # Where a longer name stands (BY-NC-SA), the shorter one in it (BY-NC) isn't meant.
+                lost = {x for x in counted for y in counted if y[0] in automaton.longer[x[0]] and x[2] <= y[3] and y[2] <= x[3]}
+                covered = [(automaton.names[t], a, b, share) for t, share, a, b in counted if (t, share, a, b) not in lost]
+                most = max((c[3] for c in covered), default=0.0)
                 base = {automaton.phrase_labels[p] for _, p in places}
                 at = [s for s, _ in places]
                 spans_ = [{"label": k, "first_word": a, "last_word": b, "covered": c} for k, a, b, c in sorted(covered)]

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import pieces as row_ranges
+from .support import free_name, pieces as row_ranges
 from .support import text_bytes
 
 #: The white-space marker of piece files. Inside this module a blank stands for it, so a marker that a text holds itself
@@ -229,9 +229,16 @@ def encode_pieces(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id",
     """doc_id, pieces (ids) and n_pieces of every row of docs, with the columns named in carry.
 
     Whole texts are encoded; nothing is normalised, so decoding gives a text back byte for byte. A null or empty text has
-    no pieces (an empty list). Null ids and repeated rows give one row each.
+    no pieces (an empty list). Null ids and repeated rows give one row each, an empty table none. A carried column with the
+    name of one of the result's has underscores behind it there.
     """
     names = ["doc_id", *carry]
+    taken, shown = {"doc_id", "pieces", "n_pieces"}, ["doc_id"]
+    for name in carry:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        shown.append(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +250,10 @@ def encode_pieces(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id",
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(names))), lists, pa.array(n)], [*names, "pieces", "n_pieces"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(names))), lists, pa.array(n)], [*shown, "pieces", "n_pieces"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text_"))
-    types = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(n) for c, n in zip(carry, shown[1:], strict=True)], F.col(text_col).alias("text_of_"))
+    types = ", ".join(f"`{n}` {rows.schema[i].dataType.simpleString()}" for i, n in enumerate(shown))
     return rows.mapInArrow(run, f"{types}, pieces array<int>, n_pieces long")
 
 
@@ -254,10 +261,11 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, *, pieces_col: str = "p
     """encoded with a column decoded: the texts of its lists of ids, blanks for markers and without the one at the start.
 
     A null list gives null, an empty one the empty text; ids that don't exist or are control pieces give nothing, and
-    bytes that aren't UTF-8 give replacement characters.
+    bytes that aren't UTF-8 give replacement characters. Where encoded has a column of that name already, the new one has
+    underscores behind its own. An empty table gives no rows.
     """
     table, begin = model.decoder()
-    names = [n for n in encoded.columns if n != "decoded"]
+    names, decoded = encoded.columns, free_name(encoded, "decoded")
     at = names.index(pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +282,7 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, *, pieces_col: str = "p
                 cut = np.concatenate([[0], np.cumsum(n)])[offsets[lo : hi + 1] - offsets[lo]].tolist()
                 out = [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
                 text = pa.array(out, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, decoded])
 
     types = ", ".join(f"`{n}` {encoded.schema[n].dataType.simpleString()}" for n in names)
-    return encoded.select(*names).mapInArrow(run, f"{types}, decoded string")
+    return encoded.select(*names).mapInArrow(run, f"{types}, `{decoded}` string")

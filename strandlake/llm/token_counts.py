@@ -18,6 +18,11 @@ from .support import pieces, text_bytes
 #: stands before it, so the counts of the parts add up to the count of the whole.
 SAFE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
+#: Where long texts are cut: before such a space or a line feed after any letter, digit or visible ASCII character; between an
+#: ASCII letter and a digit; and between an ideograph, kana or Hangul syllable and a full-width stop, comma or the like. The
+#: pattern never joins these, in whatever script, so texts of one endless line have places to be cut, too.
+CUTS = re.compile("(?<=[!-~\\w])(?=[ \n][!-~\\w])|(?<=[A-Za-z])(?=[0-9])|(?<=[\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fa5\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+
 #: Bytes of a worker's table of known parts before it is emptied, what an entry takes besides its characters, and the longest
 #: part that is remembered: longer ones hardly come again.
 REMEMBERED, ENTRY, LONGEST = 64 << 20, 120, 64
@@ -26,10 +31,10 @@ _counters: dict[str, PartCounter] = {}
 
 
 def safe_parts(text: str, longest: int) -> Iterator[str]:
-    """A text in parts of about `longest` characters, cut at SAFE boundaries."""
+    """A text in parts of about `longest` characters, cut at CUTS."""
     lo = 0
     while lo < len(text):
-        found = SAFE.search(text, lo + longest)
+        found = CUTS.search(text, lo + longest)
         hi = found.start() if found else len(text)
         yield text[lo:hi]
         lo = hi
@@ -84,9 +89,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, id_c
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs.
 
     Only lengths leave the workers. Batches hold about batch_bytes of text each, so that a few long texts weigh as
-    much as many short ones, and texts are split at SAFE boundaries, where the pre-tokenizer always splits.
-    A null text counts as empty: 0 bytes, 0 tokens, not over. Special strings in a text are handled as the library
-    does by default. Null ids and repeated rows give one row each; other columns of docs are ignored.
+    much as many short ones, and texts are split where the pre-tokenizer always splits: all at SAFE, very long ones in
+    parts at CUTS. A null text counts as empty: 0 bytes, 0 tokens, not over. Special strings in a text are handled as the library
+    does by default. Null ids and repeated rows give one row each, an empty table none; other columns
+    of docs are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

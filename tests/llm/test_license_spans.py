@@ -65,3 +65,44 @@ def test_op5_best_chain_like_all_chains():
         assert cover == most and links == sorted(links)
     many = sorted((10 + k // 100, 4 + k % 100, 4) for k in range(1000))
     assert automaton.best_chain([(4, 4, 4), *many, (30, 120, 8)], 20)[0] > 12
+
+
+def test_op5_the_longer_name_wins(spark):
+    by = "This work is licensed under a Creative Commons {} 4.0 International License."
+    cases = {
+        by.format("Attribution-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        by.format("Attribution-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        by.format("Attribution-NonCommercial"): "cc-by-nc",
+        by.format("Attribution-NoDerivatives"): "cc-by-nd",
+        by.format("Attribution-ShareAlike"): "cc-by-sa",
+        by.format("Attribution"): "cc-by",
+        by.format("Attribution-NonCommercial-ShareAlike") + " XX " + by.format("Attribution-NonCommercial"): "cc-by-nc,cc-by-nc-sa",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa",  # the phrase is in it, and its label stays
+        "Licensed under CC BY-ND 4.0": "cc-by-nd",
+    }
+    assert labels_of(spark, list(cases)) == list(cases.values())
+
+
+def test_op5_negations_and_scores(spark):
+    by = "This work is {}licensed under a Creative Commons Attribution 4.0 International License."
+    texts = [by.format(""), by.format("not "), by.format("NEVER "), "It isn't licensed under the Apache License Version 3", "This project is not released. This project is released under the MIT license."]
+    assert labels_of(spark, texts) == ["cc-by", "", "", "", "mit"]
+    df = spark.createDataFrame(list(enumerate([*texts, "Attribution NoDerivatives", ""])), "doc_id long, text string")
+    assert [r["score"] > 0 for r in scan_licenses(df).orderBy("doc_id").collect()] == [True, False, False, False, True, False, False]
+
+
+def test_op5_identifiers_and_short_forms(spark):
+    cases = {
+        "# SPDX-License-Identifier: MIT": "mit",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+        "/* SPDX-License-Identifier: LGPL-2.1-only */": "lgpl-2.1",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3",
+        "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+        "SPDX-License-Identifier: Proprietary": "",
+        "SPDX-License: MIT": "",
+        "License GPLv3+: GNU GPL version 3 or later": "gpl-3",
+        "the GNU General Public License, either version 3 of the License": "gpl-3",
+        "the GNU General Public License, either version 2": "gpl-2",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+    }
+    assert labels_of(spark, list(cases)) == list(cases.values())
