@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..errors import FastxError
 from ..sources.codecs import compression_format, decoded_pieces
 from ..sources.fastx import SCHEMA, error_batch, record_batch
-from ..sources.grammar import Records, scan_bytes, scan_pieces
+from ..sources.grammar import Records, concatenated_records, scan_bytes, scan_pieces
 
 COLUMNS = ("record_index", "format", "header", "seq", "quality", "dna_len")
 
@@ -24,8 +26,6 @@ def parse_fastx(df: DataFrame, content: str, *, keys: tuple[str, ...] = (), colu
     a row with the error. decompress: gzip, zstd, bzip2 and xz are told by their magic bytes. A null or empty content has
     no records; extra columns of df are ignored, and a key may have any name that no wanted column has.
     """
-    import io
-
     full = {f.name: f for f in _parse_datatype_string(SCHEMA).fields}
     schema = StructType([full[c] for c in columns])
     if binary:
@@ -39,44 +39,53 @@ def parse_fastx(df: DataFrame, content: str, *, keys: tuple[str, ...] = (), colu
     if clash:
         raise ValueError(f"keys named like columns: {sorted(clash)}")
 
-    def records_of(data: bytes) -> Iterator[pa.RecordBatch]:
+    def scanned(data: bytes) -> Iterator[tuple[str, Records, int, FastxError | None]]:
+        """(format, records, number of the first) of an input, the error that it ends in with no records."""
         index = 0
         pieces = decoded_pieces(io.BytesIO(data), compression_format(data)) if decompress else None
         try:
             for format_, records in scan_pieces(pieces) if pieces is not None else scan_bytes(data):
                 if len(records):
-                    yield record_batch(schema, records, format_, None, index)
+                    yield format_, records, index, None
                     index += len(records)
         except FastxError as error:
             if mode.upper() != "PERMISSIVE":
                 raise
             good = getattr(error, "records", None) or Records()
             if len(good):
-                yield record_batch(schema, good, "fasta" if good.quals is None else "fastq", None, index)
+                yield "fasta" if good.quals is None else "fastq", good, index, None
             if "error" in columns:
-                yield error_batch(schema, error, None)
+                yield "", Records(), 0, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[pa.RecordBatch] = []
-            rows: list[int] = []
+            held: dict[str, list[tuple[Records, int, int]]] = {}
             size = 0
-            for r, data in enumerate(batch.column(len(keys)).to_pylist()):
-                for found in records_of(data.encode() if isinstance(data, str) else data or b""):
-                    held.append(found)
-                    rows += [r] * len(found)
-                    size += found.nbytes
+            contents = batch.column(len(keys))
+            for r in range(len(batch)):
+                data = contents[r].as_py()
+                for format_, records, index, error in scanned(data.encode() if isinstance(data, str) else data or b""):
+                    if error is not None:
+                        yield keyed(batch, error_batch(schema, error, None), np.array([r]))
+                        continue
+                    held.setdefault(format_, []).append((records, index, r))
+                size += len(data or b"")
                 if size > 8 << 20:
-                    yield joined(batch, held, rows)
-                    held, rows, size = [], [], 0
-            if held:
-                yield joined(batch, held, rows)
-
-    def joined(batch: pa.RecordBatch, held: list[pa.RecordBatch], rows: list[int]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        at = pa.array(rows, pa.int32())
-        fields = [batch.column(i).take(at) for i in range(len(keys))] + [table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0) for c in columns]
-        return pa.RecordBatch.from_arrays(fields, [*keys, *columns])
+                    yield from joined(batch, held)
+                    held, size = {}, 0
+            yield from joined(batch, held)
+
+    def joined(batch: pa.RecordBatch, held: dict[str, list[tuple[Records, int, int]]]) -> Iterator[pa.RecordBatch]:
+        """What several contents gave, as one batch for each format."""
+        for format_, found in held.items():
+            n = [len(records) for records, _, _ in found]
+            numbers = np.concatenate([np.arange(index, index + k) for (_, index, _), k in zip(found, n, strict=True)])
+            rows = record_batch(schema, concatenated_records([records for records, _, _ in found]), format_, None, numbers)
+            yield keyed(batch, rows, np.repeat([r for _, _, r in found], n))
+
+    def keyed(batch: pa.RecordBatch, rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        own = [batch.column(i).take(pa.array(at)) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*own, *rows.columns], [*keys, *columns])
 
     source = df.select(*keys, F.col(content).alias("content_"))
     out = StructType([*[source.schema[k] for k in keys], *schema.fields])
@@ -103,8 +112,6 @@ def parse_in_parallel(spark: SparkSession, data: bytes, parts: int, **options) -
 
     Columns as in parse_fastx, with part for record_index's scope: records are numbered within their part.
     """
-    import io
-
     if compression_format(data):
         data = b"".join(decoded_pieces(io.BytesIO(data), compression_format(data)))
     rows = spark.createDataFrame(list(enumerate(split_input(data, parts))), "part int, content binary")

@@ -2,7 +2,8 @@
 
 A plain file is cut into byte ranges, BGZF into ranges of blocks and multi-frame zstd into ranges of frames; each task
 finds the first record that begins behind a line feed in its range and reads on to the end of the last one. Other
-compressed files are one task each. Only the columns of the requested schema are built.
+compressed files are read whole (see chunks.py for large ones), and small files several to a task. Only the columns of the
+requested schema are built.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ ERROR_TYPE = pa.struct([("kind", pa.string()), ("byte", pa.int32()), ("pos", pa.
 
 SPLIT_BYTES = 64 << 20
 
+#: The codec of a file that its task finds out.
+UNKNOWN = "unknown"
+
 
 @dataclass
 class FilePart(InputPartition):
@@ -51,6 +55,35 @@ class FilePart(InputPartition):
     error: str | None = None
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Small files that one task reads, one after another."""
+
+    parts: list[FilePart]
+
+
+#: What opening a file costs, in bytes read, when small files are bundled.
+OPEN_COST = 4 << 20
+
+
+def bundled(parts: list[FilePart], most: int, parallelism: int) -> list[InputPartition]:
+    """Whole files put together to about `most` bytes a task, or less where that leaves tasks idle; ranges stay single."""
+    whole = [p for p in parts if p.cut_by == "whole"]
+    total = sum(p.size + OPEN_COST for p in parts)
+    room = min(most, max(OPEN_COST, total // max(parallelism, 1)))
+    out: list[InputPartition] = [p for p in parts if p.cut_by != "whole"]
+    held, size = [], 0
+    for part in whole:
+        if held and size + part.size + OPEN_COST > room:
+            out.append(held[0] if len(held) == 1 else Bundle(held))
+            held, size = [], 0
+        held.append(part)
+        size += part.size + OPEN_COST
+    if held:
+        out.append(held[0] if len(held) == 1 else Bundle(held))
+    return out
+
+
 def texts(values: list[bytes] | pa.Array, binary: bool) -> pa.Array:
     """Strings of byte strings; bytes that aren't UTF-8 become replacement characters unless binary is asked for."""
     out = values.cast(pa.binary()) if isinstance(values, pa.Array) else pa.array(values, pa.binary())
@@ -118,8 +151,9 @@ class FastxReader(DataSourceReader):
         self.whole_files = "record_index" in schema.names and self.bases is None
         self.with_seqs = bool({"seq", "quality", "dna_len"} & set(schema.names))
         self.filters: list = []
+        self.parallelism = int(options.get("parallelism", 0))
 
-    def partitions(self) -> list[FilePart]:
+    def partitions(self) -> list[InputPartition]:
         found = find_inputs(self.paths) if self.permissive else list_inputs(self.paths)
         found = [f for f in found if keeps_file(self.filters, f[0])]
         with ThreadPoolExecutor(32) as pool:  # looking into files waits for the store
@@ -128,6 +162,8 @@ class FastxReader(DataSourceReader):
             for part in parts:
                 part.first_index = self.bases.get(part.path, {}).get(str(part.start))
             self.bases = {}  # tasks have theirs
+        if self.parallelism:
+            parts = bundled(parts, self.split, self.parallelism)
         return parts or [FilePart("", 0, 0, 0, None, "whole", None, False)]
 
     def safe_parts_of(self, path: str, size: int | None) -> list[FilePart]:
@@ -142,12 +178,13 @@ class FastxReader(DataSourceReader):
             return [FilePart(path, 0, 0, 0, None, "whole", None, False, None, str(error))]
 
     def parts_of(self, path: str, size: int) -> list[FilePart]:
+        """The ranges of a file. One that isn't cut is looked into by its task; only larger ones are opened here."""
+        if self.whole_files or size <= self.split:
+            return [FilePart(path, size, 0, size, UNKNOWN, "whole", None, False)]
         with open_input(path) as file:
             head = file.read(1 << 16)
             codec = compression_format(head)
             whole = [FilePart(path, size, 0, size, codec, "whole", None, False)]
-            if self.whole_files or size <= self.split:
-                return whole
             if codec is None:
                 if head[0] not in b">@" or b"\n" not in head:
                     return whole
@@ -175,7 +212,11 @@ class FastxReader(DataSourceReader):
                 return whole
             return [FilePart(path, size, a, b, codec, cut_by, format_of(first[0]), is_crlf(first)) for a, b in zip(cuts, [*cuts[1:], size], strict=True)]
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | Bundle) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Bundle):
+            for part in partition.parts:
+                yield from self.read(part)
+            return
         if not partition.path:
             return
         index = partition.first_index if self.bases is not None else 0 if partition.cut_by == "whole" else None
@@ -206,7 +247,11 @@ class FastxReader(DataSourceReader):
             raise InputError(part.error)
         with open_input(part.path) as file:
             if part.cut_by == "whole":
-                yield from scan_pieces(decoded_pieces(file, part.codec), self.with_seqs)
+                codec = part.codec
+                if codec == UNKNOWN:
+                    codec = compression_format(file.read(18))
+                    file.seek(0)
+                yield from scan_pieces(decoded_pieces(file, codec), self.with_seqs)
             else:
                 own = Own(part.end - part.start if part.cut_by == "bytes" else None)
                 yield from owned(part, self.plain(file, part) if part.cut_by == "bytes" else self.framed(file, part, own), own, self.with_seqs)
@@ -253,8 +298,11 @@ class Counter(FastxReader):
         super().__init__(schema, options)
         self.whole_files = False
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
-        if partition.path:
+    def read(self, partition: FilePart | Bundle) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Bundle):
+            for part in partition.parts:
+                yield from self.read(part)
+        elif partition.path:
             n = sum(len(records) for _, records in self.scan(partition))
             yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([partition.start], pa.int64()), pa.array([n], pa.int64())], names=self.schema.names)
 
@@ -402,7 +450,7 @@ def read_fastx(spark: SparkSession, paths: str | list[str], *, columns: list[str
     spark.dataSource.register(FastxDataSource)
     schema = requested_schema(columns or (source_columns(options) if options else None), binary)
     joined = paths if isinstance(paths, str) else "\n".join(paths)
-    reader = spark.read.format("fastx").schema(schema).option("paths", joined).option("mode", mode).option("splitBytes", split_bytes)
+    reader = spark.read.format("fastx").schema(schema).option("paths", joined).option("mode", mode).option("splitBytes", split_bytes).option("parallelism", spark.sparkContext.defaultParallelism)
     if push_filters:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         reader = reader.option("pushFilters", "true")
@@ -416,7 +464,7 @@ def read_numbered(spark: SparkSession, paths: str | list[str], *, columns: list[
     sees a row for each range."""
     spark.dataSource.register(FastxDataSource)
     joined = paths if isinstance(paths, str) else "\n".join(paths)
-    reader = spark.read.format("fastx").option("paths", joined).option("splitBytes", split_bytes)
+    reader = spark.read.format("fastx").option("paths", joined).option("splitBytes", split_bytes).option("parallelism", spark.sparkContext.defaultParallelism)
     counts = reader.schema("file string, byte_start long, record_index long").option("countOnly", "true").load().collect()
     bases: dict[str, dict[int, int]] = {}
     for path, start, n in sorted(tuple(r) for r in counts):

@@ -55,6 +55,21 @@ class Records:
         return Records(self.headers[:n], self.seqs[:n], None if self.quals is None else self.quals[:n], self.starts[:n], self.ends[:n])
 
 
+def concatenated_records(parts: list[Records]) -> Records:
+    """The records of several inputs of one format, one after another."""
+    if len(parts) == 1:
+        return parts[0]
+
+    def joined(columns: list[list[bytes] | pa.Array]) -> pa.Array:
+        arrays = [c if isinstance(c, pa.Array) else pa.array(c, pa.binary()) for c in columns]
+        kind = pa.large_binary() if sum(a.nbytes for a in arrays) >= 1 << 31 else pa.binary()
+        return pa.concat_arrays([a.cast(kind) for a in arrays])
+
+    quals = None if parts[0].quals is None else joined([p.quals for p in parts])
+    bounds = [np.concatenate([np.asarray(c, np.int64) for c in side]) for side in ([p.starts for p in parts], [p.ends for p in parts])]
+    return Records(joined([p.headers for p in parts]), joined([p.seqs for p in parts]), quals, *bounds)
+
+
 class FastaScanner:
     """Give it bytes from a record's > on; `offset` is where that byte stands in the input."""
 

@@ -124,3 +124,16 @@ def test_stats_of_uris_patterns_and_bad_paths(spark, folder, tmp_path):
     assert got["a.fq"] == ("fastq", 500, lengths.sum(), 0, pytest.approx(lengths.mean()), 32)
     assert got["d.fa"][:3] == ("fasta", 2, 5)
     assert got["bad.fa"] == got["none"] == ("ERR", None, None, None, None, None)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i:02d}.fa").write_bytes(b">r%d\nACGT\n" % i)
+    (tmp_path / "zz.fa").write_bytes(b"".join(b">z%d\nAC\n" % i for i in range(20_000)))
+    df = read_fastx(spark, str(tmp_path), columns=["file", "header"])
+    assert df.rdd.getNumPartitions() < 10 and df.count() == 20_060 and df.select("file").distinct().count() == 61
+    reader = FilteringReader(df.schema, {"paths": str(tmp_path), "splitbytes": "100000000", "parallelism": "4"})
+    bundles = reader.partitions()
+    assert len(bundles) <= 5 and sum(len(getattr(b, "parts", [b])) for b in bundles) == 61
+    numbered = read_numbered(spark, str(tmp_path), columns=["file", "header", "record_index"])
+    assert numbered.groupBy("file").agg((F.max("record_index") + 1 == F.count("*")).alias("dense")).where("not dense").count() == 0
