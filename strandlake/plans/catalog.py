@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import aggregates as agg
-from ..operators.compat import BatchProcessor, process_parallel
+from ..operators.compat import BatchProcessor, fold_partitions, process_parallel, record_view
 from ..operators.intervals import asof, overlaps
 from ..operators.ordering import with_record_index
 from ..operators.parse import parse_fastx
@@ -533,3 +533,38 @@ def q_ordered_batches(spark, sf_dir):
     done = process_parallel(rows.select("file", "byte_start", "header", "seq"), _Lengths())
     order = Window.partitionBy("ticket.file").orderBy("ticket")
     return done.select("k", "dna_len", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("with reads select k, seq, quality, null as kind from reads union all select null, null, null, 'Io'")
+def q_io_errors(spark, sf_dir):
+    """Files of which one isn't there, read permissively."""
+    path = _files(spark, sf_dir)
+    sink.write_fastx(derived(spark, sf_dir), path)
+    rows = read_fastx(spark, [path, f"{path}/none.fq"], columns=["header", "seq", "quality", "error"], mode="PERMISSIVE")
+    return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "quality", "error.kind")
+
+
+@query("with reads select k as id, seq as seq_raw, quality as qual, (row_number() over (partition by k // 64 order by k) - 1)::bigint as index from reads")
+def q_record_view(spark, sf_dir):
+    """The columns that record-by-record readers have, by their names."""
+    rows = record_view(parsed(spark, sf_dir, columns=("header", "seq", "quality", "record_index")))
+    return rows.select(F.substring("id", 2, 20).cast("long").alias("id"), "seq_raw", "qual", "index")
+
+
+@query("with reads select count(*)::bigint as n, sum(length(seq))::bigint as n_bases, max(length(seq))::bigint as longest from reads")
+def q_fold_partitions(spark, sf_dir):
+    """A state for each partition, led through its batches, and the states merged by an aggregation."""
+
+    def step(state, batch):
+        sizes = pc.binary_length(batch.column("seq"))
+        return (state[0] + len(batch), state[1] + (pc.sum(sizes).as_py() or 0), max(state[2], pc.max(sizes).as_py() or 0))
+
+    states = fold_partitions(parsed(spark, sf_dir, columns=("header", "seq")).select("seq"), lambda: (0, 0, 0), step, lambda s: dict(zip(("n", "n_bases", "longest"), s, strict=True)), "n long, n_bases long, longest long")
+    return states.agg(F.sum("n").alias("n"), F.sum("n_bases").alias("n_bases"), F.max("longest").alias("longest"))
+
+
+@query("""select l_returnflag, count(*) as repeats, round(avg(l_extendedprice / l_quantity), 6) as mean_gbs, round(stddev_pop(l_extendedprice / l_quantity), 6) as stdev_gbs from lineitem group by 1""")
+def q_throughput_stats(spark, sf_dir):
+    """Mean and deviation of rates, price as 10**9 bytes and quantity as seconds."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("seconds"), (F.col("l_extendedprice").cast("double") * 1e9).alias("bytes"))
+    return agg.throughput_stats(items, "l_returnflag").select("l_returnflag", "repeats", F.round("mean_gbs", 6).alias("mean_gbs"), F.round("stdev_gbs", 6).alias("stdev_gbs"))
