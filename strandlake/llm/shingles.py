@@ -16,8 +16,9 @@ from .support import MULTIPLIER, batch_pieces, cut_lineage, mixed, power_tables,
 
 BLANK = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
 
-#: Words of 64 bits of the filter that tells which sets a verification needs; a false hit costs a row, not a result.
-FILTER_WORDS = 1 << 17
+#: Least and most words of 64 bits of the filter that tells which sets a verification needs. It has 16 bits a node, up to
+#: 32 MB for 16 million nodes; with more of them, false hits become more frequent, which cost rows, not results.
+FILTER_WORDS = (1 << 12, 1 << 22)
 
 #: Nodes that a task remembers as already emitted, so that copies of a text are emitted once by a task.
 REMEMBERED = 1 << 20
@@ -187,15 +188,17 @@ def bitmap(items: np.ndarray) -> np.ndarray:
 
 def node_filter(nodes: DataFrame):
     """A test of arrays of nodes that holds for every node of nodes, and for few others."""
-    word, bit = F.expr(f"pmod(shiftrightunsigned(node, 6), {FILTER_WORDS})"), F.expr("shiftleft(1L, cast(node & 63 as int))")
-    words = np.zeros(FILTER_WORDS, np.int64)
-    for r in nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        words[r["word"]] = r["bits"]
+    least, most = FILTER_WORDS
+    size = min(most, max(least, 1 << (nodes.count() // 4).bit_length()))
+    word, bit = F.expr(f"pmod(shiftrightunsigned(node, 6), {size})"), F.expr("shiftleft(1L, cast(node & 63 as int))")
+    words = np.zeros(size, np.int64)
+    found = nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # `size` rows at most
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     filter_ = words.view(np.uint64)
 
     def wanted(found: np.ndarray) -> np.ndarray:
         x = found.view(np.uint64)
-        return (filter_[(x >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return (filter_[(x >> np.uint64(6)) % np.uint64(size)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     return wanted
 

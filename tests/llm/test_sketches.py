@@ -108,4 +108,4 @@ def test_sketches_merge_and_find_a_short_text_in_a_long_one(spark):
 
 def test_only_functions_and_one_shuffle_of_texts(documents):
     plan = fingerprint_documents(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan and plan.count("Exchange ") == 1
