@@ -139,7 +139,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, *, id_col:
 
     `und` with score 0, and ambiguous, if the text is null or has no letter, or nothing was learned. Whole texts
     count. A tie goes to the language first in order. Columns named in carry come along; others are ignored, and no
-    column but the text has a part in the prediction. Null ids and repeated rows give one row each.
+    column but the text has a part in the prediction. Null ids and repeated rows give one row each, an empty table none.
     """
     names = ["doc_id", *carry]
 

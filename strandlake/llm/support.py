@@ -38,6 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this run's own in whatever store Spark reaches by its path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as it takes to be no column of df (Spark's names don't tell case)."""
     taken = {c.lower() for c in df.columns}
