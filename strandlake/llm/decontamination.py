@@ -367,11 +367,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, blo
     return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, item_id {passages.item_type}, edits int, end long, length long")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, block_bytes: int = 1 << 22, least: int = 2 * Q, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, block_bytes: int = 1 << 22, least: int = 0, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs for which find_leaks has no row, all columns as they were; no text is shuffled.
 
-    Items of less than `least` folded bytes ("Yes.", a letter, a number) are no ground for dropping a text: they stand in clean
-    texts as well. least = 0 takes them, too.
+    Items of less than `least` folded bytes are no ground for dropping a text. A benchmark with items like "Yes.", a letter or
+    a number, which stand in clean texts as well, needs a `least` above their length, or nothing is left of a corpus.
     """
     at = docs.columns.index(text_col)
     passages = Passages(benchmark, rate, block_bytes, item_col, text_col, least)
