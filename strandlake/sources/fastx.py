@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, StructType, _parse_datatype_string
 
 from ..errors import FastxError, InputError
 from ..options import FastxOptions
-from .codecs import BGZF_END, compression_format, decoded_pieces, find_inputs, gzip_pieces, list_inputs, next_bgzf_block, open_input, raw_pieces, zstd_frames
+from .codecs import BGZF_END, PIECE, compression_format, decoded_pieces, find_inputs, gzip_pieces, list_inputs, next_bgzf_block, open_input, raw_pieces, zstd_frames
 from .filters import chosen, column_of, keeps_file, split_filters, wanted
 from .grammar import FastqSync, Records, format_of, irregular_record_start, is_crlf, scan_pieces, scanner
 from .writer import FastxWriter
@@ -34,6 +34,9 @@ ERROR_TYPE = pa.struct([("kind", pa.string()), ("byte", pa.int32()), ("pos", pa.
 
 SPLIT_BYTES = 64 << 20
 
+#: How much of what is behind a range is read at first, to the end of its last record.
+BEHIND = 1 << 12
+
 #: The codec of a file that its task finds out.
 UNKNOWN = "unknown"
 
@@ -57,21 +60,22 @@ class FilePart(InputPartition):
 
 @dataclass
 class Bundle(InputPartition):
-    """Small files that one task reads, one after another."""
+    """Small files, or neighbouring small ranges of a file, that one task reads, one after another."""
 
     parts: list[FilePart]
 
 
-#: What opening a file costs, in bytes read, when small files are bundled.
+#: What opening a file costs, in bytes read, when small files are bundled, and what a task costs when ranges are.
 OPEN_COST = 4 << 20
+TASK_COST = 1 << 20
 
 
 def bundled(parts: list[FilePart], most: int, parallelism: int) -> list[InputPartition]:
-    """Whole files put together to about `most` bytes a task, or less where that leaves tasks idle; ranges stay single."""
+    """Whole files put together to about `most` bytes a task, or less where that leaves tasks idle; ranges as neighbours."""
     whole = [p for p in parts if p.cut_by == "whole"]
     total = sum(p.size + OPEN_COST for p in parts)
     room = min(most, max(OPEN_COST, total // max(parallelism, 1)))
-    out: list[InputPartition] = [p for p in parts if p.cut_by != "whole"]
+    out = neighbours([p for p in parts if p.cut_by != "whole"], parallelism)
     held, size = [], 0
     for part in whole:
         if held and size + part.size + OPEN_COST > room:
@@ -84,6 +88,20 @@ def bundled(parts: list[FilePart], most: int, parallelism: int) -> list[InputPar
     return out
 
 
+def neighbours(ranges: list[FilePart], parallelism: int) -> list[InputPartition]:
+    """Small ranges put together with those that follow them in their file, each still read by itself: about four tasks for each
+    that can run at once, so that the number of tasks doesn't grow with that of ranges."""
+    room = min(SPLIT_BYTES, max(TASK_COST, sum(p.end - p.start for p in ranges) // (4 * max(parallelism, 1))))
+    groups: list[list[FilePart]] = []
+    for part in ranges:
+        last = groups[-1] if groups else None
+        if last and last[-1].path == part.path and last[-1].end == part.start and part.end - last[0].start <= room:
+            last.append(part)
+        else:
+            groups.append([part])
+    return [g[0] if len(g) == 1 else Bundle(g) for g in groups]
+
+
 def texts(values: list[bytes] | pa.Array, binary: bool) -> pa.Array:
     """Strings of byte strings; bytes that aren't UTF-8 become replacement characters unless binary is asked for."""
     out = values.cast(pa.binary()) if isinstance(values, pa.Array) else pa.array(values, pa.binary())
@@ -158,13 +176,12 @@ class FastxReader(DataSourceReader):
         found = [f for f in found if keeps_file(self.filters, f[0])]
         with ThreadPoolExecutor(32) as pool:  # looking into files waits for the store
             parts = [part for parts in pool.map(lambda f: self.safe_parts_of(*f), found) for part in parts]
+        tasks = bundled(parts, self.split, self.parallelism) if self.parallelism else parts
         if self.bases is not None:
             for part in parts:
                 part.first_index = self.bases.get(part.path, {}).get(str(part.start))
             self.bases = {}  # tasks have theirs
-        if self.parallelism:
-            parts = bundled(parts, self.split, self.parallelism)
-        return parts or [FilePart("", 0, 0, 0, None, "whole", None, False)]
+        return tasks or [FilePart("", 0, 0, 0, None, "whole", None, False)]
 
     def safe_parts_of(self, path: str, size: int | None) -> list[FilePart]:
         """A file that can't be looked into is one part with an error."""
@@ -213,13 +230,15 @@ class FastxReader(DataSourceReader):
             return [FilePart(path, size, a, b, codec, cut_by, format_of(first[0]), is_crlf(first)) for a, b in zip(cuts, [*cuts[1:], size], strict=True)]
 
     def read(self, partition: FilePart | Bundle) -> Iterator[pa.RecordBatch]:
-        if isinstance(partition, Bundle):
-            for part in partition.parts:
-                yield from self.read(part)
-            return
-        if not partition.path:
-            return
-        index = partition.first_index if self.bases is not None else 0 if partition.cut_by == "whole" else None
+        path, index = "", None
+        for part in partition.parts if isinstance(partition, Bundle) else [partition]:
+            if part.path != path:  # the ranges behind it are numbered on
+                path, index = part.path, part.first_index if self.bases is not None else 0 if part.cut_by == "whole" else None
+            if path:
+                index = yield from self.read_part(part, index)
+
+    def read_part(self, partition: FilePart, index: int | None) -> Iterator[pa.RecordBatch]:
+        """The batches of a part whose first record has the number index; returns that of the one behind its last."""
         try:
             for format_, records in self.scan(partition):
                 if len(records):
@@ -233,6 +252,7 @@ class FastxReader(DataSourceReader):
                 yield from self.batches(good, "fasta" if good.quals is None else "fastq", partition.path, index)
             if "error" in self.schema.names and all(column_of(f) == "file" for f in self.filters):
                 yield error_batch(self.schema, error if isinstance(error, FastxError) else InputError(str(error)), partition.path)
+        return index
 
     def batches(self, records: Records, format_: str, path: str, index: int | None) -> Iterator[pa.RecordBatch]:
         """The batch of some records that are wanted."""
@@ -258,9 +278,14 @@ class FastxReader(DataSourceReader):
 
     @staticmethod
     def plain(file, part: FilePart) -> Iterator[bytes]:
-        """From the range's start to the size that the file had when it was cut; it may have grown since."""
+        """From the range's start to the size that the file had when it was cut; it may have grown since. What is behind the range
+        comes in small pieces first, as its last record mostly ends there."""
         file.seek(part.start)
-        return raw_pieces(Stretch(file, part.size - part.start))
+        yield from raw_pieces(Stretch(file, part.end - part.start))
+        rest, size = Stretch(file, part.size - part.end), BEHIND
+        while piece := rest.read(size):
+            yield piece
+            size = min(2 * size, PIECE)
 
     @staticmethod
     def framed(file, part: FilePart, own: Own) -> Iterator[bytes]:
@@ -280,7 +305,7 @@ class FastxReader(DataSourceReader):
         own.n = total
         if total and end < part.size:
             file.seek(end)
-            yield from decoded_pieces(file, part.codec)
+            yield from decoded_pieces(file, part.codec, BEHIND)
 
 
 class FilteringReader(FastxReader):
@@ -292,19 +317,20 @@ class FilteringReader(FastxReader):
 
 
 class Counter(FastxReader):
-    """Instead of records: how many there are in each range, as (file, byte_start of the range, record_index: their number)."""
+    """Instead of records: how many there are in the ranges of a file that a task reads, as (file, byte_start of the first range,
+    record_index: their number)."""
 
     def __init__(self, schema: StructType, options: dict):
         super().__init__(schema, options)
         self.whole_files = False
 
     def read(self, partition: FilePart | Bundle) -> Iterator[pa.RecordBatch]:
-        if isinstance(partition, Bundle):
-            for part in partition.parts:
-                yield from self.read(part)
-        elif partition.path:
-            n = sum(len(records) for _, records in self.scan(partition))
-            yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([partition.start], pa.int64()), pa.array([n], pa.int64())], names=self.schema.names)
+        parts = partition.parts if isinstance(partition, Bundle) else [partition]
+        for path, found in groupby(parts, lambda part: part.path):
+            ranges = list(found)
+            if path:
+                n = sum(len(records) for part in ranges for _, records in self.scan(part))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([ranges[0].start], pa.int64()), pa.array([n], pa.int64())], names=self.schema.names)
 
 
 class Stretch:
@@ -460,8 +486,8 @@ def read_fastx(spark: SparkSession, paths: str | list[str], *, columns: list[str
 
 def read_numbered(spark: SparkSession, paths: str | list[str], *, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES, binary: bool = False) -> DataFrame:
     """As read_fastx, with record_index although files are cut: a first scan, without columns, counts the records of each
-    range; their sums tell each range the number of its first record. Files are read twice and nothing is shuffled; the driver
-    sees a row for each range."""
+    task's ranges; their sums tell each task the number of its first record. Files are read twice and nothing is shuffled; the
+    driver sees a row for each task and file."""
     spark.dataSource.register(FastxDataSource)
     joined = paths if isinstance(paths, str) else "\n".join(paths)
     reader = spark.read.format("fastx").option("paths", joined).option("splitBytes", split_bytes).option("parallelism", spark.sparkContext.defaultParallelism)

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from ..sources.codecs import compression_format, list_inputs, modified_at, open_input
-from ..sources.fastx import SPLIT_BYTES, FastxDataSource, FastxReader, FilePart, requested_schema
+from ..sources.fastx import SPLIT_BYTES, Bundle, FastxDataSource, FastxReader, FilePart, bundled, requested_schema
 from ..sources.grammar import FastqScanner, find_record_start, format_of, is_crlf
 
 TAIL = 1 << 20
@@ -86,12 +86,13 @@ class FastxStreamReader(DataSourceStreamReader):
             file.seek(size - 1)
             return path, size - (file.read(1) == b"\n") or size
 
-    def partitions(self, start: dict, end: dict) -> list[FilePart]:
+    def partitions(self, start: dict, end: dict) -> list[FilePart | Bundle]:
         done = start["files"]
         new = [(path, upto) for path, upto in end["files"].items() if upto > done.get(path, 0) and (self.growing or path not in done)]
         with ThreadPoolExecutor(32) as pool:
             found = [part for parts in pool.map(lambda f: self.parts_of(f[0], done.get(f[0], 0), f[1]), new) for part in parts]
-        return found or [FilePart("", 0, 0, 0, None, "whole", None, False)]
+        tasks = bundled(found, self.batch.split, self.batch.parallelism) if self.batch.parallelism else found
+        return tasks or [FilePart("", 0, 0, 0, None, "whole", None, False)]
 
     def parts_of(self, path: str, begin: int, upto: int) -> list[FilePart]:
         with open_input(path) as file:
@@ -107,7 +108,7 @@ class FastxStreamReader(DataSourceStreamReader):
         kind = format_of(head[0])
         return [FilePart(path, size, a, b, None, "bytes", kind, crlf) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | Bundle) -> Iterator[pa.RecordBatch]:
         return self.batch.read(partition)
 
 
@@ -126,5 +127,5 @@ def stream_ranges(spark: SparkSession, paths: str, *, columns: list[str] | None
     """The records of the files in a folder, a streaming DataFrame with the columns of read_fastx but record_index."""
     spark.dataSource.register(FastxStreamSource)
     reader = spark.readStream.format("fastx_stream").schema(requested_schema(columns, binary))
-    options = {"paths": paths, "splitBytes": split_bytes, "growing": str(growing).lower(), "idleSeconds": idle_seconds, "mode": mode}
+    options = {"paths": paths, "splitBytes": split_bytes, "growing": str(growing).lower(), "idleSeconds": idle_seconds, "mode": mode, "parallelism": spark.sparkContext.defaultParallelism}
     return reader.options(**options).load()
