@@ -348,21 +348,18 @@ def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(tied, rows["node"] == tied["tied"], "left").withColumn("component", F.coalesce("component", "node")).drop("tied")
 
 
-def similar_texts(texts: DataFrame, n_nodes: int, *, candidates: DataFrame | None = None, width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """(node, component) of every text (column text) that is tied to another, directly or by way of others: two are tied
     if the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
 
-    No tie is missed and none is by chance. candidates are pairs (a, b) of nodes that something else, such as fingerprints,
-    holds for alike; they are verified first, with each text against one representative of each group that it meets in.
-    Then neighbours in groups that are still apart are compared, and at last all pairs that meet and don't hang together yet,
-    so a large family of near copies costs no rows for
-    what these ties hold together already. Texts of fewer words are equal or unlike.
+    No tie is missed and none is by chance. Each text is verified first against one representative of each group that it
+    meets in. Then neighbours in groups that are still apart are compared, and at last all pairs that meet and don't hang
+    together yet, so a large family of near copies costs no rows for what these ties hold together already. Texts of fewer
+    words are equal or unlike.
     """
     rows = cut_lineage(postings(texts, width, least, common_shingles(texts, n_nodes, width)))
     led = rows.where(F.col("rep").isNotNull()).groupBy(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("n"))
     led = led.where(F.col("met") * 4 >= F.expr(prefix_sql("n", least))).select("a", "b")  # what is left out here is compared below
-    if candidates is not None:
-        led = led.unionByName(candidates.select("a", "b")).distinct()
     links = cut_lineage(verified(cut_lineage(led), texts, width, least))
     found = connected_components(links)
     apart = cut_lineage(divided(placed(rows, found)))
@@ -375,3 +372,14 @@ def similar_texts(texts: DataFrame, n_nodes: int, *, candidates: DataFrame | Non
     if left.isEmpty():
         return found
     return connected_components(links.unionByName(cut_lineage(verified(left, texts, width, least))))
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, least: Fraction = Fraction(4, 5), node_col: str = "node", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """docs with the column node_col (a key of each text's words), and (node, component, first_id) of all nodes: texts of one
+    component are equal in words or tied by a similarity of `least` or more of their sets of `width`-word shingles;
+    first_id is the least id of a node's rows.
+    """
+    keyed = text_keys(docs, node_col, text_col)
+    ids = cut_lineage(keyed.select(F.col(id_col).alias("id"), F.col(node_col).alias("node")).groupBy("node").agg(F.min("id").alias("first_id")))
+    tied = similar_texts(docs.select(F.col(text_col).alias("text")), ids.count(), width=width, least=least)
+    return keyed, placed(ids, tied).select("node", "component", "first_id")

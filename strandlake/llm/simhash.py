@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 from itertools import combinations, repeat
 from math import comb
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import StarLinks, connected_components, star
-from .shingles import similar_texts, text_keys, whole_groups, word_hashes
+from .shingles import whole_groups
 from .support import batch_pieces, cut_lineage
 
 BITS = 64
@@ -261,41 +260,3 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, distance
     named = cut_lineage(placed.select("fingerprint", "component").join(cut_lineage(named), "component").select("fingerprint", "component_id"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return rows.join(named, "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def alike_by_fingerprint(docs: DataFrame, *, width: int = 5, seed: int = 42, distance: int = 3, text_col: str = "text") -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (keys of the distinct texts of docs) whose fingerprints hang together: candidates for a
-    comparison of the texts themselves. A node is paired with the least node of its fingerprint, and that with the least of
-    those that its fingerprint is linked to by near_links, so there are no more pairs than nodes and links.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in batch_pieces(batches, 0):
-            nodes, first = np.unique(word_hashes(data, offsets)[2].view(np.int64), return_index=True)
-            raw = data.tobytes()
-            prints = np.array([fingerprint(raw[offsets[r] : offsets[r + 1]], width, seed) for r in first.tolist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(prints.view(np.int64))], ["node", "fingerprint"])
-
-    rows = cut_lineage(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, fingerprint long").distinct())
-    nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("node").alias("least")))
-    links = cut_lineage(near_links(nodes, distance, plan_partitions(nodes, distance)))
-    u, v = nodes.select(F.col("fingerprint").alias("u"), F.col("least").alias("a")), nodes.select(F.col("fingerprint").alias("v"), F.col("least").alias("b"))
-    across = links.join(u, "u").join(v, "v").select("a", "b")
-    within = rows.join(nodes, "fingerprint").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified_duplicates(docs: DataFrame, *, width: int = 5, distance: int = 3, least: Fraction = Fraction(4, 5), node_col: str = "node", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs with the column node_col (a key of each text's words), and (node, component, first_id) of all nodes: texts of one
-    component are equal in words or tied by a similarity of `least` or more of their sets of `width`-word shingles;
-    first_id is the least id of a node's rows.
-
-    Fingerprints within `distance` bits are found as in near_duplicates and their texts compared, so no tie is by chance. The
-    ties that fingerprints miss are found by a prefix filter over the shingles (similar_texts), so none is lost.
-    """
-    keyed = text_keys(docs, node_col, text_col)
-    ids = cut_lineage(keyed.select(F.col(id_col).alias("id"), F.col(node_col).alias("node")).groupBy("node").agg(F.min("id").alias("first_id")))
-    alike = cut_lineage(alike_by_fingerprint(docs, width=width, distance=distance, text_col=text_col))
-    tied = similar_texts(docs.select(F.col(text_col).alias("text")), ids.count(), candidates=alike, width=width, least=least).withColumnRenamed("node", "tied")
-    placed = ids.join(tied, ids["node"] == tied["tied"], "left")
-    return keyed, placed.select("node", F.coalesce("component", "node").alias("component"), "first_id")

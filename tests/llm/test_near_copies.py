@@ -52,3 +52,33 @@ def test_pipeline_near_copies_like_all_pairs(spark):
     assert pipeline.near_duplicate_stage(spark, df.limit(0), "").count() == 0
     nulls = spark.createDataFrame([(None, "x y"), (None, "X  y"), (3, "same id, one"), (3, "same id, two")], df.schema)
     assert pipeline.near_duplicate_stage(spark, nulls, "").count() == 3
+
+
+def test_pairs_to_verify_stay_few_in_a_family_of_copies(spark, monkeypatch):
+    """Copies of one text with a word or two replaced: about as many pairs as texts are verified, whatever the partitions."""
+    import corpus_pipeline as pipeline
+    from strandlake.llm import shingles
+
+    rng = random.Random(11)
+    base = words(rng, 200).split()
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 2)):
+            copy[at] = words(rng, 1)
+        rows.append((i, " ".join(copy)))
+    counts, verified = [], shingles.verified
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = [r["doc_id"] for r in pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(got) == survivors(rows) and sum(counts) <= 4 * len(rows)
+    assert not hasattr(pipeline, "verified_duplicates")  # fingerprints, which changed no result, are not taken
