@@ -16,6 +16,9 @@ from ..sources.codecs import compression_format, decoded_pieces
 from ..sources.fastx import SCHEMA, error_batch, record_batch
 from ..sources.grammar import Records, concatenated_records, scan_bytes, scan_pieces
 
+#: How much text of a batch's contents is parsed before its records are given on.
+HELD_BYTES = 1 << 20
+
 COLUMNS = ("record_index", "format", "header", "seq", "quality", "dna_len")
 
 
@@ -64,13 +67,18 @@ def parse_fastx(df: DataFrame, content: str, *, keys: tuple[str, ...] = (), colu
             contents = batch.column(len(keys))
             for r in range(len(batch)):
                 data = contents[r].as_py()
+                size += len(data or b"")
                 for format_, records, index, error in scanned(data.encode() if isinstance(data, str) else data or b""):
                     if error is not None:
                         yield keyed(batch, error_batch(schema, error, None), np.array([r]))
                         continue
                     held.setdefault(format_, []).append((records, index, r))
-                size += len(data or b"")
-                if size > 8 << 20:
+                    if decompress:  # what counts is how long the records are, not how short their content was
+                        size += int(records.ends[-1]) - int(records.starts[0])
+                    if size > HELD_BYTES:
+                        yield from joined(batch, held)
+                        held, size = {}, 0
+                if size > HELD_BYTES:
                     yield from joined(batch, held)
                     held, size = {}, 0
             yield from joined(batch, held)

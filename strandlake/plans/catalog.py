@@ -370,7 +370,7 @@ def _coded(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pack = compressor(name)
-            for b in batches:
+            for b in (batch.slice(at, 128) for batch in batches for at in range(0, len(batch), 128)):  # a batch is up to 10,000 texts
                 halves = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) + pack(y) for x, y in halves], pa.binary())], ["text_id", "content"])
 
