@@ -487,7 +487,8 @@ def q_distinct_kmers(spark, sf_dir):
     rows = parsed(spark, sf_dir, columns=("header", "seq")).select((F.col("k") % 8).alias("part"), (F.col("k") % 5).alias("fifth"), "seq")
     estimates = agg.merged_kmers(agg.kmer_sketches(rows, 7, "part", "fifth"), "part", rollup=True)
     words = rows.select("part", F.explode(dna.actg_runs(F.upper("seq"))).alias("run")).select("part", F.explode(dna.kmers("run", 7)).alias("w"))
-    exact = words.rollup("part").agg(F.count_distinct(dna.canonical("w")).alias("n")).withColumnRenamed("part", "p")
+    distinct = words.select("part", dna.canonical("w").alias("w")).distinct()  # of few groups, before the rollup takes each row twice
+    exact = distinct.rollup("part").agg(F.count_distinct("w").alias("n")).withColumnRenamed("part", "p")
     both = estimates.join(exact, estimates["part"].eqNullSafe(exact["p"]))
     return both.select("part", "n", (F.abs(F.col("distinct_kmers") - F.col("n")) <= 0.04 * F.col("n")).alias("near"))
 
