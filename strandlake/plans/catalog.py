@@ -35,22 +35,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k, header, seq and quality of the derived reads."""
-    key = F.col("o_orderkey").cast("string")
+#: How many reads a task derives at most; text of theirs is some 15 MB.
+TASK_READS = 1 << 17
+
+
+def spread(spark: SparkSession, sf_dir: str, by: str = "k", ranges: bool = False) -> DataFrame:
+    """k and text_id of all reads, dealt by a hash of `by` or by its ranges. The table's splits follow its bytes, of which a key has
+    few, but a read is derived and coded at many times that cost: so there are some tasks for each core, and none is large."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / 64).alias("text_id"))
+    n = max(4 * spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_READS))
+    return keys.repartitionByRange(n, by).sortWithinPartitions(by) if ranges else keys.repartition(n, by)
+
+
+def reads(keys: DataFrame) -> DataFrame:
+    """keys with header, seq and quality of the reads that are derived from k."""
+    key = F.col("k").cast("string")
 
     def line(salts: str, letters: str) -> Column:
         hexes = F.concat(*[F.md5(F.concat(F.lit(s), key).cast("binary")) for s in salts])
-        return F.substring(F.translate(hexes, "0123456789abcdef", letters), F.lit(1), (F.col("o_orderkey") % 97).cast("int"))
+        return F.translate(F.substring(hexes, F.lit(1), (F.col("k") % 97).cast("int")), "0123456789abcdef", letters)
+
+    return keys.select("*", F.concat(F.lit("r"), key).alias("header"), line("abc", "ACGTACGTACGTacgN").alias("seq"), line("qrs", "!#+5:?@BDFHIJKLM").alias("quality"))
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, header, seq and quality of the derived reads."""
+    return reads(spread(spark, sf_dir)).drop("text_id")
+
 
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return orders.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("r"), key).alias("header"), line("abc", "ACGTACGTACGTacgN").alias("seq"), line("qrs", "!#+5:?@BDFHIJKLM").alias("quality"))
+def derived_texts(spark: SparkSession, sf_dir: str, text: Column, end: str = "\n") -> DataFrame:
+    """text_id and content of the texts that the derived reads make up. Keys are dealt by text, so no read is shuffled."""
+    return sink.concatenated(reads(spread(spark, sf_dir, "text_id")), text, ["k"], "text_id", end=end)
 
 
 def parsed(spark: SparkSession, sf_dir: str, kind: str = "fastq", columns: tuple[str, ...] = ("header", "seq", "quality"), width: int = 0, crlf: bool = False) -> DataFrame:
     """The derived reads after a turn as text, with their k; text_id tells the texts apart."""
     text = sink.fastq_text(crlf=crlf) if kind == "fastq" else sink.fasta_text(width=width, crlf=crlf)
-    files = sink.concatenated(derived(spark, sf_dir).withColumn("text_id", F.floor(F.col("k") / 64)), text, ["k"], "text_id", end="\r\n" if crlf else "\n")
+    files = derived_texts(spark, sf_dir, text, "\r\n" if crlf else "\n")
     return parse_fastx(files, "content", keys=("text_id",), columns=columns).withColumn("k", F.substring("header", 2, 20).cast("long"))
 
 
@@ -374,7 +395,7 @@ def _coded(name: str):
                 halves = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) + pack(y) for x, y in halves], pa.binary())], ["text_id", "content"])
 
-        texts = sink.concatenated(derived(spark, sf_dir).withColumn("text_id", F.floor(F.col("k") / 64)), sink.fastq_text(), ["k"], "text_id")
+        texts = derived_texts(spark, sf_dir, sink.fastq_text())
         coded = texts.select("text_id", F.col("content").cast("binary").alias("content")).mapInArrow(encode, "text_id long, content binary")
         rows = parse_fastx(coded, "content", keys=("text_id",), columns=("header", "seq", "quality"), decompress=True)
         return rows.select(F.substring("header", 2, 20).cast("long").alias("k"), "seq", "quality")
@@ -507,7 +528,7 @@ def q_pushed_filters(spark, sf_dir):
 def q_numbered_ranges(spark, sf_dir):
     """Record numbers in one long file that is cut, from counts of its ranges; the file is put together of sorted part files."""
     path = _files(spark, sf_dir)
-    sink.write_fastx(derived(spark, sf_dir).repartitionByRange("k").sortWithinPartitions("k"), path, compression=None)
+    sink.write_fastx(reads(spread(spark, sf_dir, ranges=True)), path, compression=None)
     rows = read_numbered(spark, path, columns=["file", "header", "record_index"], split_bytes=1 << 14)
     counts = rows.groupBy("file").agg(F.count("*").alias("n"))
     # The files' own numbers, of which there are as many as the writer had tasks.
