@@ -23,6 +23,9 @@ FILTER_WORDS = (1 << 12, 1 << 22)
 #: Nodes that a task remembers as already emitted, so that copies of a text are emitted once by a task.
 REMEMBERED = 1 << 20
 
+#: How often, at most, nodes are tied to the nearest ones before all pairs are weighed.
+NEAREST_ROUNDS = 8
+
 #: Words of 64 bits of the bitmap that bounds what two sets can share.
 BITMAP_WORDS = 16
 
@@ -281,13 +284,22 @@ class MetPairs:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "na", "nb", "met"])
 
 
-def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction, block: int = 1 << 15) -> DataFrame:
+def nearest(row: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of pairs that are sorted by row, the place of each row's least apart."""
+    order = np.lexsort((apart, row))
+    return order[np.append(True, row[order][1:] != row[order][:-1])] if len(order) else order
+
+
+def open_pairs(shared: DataFrame, bits: DataFrame, least: Fraction, block: int = 1 << 15, nearest_only: bool = False) -> DataFrame:
     """The pairs (a, b) of shared (shingle, n, node, pos, component) that meet in a shingle, hang not together yet, and
     whose sizes, positions, bitmaps and number of meetings leave room for a similarity of `least`.
 
     All that two sets share up to the end of the prefix that ends first are meetings, so they share at most the number of
     meetings and what is left of that set. Pairs are weighed in the task where they meet, and a task gives each that is left
-    once, with the number of its meetings there."""
+    once, with the number of its meetings there.
+
+    nearest_only: of each node in a shingle's group only the pair with that node behind it whose bitmaps differ least, so no
+    more pairs than shared has rows; their meetings aren't all counted and rule none out. bits: (node, bits) of all nodes."""
     p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +323,9 @@ def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction,
                 differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
                 good = (n[a] + n[b] - differ) * (p + q) >= 2 * p * (n[a] + n[b])
                 a, b = a[good], b[good]
+                if nearest_only:
+                    best = nearest(a, differ[good] / (n[a] + n[b]))
+                    a, b = a[best], b[best]
                 swap = node[a] > node[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
                 met.add(np.stack([node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)], axis=1))
@@ -319,9 +334,11 @@ def open_pairs(shared: DataFrame, texts: DataFrame, width: int, least: Fraction,
                 lo = hi
         yield met.batch()
 
-    with_bits = shared.join(bitmaps(texts, shared.select("node").distinct(), width), "node").select("shingle", "n", "node", "pos", "component", "bits")
+    with_bits = shared.join(bits, "node").select("shingle", "n", "node", "pos", "component", "bits")
     dealt = with_bits.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     met = dealt.mapInArrow(run, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    if nearest_only:
+        return met.select("a", "b")
     after = F.greatest(*[F.expr(f"{n} - {prefix_sql(n, least)}") for n in ("na", "nb")])
     return met.where((F.col("met") + after) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -353,8 +370,9 @@ def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Frac
     if the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
 
     No tie is missed and none is by chance. Each text is verified first against one representative of each group that it
-    meets in. Then neighbours in groups that are still apart are compared, and at last all pairs that meet and don't hang
-    together yet, so a large family of near copies costs no rows for what these ties hold together already. Texts of fewer
+    meets in. Then neighbours in groups that are still apart are compared, then each node with the one of another component
+    that seems nearest, and at last all pairs that meet and don't hang together yet, so a large family of near copies costs no
+    rows for what these ties hold together already. Texts of fewer
     words are equal or unlike.
     """
     rows = cut_lineage(postings(texts, width, least, common_shingles(texts, n_nodes, width)))
@@ -368,7 +386,19 @@ def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Frac
         links = links.unionByName(more)
         found = connected_components(links)
         apart = cut_lineage(divided(placed(apart.drop("component"), found)))
-    left = cut_lineage(open_pairs(apart, texts, width, least))
+    bits = cut_lineage(bitmaps(texts, apart.select("node").distinct(), width))
+    for _ in range(NEAREST_ROUNDS):
+        pairs = cut_lineage(open_pairs(apart, bits, least, nearest_only=True))
+        more = cut_lineage(verified(pairs, texts, width, least))
+        n_pairs, n_more = pairs.count(), more.count()
+        if not n_more:
+            break
+        links = links.unionByName(more)
+        found = connected_components(links)
+        apart = cut_lineage(divided(placed(apart.drop("component"), found)))
+        if 2 * n_more < n_pairs:  # what is left are mostly pairs that aren't tied, each of which has to be compared
+            break
+    left = cut_lineage(open_pairs(apart, bits, least))
     if left.isEmpty():
         return found
     return connected_components(links.unionByName(cut_lineage(verified(left, texts, width, least))))

@@ -82,3 +82,23 @@ def test_pairs_to_verify_stay_few_in_a_family_of_copies(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert set(got) == survivors(rows) and sum(counts) <= 4 * len(rows)
     assert not hasattr(pipeline, "verified_duplicates")  # fingerprints, which changed no result, are not taken
+
+
+def test_pairs_to_verify_stay_few_in_a_family_tied_in_chains(spark, monkeypatch):
+    """Copies with one word replaced are tied where their places are the same or adjacent: no text stands for all, and nearest ones
+    tie them before all pairs are weighed."""
+    import corpus_pipeline as pipeline
+    from strandlake.llm import shingles
+
+    rng = random.Random(12)
+    base = words(rng, 60).split()
+    rows = [(i, " ".join([*base[:at], words(rng, 1), *base[at + 1 :]])) for i in range(800) for at in [rng.randrange(60)]]
+    counts, verified = [], shingles.verified
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    got = [r["doc_id"] for r in pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert set(got) == survivors(rows) and sum(counts) <= 6 * len(rows)
