@@ -26,9 +26,18 @@ REMEMBERED = 1 << 20
 #: How often, at most, nodes are tied to the nearest ones before all pairs are weighed.
 NEAREST_ROUNDS = 8
 
-#: Words of 64 bits of the bitmap that bounds what two sets can share.
+#: Pairs up to which sets are compared without a look at bitmaps, which would cost more than it spares.
+FEW_PAIRS = 1 << 10
+
+#: Pairs of nearest nodes up to which all pairs are weighed at once: the square of so few nodes is small.
+FEW_NEAREST = 1 << 7
+
+#: Words of 64 bits of the bitmap that bounds what two sets can share, where it goes with every row of a group.
 BITMAP_WORDS = 16
 
+#: Most texts of a group that becomes pairs of texts and the number of their meetings; larger ones stay rows.
+FEW = 32
+
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all lower-cased words, where each text's words begin, and a key of each text's words (0 without a word)."""
@@ -54,14 +63,15 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def text_keys(docs: DataFrame, node_col: str, text_col: str = "text") -> DataFrame:
-    """docs with node_col, a key of the words of each text; equal words have equal keys."""
+def text_keys(docs: DataFrame, node_col: str, text_col: str = "text", wanted=None) -> DataFrame:
+    """docs with node_col, a key of the words of each text; equal words have equal keys. wanted: only rows whose keys it picks."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batch_pieces(batches, at):
-            node = pa.array(word_hashes(data, offsets)[2].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, node_col])
+            node = word_hashes(data, offsets)[2].view(np.int64)
+            rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*batch.schema.names, node_col])
+            yield rows if wanted is None else rows.filter(pa.array(wanted(node)))
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(node_col)).schema)
 
@@ -104,6 +114,11 @@ def prefix_sql(n: str, least: Fraction) -> str:
     return f"({n} * {least.denominator - least.numerator} div {least.denominator} + 1)"
 
 
+def after(least: Fraction):
+    """What two sets of na and nb can share at most behind the prefix that ends first."""
+    return F.greatest(*[F.expr(f"{n} - {prefix_sql(n, least)}") for n in ("na", "nb")])
+
+
 def postings(texts: DataFrame, width: int, least: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(shingle, node, n, pos, rep) of the shingles in the prefixes of texts that share them with a text of like size.
 
@@ -182,17 +197,24 @@ def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iter
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def bitmap(items: np.ndarray) -> np.ndarray:
+def bitmap(items: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
     """A bitmap of a set: each item turns one bit over. The bits in which two bitmaps differ are at most the items that only
     one of the sets has, so two sets of a and b items share at most (a + b - differing bits) / 2."""
-    turned = np.bincount((items >> np.uint64(17)) % np.uint64(64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+    turned = np.bincount((items >> np.uint64(17)) % np.uint64(64 * words), minlength=64 * words) & 1
     return np.packbits(turned.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def node_filter(nodes: DataFrame):
-    """A test of arrays of nodes that holds for every node of nodes, and for few others."""
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of as many words of the same set; both numbers of words are powers of 2."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def node_filter(nodes: DataFrame, n_nodes: int | None = None):
+    """A test of arrays of nodes that holds for every node of nodes (n_nodes, if that is known), and for few others."""
     least, most = FILTER_WORDS
-    size = min(most, max(least, 1 << (nodes.count() // 4).bit_length()))
+    size = min(most, max(least, 1 << ((nodes.count() if n_nodes is None else n_nodes) // 4).bit_length()))
     word, bit = F.expr(f"pmod(shiftrightunsigned(node, 6), {size})"), F.expr("shiftleft(1L, cast(node & 63 as int))")
     words = np.zeros(size, np.int64)
     found = nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # `size` rows at most
@@ -206,19 +228,76 @@ def node_filter(nodes: DataFrame):
     return wanted
 
 
-def divided(found: DataFrame) -> DataFrame:
-    """The rows (shingle, n, node, pos, component) of the shingles whose nodes don't all hang together."""
+def row_pairs(group: np.ndarray, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places (a, b), a before b, with equal values in the sorted group, about `block` at once."""
+    if not len(group):
+        return
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    stop = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
+    rows = np.arange(len(group))
+    work = np.cumsum(stop - rows)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + block, "right")))
+        more = stop[lo:hi] - rows[lo:hi] - 1
+        yield np.repeat(rows[lo:hi], more), np.repeat(rows[lo:hi] + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())
+        lo = hi
+
+
+def can_tie(component: np.ndarray, n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether rows a and b of a group, sorted by n, are of two components and leave room for a similarity of `least` by their
+    sizes and positions."""
+    p, q = least.numerator, least.denominator
+    room = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
+    return (component[a] != component[b]) & (n[a] * q >= n[b] * p) & (room * (p + q) >= p * (n[a] + n[b]))
+
+
+def divided(found: DataFrame, least: Fraction, few: int = 0) -> DataFrame:
+    """The rows (shingle, n, node, pos, component) of the shingles whose nodes don't all hang together.
+
+    Groups of at most `few` rows become rows (null, na, a, null, null, b, nb, met): pairs of nodes that can be tied, and how
+    often they have met in a task. Texts that share a passage share many shingles, so these are far fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = MetPairs()
+
+        def pairs() -> pa.RecordBatch:
+            a, b, na, nb, times = met.batch().columns
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([none, na.cast(pa.int32()), a, none.cast(pa.int32()), none, b, nb.cast(pa.int32()), times], names)
+
         for columns in whole_groups(batches):
             shingle, component = columns[0], columns[4]
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            sizes = np.diff(np.append(starts, len(shingle)))
             apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-            keep = np.repeat(apart, np.diff(np.append(starts, len(shingle))))
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "n", "node", "pos", "component"])
+            keep = np.repeat(apart & (sizes > few), sizes)
+            rows = [pa.array(c[keep]) for c in columns]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), kind) for kind in (pa.int64(), pa.int32(), pa.int64()))], names)
+            keep = np.repeat(apart & (sizes <= few), sizes)
+            shingle, n, node, pos, component = (c[keep].astype(np.int64) for c in columns)
+            for a, b in row_pairs(shingle):
+                good = can_tie(component, n, pos, a, b, least)
+                met.add_rows(node, n, a[good], b[good])
+                if met.full():
+                    yield pairs()
+        yield pairs()
+
+    names = ["shingle", "n", "node", "pos", "component", "other", "n_other", "met"]
+    dealt = found.select(names[:5]).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return dealt.mapInArrow(run, "shingle long, n int, node long, pos int, component long, other long, n_other int, met long")
 
-    dealt = found.select("shingle", "n", "node", "pos", "component").repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "shingle long, n int, node long, pos int, component long")
+
+def few_pairs(parts: DataFrame, least: Fraction) -> DataFrame:
+    """Of the pairs among the rows of divided, those (a, b) that meet often enough, if they also met in all larger groups in
+    which both stand: what is left out here isn't tied."""
+    p, q = least.numerator, least.denominator
+    crowded = parts.where("shingle is not null").groupBy("node").count()
+    pairs = parts.where("shingle is null").groupBy(F.col("node").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("n_other").alias("nb")).agg(F.sum("met").alias("met"))
+    for end in ("a", "b"):
+        pairs = pairs.join(crowded.select(F.col("node").alias(end), F.col("count").alias(f"{end}_rows")), end, "left")
+    met = F.col("met") + F.least(*[F.coalesce(f"{end}_rows", F.lit(0)) for end in ("a", "b")])
+    return pairs.where((met + after(least)) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def neighbours(apart: DataFrame, least: Fraction) -> DataFrame:
@@ -241,13 +320,7 @@ def neighbours(apart: DataFrame, least: Fraction) -> DataFrame:
 
 def bitmaps(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, bits) of the texts whose nodes are among nodes, and of few others."""
-    wanted = node_filter(nodes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, found in sets_of(batches, width, wanted):
-            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([bitmap(found).tobytes()], pa.binary())], ["node", "bits"])
-
-    return texts.mapInArrow(run, "node long, bits binary").groupBy("node").agg(F.first("bits").alias("bits"))
+    return of_texts(texts, width, node_filter(nodes), lambda found: bitmap(found).tobytes(), "bits", "binary", pa.binary())
 
 
 class MetPairs:
@@ -263,6 +336,12 @@ class MetPairs:
             self.parts.append(pairs)
             self.held += len(pairs)
 
+    def add_rows(self, node: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """A meeting of each of rows a with that of rows b; the smaller node comes first."""
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        self.add(np.stack([node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)], axis=1))
+
     def full(self) -> bool:
         """Whether there are too many distinct pairs to hold."""
         if self.held > self.most:
@@ -299,7 +378,8 @@ def open_pairs(shared: DataFrame, bits: DataFrame, least: Fraction, block: int =
     once, with the number of its meetings there.
 
     nearest_only: of each node in a shingle's group only the pair with that node behind it whose bitmaps differ least, so no
-    more pairs than shared has rows; their meetings aren't all counted and rule none out. bits: (node, bits) of all nodes."""
+    more pairs than shared has rows, and of those only the ones nearest in about half of the meetings that a tie needs; the
+    rest is left to the pass over all pairs. bits: (node, bits) of all nodes."""
     p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,18 +387,8 @@ def open_pairs(shared: DataFrame, bits: DataFrame, least: Fraction, block: int =
         for shingle, n, node, pos, component, bits in whole_groups(batches):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS)
-            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
-            stop = np.repeat(np.append(starts[1:], len(shingle)), np.diff(np.append(starts, len(shingle))))
-            rows = np.arange(len(shingle))
-            work = np.cumsum(stop - rows)
-            lo = 0
-            while lo < len(rows):
-                hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + block, "right")))
-                more = stop[lo:hi] - rows[lo:hi] - 1
-                a = np.repeat(rows[lo:hi], more)
-                b = np.repeat(rows[lo:hi] + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())
-                room = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
-                good = (component[a] != component[b]) & (n[a] * q >= n[b] * p) & (room * (p + q) >= p * (n[a] + n[b]))
+            for a, b in row_pairs(shingle, block):
+                good = can_tie(component, n, pos, a, b, least)
                 a, b = a[good], b[good]
                 differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
                 good = (n[a] + n[b] - differ) * (p + q) >= 2 * p * (n[a] + n[b])
@@ -326,34 +396,80 @@ def open_pairs(shared: DataFrame, bits: DataFrame, least: Fraction, block: int =
                 if nearest_only:
                     best = nearest(a, differ[good] / (n[a] + n[b]))
                     a, b = a[best], b[best]
-                swap = node[a] > node[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                met.add(np.stack([node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)], axis=1))
+                met.add_rows(node, n, a, b)
                 if met.full():
                     yield met.batch()
-                lo = hi
         yield met.batch()
 
     with_bits = shared.join(bits, "node").select("shingle", "n", "node", "pos", "component", "bits")
     dealt = with_bits.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     met = dealt.mapInArrow(run, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     if nearest_only:
-        return met.select("a", "b")
-    after = F.greatest(*[F.expr(f"{n} - {prefix_sql(n, least)}") for n in ("na", "nb")])
-    return met.where((F.col("met") + after) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+        return met.where(F.col("met") * 4 >= F.expr(prefix_sql("least(na, nb)", least))).select("a", "b")
+    return met.where((F.col("met") + after(least)) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b), as links (u, v), whose sets of shingles have a similarity of `least` or more."""
-    wanted = node_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+def of_texts(texts: DataFrame, width: int, wanted, value, column: str, kind: str, arrow: pa.DataType, most: int = 1 << 20) -> DataFrame:
+    """(node, column) of the texts whose nodes `wanted` picks, column being value(their sorted set of shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        values: list = []
+        size = 0
         for node, found in sets_of(batches, width, wanted):
-            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "items"])
+            nodes.append(node)
+            values.append(value(found))
+            size += len(found)
+            if size >= most >> 3:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values, arrow)], ["node", column])
+                nodes, values, size = [], [], 0
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values, arrow)], ["node", column])
+
+    return texts.mapInArrow(run, f"node long, {column} {kind}").groupBy("node").agg(F.first(column).alias(column))
+
+
+def with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with a_column and b_column, what rows (node, column) has for either."""
+    for end in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("node").alias(end), F.col(column).alias(f"{end}_{column}")), end)
+    return pairs
+
+
+def screened(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction, n_pairs: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps, of four to eight bits a shingle, leave room for a similarity of `least`: about a byte
+    a shingle at most goes with a pair, where the set has eight."""
+    p, q = least.numerator, least.denominator
 
-    sets = texts.mapInArrow(run, "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items"))
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
+    def sketch(found: np.ndarray) -> bytes:
+        return len(found).to_bytes(8, "little") + bitmap(found, max(BITMAP_WORDS, 1 << (len(found) // 16).bit_length())).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for r, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both, words = int(x[0]) + int(y[0]), min(len(x), len(y)) - 1
+                differ = int(np.bitwise_count(folded(x[1:], words) ^ folded(y[1:], words)).sum())
+                keep[r] = (both - differ) * (p + q) >= 2 * p * both
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    wanted = node_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n_pairs)
+    sketches = of_texts(texts, width, wanted, sketch, "bits", "binary", pa.binary())
+    return with_both(pairs, sketches, "bits").select("a", "b", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b), as links (u, v), whose sets of shingles have a similarity of `least` or more."""
+    n_pairs = pairs.count()
+    if n_pairs > FEW_PAIRS:
+        pairs = cut_lineage(screened(pairs, texts, width, least, n_pairs))
+        n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs.toDF("u", "v")
+    wanted = node_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n_pairs)
+    sets = of_texts(texts, width, wanted, lambda found: found.view(np.int64), "items", "array<long>", pa.list_(pa.int64()))
+    both = with_both(pairs, sets, "items")
     common = F.size(F.array_intersect("a_items", "b_items"))
     p, q = least.numerator, least.denominator
     return both.where(common * (p + q) >= p * (F.size("a_items") + F.size("b_items"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -365,51 +481,63 @@ def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(tied, rows["node"] == tied["tied"], "left").withColumn("component", F.coalesce("component", "node")).drop("tied")
 
 
+def again_divided(apart: DataFrame, found: DataFrame, least: Fraction) -> DataFrame:
+    """The rows of apart of the shingles whose nodes don't all hang together by the components found."""
+    return divided(placed(apart.drop("component"), found), least).select(apart.columns)
+
+
 def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """(node, component) of every text (column text) that is tied to another, directly or by way of others: two are tied
     if the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
 
     No tie is missed and none is by chance. Each text is verified first against one representative of each group that it
-    meets in. Then neighbours in groups that are still apart are compared, then each node with the one of another component
-    that seems nearest, and at last all pairs that meet and don't hang together yet, so a large family of near copies costs no
-    rows for what these ties hold together already. Texts of fewer
-    words are equal or unlike.
+    meets in. Of groups of few texts that are still apart then, all pairs are counted, and those that meet often enough are
+    verified. Of larger ones neighbours are compared, then each node with the one of another component that seems nearest,
+    and at last all pairs that meet and don't hang together yet, so a large family of near copies costs no rows for what
+    these ties hold together already. Texts of fewer words are equal or unlike.
     """
     rows = cut_lineage(postings(texts, width, least, common_shingles(texts, n_nodes, width)))
     led = rows.where(F.col("rep").isNotNull()).groupBy(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("n"))
     led = led.where(F.col("met") * 4 >= F.expr(prefix_sql("n", least))).select("a", "b")  # what is left out here is compared below
     links = cut_lineage(verified(cut_lineage(led), texts, width, least))
     found = connected_components(links)
-    apart = cut_lineage(divided(placed(rows, found)))
-    more = cut_lineage(verified(cut_lineage(neighbours(apart, least)), texts, width, least))
+    parts = cut_lineage(divided(placed(rows, found), least, FEW))
+    apart = parts.where("shingle is not null").select("shingle", "n", "node", "pos", "component")
+    more = cut_lineage(verified(cut_lineage(few_pairs(parts, least).union(neighbours(apart, least)).distinct()), texts, width, least))
     if not more.isEmpty():
         links = links.unionByName(more)
         found = connected_components(links)
-        apart = cut_lineage(divided(placed(apart.drop("component"), found)))
+        apart = cut_lineage(again_divided(apart, found, least))
+    if apart.isEmpty():
+        return found
     bits = cut_lineage(bitmaps(texts, apart.select("node").distinct(), width))
     for _ in range(NEAREST_ROUNDS):
         pairs = cut_lineage(open_pairs(apart, bits, least, nearest_only=True))
+        n_pairs = pairs.count()
+        if n_pairs <= FEW_NEAREST:
+            break
         more = cut_lineage(verified(pairs, texts, width, least))
-        n_pairs, n_more = pairs.count(), more.count()
+        n_more = more.count()
         if not n_more:
             break
         links = links.unionByName(more)
         found = connected_components(links)
-        apart = cut_lineage(divided(placed(apart.drop("component"), found)))
+        apart = cut_lineage(again_divided(apart, found, least))
         if 2 * n_more < n_pairs:  # what is left are mostly pairs that aren't tied, each of which has to be compared
             break
     left = cut_lineage(open_pairs(apart, bits, least))
     if left.isEmpty():
         return found
-    return connected_components(links.unionByName(cut_lineage(verified(left, texts, width, least))))
+    more = cut_lineage(verified(left, texts, width, least))
+    return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, least: Fraction = Fraction(4, 5), node_col: str = "node", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs with the column node_col (a key of each text's words), and (node, component, first_id) of all nodes: texts of one
+    """docs with the column node_col (a key of each text's words), and (node, component, first_id, n_rows) of all nodes: texts of one
     component are equal in words or tied by a similarity of `least` or more of their sets of `width`-word shingles;
-    first_id is the least id of a node's rows.
+    first_id is the least id of a node's n_rows rows.
     """
     keyed = text_keys(docs, node_col, text_col)
-    ids = cut_lineage(keyed.select(F.col(id_col).alias("id"), F.col(node_col).alias("node")).groupBy("node").agg(F.min("id").alias("first_id")))
+    ids = cut_lineage(keyed.select(F.col(id_col).alias("id"), F.col(node_col).alias("node")).groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows")))
     tied = similar_texts(docs.select(F.col(text_col).alias("text")), ids.count(), width=width, least=least)
-    return keyed, placed(ids, tied).select("node", "component", "first_id")
+    return keyed, placed(ids, tied).select("node", "component", "first_id", "n_rows")

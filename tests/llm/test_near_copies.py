@@ -102,3 +102,57 @@ def test_pairs_to_verify_stay_few_in_a_family_tied_in_chains(spark, monkeypatch)
     monkeypatch.setattr(shingles, "verified", counted)
     got = [r["doc_id"] for r in pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
     assert set(got) == survivors(rows) and sum(counts) <= 6 * len(rows)
+
+
+def test_texts_that_share_passages_become_pairs_not_rows(spark, monkeypatch):
+    """Long texts that share three quarters of their words in groups of 20 meet in many shingles: they are counted by pair, and no
+    pair of them is compared by its whole sets."""
+    import corpus_pipeline as pipeline
+    from strandlake.llm import shingles
+
+    rng = random.Random(13)
+    texts = []
+    for _ in range(12):
+        shared = words(rng, 750)
+        texts += [f"{shared} {words(rng, 250)}" for _ in range(20)]
+    texts += [f"{t} {words(rng, 60)}" for t in texts[:5]]
+    rows = list(enumerate(texts))
+    crowded, sets, divided, of_texts = [], [], shingles.divided, shingles.of_texts
+
+    def told(found, least, few=0):
+        parts = divided(found, least, few)
+        crowded.append(parts.where("shingle is not null").count())
+        return parts
+
+    def counted(texts, width, wanted, value, column, *rest):
+        out = of_texts(texts, width, wanted, value, column, *rest)
+        if column == "items":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "divided", told)
+    monkeypatch.setattr(shingles, "of_texts", counted)
+    monkeypatch.setattr(shingles, "FEW_PAIRS", 0)
+    got = [r["doc_id"] for r in pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert set(got) == survivors(rows) and crowded and not any(crowded)
+    assert sum(sets) <= 40
+
+
+def test_only_rows_in_doubt_are_moved(spark, monkeypatch):
+    """Texts that no other is like stay where they are."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(14)
+    rows = [(i, words(rng, 40)) for i in range(400)] + [(i % 50, f"copy {i % 50}") for i in range(100)] + [(None, "x y"), (None, "X y"), (7, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    moved, text_keys = [], pipeline.text_keys
+
+    def counted(docs, node_col, wanted=None):
+        out = text_keys(docs, node_col, wanted=wanted)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(pipeline, "text_keys", counted)
+    out = pipeline.near_duplicate_stage(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted([*range(400), *range(50), 7])
+    assert sum(moved) == len(rows) and min(moved) < 150
