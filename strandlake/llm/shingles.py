@@ -35,7 +35,7 @@ FEW_NEAREST = 1 << 7
 #: Words of 64 bits of the bitmap that bounds what two sets can share, where it goes with every row of a group.
 BITMAP_WORDS = 16
 
-#: Most texts of a group that becomes pairs of texts and the number of their meetings; larger ones stay rows.
+#: Most texts of a group that can become pairs of texts and the number of their meetings; larger ones stay rows.
 FEW = 32
 
 
@@ -120,11 +120,12 @@ def after(least: Fraction):
 
 
 def postings(texts: DataFrame, width: int, least: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, node, n, pos, rep) of the shingles in the prefixes of texts that share them with a text of like size.
+    """(shingle, node, n, pos, rep, block) of the shingles in the prefixes of texts that share them with a text of like size.
 
     Two sets with a similarity of `least` or more share at least ceil(least * n) of the n shingles of either, so they
     meet in the first n - ceil(least * n) + 1 of each in any fixed order. rep is the least node of a group, null for
-    itself and where the sizes rule a pair out.
+    itself and where the sizes rule a pair out. block is the least node of a group of at most FEW, else the shingle: texts
+    that share a passage meet in many shingles, but in few blocks.
     """
     hot, rank = common
     p, q = least.numerator, least.denominator
@@ -165,17 +166,19 @@ def postings(texts: DataFrame, width: int, least: Fraction, common: tuple[np.nda
         starts = np.flatnonzero(new)
         if len(starts):
             order = np.lexsort((node, np.cumsum(new)))
-            first = np.repeat(order[starts], np.diff(np.append(starts, len(new))))
+            sizes = np.diff(np.append(starts, len(new)))
+            first = np.repeat(order[starts], sizes)
             least_, mine = n[first].astype(np.int64), n.astype(np.int64)
             fits = (node[first] != node) & (np.minimum(least_, mine) * q >= np.maximum(least_, mine) * p)
             rep = pa.array(node[first], mask=~fits)
+            block = pa.array(np.where(np.repeat(sizes, sizes) <= FEW, node[first], shingle))
         else:
-            rep = pa.array([], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node), pa.array(n), pa.array(pos), rep], ["shingle", "node", "n", "pos", "rep"])
+            rep = block = pa.array([], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node), pa.array(n), pa.array(pos), rep, block], ["shingle", "node", "n", "pos", "rep", "block"])
 
     rows = texts.mapInArrow(prefixes, "shingle long, node long, n int, pos int").select("shingle", "n", "node", "pos")
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return dealt.mapInArrow(lambda batches: map(shared, whole_groups(batches)), "shingle long, node long, n int, pos int, rep long")
+    return dealt.mapInArrow(lambda batches: map(shared, whole_groups(batches)), "shingle long, node long, n int, pos int, rep long, block long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[list[np.ndarray]]:
@@ -255,8 +258,9 @@ def can_tie(component: np.ndarray, n: np.ndarray, pos: np.ndarray, a: np.ndarray
 def divided(found: DataFrame, least: Fraction, few: int = 0) -> DataFrame:
     """The rows (shingle, n, node, pos, component) of the shingles whose nodes don't all hang together.
 
-    Groups of at most `few` rows become rows (null, na, a, null, null, b, nb, met): pairs of nodes that can be tied, and how
-    often they have met in a task. Texts that share a passage share many shingles, so these are far fewer."""
+    Groups of at most `few` rows are dealt by block and become rows (null, na, a, null, null, b, nb, met), pairs of nodes that
+    can be tied and how often they have met in a task, where a block has no more such pairs than rows. So what comes out never
+    outnumbers what goes in, however large families grow; texts that share a passage share many shingles and are far fewer pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = MetPairs()
@@ -266,28 +270,44 @@ def divided(found: DataFrame, least: Fraction, few: int = 0) -> DataFrame:
             none = pa.nulls(len(a), pa.int64())
             return pa.RecordBatch.from_arrays([none, na.cast(pa.int32()), a, none.cast(pa.int32()), none, b, nb.cast(pa.int32()), times], names)
 
-        for columns in whole_groups(batches):
+        for block, *columns in whole_groups(batches):
             shingle, component = columns[0], columns[4]
-            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            starts = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])))
             sizes = np.diff(np.append(starts, len(shingle)))
             apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
             keep = np.repeat(apart & (sizes > few), sizes)
+            small = np.flatnonzero(np.repeat(apart & (sizes <= few), sizes))
+            if len(small):
+                group, block = np.repeat(starts, sizes)[small], np.unique(block[small], return_inverse=True)[1]
+                tally = block_pairs(group, block, *(c[small].astype(np.int64) for c in columns[1:]), least)
+                fewer = np.bincount(tally[:, 0], minlength=block[-1] + 1) <= np.bincount(block)
+                keep[small[~fewer[block]]] = True
+                met.add(tally[fewer[tally[:, 0]], 1:])
             rows = [pa.array(c[keep]) for c in columns]
             yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), kind) for kind in (pa.int64(), pa.int32(), pa.int64()))], names)
-            keep = np.repeat(apart & (sizes <= few), sizes)
-            shingle, n, node, pos, component = (c[keep].astype(np.int64) for c in columns)
-            for a, b in row_pairs(shingle):
-                good = can_tie(component, n, pos, a, b, least)
-                met.add_rows(node, n, a[good], b[good])
-                if met.full():
-                    yield pairs()
+            if met.full():
+                yield pairs()
         yield pairs()
 
     names = ["shingle", "n", "node", "pos", "component", "other", "n_other", "met"]
-    dealt = found.select(names[:5]).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    key = "block" if few else "shingle"
+    dealt = found.select(F.col(key).alias("block"), *names[:5]).repartition("block").sortWithinPartitions("block", "shingle", "n", "node")
     return dealt.mapInArrow(run, "shingle long, n int, node long, pos int, component long, other long, n_other int, met long")
 
 
+def block_pairs(group: np.ndarray, block: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray, component: np.ndarray, least: Fraction) -> np.ndarray:
+    """Rows of block, a, b, size of a, size of b, times met: the pairs of each block's groups that can be tied."""
+    parts, held = [np.zeros((0, 6), np.int64)], 0
+    for a, b in row_pairs(group):
+        good = can_tie(component, n, pos, a, b, least)
+        a, b = a[good], b[good]
+        parts.append(np.concatenate([block[a][:, None], meetings(node, n, a, b)], axis=1))
+        held += len(a)
+        if held > 1 << 20:
+            parts, held = [tallied(np.concatenate(parts), 3)], 0
+    return tallied(np.concatenate(parts), 3)
+
+
 def few_pairs(parts: DataFrame, least: Fraction) -> DataFrame:
     """Of the pairs among the rows of divided, those (a, b) that meet often enough, if they also met in all larger groups in
     which both stand: what is left out here isn't tied."""
@@ -323,6 +343,24 @@ def bitmaps(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return of_texts(texts, width, node_filter(nodes), lambda found: bitmap(found).tobytes(), "bits", "binary", pa.binary())
 
 
+def meetings(node: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row (a, b, size of a, size of b, 1) for each of rows a with that of rows b; the smaller node comes first."""
+    swap = node[a] > node[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return np.stack([node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)], axis=1)
+
+
+def tallied(rows: np.ndarray, keys: int) -> np.ndarray:
+    """One row for those that are equal in the first `keys` columns, with the sum of the last column."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort(rows[:, :keys].T[::-1])]
+    new = np.flatnonzero(np.append(True, (rows[1:, :keys] != rows[:-1, :keys]).any(1)))
+    out = rows[new]
+    out[:, -1] = np.add.reduceat(rows[:, -1], new)
+    return out
+
+
 class MetPairs:
     """How often pairs of nodes have met in a task, summed up whenever many have come together."""
 
@@ -336,12 +374,6 @@ class MetPairs:
             self.parts.append(pairs)
             self.held += len(pairs)
 
-    def add_rows(self, node: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        """A meeting of each of rows a with that of rows b; the smaller node comes first."""
-        swap = node[a] > node[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        self.add(np.stack([node[a], node[b], n[a], n[b], np.ones(len(a), np.int64)], axis=1))
-
     def full(self) -> bool:
         """Whether there are too many distinct pairs to hold."""
         if self.held > self.most:
@@ -350,12 +382,7 @@ class MetPairs:
         return self.held > self.most // 2
 
     def summed(self) -> np.ndarray:
-        rows = np.concatenate([np.zeros((0, 5), np.int64), *self.parts])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))) if len(rows) else np.zeros(0, np.int64)
-        out = rows[new]
-        out[:, 4] = np.add.reduceat(rows[:, 4], new) if len(new) else 0
-        return out
+        return tallied(np.concatenate([np.zeros((0, 5), np.int64), *self.parts]), 2)
 
     def batch(self) -> pa.RecordBatch:
         rows = self.summed()
@@ -369,6 +396,46 @@ def nearest(row: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return order[np.append(True, row[order][1:] != row[order][:-1])] if len(order) else order
 
 
+def open_rows(columns: list[np.ndarray], least: Fraction, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (shingle, n, node, pos, component, bits) the places (a, b) of those that meet and hang not together yet, and whose
+    sizes, positions and bitmaps leave room for a similarity of `least`, with the bits in which they differ."""
+    shingle, n, _, pos, component, bits = columns
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    p, q = least.numerator, least.denominator
+    bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS)
+    starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+    at = np.flatnonzero(np.repeat(apart, np.diff(np.append(starts, len(shingle)))))
+    for a, b in row_pairs(shingle[at], block):
+        a, b = at[a], at[b]
+        good = can_tie(component, n, pos, a, b, least)
+        a, b = a[good], b[good]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        good = (n[a] + n[b] - differ) * (p + q) >= 2 * p * (n[a] + n[b])
+        yield a[good], b[good], differ[good]
+
+
+def by_shingle(shared: DataFrame, bits: DataFrame) -> DataFrame:
+    """shared (shingle, n, node, pos, component) with each node's bits, the rows of a shingle together and sorted."""
+    with_bits = shared.join(bits, "node").select("shingle", "n", "node", "pos", "component", "bits")
+    return with_bits.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+
+
+def hopeful(shared: DataFrame, bits: DataFrame, least: Fraction) -> DataFrame:
+    """The rows of shared, each once at most, that stand in a pair which open_pairs can give. What can be told of a pair at one
+    meeting holds at all of them, so such a pair keeps all its meetings; most texts that only share a passage have no row left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches):
+            hit = np.zeros(len(columns[0]), bool)
+            for a, b, _ in open_rows(columns, least):
+                hit[a] = hit[b] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns[:5]], names)
+
+    names = ["shingle", "n", "node", "pos", "component"]
+    return by_shingle(shared, bits).mapInArrow(run, "shingle long, n int, node long, pos int, component long")
+
+
 def open_pairs(shared: DataFrame, bits: DataFrame, least: Fraction, block: int = 1 << 15, nearest_only: bool = False) -> DataFrame:
     """The pairs (a, b) of shared (shingle, n, node, pos, component) that meet in a shingle, hang not together yet, and
     whose sizes, positions, bitmaps and number of meetings leave room for a similarity of `least`.
@@ -384,26 +451,18 @@ def open_pairs(shared: DataFrame, bits: DataFrame, least: Fraction, block: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = MetPairs()
-        for shingle, n, node, pos, component, bits in whole_groups(batches):
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS)
-            for a, b in row_pairs(shingle, block):
-                good = can_tie(component, n, pos, a, b, least)
-                a, b = a[good], b[good]
-                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-                good = (n[a] + n[b] - differ) * (p + q) >= 2 * p * (n[a] + n[b])
-                a, b = a[good], b[good]
+        for columns in whole_groups(batches):
+            n, node = columns[1].astype(np.int64), columns[2]
+            for a, b, differ in open_rows(columns, least, block):
                 if nearest_only:
-                    best = nearest(a, differ[good] / (n[a] + n[b]))
+                    best = nearest(a, differ / (n[a] + n[b]))
                     a, b = a[best], b[best]
-                met.add_rows(node, n, a, b)
+                met.add(meetings(node, n, a, b))
                 if met.full():
                     yield met.batch()
         yield met.batch()
 
-    with_bits = shared.join(bits, "node").select("shingle", "n", "node", "pos", "component", "bits")
-    dealt = with_bits.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    met = dealt.mapInArrow(run, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    met = by_shingle(shared, bits).mapInArrow(run, "a long, b long, na long, nb long, met long").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     if nearest_only:
         return met.where(F.col("met") * 4 >= F.expr(prefix_sql("least(na, nb)", least))).select("a", "b")
     return met.where((F.col("met") + after(least)) * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -491,9 +550,9 @@ def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Frac
     if the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
 
     No tie is missed and none is by chance. Each text is verified first against one representative of each group that it
-    meets in. Of groups of few texts that are still apart then, all pairs are counted, and those that meet often enough are
-    verified. Of larger ones neighbours are compared, then each node with the one of another component that seems nearest,
-    and at last all pairs that meet and don't hang together yet, so a large family of near copies costs no rows for what
+    meets in. Of groups of few texts that are still apart then, all pairs are counted where they are no more than the rows, and
+    those that meet often enough are verified. Of the rest neighbours are compared, rows whose bitmaps tell them from all
+    others that they meet are left out, then each node is compared with the one of another component that seems nearest, and at last all pairs that meet and don't hang together yet, so a large family of near copies costs no rows for what
     these ties hold together already. Texts of fewer words are equal or unlike.
     """
     rows = cut_lineage(postings(texts, width, least, common_shingles(texts, n_nodes, width)))
@@ -507,10 +566,11 @@ def similar_texts(texts: DataFrame, n_nodes: int, *, width: int = 5, least: Frac
     if not more.isEmpty():
         links = links.unionByName(more)
         found = connected_components(links)
-        apart = cut_lineage(again_divided(apart, found, least))
-    if apart.isEmpty():
+        apart = cut_lineage(placed(apart.drop("component"), found).select(apart.columns))
+    if apart.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").isEmpty():
         return found
     bits = cut_lineage(bitmaps(texts, apart.select("node").distinct(), width))
+    apart = cut_lineage(hopeful(apart, bits, least))
     for _ in range(NEAREST_ROUNDS):
         pairs = cut_lineage(open_pairs(apart, bits, least, nearest_only=True))
         n_pairs = pairs.count()

@@ -138,6 +138,39 @@ def test_texts_that_share_passages_become_pairs_not_rows(spark, monkeypatch):
     assert sum(sets) <= 40
 
 
+def test_pairs_that_share_passages_never_outnumber_rows(spark, monkeypatch):
+    """Texts in groups of 30 that share most words meet in many shingles: whatever the partitions, no more rows come out of the step that
+    counts their pairs than went in."""
+    import corpus_pipeline as pipeline
+    from strandlake.llm import shingles
+
+    rng = random.Random(15)
+    texts = []
+    for _ in range(4):
+        shared = words(rng, 340)
+        texts += [f"{shared} {words(rng, 60)}" for _ in range(30)]
+    texts += [f"{t} {words(rng, 20)}" for t in texts[::11]]
+    rows = list(enumerate(texts))
+    made, divided = [], shingles.divided
+
+    def told(found, *rest):
+        parts = divided(found, *rest)
+        made.append((found.count(), parts.count()))
+        return parts
+
+    monkeypatch.setattr(shingles, "divided", told)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = [r["doc_id"] for r in pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(got) == survivors(rows) and made and all(out <= rows_in for rows_in, out in made)
+
+
 def test_only_rows_in_doubt_are_moved(spark, monkeypatch):
     """Texts that no other is like stay where they are."""
     import corpus_pipeline as pipeline
